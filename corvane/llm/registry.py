@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import decontaminate, language, licenses, mixing, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
+        "op4_wu_manber": decontaminate.op4_wu_manber,
+        "op5_kneser_ney": language.op5_kneser_ney,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op8_license_rules": licenses.op8_license_rules,
+        "op9_viterbi_counts": tokens.op9_viterbi_counts,
     }
 
 
