@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, sharding, tokens
+from . import decontaminate, language, licenses, mixing, sharding, substrings, tokens, warc
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op4_wu_manber": decontaminate.op4_wu_manber,
         "op5_kneser_ney": language.op5_kneser_ney,
         "op6_mix_sources": mixing.op6_mix_sources,
+        "op7_rabin_karp": substrings.op7_rabin_karp,
         "op8_license_rules": licenses.op8_license_rules,
         "op9_viterbi_counts": tokens.op9_viterbi_counts,
+        "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
 
 
