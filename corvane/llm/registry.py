@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, sharding, substrings, tokens, warc
+from . import decontaminate, language, licenses, mixing, sharding, shingles, substrings, tokens, vectors, warc
 
 
 def queries() -> dict:
     return {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
+        "op2_grouped_prefix_join": shingles.op2_grouped_prefix_join,
+        "op3_rotation_codes": vectors.op3_rotation_codes,
         "op4_wu_manber": decontaminate.op4_wu_manber,
         "op5_kneser_ney": language.op5_kneser_ney,
         "op6_mix_sources": mixing.op6_mix_sources,
