@@ -122,5 +122,22 @@ def mix(
     return run.select(*out, "size", "source_size", "target", taken.alias("taken"))
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The documents the mix takes, with all their columns, as often as it takes them.
+
+    Rows without words are never taken. Equal rows share what all of them got.
+    """
+    slim = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("__hash"))
+    taken = mix(slim, keep=("doc_id", "__hash"), **options).where("taken > 0")
+    times = taken.groupBy("doc_id", "__hash").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    times = times.select(F.col("doc_id").alias("__d"), F.col("__hash").alias("__t"), "__times")
+    rows = docs.withColumn("__t0", F.xxhash64("text"))
+    rows = rows.join(times, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t0") == F.col("__t")))
+    same = Window.partitionBy("__d", "__t")
+    rows = rows.withColumn("__i", F.row_number().over(same.orderBy("source")) - 1).withColumn("__n", F.count("*").over(same))
+    mine = F.floor(F.col("__times") / F.col("__n")) + F.when(F.col("__i") < F.col("__times") % F.col("__n"), 1).otherwise(0)
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), mine.cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+
+
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

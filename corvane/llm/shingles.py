@@ -26,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,9 @@ COUNTS = 1 << 22
 CHUNK = 1 << 14
 #: a shingle whose entry counts this much is posted without looking whether another set has it
 HEAVY = 10_000
+#: of Spark's xxhash64 function
+SPARK_SEED = 42
+DIGEST, MAYBE = "__digest", "__maybe"
 SETS = "n_shingles bigint, digest binary, prefix_digest binary, prefix array<bigint>, n_light int"
 
 
@@ -157,11 +161,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, sim
 def _sets_of(docs: DataFrame, marks, width: int) -> DataFrame:
     """(digest, members) of the documents whose set may be asked for."""
     ship(docs.sparkSession)
-    seed = 42
 
     def run(batches):
-        import xxhash
-
         known = WordHashes()
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
@@ -173,46 +174,92 @@ def _sets_of(docs: DataFrame, marks, width: int) -> DataFrame:
                         names.append(digest)
                         members.append(raw)
                 if names:
-                    keys = np.array([xxhash.xxh64_intdigest(x, seed) for x in names], np.uint64)
+                    keys = np.array([xxhash.xxh64_intdigest(x, SPARK_SEED) for x in names], np.uint64)
                     stay = pa.array(test(marks.value, keys))
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["digest", "members"]).filter(stay)
 
     return docs.select("text").mapInArrow(run, "digest binary, members binary")
 
 
-def join_classes(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, and ``class_id`` (smallest id with an equal set)."""
+def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, digest) and classes (digest, copies, class_id, component, component_id).
+
+    ``class_id`` and ``component_id`` are the smallest doc_id of the class and of
+    all classes linked with it; ``component`` numbers the components.
+    """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(counts(docs, width, COUNTS))
     rows = stored(sets(docs, table, width, similar), "sets")
     # classes get their own numbers, so that null and repeated ids need no care
     reps = rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("prefix").alias("prefix"), F.first("n_light").alias("n_light")
-    )
+        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"),
+        *(F.first(c).alias(c) for c in ("prefix_digest", "prefix", "n_light")),
+    )
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "classes")
+
     groups = reps.groupBy("prefix_digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), F.first("n_light").alias("n_light"))
     posted = groups.select("id", F.col("n").cast("int").alias("n"), "n_light", F.posexplode("prefix").alias("at", "key"))
     seen = F.count("*").over(Window.partitionBy("key"))
     light = posted.where("at < n_light").select("key", "id", "n", "at").withColumn("seen", seen).where("seen > 1").drop("seen")
-    posted = light.union(posted.where("at >= n_light").select("key", "id", "n", "at"))
-    posted = stored(posted, "postings")
-    # members of the groups that share a shingle with another group, or have company in their own
-    touched = posted.select("id").distinct()
-    member = reps.select("id", "n", "prefix_digest").join(groups.select("prefix_digest", "n", F.col("id").alias("lead"), "members"), ["prefix_digest", "n"])
-    own = member.where("members > 1").select(F.xxhash64("prefix_digest", "n").alias("key"), "id", F.col("n").cast("int"), F.lit(0).alias("at"))
-    expanded = member.where("members > 1").join(touched.withColumnRenamed("id", "lead"), "lead", "left_semi")
-    expanded = expanded.where("id <> lead").select("id", "lead").join(posted.withColumnRenamed("id", "lead"), "lead").select("key", "id", "n", "at")
+    posted = stored(light.union(posted.where("at >= n_light").select("key", "id", "n", "at")), "postings")
+
+    # groups of several members: they meet under their own key, and take part under the group's shingles
+    several = groups.where("members > 1").select("prefix_digest", "n", F.col("id").alias("lead"))
+    member = stored(reps.select("id", "n", "prefix_digest").join(several, ["prefix_digest", "n"]), "members")
+    own = member.select(F.xxhash64("prefix_digest", "n").alias("key"), "id", F.col("n").cast("int"), F.lit(0).alias("at"))
+    expanded = member.where("id <> lead").select("id", "lead").join(posted.withColumnRenamed("id", "lead"), "lead").select("key", "id", "n", "at")
     postings = stored(posted.union(own).union(expanded), "all_postings")
 
     def fits(a: str, b: str) -> Column:
         return could_link(F.col(f"{a}_n"), F.col(f"{a}_at"), F.col(f"{b}_n"), F.col(f"{b}_at"), similar)
 
     found, _ = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"])
-    named = found.join(reps.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = found.join(named, "component").select("id", "component_id")
-    classes = stored(reps.select("digest", "id", "class_id").join(named, "id", "left").select("digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "named")
-    out = rows.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    found = stored(found, "components")
+    names = found.join(reps.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = reps.select("digest", "copies", "id", "class_id").join(found, "id", "left").join(names, "component", "left")
+    component_id = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
+    named = named.select("digest", "copies", "class_id", F.coalesce("component", "id").alias("component"), component_id.alias("component_id"), F.col("component").isNotNull().alias("linked"))
+    return rows.select("doc_id", "n_shingles", "digest"), stored(named, "named")
+
+
+def join_classes(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and class_id."""
+    rows, classes = classes_of(docs, width=width, similar=similar)
+    out = rows.join(classes, "digest", "left")
+    none = F.col("digest").isNull()
+    return out.select("doc_id", "n_shingles", *(F.when(none, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")))
+
+
+def one_of_each(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+    """The documents with all their columns, one for each component: that of the smallest doc_id.
+
+    Only rows whose class may have company pass through a join; a bitmap of
+    fixed size lets all others through at once.
+    """
+    spark = docs.sparkSession
+    _, classes = classes_of(docs, width=width, similar=similar)
+    company = stored(classes.where("linked or copies > 1").select("digest", "component"), "company")
+    marks = spark.sparkContext.broadcast(bitmap(company, F.xxhash64("digest")))
+    columns = [f"`{c}`" for c in docs.columns if c not in (DIGEST, MAYBE)]
+
+    def make():
+        known = WordHashes()
+
+        def work(texts):
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in hashed(texts, known, width)]
+            keys = np.array([xxhash.xxh64_intdigest(d, SPARK_SEED) if d else 0 for d in digests], np.uint64)
+            return [digests, [bool(d) and bool(t) for d, t in zip(digests, test(marks.value, keys))]]
+
+        return work
+
+    tagged = map_texts(docs, make, f"{DIGEST} binary, {MAYBE} boolean")
+    alone = tagged.where(f"not {MAYBE}").select(*columns)
+    some = stored(tagged.where(MAYBE).withColumn("__tag", F.monotonically_increasing_id()), "company_rows")
+    placed = some.select(F.col(DIGEST).alias("digest"), "doc_id", "__tag").join(company, "digest", "left")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__tag"))
+    best = placed.where("component is not null").groupBy("component").agg(first.alias("f")).select(F.col("f.__tag").alias("__tag"))
+    best = best.union(placed.where("component is null").select("__tag"))
+    return alone.union(some.join(best, "__tag", "left_semi").select(*columns))
 
 
 def op2_grouped_prefix_join(spark, sf_dir: str) -> DataFrame:

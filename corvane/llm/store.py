@@ -41,13 +41,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all scratch tables; call it once results built on them are written."""
+def written() -> int:
+    """How many scratch folders there are; with released(), what was written since."""
+    return len(_written)
+
+
+def released(spark: SparkSession, since: int, until: int, used_by: DataFrame | None = None) -> None:
+    """Delete the scratch folders of a span, but for those that ``used_by`` reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+    needed = "\n".join(used_by.inputFiles()) if used_by is not None else ""
+    for i in range(since, until):
+        path = _written[i]
+        if path and path.split("/corvane/")[1] not in needed:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            _written[i] = ""
 
 
 def partitions(spark: SparkSession) -> int:
