@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import map_texts, slices
+from .arrow import fields, map_texts, slices
 from .bits import bitmap, test
 from .rolling import WordHashes, lowest, windows
 from .ship import ship
@@ -42,7 +42,8 @@ LONG = 1 << 23
 SEEN = 100_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 FIRST = "n_words bigint, words_sha binary, grams array<bigint>"
-FOUND = "words_sha binary, words binary, sure array<int>, at array<int>, hashes array<bigint>, evidence array<bigint>"
+#: rows of two kinds: texts (words is set) and runs of windows with one leading gram
+FOUND = "row bigint, words_sha binary, words binary, sure array<int>, gram bigint, first int, hashes array<bigint>"
 
 
 def leads(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,27 +83,31 @@ def first_pass(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
-    """Texts with candidate windows: windows known to be repeated, the others with hashes, and evidence."""
+    """Texts with candidate windows, numbered, and the runs of windows to be compared.
+
+    A run is consecutive windows of one text with the same leading gram; runs
+    without a row are evidence, one copy of windows repeated within a slice.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.types import StructType
 
     ship(docs.sparkSession)
-    kind = _parse_datatype_string(FOUND)
+    kind = StructType(fields(FOUND))
 
-    def one_slice(texts, known, seen):
-        out = []
+    def one_slice(texts, known, seen, row):
+        """Columns of the texts, and of all their windows."""
+        out, windows_of = [], []
         for text in texts:
             words = text.split() if text else []
             if len(words) < width:
                 continue
             h = known.of(words)
-            at, hashes = [], []
+            got = []
             for a, b in parts(len(h), width):
                 grams, place = leads(h[a:b], width, gram)
                 maybe = np.flatnonzero(test(marks.value, grams)[place])
-                at.append(maybe + a)
-                hashes.append(windows(h[a:b], width)[maybe])
-            at, hashes = np.concatenate(at), np.concatenate(hashes)
+                got.append((maybe + a, windows(h[a:b], width)[maybe], grams[place[maybe]], place[maybe] + a))
+            at, hashes, lead, place = (np.concatenate(x) for x in zip(*got))
             if not len(at):
                 continue
             joined = b" ".join(words)
@@ -111,31 +116,56 @@ def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
                 continue
             if len(seen) < SEEN:
                 seen.add(sha)
-            out.append([sha, joined, at.astype(np.int32), hashes.view(np.int64)])
-        if not out:
-            return None
-        every = np.concatenate([r[3] for r in out])
-        _, first, back, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+            out.append((row + len(out), sha, joined))
+            windows_of.append((np.full(len(at), len(out) - 1), at, hashes, lead, place))
+        return out, [np.concatenate(x) for x in zip(*windows_of)]
+
+    def runs(keep, owner, at, hashes, lead, place):
+        """Column arrays of the runs of the kept windows: first index of each, and lengths."""
+        i = np.flatnonzero(keep)
+        if not len(i):
+            return i, i
+        new = np.ones(len(i), bool)
+        new[1:] = (owner[i][1:] != owner[i][:-1]) | (place[i][1:] != place[i][:-1]) | (at[i][1:] != at[i][:-1] + 1)
+        return i, np.flatnonzero(new)
+
+    def batch_of(schema, texts, win):
+        owner, at, hashes, lead, place = win
+        _, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         twice = times[back] > 1
-        lead = np.zeros(len(every), bool)
-        lead[first] = True
-        cols, i = [[] for _ in range(6)], 0
-        for sha, joined, at, hashes in out:
-            t, e = twice[i : i + len(at)], lead[i : i + len(at)]
-            i += len(at)
-            for c, x in zip(cols, (sha, joined, at[t], at[~t], hashes[~t], hashes[t & e])):
-                c.append(x)
-        return cols
+        one = np.zeros(len(hashes), bool)
+        one[first] = True
+        sure = np.split(at[twice].astype(np.int32), np.searchsorted(owner[twice], np.arange(1, len(texts))))
+        rows = pa.array([t[0] for t in texts], pa.int64())
+        none = lambda n, f: pa.nulls(n, f.type)
+        n = len(texts)
+        cols = [rows, pa.array([t[1] for t in texts], pa.binary()), pa.array([t[2] for t in texts], pa.binary()), pa.array(sure, pa.list_(pa.int32())), *(none(n, f) for f in list(schema)[4:])]
+        yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        for keep, asks in ((~twice, True), (twice & one, False)):
+            i, start = runs(keep, *win)
+            if not len(start):
+                continue
+            k = i[start]
+            offsets = pa.array(np.append(start, len(i)).astype(np.int32))
+            values = pa.ListArray.from_arrays(offsets, pa.array(hashes[i].view(np.int64)))
+            mine = rows.take(pa.array(owner[k])) if asks else none(len(k), schema.field(0))
+            cols = [mine, *(none(len(k), f) for f in list(schema)[1:4]), pa.array(lead[k].view(np.int64)), pa.array(at[k].astype(np.int32)), values]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33
         schema, known, seen = to_arrow_schema(kind), WordHashes(), set()
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
-                cols = one_slice(texts, known, seen)
-                if cols:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                out, win = one_slice(texts, known, seen, row)
+                row += len(out)
+                if out:
+                    for b in batch_of(schema, out, win):
+                        yield b.cast(schema)
 
-    return docs.select("text").mapInArrow(run, kind).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("text").mapInArrow(run, kind)
 
 
 def cut(found: DataFrame, width: int) -> DataFrame:
@@ -169,16 +199,18 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, kep
     twice = classes.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     marks = docs.sparkSession.sparkContext.broadcast(bitmap(twice, F.col("g")))
     found = stored(second_pass(docs, marks, width, gram), "windows")
-    asked = found.select("row", F.inline(F.arrays_zip("at", "hashes")))
-    told = found.select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("at"), F.explode("evidence").alias("hashes"))
-    same = Window.partitionBy("hashes")
-    again = asked.union(told).withColumn("n", F.count("*").over(same)).where("n > 1 and row is not null")
-    again = again.groupBy("row").agg(F.collect_list("at").alias("more"))
+    # dealt by leading gram, so the windows themselves are only listed after the shuffle
+    asked = found.where("gram is not null").select("gram", "row", "first", "hashes").repartition("gram")
+    asked = asked.select("gram", "row", "first", F.posexplode("hashes").alias("i", "hash"))
+    same = Window.partitionBy("gram", "hash")
+    again = asked.withColumn("n", F.count("*").over(same)).where("n > 1 and row is not null")
+    again = again.groupBy("row").agg(F.collect_list(F.col("first") + F.col("i")).alias("more"))
     copies = classes.where("n > 1").select("words_sha", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit(EMPTY).alias("kept_sha256"))
-    some = found.select("row", "words_sha", "words", "sure").join(again, "row", "left").where("size(sure) > 0 or more is not null")
-    some = some.join(copies.select("words_sha"), "words_sha", "left_anti")
-    changed = cut(some, width).select("words_sha", "n_removed", "kept", "kept_sha256").union(copies)
-    changed = stored(changed if kept_text else changed.drop("kept"), "changed")
+    texts = found.where("words is not null").select("row", "words_sha", "words", "sure")
+    some = texts.join(again, "row", "left").where("size(sure) > 0 or more is not null")
+    wanted = ["words_sha", "n_removed", "kept_sha256", *(["kept"] if kept_text else [])]
+    changed = stored(cut(some, width).select(wanted), "cut")
+    changed = changed.join(copies.select("words_sha"), "words_sha", "left_anti").select(wanted).union(copies.select(wanted))
     out = first.select("doc_id", "n_words", "words_sha").join(changed, "words_sha", "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
