@@ -5,8 +5,58 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: odd multiplier of the polynomial hash modulo 2**64 (fixed value)
+from .words import LOWER
+
+#: odd multiplier of the polynomial hash modulo 2**64, and its inverse
 BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+#: bytes hashed at once
+BLOCK = 2 << 20
+GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, BLOCK + 4096), base, np.uint64)
+        have[0] = 1
+        have = _powers[base] = np.cumprod(have)
+    return have[:n]
+
+
+def word_hashes(texts: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in a row, and each text's number of words.
+
+    Words are runs of bytes other than space and 0x09-0x0D. A word's hash is the
+    sum of (byte + 1) * BASE**i over its bytes, from running sums over the whole
+    buffer, scaled back by where the word starts.
+    """
+    whole = b"\n".join(t or b"" for t in texts) + b"\n"
+    if lower:
+        whole = whole.translate(LOWER)
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    out, at, a = [], [], 0
+    while a < len(whole):
+        b = len(whole)
+        if b - a > BLOCK:
+            gaps = np.flatnonzero(GAP[np.frombuffer(whole, np.uint8, BLOCK, a)])
+            b = a + int(gaps[-1]) + 1 if len(gaps) else whole.index(b"\n", a + BLOCK) + 1
+        x = np.frombuffer(whole, np.uint8, b - a, a)
+        edge = np.diff(np.concatenate(([True], GAP[x])).astype(np.int8))
+        first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        if len(first):
+            total = np.cumsum((x.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(x)))
+            before = np.where(first > 0, total[first - 1], np.uint64(0))
+            out.append((total[last - 1] - before) * powers(INVERSE, len(x))[first])
+            at.append(first + a)
+        a = b
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    return mixed(np.concatenate(out)), np.diff(np.searchsorted(np.concatenate(at), ends), prepend=0)
+
+
 KNOWN_WORDS = 500_000
 
 

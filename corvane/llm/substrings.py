@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .arrow import fields, map_texts, slices
 from .bits import bitmap, test
-from .rolling import WordHashes, lowest, windows
+from .rolling import lowest, windows, word_hashes
 from .ship import ship
 from .store import stored
 
@@ -60,17 +60,20 @@ def parts(n: int, width: int):
         yield a, min(n, a + LONG + width - 1)
 
 
+def each(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Word hashes of each text."""
+    h, n = word_hashes(texts, lower=False)
+    return np.split(h, np.cumsum(n)[:-1])
+
+
 def first_pass(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def make():
-        known = WordHashes()
-
         def work(texts):
             rows = []
-            for text in texts:
+            for text, h in zip(texts, each(texts)):
                 words = text.split() if text else []
                 got = []
                 if len(words) >= width:
-                    h = known.of(words)
                     for a, b in parts(len(h), width):
                         grams, place = leads(h[a:b], width, gram)
                         got.append(grams[np.unique(place)].view(np.int64))
@@ -94,23 +97,19 @@ def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
     ship(docs.sparkSession)
     kind = StructType(fields(FOUND))
 
-    def one_slice(texts, known, seen, row):
-        """Columns of the texts, and of all their windows."""
+    def one_slice(texts, seen, row):
+        """The texts with candidate windows, and all those windows."""
         out, windows_of = [], []
-        for text in texts:
-            words = text.split() if text else []
-            if len(words) < width:
-                continue
-            h = known.of(words)
+        for text, h in zip(texts, each(texts)):
             got = []
             for a, b in parts(len(h), width):
                 grams, place = leads(h[a:b], width, gram)
                 maybe = np.flatnonzero(test(marks.value, grams)[place])
                 got.append((maybe + a, windows(h[a:b], width)[maybe], grams[place[maybe]], place[maybe] + a))
-            at, hashes, lead, place = (np.concatenate(x) for x in zip(*got))
-            if not len(at):
+            if not any(len(x[0]) for x in got):
                 continue
-            joined = b" ".join(words)
+            at, hashes, lead, place = (np.concatenate(x) for x in zip(*got))
+            joined = b" ".join(text.split())
             sha = hashlib.sha256(joined).digest()
             if sha in seen:
                 continue
@@ -156,10 +155,10 @@ def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 33
-        schema, known, seen = to_arrow_schema(kind), WordHashes(), set()
+        schema, seen = to_arrow_schema(kind), set()
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
-                out, win = one_slice(texts, known, seen, row)
+                out, win = one_slice(texts, seen, row)
                 row += len(out)
                 if out:
                     for b in batch_of(schema, out, win):
