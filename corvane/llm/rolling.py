@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 from .words import LOWER
 
@@ -57,22 +56,6 @@ def word_hashes(texts: list[bytes | None], lower: bool) -> tuple[np.ndarray, np.
     return mixed(np.concatenate(out)), np.diff(np.searchsorted(np.concatenate(at), ends), prepend=0)
 
 
-KNOWN_WORDS = 500_000
-
-
-class WordHashes(dict):
-    """word -> 64-bit hash; forgets all words when KNOWN_WORDS are held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the polynomial's low bits over the word (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -30,11 +30,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import words
 from .arrow import map_texts, slices
 from .bits import bitmap, test
 from .components import linked_components
-from .rolling import WordHashes, windows
+from .rolling import windows, word_hashes
 from .ship import ship
 from .store import stored
 
@@ -47,23 +46,21 @@ HEAVY = 10_000
 #: of Spark's xxhash64 function
 SPARK_SEED = 42
 DIGEST, MAYBE = "__digest", "__maybe"
-SETS = "n_shingles bigint, digest binary, prefix_digest binary, prefix array<bigint>, n_light int"
-
-
-def shingle_set(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes of a document's word hashes."""
-    if not len(h):
-        return h
-    return np.unique(windows(h, min(width, len(h))))
+SETS = "n_shingles bigint, digest binary, prefix_digest binary, prefix array<bigint>, n_light int, signature binary"
 
 
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
     return n - -(-similar * n // 100) + 1
 
 
-def hashed(texts, known: WordHashes, width: int):
-    for text in texts:
-        yield shingle_set(known.of(words.spaced_lower(text)), width)
+def hashed(texts: list[bytes | None], width: int):
+    """The sorted distinct shingle hashes of each text."""
+    h, n = word_hashes(texts, lower=True)
+    whole = windows(h, width)
+    for end, k in zip(np.cumsum(n), n):
+        s = whole[end - k : end - width + 1] if k >= width else windows(h[end - k : end], int(k)) if k else h[:0]
+        s = np.sort(s)
+        yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
 def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
@@ -75,10 +72,10 @@ def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
     ship(docs.sparkSession)
 
     def run(batches):
-        known, total = WordHashes(), np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
-                got = [(s & np.uint64(size - 1)).astype(np.int64) for s in hashed(texts, known, width)]
+                got = [(s & np.uint64(size - 1)).astype(np.int64) for s in hashed(texts, width)]
                 total += np.bincount(np.concatenate(got), minlength=size).astype(np.uint32)
         if total.any():
             parts = total.reshape(-1, CHUNK)
@@ -109,19 +106,33 @@ def in_order(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, entries(s, table)))]
 
 
+def signature(s: np.ndarray) -> bytes:
+    """How many members fall into each of m buckets, m about an eighth of the set; a byte each, 255 for more."""
+    m = 1 << max(5, min(16, (len(s) // 8).bit_length()))
+    return np.minimum(255, np.bincount((s >> np.uint64(32)).astype(np.int64) & (m - 1), minlength=m)).astype(np.uint8).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the intersection of two sets, from their signatures."""
+    m = min(len(x), len(y))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62
+    x, y = (v.reshape(-1, m).astype(np.int64).sum(axis=0) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
     def make():
-        known = WordHashes()
         heavy = 8 * math.log2(HEAVY)
 
         def work(texts):
             rows = []
-            for s in hashed(texts, known, width):
+            for s in hashed(texts, width):
                 if not len(s):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 p = in_order(s, table.value)[: prefix_length(len(s), similar)]
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(p.tobytes(), digest_size=16).digest(), p.view(np.int64), int((entries(p, table.value) < heavy).sum())))
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(p.tobytes(), digest_size=16).digest(), p.view(np.int64), int((entries(p, table.value) < heavy).sum()), signature(s)))
             return [list(c) for c in zip(*rows)]
 
         return work
@@ -137,8 +148,20 @@ def could_link(n_a: Column, at_a: Column, n_b: Column, at_b: Column, similar: in
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
-    """Pairs (a, b) of class numbers whose whole sets link."""
+    """Pairs (a, b) of class numbers whose whole sets link; signatures rule most others out first."""
     spark = docs.sparkSession
+    brief = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
+    other = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
+
+    def bounded(batches):
+        for batch in batches:
+            a, b, n, k, x, y = (batch.column(i) for i in range(6))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in c] for c in (x, y))
+            need = similar * (n.to_numpy() + k.to_numpy())
+            stay = [(100 + similar) * most_shared(*v) >= t for v, t in zip(zip(x, y), need)]
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(stay, pa.bool_()))
+
+    pairs = pairs.join(brief, "a").join(other, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "digest"), "id"), "asked")
     marks = spark.sparkContext.broadcast(bitmap(ids, F.xxhash64("digest")))
@@ -163,11 +186,10 @@ def _sets_of(docs: DataFrame, marks, width: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
                 names, members = [], []
-                for s in hashed(texts, known, width):
+                for s in hashed(texts, width):
                     if len(s):
                         raw = s.tobytes()
                         digest = hashlib.blake2b(raw, digest_size=16).digest()
@@ -189,19 +211,20 @@ def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR)
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(counts(docs, width, COUNTS))
-    rows = stored(sets(docs, table, width, similar), "sets")
-    # classes get their own numbers, so that null and repeated ids need no care
+    rows = stored(sets(docs, table, width, similar).withColumn("id", F.monotonically_increasing_id()), "sets")
+    # a class has the number of its first row, so that null and repeated ids need no care
     reps = rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"),
-        *(F.first(c).alias(c) for c in ("prefix_digest", "prefix", "n_light")),
+        F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("id").alias("id"),
+        F.first("n_shingles").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("signature").alias("signature"),
     )
-    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "classes")
-
-    groups = reps.groupBy("prefix_digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), F.first("n_light").alias("n_light"))
-    posted = groups.select("id", F.col("n").cast("int").alias("n"), "n_light", F.posexplode("prefix").alias("at", "key"))
+    reps = stored(reps, "classes")
+    groups = stored(reps.groupBy("prefix_digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("members")), "groups")
+    posted = rows.select("id", "n_light", "prefix").join(groups.select("id"), "id", "left_semi").select("id", "n_light", F.posexplode("prefix").alias("at", "key"))
     seen = F.count("*").over(Window.partitionBy("key"))
-    light = posted.where("at < n_light").select("key", "id", "n", "at").withColumn("seen", seen).where("seen > 1").drop("seen")
-    posted = stored(light.union(posted.where("at >= n_light").select("key", "id", "n", "at")), "postings")
+    light = posted.where("at < n_light").select("key", "id", "at").withColumn("seen", seen).where("seen > 1").drop("seen")
+    posted = light.union(posted.where("at >= n_light").select("key", "id", "at"))
+    posted = posted.join(groups.select("id", F.col("n").cast("int").alias("n")), "id").select("key", "id", "n", "at")
+    posted = stored(posted, "postings")
 
     # groups of several members: they meet under their own key, and take part under the group's shingles
     several = groups.where("members > 1").select("prefix_digest", "n", F.col("id").alias("lead"))
@@ -243,10 +266,8 @@ def one_of_each(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR
     columns = [f"`{c}`" for c in docs.columns if c not in (DIGEST, MAYBE)]
 
     def make():
-        known = WordHashes()
-
         def work(texts):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in hashed(texts, known, width)]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in hashed(texts, width)]
             keys = np.array([xxhash.xxh64_intdigest(d, SPARK_SEED) if d else 0 for d in digests], np.uint64)
             return [digests, [bool(d) and bool(t) for d, t in zip(digests, test(marks.value, keys))]]
 
