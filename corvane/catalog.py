@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.plans import search, search_queries, state_queries  # noqa: F401  they register their queries
+from corvane.query import registry
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return search.search_documents(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.runs)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.sql)
