@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ MOST_BYTES = 1 << 20
 def read_tree(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Files below ``root`` that are not in vendor folders and not too large, with mtime."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file:") + "/")
+    base = "/" + re.sub("^[a-z]+:/*", "", root).strip("/") + "/"
     rel = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), base, -1)
     rows = raw.where(F.col("length") <= most_bytes).select(rel.alias("file"), F.expr("decode(content, 'UTF-8')").alias("source"), F.col("length").alias("n_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"))
     return rows.where(~paths.in_vendor_folder(F.col("file")) & paths.safe_relative(F.col("file")).isNotNull())
