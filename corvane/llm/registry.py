@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, sharding, shingles, substrings, tokens, vectors, warc
+from . import decontaminate, language, licenses, mixing, sharding, shingles, sql, substrings, tokens, vectors, warc
 
 
 def queries() -> dict:
@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Hilbert shards, hash-shuffled queues, trained models, rule tables and tokenizers have no SQL form."""
+    return {
+        "op2_grouped_prefix_join": sql.SHINGLES,
+        "op3_rotation_codes": sql.VECTORS,
+        "op4_wu_manber": sql.CONTAMINATION,
+        "op7_rabin_karp": sql.REPEATS,
+        "op10_warc_round_trip": sql.ARCHIVE,
+    }
