@@ -36,43 +36,77 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
 
 
+#: pivots of a key with over BUSY ids; smaller keys have one
+PIVOTS, BUSY = 12, 24
+
+
+def _pivots(rows: DataFrame, carry: list[str]) -> DataFrame:
+    """(key, pivots): ids picked by hashes of the id alone, so that keys with much the same ids have much the same pivots."""
+
+    def pick(j: int) -> Column:
+        return F.min(F.struct(F.xxhash64(F.lit(j), "id").alias("h"), "id", *carry))
+
+    one = rows.groupBy("key").agg(F.count("*").alias("n"), pick(0).alias("p")).where("n > 1")
+    one = stored(one, "pivots")
+    busy = rows.join(one.where(F.col("n") > BUSY).select("key"), "key", "left_semi")
+    more = busy.groupBy("key").agg(F.array_distinct(F.array(*(pick(j) for j in range(1, PIVOTS)))).alias("p"))
+    return one.select("key", F.array("p").alias("pivots")).union(more.select("key", F.col("p").alias("pivots")))
+
+
+def _with_pivots(rows: DataFrame, pivots: DataFrame, fits, carry: list[str]) -> DataFrame:
+    """Pairs (a, b) of the rows' ids and the pivots of their keys that may link."""
+    side = rows.select("key", F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in carry)).join(pivots, "key")
+    side = side.withColumn("p", F.explode("pivots")).drop("pivots", "key")
+    pairs = side.select("a", *(f"a_{c}" for c in carry), F.col("p.id").alias("b"), *(F.col(f"p.{c}").alias(f"b_{c}") for c in carry))
+    pairs = pairs.where((F.col("a") != F.col("b")) & fits("a", "b"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _main(placed: DataFrame) -> DataFrame:
+    """(key, main): the component with most ids, of keys with several."""
+    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    return main.select("key", F.col("m.component").alias("main"))
+
+
 def linked_components(
     postings: DataFrame,
     fits: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     carry: list[str],
-) -> tuple[DataFrame, DataFrame]:
+    rounds: int = 0,
+) -> DataFrame:
     """Components of all links between ids that share a key, without listing the pairs of a key.
 
     ``postings`` has key, id and the ``carry`` columns that ``fits(left, right)``
     needs to rule a pair out; ``verify`` keeps the pairs (a, b) that link.
 
-    1. Every id is paired with its keys' pivot, the smallest id there; the pairs
-       that link give first components. A group of copies collapses here.
-    2. Of each key, the component with most ids is its main one. Ids outside it
-       are paired with all ids of other components under the key, so no pair is
-       missed whose ends are not yet in one component.
+    1. Every id is paired with a few pivots of its keys; the pairs that link
+       give first components. A group of near-copies collapses here.
+    2. Of each key, the component with most ids is its main one. In each round,
+       ids outside it are paired with pivots out of it.
+    3. Then ids outside are paired with all ids of other components under the
+       key, so no pair is missed whose ends are not yet in one component.
 
-    Returns the components of all ids in links, and the links used. ``postings``
-    must be a stored table.
+    ``postings`` must be a stored table.
     """
-    first = postings.groupBy("key").agg(F.min(F.struct("id", *carry)).alias("p"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("key", F.col("p.id").alias("b"), *(F.col(f"p.{c}").alias(f"b_{c}") for c in carry))
-    side = postings.select("key", F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in carry))
-    star = side.join(first, "key").where((F.col("a") != F.col("b")) & fits("a", "b")).select("a", "b").distinct()
-    links = stored(verify(star), "star_links")
-    known = components(links)
-
-    known = stored(known, "star_components")
-    placed = postings.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = stored(placed.select("key", "id", "component", *carry), "placed")
-    per = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = per.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    main = stored(main.select("key", F.col("m.component").alias("main")), "main_components")
-    mixed = placed.join(main, "key")
-    a = mixed.where("component <> main").select("key", "main", F.col("id").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in carry))
-    b = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in carry))
-    cross = a.join(b, "key").where("a_component <> b_component and (b_component = main or a > b)").where(fits("a", "b"))
-    cross = stored(cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cross_pairs")
-    more = stored(verify(cross), "cross_links")
-    return components(links.union(more)), links.union(more)
+    known = stored(components(verify(_with_pivots(postings, _pivots(postings, carry), fits, carry))), "known")
+    for step in range(rounds + 1):
+        placed = postings.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = stored(placed.select("key", "id", "component", *carry), "placed")
+        mixed = placed.join(stored(_main(placed), "main_components"), "key")
+        outside = mixed.where("component <> main")
+        if step < rounds:
+            busy = mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY).select("key")
+            inside = mixed.where("component = main").join(busy, "key", "left_semi")
+            pairs = _with_pivots(outside, _pivots(inside, carry), fits, carry)
+        else:
+            a = outside.select("key", "main", F.col("id").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in carry))
+            b = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in carry))
+            cross = a.join(b, "key").where("a_component <> b_component and (b_component = main or a > b)").where(fits("a", "b"))
+            pairs = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = stored(pairs, f"pairs_{step}")
+        if pairs.head():
+            kept = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            known = stored(components(kept.union(verify(pairs))), "known")
+    return known

@@ -66,10 +66,11 @@ def hashed(texts: list[bytes | None], width: int):
 def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
     """Logarithmic counts, one byte an entry, of all shingles by their hash modulo ``size``.
 
-    Tasks send chunks of their tables; those are added up in two steps, so that
-    no task gets a chunk of every other task.
+    Tasks send chunks of their tables, two bytes an entry; with many tasks those
+    are added up in two steps, so that no task gets a chunk of every other task.
     """
     ship(docs.sparkSession)
+    steps = -(-docs.rdd.getNumPartitions() // 256)
 
     def run(batches):
         total = np.zeros(size, np.uint32)
@@ -79,18 +80,21 @@ def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
                 total += np.bincount(np.concatenate(got), minlength=size).astype(np.uint32)
         if total.any():
             parts = total.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in parts], pa.binary())], names=["chunk", "part"])
 
     def add(key, table):
         total = np.zeros(CHUNK, np.uint64)
         for x in table.column("part"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
+            raw = x.as_buffer()
+            total += np.frombuffer(raw, np.uint16 if raw.size == 2 * CHUNK else np.uint32)
         out = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
 
     kind = "chunk int, part binary"
-    table = docs.select("text").mapInArrow(run, kind).withColumn("some", F.spark_partition_id() % 64)
-    table = table.groupBy("chunk", "some").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
+    table = docs.select("text").mapInArrow(run, kind)
+    if steps > 1:
+        table = table.withColumn("some", F.spark_partition_id() % steps).groupBy("chunk", "some").applyInArrow(add, kind)
+    table = table.groupBy("chunk").applyInArrow(add, kind)
     out = np.zeros(size, np.uint8)
     for chunk, part in table.toLocalIterator():
         n = np.frombuffer(part, np.uint32).astype(np.float64)
@@ -107,18 +111,27 @@ def in_order(s: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """How many members fall into each of m buckets, m about an eighth of the set; a byte each, 255 for more."""
-    m = 1 << max(5, min(16, (len(s) // 8).bit_length()))
-    return np.minimum(255, np.bincount((s >> np.uint64(32)).astype(np.int64) & (m - 1), minlength=m)).astype(np.uint8).tobytes()
+    """Members in each of m buckets, m from one to two times the set's size; two bits a bucket, 3 for three or more."""
+    m = 1 << max(4, len(s).bit_length())
+    few = np.minimum(3, np.bincount((s >> np.uint64(32)).astype(np.int64) & (m - 1), minlength=m)).reshape(-1, 4)
+    return (few @ np.array([1, 4, 16, 64])).astype(np.uint8).tobytes()
 
 
-def most_shared(x: np.ndarray, y: np.ndarray) -> int:
-    """An upper bound of the intersection of two sets, from their signatures."""
+def unpacked(raw: np.ndarray) -> np.ndarray:
+    return ((raw[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & np.uint8(3)).astype(np.int64).reshape(-1)
+
+
+def most_shared(x: np.ndarray, n: int, y: np.ndarray, k: int) -> int:
+    """An upper bound of the intersection of two sets of n and k members, from their signatures.
+
+    Members beyond three in a bucket are not seen; they may all be shared.
+    """
+    x, y = unpacked(x), unpacked(y)
+    over = (n - int(x.sum()), k - int(y.sum()))
+    if len(x) == len(y):
+        return int(np.minimum(x, y).sum()) + min(over)
     m = min(len(x), len(y))
-    if (x == 255).any() or (y == 255).any():
-        return 1 << 62
-    x, y = (v.reshape(-1, m).astype(np.int64).sum(axis=0) for v in (x, y))
-    return int(np.minimum(x, y).sum())
+    return int(np.minimum(x.reshape(-1, m).sum(axis=0), y.reshape(-1, m).sum(axis=0)).sum()) + sum(over)
 
 
 def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
@@ -129,7 +142,7 @@ def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
             rows = []
             for s in hashed(texts, width):
                 if not len(s):
-                    rows.append((0, None, None, None, None, None))
+                    rows.append((0, *[None] * 5))
                     continue
                 p = in_order(s, table.value)[: prefix_length(len(s), similar)]
                 rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(p.tobytes(), digest_size=16).digest(), p.view(np.int64), int((entries(p, table.value) < heavy).sum()), signature(s)))
@@ -140,11 +153,12 @@ def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
     return map_texts(docs, make, SETS, keep=["doc_id"])
 
 
-def could_link(n_a: Column, at_a: Column, n_b: Column, at_b: Column, similar: int) -> Column:
-    """Size and position filter: whether sets that share the shingles at these places may link."""
+def could_link(a: str, b: str, similar: int) -> Column:
+    """Size and position filter: whether sets that share the prefix shingle at these places may link."""
+    n_a, n_b, at_a, at_b = (F.col(x) for x in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at"))
     need = F.ceil(F.lit(similar) * (n_a + n_b) / F.lit(100 + similar))
-    most = F.least(at_a, at_b) + 1 + F.least(n_a - at_a, n_b - at_b) - 1
-    return (F.lit(100) * n_a >= F.lit(similar) * n_b) & (F.lit(100) * n_b >= F.lit(similar) * n_a) & (most >= need)
+    by_size = (F.lit(100) * n_a >= F.lit(similar) * n_b) & (F.lit(100) * n_b >= F.lit(similar) * n_a)
+    return by_size & (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) >= need)
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
@@ -157,8 +171,8 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, sim
         for batch in batches:
             a, b, n, k, x, y = (batch.column(i) for i in range(6))
             x, y = ([np.frombuffer(v.as_buffer(), np.uint8) for v in c] for c in (x, y))
-            need = similar * (n.to_numpy() + k.to_numpy())
-            stay = [(100 + similar) * most_shared(*v) >= t for v, t in zip(zip(x, y), need)]
+            n, k = n.to_pylist(), k.to_pylist()
+            stay = [(100 + similar) * most_shared(*v) >= similar * (v[1] + v[3]) for v in zip(x, n, y, k)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
     pairs = pairs.join(brief, "a").join(other, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
@@ -223,7 +237,8 @@ def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR)
     seen = F.count("*").over(Window.partitionBy("key"))
     light = posted.where("at < n_light").select("key", "id", "at").withColumn("seen", seen).where("seen > 1").drop("seen")
     posted = light.union(posted.where("at >= n_light").select("key", "id", "at"))
-    posted = posted.join(groups.select("id", F.col("n").cast("int").alias("n")), "id").select("key", "id", "n", "at")
+    brief = reps.select("id", F.col("n").cast("int").alias("n"))
+    posted = posted.join(brief, "id").select("key", "id", "n", "at")
     posted = stored(posted, "postings")
 
     # groups of several members: they meet under their own key, and take part under the group's shingles
@@ -234,9 +249,9 @@ def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR)
     postings = stored(posted.union(own).union(expanded), "all_postings")
 
     def fits(a: str, b: str) -> Column:
-        return could_link(F.col(f"{a}_n"), F.col(f"{a}_at"), F.col(f"{b}_n"), F.col(f"{b}_at"), similar)
+        return could_link(a, b, similar)
 
-    found, _ = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"])
+    found = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"])
     found = stored(found, "components")
     names = found.join(reps.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = reps.select("digest", "copies", "id", "class_id").join(found, "id", "left").join(names, "component", "left")
@@ -284,4 +299,4 @@ def one_of_each(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR
 
 
 def op2_grouped_prefix_join(spark, sf_dir: str) -> DataFrame:
-    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return join_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("class_id")

@@ -197,7 +197,7 @@ def near_vectors(table: DataFrame, *, cosine: float = COSINE, miss: float = MISS
     def fits(a: str, b: str) -> Column:
         return (F.bit_count(F.col(f"{a}_head").bitwiseXOR(F.col(f"{b}_head"))) <= apart) & (F.col(f"{a}_dim") == F.col(f"{b}_dim"))
 
-    found, _ = linked_components(posted, fits, lambda p: verified(p, reps, cosine), ["head", "dim"])
+    found = linked_components(posted, fits, lambda p: verified(p, reps, cosine), ["head", "dim"])
     found = stored(found, "components")
     members = stored(found.join(reps.select("id", "class_id", "weight", "vector"), "id"), "members")
     named = members.groupBy("component").agg(F.min("class_id").alias("component_id"))
