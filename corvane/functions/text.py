@@ -19,17 +19,19 @@ def code_tokens(text: Column) -> Column:
     separators and where an upper-case letter follows a lower-case one; a token
     with several parts also gives its parts of two characters or more.
     """
-    raw = F.regexp_extract_all(text, F.lit(rf"([{WORDY}_$\-./:]+)"), F.lit(1))
-    ends = rf"^[^{WORDY}$]+|[^{WORDY}$]+$"
-    trimmed = F.filter(F.transform(raw, lambda x: F.regexp_replace(x, ends, "")), lambda x: F.length(x) >= 2)
+    # ends in a letter, digit or $ on both sides, so nothing is left to trim
+    token = rf"([{WORDY}$](?:[{WORDY}_$\-./:]*[{WORDY}$])+)"
+    raw = F.regexp_extract_all(text, F.lit(token), F.lit(1))
 
     def with_parts(x: Column) -> Column:
         apart = F.regexp_replace(x, r"(\p{Ll})(?=\p{Lu})", "$1 ")
         parts = F.filter(F.split(F.lower(apart), r"[ _\-./:]+"), lambda p: p != "")
         more = F.filter(parts, lambda p: (F.length(p) >= 2) & (p != F.lower(x)))
-        return F.concat(F.array(F.lower(x)), F.when(F.size(parts) > 1, more).otherwise(F.array().cast("array<string>")))
+        whole = F.array(F.lower(x))
+        # most words have one part
+        return F.when(x.rlike(r"[_\-./:]|\p{Ll}\p{Lu}"), F.concat(whole, F.when(F.size(parts) > 1, more).otherwise(F.array().cast("array<string>")))).otherwise(whole)
 
-    return F.flatten(F.transform(trimmed, with_parts))
+    return F.flatten(F.transform(raw, with_parts))
 
 
 def query_terms(text: Column) -> Column:

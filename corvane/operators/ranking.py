@@ -65,17 +65,31 @@ def field_tokens(fields: DataFrame) -> DataFrame:
     return fields.select("file", "field", F.explode(text.code_tokens(F.col("text"))).alias("term"))
 
 
-def bm25f(files: DataFrame, tokens: DataFrame, terms: list[str], fields: dict | None = None) -> DataFrame:
+def field_counts(fields: DataFrame, terms: list[str]) -> DataFrame:
+    """(file, field, text) -> (file, field, n, t0, t1, ...): tokens, and how often each term stands among them.
+
+    Tokens stay in their array: no row per token is made or shuffled.
+    """
+    rows = fields.select("file", "field", text.code_tokens(F.col("text")).alias("tokens"))
+    counts = [F.size(F.filter("tokens", _equals(t))).alias(f"t{i}") for i, t in enumerate(terms)]
+    return rows.select("file", "field", F.size("tokens").alias("n"), *counts)
+
+
+def _equals(term: str):
+    return lambda x: x == term
+
+
+def bm25f(files: DataFrame, counted: DataFrame, terms: list[str], fields: dict | None = None) -> DataFrame:
     """(file, bm25f): every term once; counts of the documents, not deduplicated.
 
-    The lengths of all fields need every token once; only the few query terms
-    go on, as a pivot of counts per file, so nothing is joined but one row of
-    averages and document frequencies.
+    ``counted`` is field_counts(). All that is joined is one row of averages and
+    document frequencies.
     """
     fields = fields or FIELDS
-    counts = [F.count_if((F.col("field") == f) & (F.col("term") == t)).alias(f"t{i}_{f}") for i, t in enumerate(terms) for f in fields]
-    sizes = [F.count_if(F.col("field") == f).alias(f"n_{f}") for f in fields]
-    per = files.select("file").join(tokens.groupBy("file").agg(*sizes, *counts), "file", "left")
+    total = {f: F.when(F.col("field") == f, F.col("n")) for f in fields}
+    sizes = [F.sum(c).alias(f"n_{f}") for f, c in total.items()]
+    counts = [F.sum(F.when(F.col("field") == f, F.col(f"t{i}"))).alias(f"t{i}_{f}") for i in range(len(terms)) for f in fields]
+    per = files.select("file").join(counted.groupBy("file").agg(*sizes, *counts), "file", "left")
     per = per.na.fill(0)
     with_term = [F.count_if(sum((F.col(f"t{i}_{f}") for f in fields), F.lit(0)) > 0).alias(f"df{i}") for i in range(len(terms))]
     means = [F.greatest(F.try_divide(F.sum(f"n_{f}"), F.count("*")), F.lit(1.0)).alias(f"avg_{f}") for f in fields]

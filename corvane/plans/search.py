@@ -25,8 +25,8 @@ def search(files: DataFrame, fields: DataFrame, queries: list[str], words: list[
     exact = lexical.select("file", "queries", "coverage", "path_affinity", "rarity", F.col("rank").alias("exact_rank"))
     # only the ranked candidates are scored: at most MOST_RESULTS rows are broadcast
     candidates = files.join(F.broadcast(exact.select("file")), "file", "left_semi")
-    tokens = ranking.field_tokens(fields.join(F.broadcast(exact.select("file")), "file", "left_semi"))
-    scored = ranking.bm25f(candidates, tokens, terms).join(F.broadcast(exact), "file")
+    counted = ranking.field_counts(fields.join(F.broadcast(exact.select("file")), "file", "left_semi"), terms)
+    scored = ranking.bm25f(candidates, counted, terms).join(F.broadcast(exact), "file")
     ranked = ranking.fused(scored).cache()
     probes = ranking.reserve_and_fill(ranked, found, PROBE)
     probe_lines = lines.where(F.col("file").isin(probes or [""]))

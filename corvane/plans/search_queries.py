@@ -167,7 +167,7 @@ BM25_SQL = f"""(WITH tok AS (SELECT * FROM {TOKENS_SQL}), docs AS (SELECT file F
 
 
 def _bm25(spark, d):
-    return ranking.bm25f(_files(spark, d), ranking.field_tokens(_fields(spark, d)), TERMS)
+    return ranking.bm25f(_files(spark, d), ranking.field_counts(_fields(spark, d), TERMS), TERMS)
 
 
 @query("rank_bm25f", f"SELECT file, round(bm25f, 6) AS bm25f FROM {BM25_SQL}")

@@ -78,10 +78,10 @@ def test_closure(spark):
 
 def test_bm25_counts_repeats(spark):
     files = spark.createDataFrame([("a",), ("b",)], "file string")
-    tokens = spark.createDataFrame([("a", "symbols", "fee"), ("a", "symbols", "x"), ("a", "symbols", "y")] + [("b", "symbols", "fee")] * 3, "file string, field string, term string")
-    got = dict(ranking.bm25f(files, tokens, ["fee"]).collect())
+    fields = spark.createDataFrame([("a", "symbols", "fee xx yy"), ("b", "symbols", "fee fee fee")], "file string, field string, text string")
+    got = dict(ranking.bm25f(files, ranking.field_counts(fields, ["fee"]), ["fee"]).collect())
     assert got["b"] > got["a"] > 0
-    assert dict(ranking.bm25f(files, tokens, ["none"]).collect()) == {"a": 0.0, "b": 0.0}
+    assert dict(ranking.bm25f(files, ranking.field_counts(fields, ["none"]), ["none"]).collect()) == {"a": 0.0, "b": 0.0}
 
 
 def test_fair_selection(spark):
