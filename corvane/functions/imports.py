@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.ship import ship
+
 MOST_BINDINGS, MOST_IMPORTS, MOST_LINES = 16, 192, 64
 REMOTE = r"^(?:https?:|//|data:|javascript:|#)|\{\{|\$\{|<%"
 
@@ -110,6 +112,7 @@ def statement_imports(files: DataFrame, language: Column) -> DataFrame:
     """Python and script imports, which may run over lines: a fold over each file's text."""
     import pandas as pd
 
+    ship(files.sparkSession)
     kind = "file string, line bigint, kind string, spec string, local array<string>, source array<string>"
 
     def run(batches):

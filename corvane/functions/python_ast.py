@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.operators import ranges
+from corvane.ship import ship
 
 MOST_FACTS, MOST_SIGNATURE, MOST_NAME = 512, 320, 160
 FACT = "file string, role string, node_kind string, name string, signature string, start_line bigint, end_line bigint, start_byte bigint, end_byte bigint"
@@ -83,6 +84,7 @@ def _frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
     """Rows that ``one`` makes of each row's values; schema ``kind``."""
     import pandas as pd
 
+    ship(df.sparkSession)
     names = [x.split()[0] for x in kind.split(", ")]
 
     def run(batches):
