@@ -75,6 +75,7 @@ def linked_components(
     verify: Callable[[DataFrame], DataFrame],
     carry: list[str],
     rounds: int = 0,
+    screen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of all links between ids that share a key, without listing the pairs of a key.
 
@@ -88,6 +89,9 @@ def linked_components(
     3. Then ids outside are paired with all ids of other components under the
        key, so no pair is missed whose ends are not yet in one component.
 
+    With ``screen``, step 3 for keys with many ids is done by it: it gets rows
+    (key, main, id, component, carry) and returns the pairs that may link.
+
     ``postings`` must be a stored table.
     """
     known = stored(components(verify(_with_pivots(postings, _pivots(postings, carry), fits, carry))), "known")
@@ -101,10 +105,17 @@ def linked_components(
             inside = mixed.where("component = main").join(busy, "key", "left_semi")
             pairs = _with_pivots(outside, _pivots(inside, carry), fits, carry)
         else:
+            loud = None
+            if screen:
+                many = stored(mixed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUSY).select("key"), "busy_keys")
+                loud = screen(mixed.join(many, "key", "left_semi"))
+                mixed = mixed.join(many, "key", "left_anti")
+                outside = mixed.where("component <> main")
             a = outside.select("key", "main", F.col("id").alias("a"), F.col("component").alias("a_component"), *(F.col(c).alias(f"a_{c}") for c in carry))
             b = mixed.select("key", F.col("id").alias("b"), F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in carry))
             cross = a.join(b, "key").where("a_component <> b_component and (b_component = main or a > b)").where(fits("a", "b"))
-            pairs = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            pairs = cross.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            pairs = (pairs.union(loud) if loud is not None else pairs).distinct()
         pairs = stored(pairs, f"pairs_{step}")
         if pairs.head():
             kept = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))

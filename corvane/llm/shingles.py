@@ -43,6 +43,8 @@ COUNTS = 1 << 22
 CHUNK = 1 << 14
 #: a shingle whose entry counts this much is posted without looking whether another set has it
 HEAVY = 10_000
+#: rows of a key compared at once
+BLOCK = 1024
 #: of Spark's xxhash64 function
 SPARK_SEED = 42
 DIGEST, MAYBE = "__digest", "__maybe"
@@ -161,6 +163,52 @@ def could_link(a: str, b: str, similar: int) -> Column:
     return by_size & (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) >= need)
 
 
+def screened(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
+    """Pairs (a, b) that size and signature allow, of ids that share a key: one outside the key's main
+    component, the other in another component than the first.
+
+    All keys with the same main component are worked on together, so a pair is
+    compared once and not under each key; the ids are taken in pairs of blocks
+    of about BLOCK.
+    """
+    rows = rows.select("main", "id", "component", "n").distinct().join(reps.select("id", "signature"), "id")
+    blocks = rows.groupBy("main").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    placed = rows.join(blocks, "main").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "main", "id", "component", "n", "signature", "mine")
+
+    def compare(key, table):
+        main, ids, component, n, mine = (table.column(c).to_numpy().astype(np.int64) for c in ("main", "id", "component", "n", "mine"))
+        bits = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for chunk in table.column("signature").chunks for x in chunk]
+        over = n - np.array([int(x.sum()) for x in bits])
+        size = np.array([len(x) for x in bits])
+        matrices = {m: (np.cumsum(size == m) - 1, np.stack([x for x in bits if len(x) == m]).astype(np.uint8)) for m in np.unique(size).tolist()}
+        found_a, found_b = [], []
+        for a in np.flatnonzero(component != main):
+            ok = (component != component[a]) & ((component == main) | (ids < ids[a]))
+            if key[1] != key[2]:
+                ok &= mine != mine[a]
+            need = -(-similar * (n[a] + n) // (100 + similar))
+            ok &= (100 * n[a] >= similar * n) & (100 * n >= similar * n[a])
+            for m, (place, matrix) in matrices.items():
+                some = np.flatnonzero(ok & (size == m))
+                if not len(some):
+                    continue
+                other, own, small = matrix[place[some]], bits[a], min(m, int(size[a]))
+                if m > small:
+                    other = other.reshape(len(some), -1, small).sum(axis=1)
+                if size[a] > small:
+                    own = own.reshape(-1, small).sum(axis=0)
+                hidden = np.minimum(over[a], over[some]) if m == size[a] else over[a] + over[some]
+                good = some[np.minimum(other, own).sum(axis=1) + hidden >= need[some]]
+                found_a.append(np.full(len(good), ids[a]))
+                found_b.append(ids[good])
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return placed.groupBy("main", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
     """Pairs (a, b) of class numbers whose whole sets link; signatures rule most others out first."""
     spark = docs.sparkSession
@@ -251,7 +299,7 @@ def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR)
     def fits(a: str, b: str) -> Column:
         return could_link(a, b, similar)
 
-    found = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"])
+    found = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"], screen=lambda r: screened(r, reps, similar))
     found = stored(found, "components")
     names = found.join(reps.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = reps.select("digest", "copies", "id", "class_id").join(found, "id", "left").join(names, "component", "left")
