@@ -113,9 +113,23 @@ def matched_terms(tokens: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def fused(scores: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
-    """(file, exact_rank, bm25f) -> the best k by reciprocal-rank fusion, then BM25F, then path."""
-    good = scores.where("bm25f > 0").select("file", F.row_number().over(Window.orderBy(F.desc(F.round("bm25f", 12)), "file")).alias("bm25_rank"))
-    rows = scores.join(good, "file", "left")
+    """(file, exact_rank, bm25f) -> the best k by reciprocal-rank fusion, then BM25F, then path.
+
+    Exact ranks go from 1 to ``k`` at most. A file without one can only be among
+    the best k if its BM25F rank is, so ranks are made for the first k and for
+    the files with an exact rank, by counting what is ahead of them; the scores
+    are never sorted as a whole.
+    """
+    value = F.round("bm25f", 12)
+    good = scores.where("bm25f > 0").select("file", value.alias("s"))
+    first = top_ranked(good, [F.desc("s"), F.asc("file")], k).select("file", F.col("rank").alias("bm25_rank"))
+    exact = scores.where(F.col("exact_rank").between(1, k))
+    mine = exact.where("bm25f > 0").select(F.col("file").alias("e_file"), value.alias("e_s"))
+    ahead = (F.col("s") > F.col("e_s")) | ((F.col("s") == F.col("e_s")) & (F.col("file") <= F.col("e_file")))
+    placed = good.crossJoin(F.broadcast(mine)).groupBy("e_file").agg(F.count_if(ahead).cast("int").alias("bm25_rank"))  # k rows at most
+    ranks = placed.select(F.col("e_file").alias("file"), "bm25_rank").union(first).distinct()
+    rows = exact.select("file").union(first.select("file")).distinct()
+    rows = scores.join(F.broadcast(rows), "file").join(F.broadcast(ranks), "file", "left")  # 2 * k rows at most
 
     def part(rank: str) -> Column:
         return F.coalesce(1 / (F.lit(RRF) + F.col(rank)), F.lit(0.0))
