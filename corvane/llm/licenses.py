@@ -90,13 +90,13 @@ NAMES = [
     ("creative-commons", "creative", r"creative commons"),
 ]
 
-# How a name is used; priority and confidence of the use.
+# How a name is used; priority and confidence of the use, words of which one stands in it.
 USES = [
-    (90, 1.0, r"spdx licen[sc]e identifier (?:{name})\b"),
-    (80, 0.95, r"(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|covered) (?:to you )?under (?:the |a |an )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})\b(?: licen[sc]e)?"),
-    (70, 0.9, r"(?:subject to|governed by|in accordance with|compliance with|terms of|under) (?:the )?(?:{name})\b(?: licen[sc]e)?"),
-    (60, 0.85, r"(?:{name})\b licen[sc]ed?\b"),
-    (50, 0.8, r"licen[sc]e (?:is |the )?(?:{name})\b"),
+    (90, 1.0, ("spdx",), r"spdx licen[sc]e identifier (?:{name})\b"),
+    (80, 0.95, ("under",), r"(?:licen[sc]ed|released|distributed|available|published|provided|offered|shared|covered) (?:to you )?under (?:the |a |an )?(?:terms (?:and conditions )?of (?:the )?)?(?:{name})\b(?: licen[sc]e)?"),
+    (70, 0.9, ("under", "subject to", "governed by", "accordance", "compliance", "terms of"), r"(?:subject to|governed by|in accordance with|compliance with|terms of|under) (?:the )?(?:{name})\b(?: licen[sc]e)?"),
+    (60, 0.85, ("licen",), r"(?:{name})\b licen[sc]ed?\b"),
+    (50, 0.8, ("licen",), r"licen[sc]e (?:is |the )?(?:{name})\b"),
 ]
 
 # Rules that are whole statements; label, keyword, priority, confidence, expression.
@@ -115,16 +115,16 @@ STATEMENTS = [
     ("copyright", "copyright", 10, 0.4, r"copyright (?:holders?|owners?|notice)"),
 ]
 
-#: every rule needs one of these in the joined words
-NAMED = re.compile(rb"licen|copyright|permission|redistribut|provided as is|public|propriet|reproduc|warrant|complian|reserved|gpl|\bmpl|\bepl|\bcc0?\b|creative commons|apache|\bmit\b|bsd|\bisc\b|zlib|spdx|\bpsf\b|\bphp\b|ruby|postgresql|openssl|x11|w3c|artistic|boost|eupl|cddl|cecill|gfdl|ncsa|wtfpl|open (?:font|data|soft)|free documentation|academic free|python software|odc|pddl")
+#: every rule and base phrase needs one of these in the joined words
+STEMS = tuple(dict.fromkeys([*(w.encode() for _, _, words_, _ in USES for w in words_), *(k.encode() for _, k, _, _, _ in STATEMENTS), *BASE]))
 
 
 @cache
-def rules() -> list[tuple[str, str, int, float, re.Pattern]]:
-    """(label, keyword, priority, confidence, expression): every name in every use, and the statements."""
-    out = [(label, key, p * 100 + len(name.split("|")[0]) // 4, sure, use.format(name=name)) for label, key, name in NAMES for p, sure, use in USES]
-    out += [(label, key, p * 100, sure, x) for label, key, p, sure, x in STATEMENTS]
-    return [(label, key, p, sure, re.compile(rf"\b(?:{x})", re.ASCII)) for label, key, p, sure, x in out]
+def rules() -> list[tuple[str, str, tuple[str, ...], int, float, re.Pattern]]:
+    """(label, keyword, words of the use, priority, confidence, expression): every name in every use, and the statements."""
+    out = [(label, key, some, p * 100 + len(name.split("|")[0]) // 4, sure, use.format(name=name)) for label, key, name in NAMES for p, sure, some, use in USES]
+    out += [(label, key, (key,), p * 100, sure, x) for label, key, p, sure, x in STATEMENTS]
+    return [(label, key, some, p, sure, re.compile(rf"\b(?:{x})", re.ASCII)) for label, key, some, p, sure, x in out]
 
 
 def base_places(joined: bytes) -> list[tuple[int, str]]:
@@ -143,9 +143,11 @@ def base_places(joined: bytes) -> list[tuple[int, str]]:
 def detections(joined: bytes) -> list[tuple[int, int, str, float]]:
     """Detections that no stronger one contains: (start, end, label, confidence), in characters."""
     text = joined.decode("utf-8", "replace")
-    found = []
-    for label, key, priority, sure, x in rules():
-        if key in text:
+    found, held = [], {}
+    for label, key, some, priority, sure, x in rules():
+        if some not in held:
+            held[some] = any(w in text for w in some)
+        if held[some] and key in text:
             found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, sure) for m in x.finditer(text)]
     taken: list[tuple[int, int, str, float]] = []
     for _, _, start, end, label, sure in sorted(found):
@@ -159,7 +161,7 @@ def scan(text: bytes | None) -> tuple:
     if not doc:
         return 0, 0, None, None, "", "", 0.0
     joined = b" ".join(doc)
-    if not NAMED.search(joined):
+    if not any(stem in joined for stem in STEMS):
         return len(doc), 0, None, None, "", "", 0.0
     base = base_places(joined)
     more = detections(joined)
