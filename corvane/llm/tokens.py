@@ -64,6 +64,14 @@ class CountOnlyViterbi:
     def count(self, word: str) -> tuple[int, int]:
         """Pieces of the best way, and those of them that stand for unknown characters."""
         n = len(word)
+        if self.single.issuperset(word):
+            # every end can be reached; at each, the automaton gives longer pieces first
+            best, pieces = [0.0, *([-math.inf] * n)], [0] * (n + 1)
+            for last, (length, score) in self.automaton.iter(word):
+                at, end = last + 1 - length, last + 1
+                if best[at] + score > best[end]:
+                    best[end], pieces[end] = best[at] + score, pieces[at] + 1
+            return pieces[n], 0
         best: list = [None] * (n + 1)
         best[0] = 0.0
         pieces, odd = [0] * (n + 1), [0] * (n + 1)
