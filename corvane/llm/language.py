@@ -35,6 +35,8 @@ from .arrow import map_texts
 ORDER, BITS = 4, 15
 PER_LANGUAGE, MOST_BYTES, MOST_LANGUAGES = 400, 20_000, 500
 SLICE = 1_000_000
+#: characters worked on at once, over all texts
+TOGETHER = 200_000
 SLACK = 1.2
 REPORT = "lang_pred string, score double"
 
@@ -166,7 +168,7 @@ class Model:
             for a in range(0, len(t), SLICE):
                 pending.append((i, t[a : a + SLICE]))
                 size += len(pending[-1][1])
-                if size >= SLICE:
+                if size >= TOGETHER:
                     self._add(pending, table, sums, squares, n)
                     pending, size = [], 0
         if pending:
