@@ -70,7 +70,8 @@ def mix(
         (word_count(F.col("text")) if size is None else size).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("__u"),
     )
-    queue = ordered(slim, [F.col("source").asc_nulls_last(), F.col("__u"), F.col("size")], "queues")
+    # the text is read once; ordering samples its input first
+    queue = ordered(stored(slim, "sizes"), [F.col("source").asc_nulls_last(), F.col("__u"), F.col("size")], "queues")
     sizes = queue.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeats).withColumnRenamed("source", "__s")
 
