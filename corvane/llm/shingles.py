@@ -39,7 +39,7 @@ from .store import stored
 
 SHINGLE, SIMILAR = 5, 75
 #: entries of the table of counts, a power of two
-COUNTS = 1 << 22
+COUNTS = 1 << 23
 CHUNK = 1 << 14
 #: a shingle whose entry counts this much is posted without looking whether another set has it
 HEAVY = 10_000
@@ -78,8 +78,8 @@ def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
         total = np.zeros(size, np.uint32)
         for batch in batches:
             for _, texts in slices(batch, batch.column(0)):
-                got = [(s & np.uint64(size - 1)).astype(np.int64) for s in hashed(texts, width)]
-                total += np.bincount(np.concatenate(got), minlength=size).astype(np.uint32)
+                entry, n = np.unique(np.concatenate([s & np.uint64(size - 1) for s in hashed(texts, width)]), return_counts=True)
+                total[entry.astype(np.int64)] += n.astype(np.uint32)
         if total.any():
             parts = total.reshape(-1, CHUNK)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in parts], pa.binary())], names=["chunk", "part"])
