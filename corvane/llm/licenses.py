@@ -1,8 +1,9 @@
 """License and rights statements, by ordered signature rules.
 
 Every rule is a regular expression over a text's lower-cased words joined by
-single spaces, with a keyword. A text is searched only if it holds one of the
-stems, one of which every rule needs, and a rule only if the text holds its keyword.
+single spaces, with keywords. A text is searched only if it holds one of the
+stems, one of which every rule needs, and a rule only if the text holds one of
+its keywords; every branch of its expression needs one of them.
 Detections are taken in order of priority, then length; one that lies inside an
 interval already taken is suppressed, so ``lesser general public license`` does
 not also report the plain one. Base phrases are always reported.
@@ -26,68 +27,68 @@ REPORT = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, ba
 # The base phrases and their labels.
 BASE = {b"cc by": "cc-by", b"general public license": "gpl", b"all rights reserved": "reserved"}
 
-# Label, keyword, and how the name is written in words. A digit
-# group such as "2 0" is "2.0" split at its dot.
+# Label, keywords of which every branch needs one, and how the name is
+# written in words. A digit group such as "2 0" is "2.0" split at its dot.
 NAMES = [
-    ("apache-2.0", "apache", r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("apache", "apache", r"apache(?: software)?"),
-    ("mit", "mit", r"mit(?: x11| expat)?"),
-    ("mit-0", "mit", r"mit (?:no attribution|0)"),
-    ("bsd-2-clause", "bsd", r"(?:2 clause|two clause|simplified|freebsd) bsd|bsd 2(?: clause)?"),
-    ("bsd-3-clause", "bsd", r"(?:3 clause|three clause|new|modified|revised) bsd|bsd 3(?: clause)?"),
-    ("bsd-4-clause", "bsd", r"(?:4 clause|four clause|original|old) bsd|bsd 4(?: clause)?"),
-    ("0bsd", "bsd", r"0bsd|(?:zero clause|0 clause) bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?"),
-    ("gpl-2.0", "g", r"(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)?(?: version| v)? ?2(?: 0)?"),
-    ("gpl-3.0", "g", r"(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)?(?: version| v)? ?3(?: 0)?"),
-    ("gpl", "g", r"gnu (?:gpl|general public)|gpl"),
-    ("lgpl-2.1", "l", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: lgpl)?(?: version| v)? ?2(?: 1)?"),
-    ("lgpl-3.0", "l", r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: lgpl)?(?: version| v)? ?3(?: 0)?"),
-    ("lgpl", "l", r"(?:gnu )?(?:lesser|library) general public(?: licen[sc]e)?|lgpl"),
-    ("agpl-3.0", "a", r"(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: agpl)?(?: version| v)? ?3(?: 0)?"),
-    ("agpl", "a", r"(?:gnu )?affero general public(?: licen[sc]e)?|agpl"),
-    ("gfdl", "f", r"(?:gnu )?free documentation|gfdl"),
-    ("mpl-1.1", "m", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?1 1"),
-    ("mpl-2.0", "m", r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?2(?: 0)?"),
-    ("mpl", "m", r"mozilla public|mpl"),
-    ("epl-1.0", "e", r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?1(?: 0)?"),
-    ("epl-2.0", "e", r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?2(?: 0)?"),
-    ("epl", "e", r"eclipse public|epl"),
-    ("eupl", "european", r"european union public|eupl"),
-    ("cddl", "c", r"common development and distribution|cddl"),
-    ("cpl", "common", r"common public"),
-    ("cecill", "cecill", r"cecill(?: [abc])?"),
-    ("artistic-2.0", "artistic", r"artistic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
-    ("artistic", "artistic", r"artistic"),
-    ("boost", "boost", r"boost(?: software)?(?: 1 0)?"),
-    ("isc", "isc", r"isc"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("unlicense", "unlicen", r"unlicen[sc]e"),
-    ("wtfpl", "wtf", r"wtfpl|do what the f\w+ you want to(?: public)?"),
-    ("ofl", "font", r"(?:sil )?open font"),
-    ("osl-3.0", "open", r"open software licen[sc]e(?: version| v)? ?3(?: 0)?"),
-    ("afl-3.0", "academic", r"academic free"),
-    ("psf", "python", r"python software foundation|psf"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("php", "php", r"php(?: 3 01)?"),
-    ("ruby", "ruby", r"ruby"),
-    ("openssl", "openssl", r"openssl"),
-    ("w3c", "w3c", r"w3c(?: software)?"),
-    ("x11", "x11", r"x11"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("odbl", "open", r"open database|odc open database"),
-    ("odc-by", "open", r"open data commons attribution|odc by"),
-    ("pddl", "public", r"public domain dedication and|pddl"),
-    ("cc0", "cc", r"cc0(?: 1 0)?|cc zero"),
-    ("cc-by-nc-nd", "nc", r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: nd| noderivatives| no derivatives| noderivs)(?: \d \d)?"),
-    ("cc-by-nc-sa", "nc", r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: sa| sharealike| share alike)(?: \d \d)?"),
-    ("cc-by-nc", "n", r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: \d \d)?"),
-    ("cc-by-nd", "n", r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nd| noderivatives| no derivatives| noderivs)(?: \d \d)?"),
-    ("cc-by-sa", "s", r"(?:cc|creative commons)(?: by|(?: )attribution)(?: sa| sharealike| share alike)(?: \d \d)?"),
-    ("cc-by", "c", r"(?:cc by|creative commons attribution|cc attribution)(?: \d \d)?"),
-    ("creative-commons", "creative", r"creative commons"),
+    ("apache-2.0", ("apache",), r"apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("apache", ("apache",), r"apache(?: software)?"),
+    ("mit", ("mit",), r"mit(?: x11| expat)?"),
+    ("mit-0", ("mit",), r"mit (?:no attribution|0)"),
+    ("bsd-2-clause", ("bsd",), r"(?:2 clause|two clause|simplified|freebsd) bsd|bsd 2(?: clause)?"),
+    ("bsd-3-clause", ("bsd",), r"(?:3 clause|three clause|new|modified|revised) bsd|bsd 3(?: clause)?"),
+    ("bsd-4-clause", ("bsd",), r"(?:4 clause|four clause|original|old) bsd|bsd 4(?: clause)?"),
+    ("0bsd", ("bsd",), r"0bsd|(?:zero clause|0 clause) bsd"),
+    ("bsd", ("bsd",), r"bsd(?: style)?"),
+    ("gpl-2.0", ("g",), r"(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)?(?: version| v)? ?2(?: 0)?"),
+    ("gpl-3.0", ("g",), r"(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)?(?: version| v)? ?3(?: 0)?"),
+    ("gpl", ("g",), r"gnu (?:gpl|general public)|gpl"),
+    ("lgpl-2.1", ("l",), r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: lgpl)?(?: version| v)? ?2(?: 1)?"),
+    ("lgpl-3.0", ("l",), r"(?:gnu )?(?:lgpl|lesser general public licen[sc]e)(?: lgpl)?(?: version| v)? ?3(?: 0)?"),
+    ("lgpl", ("l",), r"(?:gnu )?(?:lesser|library) general public(?: licen[sc]e)?|lgpl"),
+    ("agpl-3.0", ("a",), r"(?:gnu )?(?:agpl|affero general public licen[sc]e)(?: agpl)?(?: version| v)? ?3(?: 0)?"),
+    ("agpl", ("a",), r"(?:gnu )?affero general public(?: licen[sc]e)?|agpl"),
+    ("gfdl", ("f",), r"(?:gnu )?free documentation|gfdl"),
+    ("mpl-1.1", ("m",), r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?1 1"),
+    ("mpl-2.0", ("m",), r"(?:mozilla public licen[sc]e|mpl)(?: version| v)? ?2(?: 0)?"),
+    ("mpl", ("m",), r"mozilla public|mpl"),
+    ("epl-1.0", ("e",), r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?1(?: 0)?"),
+    ("epl-2.0", ("e",), r"(?:eclipse public licen[sc]e|epl)(?: version| v)? ?2(?: 0)?"),
+    ("epl", ("e",), r"eclipse public|epl"),
+    ("eupl", ("european", "eupl"), r"european union public|eupl"),
+    ("cddl", ("c",), r"common development and distribution|cddl"),
+    ("cpl", ("common",), r"common public"),
+    ("cecill", ("cecill",), r"cecill(?: [abc])?"),
+    ("artistic-2.0", ("artistic",), r"artistic(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?"),
+    ("artistic", ("artistic",), r"artistic"),
+    ("boost", ("boost",), r"boost(?: software)?(?: 1 0)?"),
+    ("isc", ("isc",), r"isc"),
+    ("zlib", ("zlib",), r"zlib(?: libpng)?"),
+    ("unlicense", ("unlicen",), r"unlicen[sc]e"),
+    ("wtfpl", ("wtfpl", "do what the f"), r"wtfpl|do what the f\w+ you want to(?: public)?"),
+    ("ofl", ("font",), r"(?:sil )?open font"),
+    ("osl-3.0", ("open",), r"open software licen[sc]e(?: version| v)? ?3(?: 0)?"),
+    ("afl-3.0", ("academic",), r"academic free"),
+    ("psf", ("python", "psf"), r"python software foundation|psf"),
+    ("postgresql", ("postgresql",), r"postgresql"),
+    ("php", ("php",), r"php(?: 3 01)?"),
+    ("ruby", ("ruby",), r"ruby"),
+    ("openssl", ("openssl",), r"openssl"),
+    ("w3c", ("w3c",), r"w3c(?: software)?"),
+    ("x11", ("x11",), r"x11"),
+    ("ncsa", ("ncsa",), r"(?:university of illinois )?ncsa"),
+    ("ms-pl", ("microsoft",), r"microsoft public"),
+    ("ms-rl", ("microsoft",), r"microsoft reciprocal"),
+    ("odbl", ("open",), r"open database|odc open database"),
+    ("odc-by", ("open", "odc by"), r"open data commons attribution|odc by"),
+    ("pddl", ("public", "pddl"), r"public domain dedication and|pddl"),
+    ("cc0", ("cc",), r"cc0(?: 1 0)?|cc zero"),
+    ("cc-by-nc-nd", ("nc", "non commercial"), r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: nd| noderivatives| no derivatives| noderivs)(?: \d \d)?"),
+    ("cc-by-nc-sa", ("nc", "non commercial"), r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: sa| sharealike| share alike)(?: \d \d)?"),
+    ("cc-by-nc", ("n",), r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nc| noncommercial| non commercial)(?: \d \d)?"),
+    ("cc-by-nd", ("n",), r"(?:cc|creative commons)(?: by|(?: )attribution)(?: nd| noderivatives| no derivatives| noderivs)(?: \d \d)?"),
+    ("cc-by-sa", ("s",), r"(?:cc|creative commons)(?: by|(?: )attribution)(?: sa| sharealike| share alike)(?: \d \d)?"),
+    ("cc-by", ("c",), r"(?:cc by|creative commons attribution|cc attribution)(?: \d \d)?"),
+    ("creative-commons", ("creative",), r"creative commons"),
 ]
 
 # How a name is used; priority and confidence of the use, words of which one stands in it.
@@ -120,11 +121,11 @@ STEMS = tuple(dict.fromkeys([*(w.encode() for _, _, words_, _ in USES for w in w
 
 
 @cache
-def rules() -> list[tuple[str, str, tuple[str, ...], int, float, re.Pattern]]:
-    """(label, keyword, words of the use, priority, confidence, expression): every name in every use, and the statements."""
-    out = [(label, key, some, p * 100 + len(name.split("|")[0]) // 4, sure, use.format(name=name)) for label, key, name in NAMES for p, sure, some, use in USES]
-    out += [(label, key, (key,), p * 100, sure, x) for label, key, p, sure, x in STATEMENTS]
-    return [(label, key, some, p, sure, re.compile(rf"\b(?:{x})", re.ASCII)) for label, key, some, p, sure, x in out]
+def rules() -> list[tuple[str, tuple[str, ...], tuple[str, ...], int, float, re.Pattern]]:
+    """(label, keywords of the name, words of the use, priority, confidence, expression): every name in every use, and the statements."""
+    out = [(label, keys, some, p * 100 + len(name.split("|")[0]) // 4, sure, use.format(name=name)) for label, keys, name in NAMES for p, sure, some, use in USES]
+    out += [(label, (key,), (key,), p * 100, sure, x) for label, key, p, sure, x in STATEMENTS]
+    return [(label, keys, some, p, sure, re.compile(rf"\b(?:{x})", re.ASCII)) for label, keys, some, p, sure, x in out]
 
 
 def base_places(joined: bytes) -> list[tuple[int, str]]:
@@ -144,10 +145,11 @@ def detections(joined: bytes) -> list[tuple[int, int, str, float]]:
     """Detections that no stronger one contains: (start, end, label, confidence), in characters."""
     text = joined.decode("utf-8", "replace")
     found, held = [], {}
-    for label, key, some, priority, sure, x in rules():
-        if some not in held:
-            held[some] = any(w in text for w in some)
-        if held[some] and key in text:
+    for label, keys, some, priority, sure, x in rules():
+        for group in (some, keys):
+            if group not in held:
+                held[group] = any(w in text for w in group)
+        if held[some] and held[keys]:
             found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, sure) for m in x.finditer(text)]
     taken: list[tuple[int, int, str, float]] = []
     for _, _, start, end, label, sure in sorted(found):

@@ -290,6 +290,50 @@ def test_licenses(spark):
     assert licenses.licenses(df.limit(0)).count() == 0
 
 
+def branches(parsed) -> list[str]:
+    """One text for every branch of a parsed expression, with and without what is optional."""
+    out = [""]
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "BRANCH":
+            more = [x for p in value[1] for x in branches(p)]
+        elif name == "SUBPATTERN":
+            more = branches(value[-1])
+        elif name == "MAX_REPEAT":
+            more = list(dict.fromkeys([""] * (value[0] == 0) + branches(value[2])))
+        elif name == "IN":
+            more = [{"LITERAL": lambda v: chr(v), "CATEGORY": lambda v: "7" if "DIGIT" in str(v) else "w"}[str(value[0][0])](value[0][1])]
+        else:
+            raise ValueError(name)
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gate_loses_nothing(monkeypatch):
+    import re
+
+    samples = [(label, x) for label, _, name in licenses.NAMES for x in branches(re._parser.parse(name))]
+    assert {label for label, _ in samples} == {x[0] for x in licenses.NAMES} and len(samples) > 200
+    uses = ("spdx license identifier {}", "licensed under the {} license", "subject to the {} license", "{} license", "license is {}")
+    cases = [use.format(x).encode() for _, x in samples for use in uses]
+    gated = [licenses.detections(x) for x in cases]
+    assert all(gated)
+    everything = [(label, ("",), ("",), *rest) for label, _, _, *rest in licenses.rules()]
+    monkeypatch.setattr(licenses, "rules", lambda: everything)
+    assert gated == [licenses.detections(x) for x in cases]
+
+
+@pytest.mark.parametrize("text, label", [
+    (b"Licensed under the EUPL 1.2", "eupl"), (b"released under the PSF license", "psf"), (b"under the PDDL", "pddl"), (b"licensed under ODC-BY", "odc-by"),
+    (b"licensed under the do what the fun you want to public license", "wtfpl"),
+    (b"licensed under the Creative Commons Attribution Non-Commercial No-Derivatives 4.0 license", "cc-by-nc-nd"), (b"licensed under cc by non commercial share alike 4.0", "cc-by-nc-sa"),
+])
+def test_licenses_by_their_other_names(text, label):
+    assert label in licenses.scan(text)[5].split(",")
+
+
 def test_tokens(spark, texts):
     tokenizers = pytest.importorskip("tokenizers")
     pieces, byte_fallback = tokens.vocabulary()
