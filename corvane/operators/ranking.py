@@ -60,6 +60,22 @@ def top_ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """All rows with their position from 1 in a total order, without a window over all rows.
+
+    Rows are range-partitioned and sorted, and kept, so that their places are made
+    once; a position is the place in the partition plus the rows of earlier ones.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).cache()
+    part, place = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(part).agg(F.count("*").alias("__n"))
+    before = counts.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))  # one row a partition
+    out = placed.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return out.withColumn(name, F.col("__before") + place + 1).drop("__id", "__part", "__before")
+
+
 def field_tokens(fields: DataFrame) -> DataFrame:
     """(file, field, text) -> (file, field, term), repeats kept."""
     return fields.select("file", "field", F.explode(text.code_tokens(F.col("text"))).alias("term"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import paths, text
+from corvane.operators import ranking
 
 MOST_COMPETITORS, MOST_LOCATIONS = 4, 32
 
@@ -30,7 +31,7 @@ def round_robin(rows: DataFrame, lane: str, order: list[Column], most: int = 5)
 def reordered(candidates: DataFrame, ranked: DataFrame) -> DataFrame:
     """Candidates (file, lexical_rank): ranked ones first, the others in their order; with ``position``."""
     rows = candidates.join(ranked.select("file", "rank"), "file", "left")
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.col("rank").isNull(), "rank", "lexical_rank")))
+    return ranking.numbered(rows, [F.col("rank").isNull(), F.col("rank"), F.col("lexical_rank")], "position")
 
 
 def verdicts(expected: DataFrame, locations: DataFrame) -> DataFrame:

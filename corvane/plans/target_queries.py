@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import evidence, graph, targets
+from corvane.operators import evidence, graph, ranking, targets
 from corvane.plans import search_queries as s
 from corvane.plans import state_queries as st
 from corvane.query import query, table
@@ -32,13 +32,21 @@ def round_robin(spark, d):
 
 @query("rank_reordered", "SELECT 'p' || a.p_partkey AS file, row_number() OVER (ORDER BY b.r IS NULL, b.r, a.p_partkey)::INT AS position FROM (SELECT * FROM part WHERE p_partkey <= 60) a LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_partkey <= 60 AND p_size > 25) b USING (p_partkey)")
 def reordered(spark, d):
-    from pyspark.sql import Window
+    # the SQL covers these parts only; rank_reordered_whole covers all
+    return _reordered(table(spark, d, "part").where("p_partkey <= 60"))
+
 
-    p = table(spark, d, "part").where("p_partkey <= 60").withColumn("file", F.concat(F.lit("p"), "p_partkey"))
-    ranked = p.where("p_size > 25").select("file", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"))
+def _reordered(part):
+    p = part.withColumn("file", F.concat(F.lit("p"), "p_partkey"))
+    ranked = ranking.numbered(p.where("p_size > 25"), [F.desc("p_retailprice"), F.asc("p_partkey")], "rank")
     return targets.reordered(p.select("file", F.col("p_partkey").alias("lexical_rank")), ranked).select("file", "position")
 
 
+@query("rank_reordered_whole", "SELECT 'p' || a.p_partkey AS file, row_number() OVER (ORDER BY b.r IS NULL, b.r, a.p_partkey)::INT AS position FROM part a LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size > 25) b USING (p_partkey)")
+def reordered_whole(spark, d):
+    return _reordered(table(spark, d, "part"))
+
+
 _V = "CASE o_orderkey % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'resolved' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'unresolved' ELSE 'error' END"
 
 
@@ -122,6 +130,16 @@ def validated(spark, d):
 
 @query("graph_freshness", "SELECT 'c' || c_custkey AS file, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS fresh FROM customer WHERE c_custkey <= 80")
 def freshness(spark, d):
-    c = table(spark, d, "customer").where("c_custkey <= 80").select(F.concat(F.lit("c"), "c_custkey").alias("file"), "c_custkey", F.col("c_nationkey").alias("n_bytes"), F.lit(0).alias("mtime_ms"))
+    # the SQL covers these customers only; graph_freshness_whole covers all
+    return _freshness(table(spark, d, "customer").where("c_custkey <= 80"))
+
+
+def _freshness(customer):
+    c = customer.select(F.concat(F.lit("c"), "c_custkey").alias("file"), "c_custkey", F.col("c_nationkey").alias("n_bytes"), F.lit(0).alias("mtime_ms"))
     new = c.where("c_custkey % 7 <> 0").withColumn("n_bytes", F.col("n_bytes") + (F.col("c_custkey") % 11 == 0).cast("int"))
     return graph.fresh(c.select("file"), c.where("c_custkey % 5 <> 0"), new)
+
+
+@query("graph_freshness_whole", "SELECT 'c' || c_custkey AS file, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS fresh FROM customer")
+def freshness_whole(spark, d):
+    return _freshness(table(spark, d, "customer"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pytest
+from pyspark.sql import functions as F
 
 from corvane import catalog
+from corvane.operators import ranking, targets
 from corvane.query import table
 
 
@@ -19,3 +20,22 @@ def test_every_order_has_a_verdict(spark, tmp_path):
     rows = catalog.queries()["check_proof_whole"](spark, str(tmp_path)).collect()
     assert sorted(r["id"] for r in rows) == keys
     assert len({(r["verified"], r["failed"], r["disposition"]) for r in rows}) == 1
+
+
+def test_every_part_and_customer_has_a_row(spark, sf_dir):
+    for name, of in (("rank_reordered_whole", "part"), ("graph_freshness_whole", "customer")):
+        rows = catalog.queries()[name](spark, sf_dir)
+        assert rows.count() == rows.select("file").distinct().count() == table(spark, sf_dir, of).count() > 80
+
+
+def test_positions_need_no_window_over_all_rows(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("f"), "id").alias("file"), (F.col("id") * 37 % 1000).alias("lexical_rank"))
+    ranked = rows.where("lexical_rank % 3 = 0").select("file", (-F.col("lexical_rank")).alias("rank"))
+    got = {r["file"]: r["position"] for r in targets.reordered(rows, ranked.repartition(3)).collect()}
+    keys = {r["file"]: r["lexical_rank"] for r in rows.collect()}
+    order = sorted(keys, key=lambda f: (keys[f] % 3 > 0, -keys[f] if keys[f] % 3 == 0 else keys[f]))
+    assert got == {f: i + 1 for i, f in enumerate(order)}
+    out = ranking.numbered(rows, [F.asc("lexical_rank")], "n")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "Window [row_number" not in plan
+    assert ranking.numbered(rows.limit(0), [F.asc("lexical_rank")], "n").count() == 0
