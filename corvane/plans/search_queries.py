@@ -231,10 +231,23 @@ def grouped(spark, d):
     f AS (SELECT doc_id, w, min(i) AS i FROM x WHERE lower(w) NOT IN (SELECT w FROM s) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
     SELECT d.doc_id, count(rn) AS n, coalesce(string_agg(w, ',' ORDER BY i), '') AS names FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn <= 160) r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
 def identifiers(spark, d):
-    ids = text.identifiers(F.col("text"))
+    # the SQL stops these words only; text_identifiers_whole stops those of the engine
+    return _identifiers(spark, d, ["and", "are", "but", "for", "from", "has", "have", "into", "not", "that", "the", "then", "this", "was", "with"])
+
+
+def _identifiers(spark, d, stop_words):
+    ids = text.identifiers(F.col("text"), stop_words=stop_words)
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("names"))
 
 
+@query("text_identifiers_whole", r"""WITH s(w) AS (VALUES ('and'),('as'),('async'),('await'),('break'),('case'),('catch'),('class'),('const'),('continue'),('def'),('default'),('do'),('else'),('except'),('export'),('extends'),('false'),('finally'),('for'),('from'),('function'),('if'),('import'),('in'),('interface'),('let'),('new'),('none'),('null'),('of'),('pass'),('return'),('static'),('super'),('switch'),('this'),('throw'),('true'),('try'),('type'),('var'),('while'),('with'),('yield')),
+    x AS (SELECT doc_id, u.i, u.w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM documents), LATERAL (SELECT unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i) u),
+    f AS (SELECT doc_id, w, min(i) AS i FROM x WHERE lower(w) NOT IN (SELECT w FROM s) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
+    SELECT d.doc_id, count(rn) AS n, coalesce(string_agg(w, ',' ORDER BY i), '') AS names FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn <= 160) r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
+def identifiers_whole(spark, d):
+    return _identifiers(spark, d, text.STOP_WORDS)
+
+
 @query("text_clips", r"""SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 80) AS clipped, CASE WHEN length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 40 THEN left(trim(regexp_replace(text, '\s+', ' ', 'g')), 40) || '…' ELSE trim(regexp_replace(text, '\s+', ' ', 'g')) END AS marked, length(text)::BIGINT AS n_chars_utf16 FROM documents""")
 def clips(spark, d):
     t = F.col("text")

@@ -21,6 +21,14 @@ def test_tokens(spark):
     assert one(spark, text.query_terms(F.col("t")), t="b.c a1 a1") == ["a1", "b.c"]
 
 
+def test_identifiers_stop_keywords_only(spark):
+    t = "class That: def has_not(self): return not That and into(the, x) if x in this else const"
+    assert one(spark, text.identifiers(F.col("t")), t=t) == ["That", "has_not", "self", "not", "into", "the", "x"]
+    assert len(set(text.STOP_WORDS)) == 45
+    padded = "class def return if import in of while " + " ".join(f"n{i}" for i in range(170))
+    assert one(spark, text.identifiers(F.col("t")), t=padded) == [f"n{i}" for i in range(160)]
+
+
 def test_line_ends(spark):
     for t, kind in (("one\n", "lf"), ("one\r\n", "crlf"), ("one\r\ntwo\n", "mixed"), ("one\rtwo", "bare_cr"), ("one", "none")):
         assert one(spark, text.eol_kind(F.col("t")), t=t) == kind
