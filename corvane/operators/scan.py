@@ -20,11 +20,17 @@ def _matching(text: Column, queries: list[str]) -> Column:
     return F.array_compact(hits)
 
 
-def discover(lines: DataFrame, queries: list[str], cap: int = FILE_CAP) -> DataFrame:
-    """(query, file) of files with a matching line, at most ``cap`` files a query in path order."""
+def discover(lines: DataFrame, queries: list[str], cap: int | None = FILE_CAP) -> DataFrame:
+    """(query, file, capped) of files with a matching line, at most ``cap`` files a query in path order; all if it is None.
+
+    ``capped`` says of a query that files were left out.
+    """
     found = lines.select("file", F.explode(_matching(F.col("text"), queries)).alias("query")).distinct()
-    w = Window.partitionBy("query").orderBy("file")
-    return found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).select(F.col("query").cast("int"), "file")
+    if cap is None:
+        return found.select(F.col("query").cast("int"), "file", F.lit(False).alias("capped"))
+    w = Window.partitionBy("query")
+    found = found.withColumns({"n": F.row_number().over(w.orderBy("file")), "capped": F.count("*").over(w) > cap})
+    return found.where(F.col("n") <= cap).select(F.col("query").cast("int"), "file", "capped")
 
 
 def scan_lines(lines: DataFrame, queries: list[str], cap: int = LINE_CAP) -> DataFrame:

@@ -20,7 +20,7 @@ PROBE, EMIT = 8, 4
 def search(files: DataFrame, fields: DataFrame, queries: list[str], words: list[list[str]], terms: list[str], budget: int = 5_000) -> DataFrame:
     """(rank, file, line, marked, text) of the emitted files."""
     lines = corpus.plain_lines(files)
-    found = scan.discover(lines, queries)
+    found = scan.discover(lines, queries, cap=None)
     lexical = ranking.top_ranked(ranking.lexical_rank(found, words), ranking.lexical_order(), ranking.MOST_RESULTS)
     exact = lexical.select("file", "queries", "coverage", "path_affinity", "rarity", F.col("rank").alias("exact_rank"))
     # only the ranked candidates are scored: at most MOST_RESULTS rows are broadcast

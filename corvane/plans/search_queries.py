@@ -47,7 +47,13 @@ def extension_counts(spark, d):
 
 @query("scan_discover_files", f"SELECT query::INT AS query, file FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY file) AS rn FROM {FOUND_SQL}) WHERE rn <= {scan.FILE_CAP}")
 def discover_files(spark, d):
-    return scan.discover(_lines(spark, d), SEARCH)
+    # the SQL has no column for the flag; scan_discover_capped shows it
+    return scan.discover(_lines(spark, d), SEARCH).select("query", "file")
+
+
+@query("scan_discover_capped", f"SELECT query::INT AS query, least(n, {scan.FILE_CAP}) AS n_files, n > {scan.FILE_CAP} AS capped FROM (SELECT query, count(*) AS n FROM {FOUND_SQL} GROUP BY query)")
+def discover_capped(spark, d):
+    return scan.discover(_lines(spark, d), SEARCH).groupBy("query").agg(F.count("*").alias("n_files"), F.bool_or("capped").alias("capped"))
 
 
 @query("scan_line_hits", f"SELECT query::INT AS query, file, line, text, n::BIGINT AS n_matches, capped FROM {KEPT_SQL}")

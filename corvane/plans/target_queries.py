@@ -78,7 +78,8 @@ def competitors(spark, d):
 
     found = scan.discover(s._lines(spark, d), s.SEARCH)
     target = found.where("query = 1").orderBy("file").head()
-    rows, decision = targets.competitors(found, target["file"] if target else "", found.where("query <> 2"))
+    complete = not found.where("capped").head(1)
+    rows, decision = targets.competitors(found, target["file"] if target else "", found.where("query <> 2"), complete)
     return rows.agg(F.count("*").alias("n_rivals")).withColumn("decision", F.lit(decision))
 
 

@@ -29,6 +29,28 @@ def test_identifiers_stop_keywords_only(spark):
     assert one(spark, text.identifiers(F.col("t")), t=padded) == [f"n{i}" for i in range(160)]
 
 
+def test_discovery_says_where_it_was_cut(spark):
+    lines = spark.createDataFrame([(f"f{i}", 1, "aa bb" if i < 3 else "aa") for i in range(4)], "file string, line bigint, text string")
+    got = {(r["query"], r["file"], r["capped"]) for r in scan.discover(lines, ["aa", "bb"], cap=3).collect()}
+    assert got == {(0, f"f{i}", True) for i in range(3)} | {(1, f"f{i}", False) for i in range(3)}
+    whole = scan.discover(lines, ["aa", "bb"], cap=None).collect()
+    assert len(whole) == 7 and not any(r["capped"] for r in whole)
+
+
+def test_search_ranks_files_past_the_cap(spark):
+    from corvane.plans import search
+
+    n = scan.FILE_CAP + 1
+    files = spark.range(n).select(F.format_string("a%05d.txt", "id").alias("file"), F.when(F.col("id") == n - 1, "aa bb").otherwise("aa").alias("source"))
+    fields = files.select("file", F.lit("code").alias("field"), F.col("source").alias("text"))
+    rows = search.search(files, fields, ["aa", "bb"], [[], []], ["bb"]).collect()
+    assert {r["file"] for r in rows if r["rank"] == 1} == {f"a{n - 1:05d}.txt"}
+    # the last file has the only word of the path that the query looks for, and one query only
+    named = files.select("file", F.lit("aa").alias("source")).withColumn("file", F.when(F.col("file") == f"a{n - 1:05d}.txt", "zz.txt").otherwise(F.col("file")))
+    rows = search.search(named, named.select("file", F.lit("code").alias("field"), F.col("source").alias("text")), ["aa"], [["zz"]], ["zz"]).collect()
+    assert "zz.txt" in {r["file"] for r in rows}
+
+
 def test_line_ends(spark):
     for t, kind in (("one\n", "lf"), ("one\r\n", "crlf"), ("one\r\ntwo\n", "mixed"), ("one\rtwo", "bare_cr"), ("one", "none")):
         assert one(spark, text.eol_kind(F.col("t")), t=t) == kind
