@@ -154,29 +154,30 @@ def fused(scores: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
     return top_ranked(rows, [F.desc(F.round("rrf", 12)), F.desc(F.round("bm25f", 12)), F.asc("file")], k)
 
 
-def reserve_and_fill(ranked: DataFrame, found: DataFrame, k: int, fill: bool = True) -> list[str]:
-    """Files of a fair top-k, in rank order.
+def reserve_and_fill(ranked: DataFrame, found: DataFrame, k: int, fill: bool = True, by: list[Column] | None = None) -> list[str]:
+    """Files of a fair top-k, in the order ``by`` (default: rank).
 
     Queries with fewer files go first; each one not covered yet reserves its
     best file not taken, which covers all that file's queries. The rest is
-    filled by rank. Few queries and k results: each step is one ``limit 1``.
+    filled in order. Few queries and k results: each step is one ``limit 1``.
     """
+    by = by or [F.asc("rank"), F.asc("file")]
     order = [r["query"] for r in found.groupBy("query").agg(F.countDistinct("file").alias("n")).orderBy("n", "query").collect()]
-    chosen: dict[str, tuple] = {}
+    chosen: list[str] = []
     covered: set[int] = set()
     for q in order:
         if len(chosen) >= k:
             break
         if q in covered:
             continue
-        best = ranked.where(F.array_contains("queries", q) & ~F.col("file").isin(list(chosen) or [""])).orderBy("rank").select("file", "rank", "queries").head()
+        best = ranked.where(F.array_contains("queries", q) & ~F.col("file").isin(chosen or [""])).orderBy(*by).select("file", "queries").head()
         if best:
-            chosen[best["file"]] = (best["rank"],)
+            chosen.append(best["file"])
             covered |= set(best["queries"])
     if fill and len(chosen) < k:
-        more = ranked.where(~F.col("file").isin(list(chosen) or [""])).orderBy("rank").select("file", "rank").limit(k - len(chosen)).collect()
-        chosen |= {r["file"]: (r["rank"],) for r in more}
-    return sorted(chosen, key=lambda f: chosen[f])
+        more = ranked.where(~F.col("file").isin(chosen or [""])).orderBy(*by).select("file").limit(k - len(chosen)).collect()
+        chosen += [r["file"] for r in more]
+    return [r["file"] for r in ranked.where(F.col("file").isin(chosen or [""])).orderBy(*by).select("file").collect()]
 
 
 def emit_with_impact(lexical: list[str], reserved: list[str], structural: list[str], graph: list[str], k: int = 4) -> list[str]:

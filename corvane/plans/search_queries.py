@@ -136,8 +136,7 @@ def probed(spark, d):
 @query("select_fair_files")
 def fair_files(spark, d):
     found = scan.discover(_lines(spark, d), SEARCH, cap=1 << 30)
-    ranked = ranking.top_ranked(ranking.lexical_rank(found, WORDS), ranking.lexical_order(), 1000)
-    files = ranking.reserve_and_fill(ranked, found, 8)
+    files = ranking.reserve_and_fill(ranking.lexical_rank(found, WORDS).cache(), found, 8, by=ranking.lexical_order())
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(files)], "position int, file string")
 
 

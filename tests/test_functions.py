@@ -51,6 +51,16 @@ def test_search_ranks_files_past_the_cap(spark):
     assert "zz.txt" in {r["file"] for r in rows}
 
 
+def test_a_rare_query_keeps_its_place_behind_many_files(spark, tmp_path):
+    from corvane.plans import search_queries
+
+    # 1,100 files of two queries ahead of one file with a query of its own
+    rows = [(i, "that of the MIT License", "en", "a") for i in range(1100)] + [(5000, "General Public License, version 3", "zz", "zz")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r["file"] for r in search_queries.fair_files(spark, str(tmp_path)).orderBy("position").collect()]
+    assert len(got) == 8 and got[-1] == "zz/zz/doc_5000.txt"
+
+
 def test_line_ends(spark):
     for t, kind in (("one\n", "lf"), ("one\r\n", "crlf"), ("one\r\ntwo\n", "mixed"), ("one\rtwo", "bare_cr"), ("one", "none")):
         assert one(spark, text.eol_kind(F.col("t")), t=t) == kind
