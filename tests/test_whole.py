@@ -39,3 +39,13 @@ def test_positions_need_no_window_over_all_rows(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "Window [row_number" not in plan
     assert ranking.numbered(rows.limit(0), [F.asc("lexical_rank")], "n").count() == 0
+
+
+def test_every_order_is_judged(spark, sf_dir, tmp_path):
+    spark.createDataFrame([(1, 3), (3, 3), (7, 3)], "c_custkey bigint, c_nationkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    # no order's key is a multiple of four
+    spark.createDataFrame([(13, 1), (26, 3), (53, 3), (33, 7)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["id"]: r["verdict"] for r in catalog.queries()["semantic_verdicts_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: "unresolved", 3: "contradicted", 7: "unavailable"}
+    whole = catalog.queries()["semantic_verdicts_whole"](spark, sf_dir)
+    assert whole.select("verdict").distinct().count() == 5
