@@ -213,19 +213,29 @@ def fold_of(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, per_language: int, most_bytes: int) -> list:
-    """At most ``per_language`` rows (lang, text, fold) of each language, by a hash of the row."""
-    rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 2))
-    rows = rows.where(F.octet_length("text").between(1, most_bytes)).select("lang", "text", fold_of(F.col("doc_id")).alias("fold"), "doc_id")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    """At most ``per_language`` rows (lang, text, fold) of each language, by a hash of the row.
+
+    Rows of at most ``most_bytes`` come first. Where a language has too few of
+    them, longer rows fill up, by their first ``most_bytes`` / 4 characters.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 2) & (F.octet_length("text") >= 1))
+    rows = rows.select("lang", "text", fold_of(F.col("doc_id")).alias("fold"), "doc_id", (F.octet_length("text") > most_bytes).alias("__long"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("__long").alias("long")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     if not counts:
         return []
+
     # twice as many as asked for are expected below this share; the window then sees bounded groups
-    share = F.create_map(*(F.lit(x) for lang, n in counts for x in (lang, min(1.0, (2 * per_language + 50) / n))))
+    def share(n: int) -> float:
+        return min(1.0, (2 * per_language + 50) / max(n, 1))
+
+    short = F.create_map(*(F.lit(x) for lang, n, long in counts for x in (lang, share(n - long))))
+    long = F.create_map(*(F.lit(x) for lang, n, long in counts for x in (lang, share(long) if n - long < per_language else 0.0)))
     u = F.pmod(F.xxhash64(F.lit(11), "doc_id", F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("__u", u).where(F.col("__u") < share[F.col("lang")])
-    first = Window.partitionBy("lang").orderBy("__u", "doc_id", "text")
+    picked = rows.withColumn("__u", u).where(F.col("__u") < F.when(F.col("__long"), long[F.col("lang")]).otherwise(short[F.col("lang")]))
+    picked = picked.withColumn("text", F.when(F.col("__long"), F.left("text", F.lit(max(1, most_bytes // 4)))).otherwise(F.col("text")))
+    first = Window.partitionBy("lang").orderBy("__long", "__u", "doc_id", "text")
     return picked.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select("lang", "text", "fold").collect()
 
 

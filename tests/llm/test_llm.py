@@ -290,6 +290,21 @@ def test_licenses(spark):
     assert licenses.licenses(df.limit(0)).count() == 0
 
 
+def test_language_of_long_rows_only(spark):
+    rows = [(i, f"the small cat {i} sat on the mat and the dog ran", "en") for i in range(60)]
+    rows += [(100 + i, f"ein langer satz über große straßen und häuser {i} " * 20, "de") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.sample(docs, 30, 200)
+    of = {x: [r["text"] for r in got if r["lang"] == x] for x in ("en", "de")}
+    assert len(of["en"]) == len(of["de"]) == 30 and all(len(t) == 50 for t in of["de"]) and all(len(t.encode()) <= 200 for x in of.values() for t in x)
+    # short rows go before long ones, and long ones only fill up
+    mixed = docs.withColumn("lang", F.lit("x"))
+    assert not any("langer" in r["text"] for r in language.sample(mixed, 30, 200))
+    assert sum("langer" in r["text"] for r in language.sample(mixed, 80, 200)) > 10
+    model = language.fit(docs, 30, 200)
+    assert set(model.predict([rows[70][1]])[0]) == {"de"} and set(model.languages) == {"de", "en"}
+
+
 def branches(parsed) -> list[str]:
     """One text for every branch of a parsed expression, with and without what is optional."""
     out = [""]
