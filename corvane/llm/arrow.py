@@ -14,6 +14,14 @@ from corvane.ship import ship
 SLICE_BYTES = 2 << 20
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fields(ddl: str) -> list[StructField]:
     return list(_parse_datatype_string(ddl))
 

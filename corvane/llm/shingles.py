@@ -2,57 +2,79 @@
 
 A document is the set of its distinct 5-word shingles (the whole sequence if it
 has fewer words); two link at a Jaccard similarity of ``similar`` percent.
-Shingles are ordered by how often the corpus has them, rarest first, as far as
-a table of counts of fixed size can tell, then by hash; similar sets share one
-of the first n - ceil(similar * n) + 1 shingles of that order.
-
-Documents with equal sets form a class with one representative. Classes with
-identical prefix and size form a group, and only the group's smallest member is
-posted under its prefix shingles. Group pairs are filtered by size and by the
-places of the shared shingle; those that stay are expanded and verified on
-whole sets. Only components are needed, so members of dense groups are compared
-with a pivot first (see components.linked_components); pairs whose ends are
-already connected are not listed.
+Documents with equal sets form a class with one representative.
+
+Most classes share too little with any other to link. A first exchange of
+hashes finds them: of the leading shingles in hash order (about half of a set),
+similar sets share a known number, so a class of which fewer are held by any
+other class links with nothing (see ``needed``). The join works on the rest.
+
+There, shingles are ordered by how many classes hold them, rarest first, from
+exact counts, then by hash; similar sets share one of the first
+n - ceil(similar * n) + 1 of that order. Classes with identical prefix and size
+form a group, and only the group's smallest member is posted, under the prefix
+shingles that others hold too. Group pairs are filtered by size and by the
+places of the shared shingle; those that stay are expanded to pairs of members
+and verified on whole sets. Only components are needed, so groups are compared
+with pivots first (see components.linked_groups); pairs whose ends are already
+connected are not listed.
 
 Defined cases: a null text or one without words has an empty set and links with
 nothing; repeated rows are copies; null ids never become a component's id
-unless all ids of a component are null; an empty table gives an empty result.
+unless all ids of a component are null; an empty table gives an empty result;
+other columns of the input may have any names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_texts, slices
+from corvane.ship import ship
+
+from .arrow import free_name, map_texts, slices
 from .bits import bitmap, test
-from .components import linked_components
+from .components import dealt_in_blocks, linked_groups
+from .frequency import CHUNK, SENT, parts_for, repeated, sent, with_levels
 from .rolling import windows, word_hashes
-from corvane.ship import ship
 from .store import stored
 
 SHINGLE, SIMILAR = 5, 75
-#: entries of the table of counts, a power of two
-COUNTS = 1 << 23
-CHUNK = 1 << 14
-#: a shingle whose entry counts this much is posted without looking whether another set has it
-HEAVY = 10_000
 #: rows of a key compared at once
 BLOCK = 1024
 #: of Spark's xxhash64 function
 SPARK_SEED = 42
-DIGEST, MAYBE = "__digest", "__maybe"
-SETS = "n_shingles bigint, digest binary, prefix_digest binary, prefix array<bigint>, n_light int, signature binary"
+SETS = "n_shingles bigint, digest binary, owner bigint, need int"
+PREFIXES = "id bigint, n int, own int, keys array<bigint>, prefix_digest binary, signature binary"
+
+
+def at_least(n: int, similar: int) -> int:
+    """The least intersection of a set of n members with a similar set."""
+    return -(-similar * n // 100)
 
 
 def prefix_length(n: int, similar: int = SIMILAR) -> int:
-    return n - -(-similar * n // 100) + 1
+    return n - at_least(n, similar) + 1
+
+
+def extra(n: int, similar: int) -> int:
+    """How many shared shingles the leading part of a set of n is made to show."""
+    return max(1, min(n // 4, at_least(n, similar)))
+
+
+def leading(n: int, similar: int) -> int:
+    """Length of the part, in hash order, of which similar sets share as many as the smaller one's ``extra``."""
+    return min(n, n - at_least(n, similar) + extra(n, similar))
+
+
+def needed(n: int, similar: int) -> int:
+    """Shared shingles that the leading part of a set of n must have if it links: a linked set has at_least(n) members or more."""
+    return extra(at_least(n, similar), similar)
 
 
 def hashed(texts: list[bytes | None], width: int):
@@ -65,51 +87,13 @@ def hashed(texts: list[bytes | None], width: int):
         yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
 
 
-def counts(docs: DataFrame, width: int, size: int) -> np.ndarray:
-    """Logarithmic counts, one byte an entry, of all shingles by their hash modulo ``size``.
-
-    Tasks send chunks of their tables, two bytes an entry; with many tasks those
-    are added up in two steps, so that no task gets a chunk of every other task.
-    """
-    ship(docs.sparkSession)
-    steps = -(-docs.rdd.getNumPartitions() // 256)
-
-    def run(batches):
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for _, texts in slices(batch, batch.column(0)):
-                entry, n = np.unique(np.concatenate([s & np.uint64(size - 1) for s in hashed(texts, width)]), return_counts=True)
-                total[entry.astype(np.int64)] += n.astype(np.uint32)
-        if total.any():
-            parts = total.reshape(-1, CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in parts], pa.binary())], names=["chunk", "part"])
+def digest_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-    def add(key, table):
-        total = np.zeros(CHUNK, np.uint64)
-        for x in table.column("part"):
-            raw = x.as_buffer()
-            total += np.frombuffer(raw, np.uint16 if raw.size == 2 * CHUNK else np.uint32)
-        out = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([out.tobytes()], pa.binary())})
 
-    kind = "chunk int, part binary"
-    table = docs.select("text").mapInArrow(run, kind)
-    if steps > 1:
-        table = table.withColumn("some", F.spark_partition_id() % steps).groupBy("chunk", "some").applyInArrow(add, kind)
-    table = table.groupBy("chunk").applyInArrow(add, kind)
-    out = np.zeros(size, np.uint8)
-    for chunk, part in table.toLocalIterator():
-        n = np.frombuffer(part, np.uint32).astype(np.float64)
-        out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.minimum(255, np.floor(np.log2(np.maximum(n, 1)) * 8))
-    return out
-
-
-def entries(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[(s & np.uint64(len(table) - 1)).astype(np.int64)]
-
-
-def in_order(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return s[np.lexsort((s, entries(s, table)))]
+def owner_of(digest: bytes) -> int:
+    """An even number below 2**48 that names a class among those with a shingle."""
+    return int.from_bytes(digest[:6], "little") & ~1
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -136,18 +120,13 @@ def most_shared(x: np.ndarray, n: int, y: np.ndarray, k: int) -> int:
     return int(np.minimum(x.reshape(-1, m).sum(axis=0), y.reshape(-1, m).sum(axis=0)).sum()) + sum(over)
 
 
-def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
+def sets(docs: DataFrame, width: int, similar: int) -> DataFrame:
     def make():
-        heavy = 8 * math.log2(HEAVY)
-
         def work(texts):
             rows = []
             for s in hashed(texts, width):
-                if not len(s):
-                    rows.append((0, *[None] * 5))
-                    continue
-                p = in_order(s, table.value)[: prefix_length(len(s), similar)]
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(p.tobytes(), digest_size=16).digest(), p.view(np.int64), int((entries(p, table.value) < heavy).sum()), signature(s)))
+                d = digest_of(s) if len(s) else None
+                rows.append((len(s), d, owner_of(d), needed(len(s), similar)) if d else (0, None, None, None))
             return [list(c) for c in zip(*rows)]
 
         return work
@@ -155,6 +134,77 @@ def sets(docs: DataFrame, table, width: int, similar: int) -> DataFrame:
     return map_texts(docs, make, SETS, keep=["doc_id"])
 
 
+def live_classes(docs: DataFrame, classes: DataFrame, hashes: int, width: int, similar: int, chunk: int = CHUNK) -> DataFrame:
+    """The classes whose leading shingles are held by other classes often enough for a link."""
+    spark = docs.sparkSession
+    ship(spark)
+    buckets = parts_for(spark, hashes // 2, 2 * chunk)
+
+    def scan(batches):
+        held, owners, size = [], [], 0
+        for batch in batches:
+            for _, texts in slices(batch, batch.column(0)):
+                for s in hashed(texts, width):
+                    if len(s):
+                        held.append(s[: leading(len(s), similar)])
+                        owners.append(owner_of(digest_of(s)))
+                        size += len(held[-1])
+                if size >= chunk:
+                    yield sent(held, owners, buckets)
+                    held, owners, size = [], [], 0
+        if held:
+            yield sent(held, owners, buckets)
+
+    found = repeated(docs.select("text").mapInArrow(scan, SENT))
+    return classes.join(found, "owner").where("c >= need").drop("c")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, n, members) of the classes (id, digest, n), from the documents."""
+    marks = docs.sparkSession.sparkContext.broadcast(bitmap(classes, F.xxhash64("digest")))
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in slices(batch, batch.column(0)):
+                some = {}
+                for s in hashed(texts, width):
+                    if len(s):
+                        some[digest_of(s)] = s
+                if some:
+                    names, members = list(some), [s.tobytes() for s in some.values()]
+                    keys = np.array([xxhash.xxh64_intdigest(x, SPARK_SEED) for x in names], np.uint64)
+                    stay = pa.array(test(marks.value, keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["digest", "members"]).filter(stay)
+
+    found = docs.select("text").mapInArrow(run, "digest binary, members binary").join(classes.select("digest", "id", "n"), "digest")
+    return found.groupBy("id").agg(F.first("n").alias("n"), F.first("members").alias("members"))
+
+
+def prefixes(members: DataFrame, hashes: int, similar: int, chunk: int = CHUNK) -> DataFrame:
+    """Rows of PREFIXES of the sets that share a prefix shingle with another.
+
+    ``own`` is how many shingles of the prefix no other set has; ``keys`` are
+    those that follow, in order.
+    """
+
+    def work(ids, parts, levels):
+        rows = []
+        for i, s, level in zip(ids.tolist(), parts, levels):
+            p = prefix_length(len(s), similar)
+            own = int((level == 0).sum())
+            if own >= p:
+                continue
+            keys = s[np.lexsort((s, level))[own:p]]
+            # a prefix with a shingle of its own is like no other
+            name = hashlib.blake2b(b"%d " % len(s) + (b"%d" % i if own else keys.tobytes()), digest_size=16, person=b"own" if own else b"all").digest()
+            rows.append((i, len(s), own, keys.view(np.int64), name, signature(s)))
+        columns = zip(*rows) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.table({k: pa.array(list(v), kind) for k, v, kind in zip(("id", "n", "own", "keys", "prefix_digest", "signature"), columns, kinds)})
+
+    return with_levels(members, hashes, work, PREFIXES, chunk)
+
+
 def could_link(a: str, b: str, similar: int) -> Column:
     """Size and position filter: whether sets that share the prefix shingle at these places may link."""
     n_a, n_b, at_a, at_b = (F.col(x) for x in (f"{a}_n", f"{b}_n", f"{a}_at", f"{b}_at"))
@@ -163,38 +213,37 @@ def could_link(a: str, b: str, similar: int) -> Column:
     return by_size & (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) >= need)
 
 
-def screened(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
+def screened(rows: DataFrame, brief: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b) that size and signature allow, of ids that share a key: one outside the key's main
     component, the other in another component than the first.
 
-    All keys with the same main component are worked on together, so a pair is
-    compared once and not under each key; the ids are taken in pairs of blocks
-    of about BLOCK.
+    ``rows`` has (main, id, component, lead), ``lead`` being the id's group. All
+    keys with the same main component are worked on together, so a pair is
+    compared once and not under each key. Ids outside meet all ids in pairs of
+    blocks of about ``block``, group pairs first filtered by size.
     """
-    rows = rows.select("main", "id", "component", "n").distinct().join(reps.select("id", "signature"), "id")
-    blocks = rows.groupBy("main").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    placed = rows.join(blocks, "main").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "main", "id", "component", "n", "signature", "mine")
+    rows = rows.select("main", "id", "component", "lead").distinct().join(brief, "id")
+    placed = dealt_in_blocks(stored(rows, "screened"), block)
 
     def compare(key, table):
-        main, ids, component, n, mine = (table.column(c).to_numpy().astype(np.int64) for c in ("main", "id", "component", "n", "mine"))
-        bits = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for chunk in table.column("signature").chunks for x in chunk]
+        main, ids, component, lead, n = (table.column(c).to_numpy().astype(np.int64) for c in ("main", "id", "component", "lead", "n"))
+        probe = np.array(table.column("probe").to_pylist(), bool)
+        bits = [unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in table.column("signature")]
         over = n - np.array([int(x.sum()) for x in bits])
         size = np.array([len(x) for x in bits])
-        matrices = {m: (np.cumsum(size == m) - 1, np.stack([x for x in bits if len(x) == m]).astype(np.uint8)) for m in np.unique(size).tolist()}
+        targets = np.flatnonzero(~probe)
+        matrices = {m: (at := targets[size[targets] == m], np.stack([bits[i] for i in at]).astype(np.uint8)) for m in np.unique(size[targets]).tolist()}
         found_a, found_b = [], []
-        for a in np.flatnonzero(component != main):
-            ok = (component != component[a]) & ((component == main) | (ids < ids[a]))
-            if key[1] != key[2]:
-                ok &= mine != mine[a]
+        for a in np.flatnonzero(probe):
             need = -(-similar * (n[a] + n) // (100 + similar))
-            ok &= (100 * n[a] >= similar * n) & (100 * n >= similar * n[a])
-            for m, (place, matrix) in matrices.items():
-                some = np.flatnonzero(ok & (size == m))
+            ok = (100 * n[a] >= similar * n) & (100 * n >= similar * n[a])
+            ok &= (component != component[a]) & ((component == main) | (ids < ids[a]))
+            for m, (at, matrix) in matrices.items():
+                some = np.flatnonzero(ok[at])
                 if not len(some):
                     continue
-                other, own, small = matrix[place[some]], bits[a], min(m, int(size[a]))
+                other, own, small = matrix[some], bits[a], min(m, int(size[a]))
+                some = at[some]
                 if m > small:
                     other = other.reshape(len(some), -1, small).sum(axis=1)
                 if size[a] > small:
@@ -209,11 +258,10 @@ def screened(rows: DataFrame, reps: DataFrame, similar: int) -> DataFrame:
     return placed.groupBy("main", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, similar: int) -> DataFrame:
+def verified(pairs: DataFrame, brief: DataFrame, members: DataFrame, similar: int) -> DataFrame:
     """Pairs (a, b) of class numbers whose whole sets link; signatures rule most others out first."""
-    spark = docs.sparkSession
-    brief = reps.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
-    other = reps.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
+    left = brief.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("x"))
+    right = brief.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("y"))
 
     def bounded(batches):
         for batch in batches:
@@ -223,13 +271,9 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, sim
             stay = [(100 + similar) * most_shared(*v) >= similar * (v[1] + v[3]) for v in zip(x, n, y, k)]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(stay, pa.bool_()))
 
-    pairs = pairs.join(brief, "a").join(other, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
-    pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "digest"), "id"), "asked")
-    marks = spark.sparkContext.broadcast(bitmap(ids, F.xxhash64("digest")))
-    known_sets = stored(_sets_of(docs, marks, width).join(ids, "digest").groupBy("id").agg(F.first("members").alias("members")), "asked_sets")
-    left = pairs.join(known_sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
-    both = left.join(known_sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(bounded, "a bigint, b bigint")
+    pairs = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
+    both = pairs.join(members.select(F.col("id").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -243,107 +287,81 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, width: int, sim
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets_of(docs: DataFrame, marks, width: int) -> DataFrame:
-    """(digest, members) of the documents whose set may be asked for."""
-    ship(docs.sparkSession)
-
-    def run(batches):
-        for batch in batches:
-            for _, texts in slices(batch, batch.column(0)):
-                names, members = [], []
-                for s in hashed(texts, width):
-                    if len(s):
-                        raw = s.tobytes()
-                        digest = hashlib.blake2b(raw, digest_size=16).digest()
-                        names.append(digest)
-                        members.append(raw)
-                if names:
-                    keys = np.array([xxhash.xxh64_intdigest(x, SPARK_SEED) for x in names], np.uint64)
-                    stay = pa.array(test(marks.value, keys))
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(members, pa.binary())], names=["digest", "members"]).filter(stay)
-
-    return docs.select("text").mapInArrow(run, "digest binary, members binary")
-
-
-def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, n_shingles, digest) and classes (digest, copies, class_id, component, component_id).
+def classes_of(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR, chunk: int = CHUNK, block: int = BLOCK, **limits) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, digest) and classes (digest, copies, class_id, component, component_id, linked).
 
     ``class_id`` and ``component_id`` are the smallest doc_id of the class and of
-    all classes linked with it; ``component`` numbers the components.
+    all classes linked with it; ``component`` numbers the components. ``chunk``,
+    ``block`` and the ``limits`` of components.linked_groups bound what a task
+    works on at once and change no result.
     """
-    spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(counts(docs, width, COUNTS))
-    rows = stored(sets(docs, table, width, similar).withColumn("id", F.monotonically_increasing_id()), "sets")
+    rows = stored(sets(docs, width, similar).withColumn("id", F.monotonically_increasing_id()), "sets")
     # a class has the number of its first row, so that null and repeated ids need no care
-    reps = rows.where("n_shingles > 0").groupBy("digest").agg(
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("class_id"), F.min("id").alias("id"),
-        F.first("n_shingles").alias("n"), F.first("prefix_digest").alias("prefix_digest"), F.first("signature").alias("signature"),
+        F.first("n_shingles").alias("n"), F.first("owner").alias("owner"), F.first("need").alias("need"),
+    )
+    classes = stored(classes, "classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    live = stored(live_classes(docs, classes.select("id", "digest", "n", "owner", "need"), total, width, similar, chunk), "live_classes")
+    members = stored(sets_of(docs, live, width), "live_sets")
+    total = members.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    found = stored(prefixes(members, total, similar, chunk), "prefixes")
+    # groups of identical prefix and size
+    leads = found.where("own = 0").groupBy("prefix_digest").agg(F.min("id").alias("lead"), F.count("*").alias("k")).where("k > 1")
+    grouped = stored(found.where("own = 0").select("id", "prefix_digest").join(leads, "prefix_digest").where("id <> lead").select("id", "lead"), "grouped")
+    posted = found.join(grouped.select("id"), "id", "left_anti").select("id", "n", "own", F.posexplode("keys").alias("at", "key"))
+    posted = stored(posted.select("key", "id", "n", (F.col("at") + F.col("own")).alias("at"), "own"), "postings")
+    brief = found.select("id", "n", "signature")
+    linked = linked_groups(
+        posted, grouped, lambda a, b: could_link(a, b, similar), lambda p: verified(p, brief, members, similar), ["n", "at"],
+        lambda r: screened(r, brief, similar, block), F.col("own"), **limits,
     )
-    reps = stored(reps, "classes")
-    groups = stored(reps.groupBy("prefix_digest", "n").agg(F.min("id").alias("id"), F.count("*").alias("members")), "groups")
-    posted = rows.select("id", "n_light", "prefix").join(groups.select("id"), "id", "left_semi").select("id", "n_light", F.posexplode("prefix").alias("at", "key"))
-    seen = F.count("*").over(Window.partitionBy("key"))
-    light = posted.where("at < n_light").select("key", "id", "at").withColumn("seen", seen).where("seen > 1").drop("seen")
-    posted = light.union(posted.where("at >= n_light").select("key", "id", "at"))
-    brief = reps.select("id", F.col("n").cast("int").alias("n"))
-    posted = posted.join(brief, "id").select("key", "id", "n", "at")
-    posted = stored(posted, "postings")
-
-    # groups of several members: they meet under their own key, and take part under the group's shingles
-    several = groups.where("members > 1").select("prefix_digest", "n", F.col("id").alias("lead"))
-    member = stored(reps.select("id", "n", "prefix_digest").join(several, ["prefix_digest", "n"]), "members")
-    own = member.select(F.xxhash64("prefix_digest", "n").alias("key"), "id", F.col("n").cast("int"), F.lit(0).alias("at"))
-    expanded = member.where("id <> lead").select("id", "lead").join(posted.withColumnRenamed("id", "lead"), "lead").select("key", "id", "n", "at")
-    postings = stored(posted.union(own).union(expanded), "all_postings")
-
-    def fits(a: str, b: str) -> Column:
-        return could_link(a, b, similar)
-
-    found = linked_components(postings, fits, lambda p: verified(p, reps, docs, width, similar), ["n", "at"], screen=lambda r: screened(r, reps, similar))
-    found = stored(found, "components")
-    names = found.join(reps.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = reps.select("digest", "copies", "id", "class_id").join(found, "id", "left").join(names, "component", "left")
+    linked = stored(linked, "components")
+    names = linked.join(classes.select("id", "class_id"), "id").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = classes.select("digest", "copies", "id", "class_id").join(linked.join(names, "component"), "id", "left")
     component_id = F.when(F.col("component").isNull(), F.col("class_id")).otherwise(F.col("component_id"))
     named = named.select("digest", "copies", "class_id", F.coalesce("component", "id").alias("component"), component_id.alias("component_id"), F.col("component").isNotNull().alias("linked"))
-    return rows.select("doc_id", "n_shingles", "digest"), stored(named, "named")
+    return rows.select("doc_id", "n_shingles", "digest"), named
 
 
-def join_classes(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+def join_classes(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR, **limits) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and class_id."""
-    rows, classes = classes_of(docs, width=width, similar=similar)
+    rows, classes = classes_of(docs, width=width, similar=similar, **limits)
     out = rows.join(classes, "digest", "left")
     none = F.col("digest").isNull()
     return out.select("doc_id", "n_shingles", *(F.when(none, F.col("doc_id")).otherwise(F.col(c)).alias(c) for c in ("component_id", "class_id")))
 
 
-def one_of_each(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR) -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = SHINGLE, similar: int = SIMILAR, **limits) -> DataFrame:
     """The documents with all their columns, one for each component: that of the smallest doc_id.
 
     Only rows whose class may have company pass through a join; a bitmap of
     fixed size lets all others through at once.
     """
     spark = docs.sparkSession
-    _, classes = classes_of(docs, width=width, similar=similar)
-    company = stored(classes.where("linked or copies > 1").select("digest", "component"), "company")
-    marks = spark.sparkContext.broadcast(bitmap(company, F.xxhash64("digest")))
-    columns = [f"`{c}`" for c in docs.columns if c not in (DIGEST, MAYBE)]
+    _, classes = classes_of(docs, width=width, similar=similar, **limits)
+    digest, maybe, tag = (free_name(docs, x) for x in ("digest", "maybe", "tag"))
+    company = stored(classes.where("linked or copies > 1").select(F.col("digest").alias(digest), "component"), "company")
+    marks = spark.sparkContext.broadcast(bitmap(company, F.xxhash64(digest)))
+    columns = [f"`{c}`" for c in docs.columns]
 
     def make():
         def work(texts):
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in hashed(texts, width)]
+            digests = [digest_of(s) if len(s) else None for s in hashed(texts, width)]
             keys = np.array([xxhash.xxh64_intdigest(d, SPARK_SEED) if d else 0 for d in digests], np.uint64)
             return [digests, [bool(d) and bool(t) for d, t in zip(digests, test(marks.value, keys))]]
 
         return work
 
-    tagged = map_texts(docs, make, f"{DIGEST} binary, {MAYBE} boolean")
-    alone = tagged.where(f"not {MAYBE}").select(*columns)
-    some = stored(tagged.where(MAYBE).withColumn("__tag", F.monotonically_increasing_id()), "company_rows")
-    placed = some.select(F.col(DIGEST).alias("digest"), "doc_id", "__tag").join(company, "digest", "left")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__tag"))
-    best = placed.where("component is not null").groupBy("component").agg(first.alias("f")).select(F.col("f.__tag").alias("__tag"))
-    best = best.union(placed.where("component is null").select("__tag"))
-    return alone.union(some.join(best, "__tag", "left_semi").select(*columns))
+    tagged = map_texts(docs, make, f"`{digest}` binary, `{maybe}` boolean")
+    alone = tagged.where(~F.col(maybe)).select(*columns)
+    some = stored(tagged.where(F.col(maybe)).withColumn(tag, F.monotonically_increasing_id()), "company_rows")
+    placed = some.select(digest, F.col("doc_id").alias("id"), tag).join(company, digest, "left")
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), "id", tag))
+    best = placed.where("component is not null").groupBy("component").agg(first.alias("f")).select(F.col("f")[tag].alias(tag))
+    best = best.union(placed.where("component is null").select(tag))
+    return alone.union(some.join(best, tag, "left_semi").select(*columns))
 
 
 def op2_grouped_prefix_join(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ bits grows with the logarithm of the number of vectors and the number of tables
 is set so that a pair at the threshold is missed with probability MISS; the
 Hamming distance of the codes then rules pairs out before any vector is moved.
 Equal vectors form one class. Components are found without listing all pairs of
-a dense group (components.linked_components). Links are counted afterwards
+a dense group (components.linked_groups). Links are counted afterwards
 inside components, by blocks of vectors of a fixed size, so that a task holds
 two blocks and emits one count per vector, however large a component is.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrow import fields
-from .components import linked_components
+from .components import dealt_in_blocks, linked_groups
 from corvane.ship import ship
 from .store import stored
 
@@ -149,6 +149,27 @@ def verified(pairs: DataFrame, reps: DataFrame, cosine: float) -> DataFrame:
     return both.mapInArrow(exact, "a bigint, b bigint")
 
 
+def screened(rows: DataFrame, brief: DataFrame, apart: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of few differing sign bits, of ids that share a band: one outside the band's main component,
+    the other in another component than the first; met in pairs of blocks, so a crowded band is no join on one key."""
+    placed = dealt_in_blocks(stored(rows.select("main", "id", "component").distinct().join(brief, "id"), "screened"), block)
+
+    def compare(key, table):
+        main, ids, component, dim = (table.column(c).to_numpy().astype(np.int64) for c in ("main", "id", "component", "dim"))
+        head = table.column("head").to_numpy().view(np.uint64)
+        probe = np.array(table.column("probe").to_pylist(), bool)
+        targets, found_a, found_b = np.flatnonzero(~probe), [], []
+        for a in np.flatnonzero(probe):
+            ok = (component[targets] != component[a]) & ((component[targets] == main[a]) | (ids[targets] < ids[a])) & (dim[targets] == dim[a])
+            good = ids[targets[ok & (np.bitwise_count(head[targets] ^ head[a]) <= apart)]]
+            found_a.append(np.full(len(good), ids[a]))
+            found_b.append(good)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (found_a, found_b))
+        return pa.table({"a": np.maximum(x, y), "b": np.minimum(x, y)})
+
+    return placed.groupBy("main", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+
+
 def counted(members: DataFrame, cosine: float) -> DataFrame:
     """(component, id, weight, vector) -> (id, n): weights of the other vectors of the component that link."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
@@ -183,8 +204,12 @@ def counted(members: DataFrame, cosine: float) -> DataFrame:
     return placed.groupBy("pack", "i", "j").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_vectors(table: DataFrame, *, cosine: float = COSINE, miss: float = MISS) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+def near_vectors(table: DataFrame, *, cosine: float = COSINE, miss: float = MISS, block: int = BLOCK, **limits) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept.
+
+    ``block`` and the ``limits`` of components.linked_groups bound what a task
+    works on at once and change no result.
+    """
     bits, tables, apart = plan(table.count(), cosine, miss)
     rows = stored(encode(table, bits, tables), "codes")
     usable = rows.where("digest is not null")
@@ -197,7 +222,8 @@ def near_vectors(table: DataFrame, *, cosine: float = COSINE, miss: float = MISS
     def fits(a: str, b: str) -> Column:
         return (F.bit_count(F.col(f"{a}_head").bitwiseXOR(F.col(f"{b}_head"))) <= apart) & (F.col(f"{a}_dim") == F.col(f"{b}_dim"))
 
-    found = linked_components(posted, fits, lambda p: verified(p, reps, cosine), ["head", "dim"])
+    brief = reps.select("id", "dim", "head")
+    found = linked_groups(posted, None, fits, lambda p: verified(p, reps, cosine), ["head", "dim"], lambda r: screened(r, brief, apart, block), **limits)
     found = stored(found, "components")
     members = stored(found.join(reps.select("id", "class_id", "weight", "vector"), "id"), "members")
     named = members.groupBy("component").agg(F.min("class_id").alias("component_id"))
