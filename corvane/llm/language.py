@@ -3,28 +3,36 @@
 One model of character n-grams per language. Text is folded to lower-case
 letters; any run of other characters is one space. The models are fitted on a
 bounded sample of the labelled training rows (``per_language`` rows of at most
-``most_bytes`` bytes a language, chosen by a hash of the row); a document
-belongs to the training rows if crc32 of its id modulo 4 is not 2. All n-grams
-of all languages lie in one sorted array of packed keys with one row of log
-probabilities; n-grams that no language has seen are scored through the lower
-orders. The language with the lowest cross-entropy per character wins.
-
-Rejection is calibrated on sample rows that were not used to fit: ``limit`` is
-the mean cross-entropy there plus a slack and a multiple of the standard error
-for the text's length. A document whose lowest cross-entropy is above it, or
-that is ``und``, is rejected. The score is the posterior probability over at
+``most_bytes`` bytes a language, chosen by a hash of the row, and ``most_rows``
+rows in all); a document belongs to the training rows if crc32 of its id modulo
+4 is not 2. Of more than ``most_languages`` labels the most frequent are
+learned, and a warning names the number left out. The n-grams of all languages
+lie in one sorted array of packed keys with one row of log probabilities, as
+many as fit a table of fixed size; the others are scored through the sorted
+arrays of each language. The language with the lowest cross-entropy per
+character wins; ties go to the first by name.
+
+Rejection is calibrated on sample rows that were not used to fit (those with
+remainder 3, unless a language has no others). A language's ``limit`` lies
+halfway between what its own texts reach, three deviations above their mean,
+and the lowest mean that texts of another language have under its model, plus
+five standard errors for the text's length. A document whose lowest
+cross-entropy is above it, or that is ``und``, is rejected. The score is the posterior probability over at
 most ``nats_over`` characters, times a logistic function of the distance to the
 limit.
 
 Defined cases: a null text or one without letters is ``und`` with score 0, and
 so is every text if no row is labelled; a null id is neither held out nor
 learned from; texts of over a million characters are scored in slices of a
-million; an empty table gives an empty result.
+million, each with the context of the one before; repeated rows get the same
+answer; an empty table gives an empty result. An input column named like a
+result is superseded by it.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,11 +41,14 @@ from pyspark.sql import functions as F
 from .arrow import map_texts
 
 ORDER, BITS = 4, 15
-PER_LANGUAGE, MOST_BYTES, MOST_LANGUAGES = 400, 20_000, 500
+PER_LANGUAGE, MOST_BYTES, MOST_LANGUAGES, MOST_ROWS = 400, 20_000, 500, 4000
+#: log probabilities kept ready, of all n-grams and languages together
+CELLS = 1 << 24
 SLICE = 1_000_000
 #: characters worked on at once, over all texts
 TOGETHER = 200_000
-SLACK = 1.2
+#: nats between a language's own texts and the limit where no other language is learned
+ALONE = 1.2
 REPORT = "lang_pred string, score double"
 
 
@@ -56,16 +67,17 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def folded(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, each after ORDER - 1 zeros, with the text's number (-1: the zeros)."""
+def folded(texts: list[str], table: np.ndarray, heads: list[np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, each after its head of ORDER - 1 ids (zeros if None), with the text's number (-1: the head)."""
     pad = ORDER - 1
-    points = [np.zeros(0, np.uint32)]
+    ids = [np.zeros(0, np.int64)]
     owner = [np.zeros(0, np.int64)]
     for i, t in enumerate(texts):
-        p = code_points(t)
-        points += [np.zeros(pad, np.uint32), p]
+        p = table[code_points(t)]
+        head = heads[i] if heads is not None else None
+        ids += [np.zeros(pad, np.int64) if head is None else head, p]
         owner += [np.full(pad, -1), np.full(len(p), i)]
-    ids, own = table[np.concatenate(points)], np.concatenate(owner)
+    ids, own = np.concatenate(ids), np.concatenate(owner)
     stay = (ids != 0) | (own < 0)
     stay[1:] |= (ids[1:] == 0) & (ids[:-1] != 0)
     return ids[stay], own[stay]
@@ -121,7 +133,7 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class Model:
     """Models of all languages; fit() sees (language, text) rows of the sample."""
 
-    def __init__(self, rows: list[tuple[str, str]], calibration: list[tuple[str, str]], nats_over: int = 60):
+    def __init__(self, rows: list[tuple[str, str]], calibration: list[tuple[str, str]], nats_over: int = 60, cells: int = CELLS):
         self.nats_over = nats_over
         self.languages = sorted({lang for lang, _ in rows})
         letters = sorted({c for _, t in rows for c in t.lower() if c.isalpha()})[: (1 << BITS) - 2]
@@ -133,7 +145,10 @@ class Model:
             self.models.append(KneserNey(keys_of(ids)[own[ORDER - 1 :] >= 0], len(letters) + 2))
         if not self.languages:
             return
-        self.grams = np.unique(np.concatenate([m.orders[0][0] for m in self.models]))
+        self.grams, seen = np.unique(np.concatenate([m.orders[0][0] for m in self.models]), return_counts=True)
+        most = max(1, cells // len(self.models))
+        if len(self.grams) > most:  # those of most languages are asked for most
+            self.grams = np.sort(self.grams[np.argsort(-seen, kind="stable")[:most]])
         self.logs = np.stack([np.log(m.probability(self.grams)) for m in self.models], axis=1)
         self._calibrate([(x, t) for x, t in calibration if x in self.languages] or rows, table)
 
@@ -141,15 +156,19 @@ class Model:
         own = np.array([self.languages.index(x) for x, _ in rows])
         sums, n, squares = self.entropy([t for _, t in rows], table)
         mine, square = sums[np.arange(len(rows)), own], squares[np.arange(len(rows)), own]
-        self.mean, self.spread = [], []
+        level, self.spread = [], []
+        rates = sums / np.maximum(n, 1)[:, None]
         for k in range(len(self.languages)):
             at = (own == k) & (n > 0)
             at = at if at.any() else n > 0
             total = max(1, n[at].sum())
             mean = mine[at].sum() / total
-            per_text = mine[at] / np.maximum(n[at], 1)
-            self.mean.append(float(mean + 3 * np.std(per_text)))
+            level.append(float(mean + 3 * np.std(rates[at, own[at]])))
             self.spread.append(float(math.sqrt(max(1e-6, square[at].sum() / total - mean * mean))))
+        self.limit = []
+        for k in range(len(self.languages)):
+            foreign = [sums[at, k].sum() / n[at].sum() for x in range(len(self.languages)) if x != k and n[at := own == x].sum()]
+            self.limit.append(level[k] + (max(0.0, min(foreign) - level[k]) / 2 if foreign else ALONE))
 
     def log_rows(self, keys: np.ndarray) -> np.ndarray:
         at = find(self.grams, keys)
@@ -165,9 +184,13 @@ class Model:
         sums, squares, n = np.zeros((len(texts), k)), np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
         pending, size = [], 0
         for i, t in enumerate(texts):
+            head = None
             for a in range(0, len(t), SLICE):
-                pending.append((i, t[a : a + SLICE]))
-                size += len(pending[-1][1])
+                part = t[a : a + SLICE]
+                pending.append((i, part, head))
+                size += len(part)
+                if a + SLICE < len(t):
+                    head = folded([part], table, [head])[0][1 - ORDER :]
                 if size >= TOGETHER:
                     self._add(pending, table, sums, squares, n)
                     pending, size = [], 0
@@ -176,11 +199,11 @@ class Model:
         return sums, n, squares
 
     def _add(self, pending, table, sums, squares, n) -> None:
-        ids, own = folded([t for _, t in pending], table)
+        ids, own = folded([t for _, t, _ in pending], table, [h for _, _, h in pending])
         at = own[ORDER - 1 :]
         scored = at >= 0
         logs = -self.log_rows(keys_of(ids)[scored])
-        to = np.array([i for i, _ in pending])[at[scored]]
+        to = np.array([i for i, _, _ in pending])[at[scored]]
         letters = np.bincount(to, weights=ids[ORDER - 1 :][scored] != 0, minlength=len(n))
         count = np.bincount(to, minlength=len(n))
         n += np.where(letters > 0, count, 0)
@@ -199,7 +222,7 @@ class Model:
         best = rate.argmin(axis=1)
         seen = np.minimum(n, self.nats_over)[:, None]
         posterior = 1 / np.exp(-seen * (rate - rate.min(axis=1)[:, None])).sum(axis=1)
-        limit = np.array(self.mean)[best] + SLACK + 5 * np.array(self.spread)[best] / np.sqrt(np.maximum(n, 1))
+        limit = np.array(self.limit)[best] + 5 * np.array(self.spread)[best] / np.sqrt(np.maximum(n, 1))
         over = rate[np.arange(len(n)), best] - limit
         sure = 1 / (1 + np.exp(np.clip(4 * over, -50, 50)))
         ok = n > 0
@@ -212,19 +235,23 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_language: int, most_bytes: int) -> list:
-    """At most ``per_language`` rows (lang, text, fold) of each language, by a hash of the row.
+def sample(docs: DataFrame, per_language: int, most_bytes: int, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> list:
+    """At most ``per_language`` rows (lang, text, fold) of each language, by a hash of the row, and ``most_rows``
+    in all (one a language at least), of the ``most_languages`` most frequent languages.
 
     Rows of at most ``most_bytes`` come first. Where a language has too few of
     them, longer rows fill up, by their first ``most_bytes`` / 4 characters.
     """
     rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 2) & (F.octet_length("text") >= 1))
     rows = rows.select("lang", "text", fold_of(F.col("doc_id")).alias("fold"), "doc_id", (F.octet_length("text") > most_bytes).alias("__long"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("__long").alias("long")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("__long").alias("long")).orderBy(F.desc("n"), "lang")
+    if len(counts.take(most_languages + 1)) > most_languages:
+        warnings.warn(f"of {counts.count()} labels the {most_languages} most frequent are learned", stacklevel=2)
+    counts = counts.limit(most_languages).collect()
     if not counts:
         return []
+    per_language = max(1, min(per_language, most_rows // len(counts)))
+    rows = rows.where(F.col("lang").isin([lang for lang, _, _ in counts]))
 
     # twice as many as asked for are expected below this share; the window then sees bounded groups
     def share(n: int) -> float:
@@ -239,9 +266,10 @@ def sample(docs: DataFrame, per_language: int, most_bytes: int) -> list:
     return picked.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select("lang", "text", "fold").collect()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES) -> Model:
-    rows = sample(docs, per_language, most_bytes)
-    return Model([(r[0], r[1]) for r in rows if r[2] != 3], [(r[0], r[1]) for r in rows if r[2] == 3])
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> Model:
+    rows = sample(docs, per_language, most_bytes, most_languages, most_rows)
+    others = {lang for lang, _, fold in rows if fold != 3}
+    return Model([(lang, t) for lang, t, fold in rows if fold != 3 or lang not in others], [(lang, t) for lang, t, fold in rows if fold == 3])
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str] | None = None, accepted_only: bool = False) -> DataFrame:
