@@ -21,8 +21,8 @@ LOW48 = np.uint64((1 << 48) - 1)
 
 
 def parts_for(spark, hashes: int, chunk: int) -> int:
-    """Chunks or buckets of about ``chunk`` hashes, at least one a shuffle partition."""
-    return max(partitions(spark), -(-hashes // chunk))
+    """Chunks or buckets of about ``chunk`` hashes, at least two a shuffle partition, so that partitions get alike."""
+    return max(2 * partitions(spark), -(-hashes // chunk))
 
 
 def packed48(x: np.ndarray) -> bytes:
@@ -79,8 +79,11 @@ def sent(hashes: list[np.ndarray], owners: list[int], buckets: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds)], names=list(rows))
 
 
-def repeated(sent_rows: DataFrame) -> DataFrame:
-    """(owner, c): how many of its sent hashes another owner sent too; at least that where copies of a set were in several chunks."""
+def repeated(sent_rows: DataFrame, buckets: int) -> DataFrame:
+    """(owner, c): how many of its sent hashes another owner sent too; at least that where copies of a set were in several chunks.
+
+    Counts travel packed as well, by buckets of owners.
+    """
 
     def count(key, table):
         h, o = unpacked48(joined(table.column("hashes"))), unpacked48(joined(table.column("owners")))
@@ -94,11 +97,24 @@ def repeated(sent_rows: DataFrame) -> DataFrame:
         mine = o[several & one & ~marked]
         owners = np.concatenate([mine, unpacked48(joined(table.column("known")))])
         counts = np.concatenate([np.ones(len(mine)), np.frombuffer(joined(table.column("counts")), np.uint32)])
-        owners, back = np.unique(owners, return_inverse=True)
-        c = np.bincount(back, weights=counts, minlength=len(owners)) if len(owners) else np.zeros(0)
-        return pa.table({"owner": owners.astype(np.int64), "c": c.astype(np.int64)})
+        owners, counts = summed(owners, counts)
+        order, cut = by_bucket(owners >> np.uint64(1), buckets)
+        owners, counts = owners[order], counts[order].astype(np.uint32)
+        some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
+        parts = [slice(cut[i], cut[i + 1]) for i in some]
+        return pa.table({"bucket": pa.array(some, pa.int32()), "owners": pa.array([packed48(owners[x]) for x in parts], pa.binary()), "counts": pa.array([counts[x].tobytes() for x in parts], pa.binary())})
+
+    def total(key, table):
+        owners, counts = summed(unpacked48(joined(table.column("owners"))), np.frombuffer(joined(table.column("counts")), np.uint32))
+        return pa.table({"owner": owners.astype(np.int64), "c": counts.astype(np.int64)})
+
+    counts = sent_rows.groupBy("bucket").applyInArrow(count, "bucket int, owners binary, counts binary")
+    return counts.groupBy("bucket").applyInArrow(total, "owner bigint, c bigint")
+
 
-    return sent_rows.groupBy("bucket").applyInArrow(count, "owner bigint, c bigint").groupBy("owner").agg(F.sum("c").alias("c"))
+def summed(names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names, back = np.unique(names, return_inverse=True)
+    return names, np.bincount(back, weights=counts, minlength=len(names)) if len(names) else np.zeros(0)
 
 
 def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -155,7 +155,7 @@ def live_classes(docs: DataFrame, classes: DataFrame, hashes: int, width: int, s
         if held:
             yield sent(held, owners, buckets)
 
-    found = repeated(docs.select("text").mapInArrow(scan, SENT))
+    found = repeated(docs.select("text").mapInArrow(scan, SENT), buckets)
     return classes.join(found, "owner").where("c >= need").drop("c")
 
 
