@@ -10,7 +10,7 @@ total budget is reached.
 Defined cases: a null text has size 0; null sources form one source, last in
 order; repeated rows are separate entries; with no tokens at all nothing is
 taken; an empty table gives an empty result. Columns other than the three named
-ones are not read, so their names cannot clash.
+ones are not read and may have any names.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import free_name
 from .order import PART, POS, before, ordered, ranked
 from .store import stored
 
@@ -128,16 +129,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     Rows without words are never taken. Equal rows share what all of them got.
     """
-    slim = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("__hash"))
-    taken = mix(slim, keep=("doc_id", "__hash"), **options).where("taken > 0")
-    times = taken.groupBy("doc_id", "__hash").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    times = times.select(F.col("doc_id").alias("__d"), F.col("__hash").alias("__t"), "__times")
-    rows = docs.withColumn("__t0", F.xxhash64("text"))
-    rows = rows.join(times, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__t0") == F.col("__t")))
-    same = Window.partitionBy("__d", "__t")
-    rows = rows.withColumn("__i", F.row_number().over(same.orderBy("source")) - 1).withColumn("__n", F.count("*").over(same))
-    mine = F.floor(F.col("__times") / F.col("__n")) + F.when(F.col("__i") < F.col("__times") % F.col("__n"), 1).otherwise(0)
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), mine.cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    key, n, times, i, copy = (free_name(docs, x) for x in ("key", "n", "times", "i", "copy"))
+    alike = F.xxhash64(F.lit(23), F.col("doc_id"), F.col("text"))
+    taken = mix(docs.select("doc_id", "source", "text", alike.alias("key")), keep=("key",), **options)
+    shares = taken.groupBy("key").agg(F.sum(F.coalesce(F.try_divide("taken", "size"), F.lit(0))).cast("int").alias(times), F.count("*").alias(n))
+    shares = stored(shares.where(F.col(times) > 0).withColumnRenamed("key", key), "times")
+    # the texts move once: join and window need them by the same key
+    rows = docs.withColumn(key, alike).join(shares, key)
+    rows = rows.withColumn(i, F.row_number().over(Window.partitionBy(key).orderBy("source")) - 1)
+    mine = F.floor(F.col(times) / F.col(n)) + F.when(F.col(i) < F.col(times) % F.col(n), 1).otherwise(0)
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), mine.cast("int")))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def op6_mix_sources(spark, sf_dir: str) -> DataFrame:

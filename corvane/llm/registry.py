@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from . import decontaminate, language, licenses, mixing, sharding, shingles, sql, substrings, tokens, vectors, warc
+from .store import tidy
 
 
 def queries() -> dict:
-    return {
+    runs = {
         "op1_hilbert_shards": sharding.op1_hilbert_shards,
         "op2_grouped_prefix_join": shingles.op2_grouped_prefix_join,
         "op3_rotation_codes": vectors.op3_rotation_codes,
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op9_viterbi_counts": tokens.op9_viterbi_counts,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
     }
+    return {name: tidy(f) for name, f in runs.items()}
 
 
 def oracle_sql() -> dict[str, str]:

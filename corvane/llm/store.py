@@ -2,34 +2,58 @@
 
 Every intermediate that is read more than once, or whose row order matters, is
 written as Parquet below ``spark.checkpoint.dir`` (a folder all executors
-share), so a lost executor costs a task and never the whole job.
+share), so a lost executor costs a task and never the whole job. A ``span``
+lists what is written inside it; ``tidy`` functions delete all that their
+result does not read.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_written: list[str] = []
+_open: ContextVar[list[str] | None] = ContextVar("scratch folders of the open span", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only if the setting is unset."""
+    """The cluster's shared folder; a private one only if the setting is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        root = _own[app]
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+        root = _own[context.applicationId]
     return root.rstrip("/")
 
 
+@contextmanager
+def span() -> Iterator[list[str]]:
+    """The scratch folders written inside; those left at its end also belong to the span around it."""
+    made: list[str] = []
+    token = _open.set(made)
+    try:
+        yield made
+    finally:
+        _open.reset(token)
+        around = _open.get()
+        if around is not None:
+            around += made
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{scratch_root(spark)}/corvane/{uuid.uuid4().hex}/{name}"
-    _written.append(path)
+    made = _open.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -41,22 +65,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many scratch folders there are; with released(), what was written since."""
-    return len(_written)
-
-
-def released(spark: SparkSession, since: int, until: int, used_by: DataFrame | None = None) -> None:
-    """Delete the scratch folders of a span, but for those that ``used_by`` reads."""
+def released(spark: SparkSession, folders: list[str], used_by: DataFrame | None = None) -> None:
+    """Delete scratch folders, but for those that ``used_by`` reads; only these stay in the list."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    needed = "\n".join(used_by.inputFiles()) if used_by is not None else ""
-    for i in range(since, until):
-        path = _written[i]
-        if path and path.split("/corvane/")[1] not in needed:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
+    needed = {x.split("/corvane/")[1].split("/")[0] for x in (used_by.inputFiles() if used_by is not None else ()) if "/corvane/" in x}
+    for path in list(folders):
+        if path.split("/corvane/")[1].split("/")[0] not in needed:
+            folder = jvm.org.apache.hadoop.fs.Path(path).getParent()
             folder.getFileSystem(conf).delete(folder, True)
-            _written[i] = ""
+            folders.remove(path)
+
+
+def tidy(f):
+    """Make a function (spark, ...) -> DataFrame delete the scratch tables its result does not read."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        with span() as made:
+            out = f(spark, *args, **options)
+            released(spark, made, used_by=out)
+        return out
+
+    return run
 
 
 def partitions(spark: SparkSession) -> int:
