@@ -4,12 +4,13 @@ Test strings are the windows of ``window`` consecutive words of every item (an
 item with fewer words is one window). For each window length there is a block
 shift table: the distance the end of the window may move when the last two
 words are not the end of any window. Where the shift is zero, the suffix block
-selects a bucket, split by first word, and the windows in it are compared
-directly.
+selects a bucket, split by first word, and the words are compared with the
+windows in it directly.
 
-The windows are broadcast in chunks of at most ``chunk_bytes`` of item text;
-each further chunk is one more pass over the documents, so the broadcast has a
-fixed bound for any number of items.
+The windows are made and broadcast in chunks of about ``chunk_bytes`` of item
+text, one at a time: each further chunk is one more pass over the documents,
+and the last one's windows are dropped first, so driver and workers hold one
+chunk however many items there are. A longer item is a chunk of its own.
 
 Defined cases: a null or wordless text has no words and no hits; items without
 words have no windows; an item id that is null counts as one item written as
@@ -23,28 +24,30 @@ import hashlib
 from pyspark.sql import DataFrame
 
 from . import words
-from .arrow import map_texts
+from .arrow import free_name, map_texts
 from .store import stored
 
 WINDOW = 13
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 REPORT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 
 
 class WuManber:
     """Occurrences of word sequences of one length."""
 
-    def __init__(self, length: int, windows: dict[tuple, set]):
+    def __init__(self, length: int, windows: dict[bytes, set]):
         self.length = length
         self.block = min(2, length)
         self.far = length - self.block + 1
+        self.windows = windows
         self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[bytes, list]] = {}
-        for w, items in windows.items():
+        self.buckets: dict[tuple, set[bytes]] = {}
+        for joined in windows:
+            w = joined.split()
             for end in range(self.block, length + 1):
-                b = w[end - self.block : end]
+                b = tuple(w[end - self.block : end])
                 self.shift[b] = min(self.shift.get(b, self.far), length - end)
-            self.buckets.setdefault(w[-self.block :], {}).setdefault(w[0], []).append((list(w), items))
+            self.buckets.setdefault(tuple(w[-self.block :]), set()).add(w[0])
 
     def scan(self, doc: list[bytes]):
         """(start, items) of every occurrence."""
@@ -57,19 +60,21 @@ class WuManber:
                 end += step
                 continue
             start = end - m
-            for w, items in self.buckets[block].get(doc[start], ()):
-                if doc[start:end] == w:
+            if doc[start] in self.buckets[block]:
+                items = self.windows.get(b" ".join(doc[start:end]))
+                if items:
                     yield start, items
             end += 1
 
 
-def windows_of(items: list[tuple], window: int) -> dict[int, dict[tuple, set]]:
-    by_length: dict[int, dict[tuple, set]] = {}
+def windows_of(items: list[tuple], window: int) -> dict[int, dict[bytes, set]]:
+    by_length: dict[int, dict[bytes, set]] = {}
     for item, text in items:
         doc = words.alnum(text.encode("utf-8", "surrogatepass") if text is not None else None)
         m = min(window, len(doc))
+        name = "" if item is None else str(item)
         for i in range(len(doc) - m + 1 if m else 0):
-            by_length.setdefault(m, {}).setdefault(tuple(doc[i : i + m]), set()).add("" if item is None else str(item))
+            by_length.setdefault(m, {}).setdefault(b" ".join(doc[i : i + m]), set()).add(name)
     return by_length
 
 
@@ -77,7 +82,7 @@ def chunks(benchmark: DataFrame, most: int):
     got, size = [], 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
         got.append((item, text))
-        size += len(text or "") * 4
+        size += len((text or "").encode("utf-8", "surrogatepass"))
         if size >= most:
             yield got
             got, size = [], 0
@@ -97,18 +102,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, chun
     """``keep`` columns (default all) with the report; with ``clean_only``, only
     rows that are not contaminated, without the report."""
     spark = docs.sparkSession
-    loads = [spark.sparkContext.broadcast(windows_of(c, window)) for c in chunks(benchmark, chunk_bytes)] or [spark.sparkContext.broadcast({})]
     keep = list(docs.columns if keep is None else keep)
-    df, state = docs, "__cover binary, __found array<string>"
-    for i, load in enumerate(loads):
-        first, last = i == 0, i + 1 == len(loads)
-        if not first:
-            df = stored(df, "windows_pass")
-        df = _one_pass(df, load, keep, first, last, clean_only, state)
-    return df
-
-
-def _one_pass(df, load, keep, first, last, clean_only, state):
+    cover, found = (free_name(docs, x) for x in ("cover", "found"))
+    left = chunks(benchmark, chunk_bytes)
+    df, first, chunk = docs, True, next(left, [])
+    while True:
+        following = next(left, None)
+        load = spark.sparkContext.broadcast(windows_of(chunk, window))
+        df = _one_pass(df, load, keep, first, following is None, clean_only, (cover, found))
+        if following is None:
+            return df
+        df, first, chunk = stored(df, "windows_pass"), False, following
+        load.destroy()
+
+
+def _one_pass(df, load, keep, first, last, clean_only, state: tuple[str, str]):
     names = [n.split()[0] for n in REPORT.split(", ")]
 
     def make():
@@ -143,11 +151,12 @@ def _one_pass(df, load, keep, first, last, clean_only, state):
 
         return report if last else carry
 
-    extra = () if first else ("__cover", "__found")
+    extra = () if first else state
     if last:
         cols = [c for c in keep if clean_only or c not in names]
         return map_texts(df, make, "" if clean_only else REPORT, keep=cols, only=clean_only, extra=extra)
-    return map_texts(df, make, state, keep=list(dict.fromkeys([*keep, "text"])), extra=extra)
+    cover, found = state
+    return map_texts(df, make, f"`{cover}` binary, `{found}` array<string>", keep=list(dict.fromkeys([*keep, "text"])), extra=extra)
 
 
 def op4_wu_manber(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,16 @@ texts a task works on at once is repeated, so one copy of it is sent as
 evidence for others instead of all; a passage that a third of all documents
 share costs a few rows a task.
 
+Runs of windows are dealt by leading gram. A gram that leads windows of over
+``hot`` classes would bring all of them to one task, so its windows are listed
+before the shuffle and dealt by their own hash.
+
+Windows are equal if leading gram and window have equal 64-bit hashes, made
+from mixed 64-bit hashes of the words; the words are not compared. With p pairs
+of different windows that share a leading gram, p / 2**64 false repeats are
+expected: under one in ten thousand for a trillion windows with a thousand
+others each.
+
 Texts with the same words form a class; a class of two or more rows loses all
 its words if it has a window at all. Results are joined back by the words'
 SHA-256, so null and repeated ids need no care.
@@ -40,10 +50,12 @@ WIDTH, GRAM = 35, 8
 #: words of one text worked on at once; places must fit into 24 bits
 LONG = 1 << 23
 SEEN = 100_000
+#: classes that a gram leads windows of before its windows are dealt one by one
+HOT = 1000
 EMPTY = hashlib.sha256(b"").hexdigest()
 FIRST = "n_words bigint, words_sha binary, grams array<bigint>"
 #: rows of two kinds: texts (words is set) and runs of windows with one leading gram
-FOUND = "row bigint, words_sha binary, words binary, sure array<int>, gram bigint, first int, hashes array<bigint>"
+FOUND = "row bigint, words_sha binary, words binary, sure array<int>, gram bigint, first int, hashes array<bigint>, hot boolean"
 
 
 def leads(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +97,7 @@ def first_pass(docs: DataFrame, width: int, gram: int) -> DataFrame:
     return map_texts(docs, make, FIRST, keep=["doc_id"])
 
 
-def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
+def second_pass(docs: DataFrame, marks, hot_marks, width: int, gram: int) -> DataFrame:
     """Texts with candidate windows, numbered, and the runs of windows to be compared.
 
     A run is consecutive windows of one text with the same leading gram; runs
@@ -148,7 +160,8 @@ def second_pass(docs: DataFrame, marks, width: int, gram: int) -> DataFrame:
             offsets = pa.array(np.append(start, len(i)).astype(np.int32))
             values = pa.ListArray.from_arrays(offsets, pa.array(hashes[i].view(np.int64)))
             mine = rows.take(pa.array(owner[k])) if asks else none(len(k), schema.field(0))
-            cols = [mine, *(none(len(k), f) for f in list(schema)[1:4]), pa.array(lead[k].view(np.int64)), pa.array(at[k].astype(np.int32)), values]
+            hot = pa.array(test(hot_marks.value, lead[k]))
+            cols = [mine, *(none(len(k), f) for f in list(schema)[1:4]), pa.array(lead[k].view(np.int64)), pa.array(at[k].astype(np.int32)), values, hot]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     def run(batches):
@@ -189,20 +202,23 @@ def cut(found: DataFrame, width: int) -> DataFrame:
     return map_texts(found, make, "n_removed bigint, kept string, kept_sha256 string", text="words", keep=["words_sha"], extra=("sure", "more"))
 
 
-def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, kept_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, kept_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256; with ``kept_text`` also the text's kept words
     where some were removed (null: all stay)."""
     first = stored(first_pass(docs, width, gram), "words")
     classes = first.where(F.col("n_words") >= width).groupBy("words_sha").agg(F.count("*").alias("n"), F.first("grams").alias("grams"), F.first("n_words").alias("n_words"))
     classes = stored(classes, "classes")
-    twice = classes.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    marks = docs.sparkSession.sparkContext.broadcast(bitmap(twice, F.col("g")))
-    found = stored(second_pass(docs, marks, width, gram), "windows")
-    # dealt by leading gram, so the windows themselves are only listed after the shuffle
-    asked = found.where("gram is not null").select("gram", "row", "first", "hashes").repartition("gram")
-    asked = asked.select("gram", "row", "first", F.posexplode("hashes").alias("i", "hash"))
+    twice = stored(classes.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "grams")
+    send = docs.sparkSession.sparkContext.broadcast
+    marks, hot_marks = send(bitmap(twice, F.col("g"))), send(bitmap(twice.where(F.col("n") > hot), F.col("g")))
+    found = stored(second_pass(docs, marks, hot_marks, width, gram), "windows")
+    asked = found.where("gram is not null")
+    listed = ["gram", "row", "first", F.posexplode("hashes").alias("i", "hash")]
+    # the windows are only listed after the shuffle, but for those of hot grams
+    cool = asked.where("not hot").select("gram", "row", "first", "hashes").repartition("gram").select(*listed)
+    warm = asked.where("hot").select(*listed)
     same = Window.partitionBy("gram", "hash")
-    again = asked.withColumn("n", F.count("*").over(same)).where("n > 1 and row is not null")
+    again = cool.withColumn("n", F.count("*").over(same)).union(warm.withColumn("n", F.count("*").over(same))).where("n > 1 and row is not null")
     again = again.groupBy("row").agg(F.collect_list(F.col("first") + F.col("i")).alias("more"))
     copies = classes.where("n > 1").select("words_sha", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit(EMPTY).alias("kept_sha256"))
     texts = found.where("words is not null").select("row", "words_sha", "words", "sure")

@@ -11,14 +11,17 @@ neighbouring unknown characters then form one piece. This is what the unigram mo
 of the ``tokenizers`` library does with byte fallback.
 
 White space splits a text into words; each is prefixed with U+2581 and counted
-alone. Counts of words already seen are kept, up to a fixed number.
+alone, without any normalisation. Counts of words already seen are kept, up to
+a fixed number of words of a bounded length. A vocabulary file of over 64 MB is
+refused, as it is sent to every worker.
 
 Vocabulary: the pieces of a public SentencePiece model, in its order. Where it
 is a BPE model, whose scores are only ranks, piece r of n gets the logarithm of
 Zipf's law, -ln(r + 1).
 
-Defined cases: a null text and one without words have 0 tokens; an empty table
-gives an empty result.
+Defined cases: a null text and one without words have 0 tokens; a word of any
+length is counted whole; repeated rows are counted each; an empty table gives an
+empty result. An input column named like a count is superseded by it.
 """
 
 from __future__ import annotations
@@ -32,7 +35,8 @@ from .arrow import map_texts
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE_WORDS = 300_000
+#: words whose counts are kept, and their longest in bytes
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 REPORT = "n_chars bigint, n_words bigint, n_tokens bigint, n_fallback bigint"
 
 
@@ -112,9 +116,10 @@ def count_tokens(docs: DataFrame, *, path: str = VOCABULARY, keep: list[str] | N
                     got = known.get(w)
                     if got is None:
                         got = model.count(MARK + w.decode("utf-8", "replace"))
-                        if len(known) >= CACHE_WORDS:
-                            known.clear()
-                        known[w] = got
+                        if len(w) <= CACHE_BYTES:
+                            if len(known) >= CACHE_WORDS:
+                                known.clear()
+                            known[w] = got
                     total += got[0]
                     odd += got[1]
                 rows.append((len(text.decode("utf-8", "replace")) if text else 0, len(words), total, odd))

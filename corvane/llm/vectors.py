@@ -40,6 +40,8 @@ from corvane.ship import ship
 from .store import stored
 
 COSINE, MISS, CONFIDENCE, BLOCK, SEED = 0.95, 1e-4, 5.0, 1024, 20
+#: vectors of a block whose links are counted
+LEAST_BLOCK, MOST_BLOCK = 256, 4096
 CODES = "vec_id bigint, dim int, digest binary, vector binary, code binary, factor double, head bigint, bands array<bigint>"
 
 
@@ -170,9 +172,11 @@ def screened(rows: DataFrame, brief: DataFrame, apart: int, block: int = BLOCK)
     return placed.groupBy("main", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
-def counted(members: DataFrame, cosine: float) -> DataFrame:
+def counted(members: DataFrame, cosine: float, block: int = LEAST_BLOCK) -> DataFrame:
     """(component, id, weight, vector) -> (id, n): weights of the other vectors of the component that link."""
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    # blocks of a sixteenth of the component, but for bounds, so its work is spread and vectors are not copied too often
+    n = F.count("*")
+    sizes = members.groupBy("component").agg(F.ceil(n / F.least(F.lit(float(MOST_BLOCK)), F.greatest(F.lit(float(block)), n / 16))).cast("int").alias("blocks"))
     placed = members.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # small components share groups; a large one has a group for each pair of its blocks
     packs = max(64, members.count() // 20_000)
@@ -195,10 +199,12 @@ def counted(members: DataFrame, cosine: float) -> DataFrame:
                     near[np.arange(len(near)), a + np.arange(len(near))] = False
                     n[at[a : a + BLOCK]] = near @ weight[at]
             else:
-                left = mine[at] == i
-                near = x[left] @ x[~left].T >= cosine
-                n[at[left]] = near @ weight[at[~left]]
-                n[at[~left]] = weight[at[left]] @ near
+                left, right = at[mine[at] == i], at[mine[at] == j]
+                x, y = x[mine[at] == i], x[mine[at] == j]
+                for a in range(0, len(left), BLOCK):
+                    near = x[a : a + BLOCK] @ y.T >= cosine
+                    n[left[a : a + BLOCK]] = near @ weight[right]
+                    n[right] += weight[left[a : a + BLOCK]] @ near
         return pa.table({"id": pa.array(ids), "n": pa.array(n)})
 
     return placed.groupBy("pack", "i", "j").applyInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
@@ -228,7 +234,7 @@ def near_vectors(table: DataFrame, *, cosine: float = COSINE, miss: float = MISS
     members = stored(found.join(reps.select("id", "class_id", "weight", "vector"), "id"), "members")
     named = members.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = members.select("id", "component").join(named, "component").select("id", "component_id")
-    links = counted(members, cosine)
+    links = counted(members, cosine, min(block, LEAST_BLOCK))
     classes = reps.select("digest", "id", "class_id", "weight").join(named, "id", "left").join(links, "id", "left")
     classes = stored(classes.select(
         "digest", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")

@@ -34,6 +34,8 @@ from .store import new_folder, stored
 MAGIC = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 LEAST_BYTES = 1000
+#: bytes of a file whose pieces and records are put together by one key
+STRETCH = 16 << 20
 CANDIDATE = (
     "file string, block bigint, rel bigint, size bigint, succ bigint, leaves bigint, page_id bigint, record_type string,"
     " refers_to bigint, payload_bytes bigint, payload_digest string, done boolean, payload binary"
@@ -238,7 +240,7 @@ def read_archive(spark: SparkSession, path: str, *, payload: bool = True) -> Dat
     return done.union(_gather(spark, path, base, split_up, payload).select(*out)) if split_up.head() else done
 
 
-def _gather(spark, path, base, split_up, payload) -> DataFrame:
+def _gather(spark, path, base, split_up, payload, stretch_bytes: int = STRETCH) -> DataFrame:
     """Records with a magic in the payload that run over the end of a split: put their pieces together."""
 
     def place(batches):
@@ -252,9 +254,15 @@ def _gather(spark, path, base, split_up, payload) -> DataFrame:
                 at += len(value) + len(MAGIC)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(rel, pa.int64())], names=["file", "block", "value", "rel"])
 
+    # pieces and records meet by stretches of the file, so a large file is no join on one key
+    def stretch(x):
+        return F.floor(x / F.lit(stretch_bytes))
+
     placed = pieces(spark, path).mapInArrow(place, "file string, block bigint, value binary, rel bigint")
     placed = placed.join(base, ["file", "block"]).select("file", "value", (F.col("base") + F.col("rel")).alias("from"))
-    parts = placed.join(split_up, "file").where("`from` >= at and `from` < at + length")
+    placed = placed.withColumn("stretch", stretch(F.col("from")))
+    wanted = split_up.withColumn("stretch", F.explode(F.sequence(stretch(F.col("at")), stretch(F.col("at") + F.col("length")))))
+    parts = placed.join(wanted, ["file", "stretch"]).where("`from` >= at and `from` < at + length").drop("stretch")
 
     def build(pdf):
         import pandas as pd
