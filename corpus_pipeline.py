@@ -4,58 +4,42 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 and read again as the next stage's docs. All but the last keep the columns of
 documents; the last adds size, text_crc32, shard and slot.
 
-A stage's scratch tables are deleted when the next stage begins, unless its
-input still reads them.
+A stage deletes the scratch tables that its result does not read; run() deletes
+the rest, and the stage's input, once the next stage's input is written.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, language, mixing, sharding, shingles, store
 
-_span = [0, 0]
-
-
-def stage(f):
-    @wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        store.released(spark, *_span, used_by=docs)
-        _span[0] = store.written()
-        out = f(spark, docs, sf_dir)
-        _span[1] = store.written()
-        return out
-
-    return run_stage
-
 
-@stage
+@store.tidy
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; rejected ones go."""
     return language.identify(docs, language.fit(docs), accepted_only=True)
 
 
-@stage
+@store.tidy
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     return shingles.one_of_each(docs)
 
 
-@stage
+@store.tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark contamination."""
     return decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean_only=True)
 
 
-@stage
+@store.tidy
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed(docs)
 
 
-@stage
+@store.tidy
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in shards cut from the Hilbert curve."""
     return sharding.shard(docs)
@@ -74,9 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for i, (_, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = store.stored(docs, f"stage_{i}")
+        with store.span() as made:
+            docs = f(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs = store.stored(docs, f"stage_{i}")
+                store.released(spark, made, used_by=docs)
+                store.released(spark, before)
+        before = made
     return docs
