@@ -24,7 +24,7 @@ DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case, ast.comprehension)
 
 
-def _places(source: str):
+def places(source: str):
     starts = [0]
     for row in source.splitlines(keepends=True):
         starts.append(starts[-1] + len(row.encode()))
@@ -42,7 +42,7 @@ def facts(source: str) -> list[tuple]:
         comments = [t for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
     except (SyntaxError, ValueError, tokenize.TokenError):
         return []
-    place, raw, out = _places(source), source.encode(), []
+    place, raw, out = places(source), source.encode(), []
 
     def add(role, kind, name, text, n):
         if text:
@@ -80,7 +80,7 @@ def control_flow(source: str, symbol: str) -> tuple[int | None, str | None]:
     return sum(isinstance(n, BRANCHES) for n in inner), None
 
 
-def _frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
+def frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
     """Rows that ``one`` makes of each row's values; schema ``kind``."""
     import pandas as pd
 
@@ -96,7 +96,7 @@ def _frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    return _frame(files.where("source is not null"), ["file", "source"], FACT, lambda file, source: [(file, *f) for f in facts(source)])
+    return frame(files.where("source is not null"), ["file", "source"], FACT, lambda file, source: [(file, *f) for f in facts(source)])
 
 
 def with_owners(fact_rows: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def control_flow_changes(candidates: DataFrame) -> DataFrame:
         return [(i, "observed", a, b, b - a, None)]
 
     kind = "id bigint, status string, before_points double, after_points double, delta double, reason string"
-    out = _frame(candidates, ["id", "before", "after", "symbol"], kind, one)
+    out = frame(candidates, ["id", "before", "after", "symbol"], kind, one)
     return out.select("id", "status", *(F.col(c).cast("bigint") for c in ("before_points", "after_points", "delta")), "reason")
 
 
@@ -155,7 +155,7 @@ def python_validity(candidates: DataFrame) -> DataFrame:
             return [(i, "native_enforced", False)]
         return [(i, "native_enforced", True)]
 
-    return _frame(candidates, ["id", "file", "after"], "id bigint, coverage string, pass boolean", one)
+    return frame(candidates, ["id", "file", "after"], "id bigint, coverage string, pass boolean", one)
 
 
 def reflective_uses(files: DataFrame, symbol: str) -> DataFrame:
@@ -172,4 +172,4 @@ def reflective_uses(files: DataFrame, symbol: str) -> DataFrame:
         )
         return [(file,)] if hit else []
 
-    return _frame(files, ["file", "source"], "file string", one)
+    return frame(files, ["file", "source"], "file string", one)

@@ -1,0 +1,276 @@
+"""Python syntax around places: roles of hits, top-level parts, structural slices, replacements.
+
+Files are parsed in batches with ``ast``, and what a row needs of its tree is
+taken out at once, so trees never leave the worker.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from bisect import bisect_right
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from corvane.functions.python_ast import DEFINITIONS, frame, places
+
+# Clips of what is told of a hit, and the widest run of siblings.
+MOST_ANCHOR, MOST_SUBJECT, MOST_STATEMENT, MOST_MATCH, MOST_SIBLINGS = 200, 320, 500, 160, 16
+FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+ASSIGNMENTS = (ast.Assign, ast.AnnAssign, ast.AugAssign, ast.NamedExpr)
+ROLE = "id bigint, role string, anchor string, subject string, statement string, symbol_kind string, symbol_name string, start_line bigint, end_line bigint"
+
+
+def compact(text: str, most: int) -> str:
+    return " ".join(text.split())[:most]
+
+
+@dataclass
+class Node:
+    ast: ast.AST
+    parent: Node | None
+    start: int
+    end: int
+
+
+class Source:
+    """A parsed file with byte places; ``tree`` is None if it does not parse."""
+
+    def __init__(self, text: str):
+        self.text, self.raw = text, text.encode()
+        self.nodes: list[Node] = []
+        try:
+            self.tree = ast.parse(text)
+        except (SyntaxError, ValueError):
+            self.tree = None
+            return
+        self.place = places(text)
+        todo: list[tuple[ast.AST, Node | None]] = [(self.tree, None)]
+        while todo:
+            x, parent = todo.pop()
+            if hasattr(x, "end_lineno"):
+                parent = Node(x, parent, self.place(x.lineno, x.col_offset), self.place(x.end_lineno, x.end_col_offset))
+                self.nodes.append(parent)
+            todo += [(c, parent) for c in ast.iter_child_nodes(x)]
+        self.nodes.sort(key=lambda n: (n.start, -n.end))
+        self.starts = [n.start for n in self.nodes]
+
+    def of(self, start: int, end: int) -> str:
+        return self.raw[start:end].decode("utf-8", "replace")
+
+    def text_of(self, x: ast.AST) -> str:
+        return self.of(self.place(x.lineno, x.col_offset), self.place(x.end_lineno, x.end_col_offset))
+
+    def around(self, start: int, end: int) -> Node | None:
+        """The smallest node that covers a range."""
+        i = bisect_right(self.starts, start) - 1
+        return next((n for n in upward(self.nodes[i]) if n.end >= end), None) if i >= 0 else None
+
+    def definitions(self, symbol: str) -> list[Node]:
+        return [n for n in self.nodes if isinstance(n.ast, FUNCTIONS) and n.ast.name == symbol]
+
+    def name_range(self, n: Node) -> tuple[int, int]:
+        m = re.compile(rb"(?:async\s+)?(?:def|class)\s+").match(self.raw, n.start + self.raw[n.start :].find(b"def" if isinstance(n.ast, FUNCTIONS) else b"class"))
+        at = m.end() if m else n.start
+        return at, at + len(n.ast.name.encode())
+
+
+def upward(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def symbol_of(source: Source, node: Node | None) -> Node | None:
+    return next((n for n in upward(node) if isinstance(n.ast, DEFINITIONS)), None)
+
+
+def described(symbol: Node | None, source: Source) -> tuple[str, str, int, int]:
+    """(kind, name, first line, last line); the module where there is no symbol."""
+    if symbol is None:
+        return "module", "<module>", 1, max(1, len(source.text.splitlines()))
+    kind = "class_definition" if isinstance(symbol.ast, ast.ClassDef) else "function_definition"
+    return kind, symbol.ast.name, symbol.ast.lineno, symbol.ast.end_lineno
+
+
+def classified(source: Source, start: int, end: int) -> tuple | None:
+    """(role, anchor, subject, statement, symbol kind, name, first line, last line) of a place."""
+    node = source.around(start, end)
+    symbol = symbol_of(source, node)
+    match = compact(source.of(start, end), MOST_ANCHOR)
+    if not match:
+        return None
+
+    def told(role: str, anchor: str, owner: ast.AST | None) -> tuple:
+        if role == "definition":
+            subject = statement = compact(source.text_of(owner).splitlines()[0], MOST_SUBJECT)
+        else:
+            subject = compact(source.text_of(owner) if owner else match, MOST_SUBJECT)
+            inner = next((n for n in upward(node) if isinstance(n.ast, ast.stmt)), None)
+            statement = compact(source.of(inner.start, inner.end), MOST_STATEMENT) if inner and inner is not symbol else subject
+        return role, compact(anchor, MOST_ANCHOR), subject, statement, *described(symbol, source)
+
+    if symbol is not None:
+        a, b = source.name_range(symbol)
+        if a <= start and end <= b:
+            return told("definition", symbol.ast.name, symbol.ast)
+    for n in upward(node):
+        if n is symbol:
+            break
+        x = n.ast
+        if isinstance(x, (ast.Import, ast.ImportFrom)):
+            return told("import", source.text_of(x.names[0]), x)
+        if isinstance(x, ast.Call):
+            return told("call", source.text_of(x.func), x)
+        if isinstance(x, ASSIGNMENTS):
+            return told("assignment", source.text_of(x.targets[0] if isinstance(x, ast.Assign) else x.target), x)
+    return told("reference", match, None)
+
+
+def hit_roles(files: DataFrame) -> DataFrame:
+    """(source, ids, starts, ends) -> rows of ROLE: what the text at each place of a file does; none of files that do not parse."""
+
+    def one(text, ids, starts, ends):
+        source = Source(text)
+        if source.tree is None:
+            return []
+        rows = ((i, classified(source, a, b)) for i, a, b in zip(ids, starts, ends))
+        return [(i, *r) for i, r in rows if r]
+
+    return frame(files, ["source", "ids", "starts", "ends"], ROLE, one)
+
+
+def top_level(text: str) -> list[tuple[str, str, int, int]] | None:
+    """(kind, text, start, end) of a file's top-level statements and comments between them; None if it does not parse."""
+    source = Source(text)
+    if source.tree is None:
+        return None
+    return [(type(x).__name__, source.text_of(x), source.place(x.lineno, x.col_offset), source.place(x.end_lineno, x.end_col_offset)) for x in source.tree.body]
+
+
+def conserved(before: str, after: str, edited: list[tuple[int, int]]) -> bool:
+    """Whether all top-level parts keep their kind, and those no edit touches their text."""
+    a, b = top_level(before), top_level(after)
+    if a is None or b is None or len(a) != len(b):
+        return False
+    touched = [any(s < x[3] and e > x[2] for s, e in edited) for x in a]
+    return all(x[0] == y[0] and (t or x[1] == y[1]) for x, y, t in zip(a, b, touched))
+
+
+def conservation_checks(candidates: DataFrame) -> DataFrame:
+    """(id, before, after, starts, ends) of edited byte ranges -> id, kind, pass."""
+    kind = "id bigint, kind string, pass boolean"
+    return frame(candidates, ["id", "before", "after", "starts", "ends"], kind, lambda i, a, b, s, e: [(i, "top_level_conservation", conserved(a, b, list(zip(s, e))))])
+
+
+def target_checks(candidates: DataFrame) -> DataFrame:
+    """(id, kind, before, after, symbol, new_name): one definition stays one, or becomes that of the new name."""
+
+    def one(i, what, before, after, symbol, new_name):
+        a, b = Source(before), Source(after)
+        ok = len(a.definitions(symbol)) == 1
+        if what == "rename_symbol":
+            ok = ok and not b.definitions(symbol) and len(b.definitions(new_name)) == 1
+        else:
+            ok = ok and len(b.definitions(symbol)) == 1
+        return [(i, "target_cardinality", ok)]
+
+    return frame(candidates, ["id", "kind", "before", "after", "symbol", "new_name"], "id bigint, kind string, pass boolean", one)
+
+
+def line_ends(text: str) -> str | None:
+    """The line end of a text, or None if it has several."""
+    crlf = "\r\n" in text
+    return None if crlf and "\n" in text.replace("\r\n", "") else "\r\n" if crlf else "\n"
+
+
+def fitted(source: str, fragment: str) -> tuple[str | None, str | None]:
+    """A fragment trimmed and with the source's line ends, or why that cannot be."""
+    flat = fragment.strip().replace("\r\n", "\n")
+    if "\r" in flat:
+        return None, "mutation_fragment_invalid"
+    ends = line_ends(source)
+    if ends is None:
+        return None, "mutation_source_eol_mixed"
+    return flat.replace("\n", ends), None
+
+
+def indented(source: str, at: int, fragment: str) -> str:
+    """Further lines of a fragment take the blanks that the line at byte ``at`` begins with."""
+    head = source.encode()[:at].decode("utf-8", "replace").rpartition("\n")[2]
+    blanks = head[: len(head) - len(head.lstrip(" \t"))]
+    rows = [x.rstrip() for x in fragment.replace("\r\n", "\n").split("\n")]
+    out = ("\n" + blanks).join(rows)
+    return out.replace("\n", line_ends(source) or "\n")
+
+
+def envelope(source: Source, owner: tuple[int, int], part: tuple[int, int]) -> tuple[str | None, str | None]:
+    """owner, node or siblings: what of the owner's syntax a slice is, or why it is nothing whole."""
+    if part[0] < owner[0] or part[1] > owner[1] or part[0] >= part[1]:
+        return None, "mutation_slice_not_structural"
+    if part == owner:
+        return "owner", None
+    if any((n.start, n.end) == part for n in source.nodes):
+        return "node", None
+    wide = False
+    for n in [None, *source.nodes]:
+        x = n.ast if n else source.tree
+        for children in (v for _, v in ast.iter_fields(x) if isinstance(v, list) and v and hasattr(v[0], "end_lineno")):
+            spans = [(source.place(c.lineno, c.col_offset), source.place(c.end_lineno, c.end_col_offset)) for c in children]
+            first = next((k for k, s in enumerate(spans) if s[0] == part[0]), None)
+            last = next((k for k, s in enumerate(spans) if s[1] == part[1]), None)
+            if first is not None and last is not None and first <= last:
+                if last - first < MOST_SIBLINGS:
+                    return "siblings", None
+                wide = True
+    return None, "mutation_slice_too_wide" if wide else "mutation_slice_not_structural"
+
+
+def replacement(text: str, symbol: str, before: str, after: str) -> tuple[str, int | None, int | None, str | None, str | None]:
+    """(reason or ok, start, end, envelope, new source) of replacing an exact slice of a symbol's one definition."""
+    source = Source(text)
+    found = source.definitions(symbol) if source.tree is not None else []
+    if len(found) != 1:
+        return "owner_unavailable", None, None, None, None
+    want, why = fitted(text, before)
+    if why or not want:
+        return why or "mutation_before_empty", None, None, None, None
+    owner = (found[0].start, found[0].end)
+    body, needle = source.raw[owner[0] : owner[1]], want.encode()
+    n = body.count(needle)
+    if n != 1:
+        return "mutation_slice_ambiguous" if n else "mutation_slice_not_exact", None, None, None, None
+    at = owner[0] + body.find(needle)
+    part = (at, at + len(needle))
+    kind, why = envelope(source, owner, part)
+    if why:
+        return why, None, None, None, None
+    new, why = fitted(text, after)
+    if why:
+        return why, None, None, None, None
+    done = source.raw[: part[0]] + indented(text, part[0], new).encode() + source.raw[part[1] :]
+    out = done.decode("utf-8", "replace")
+    return "no_change" if out == text else "ok", *part, kind, out
+
+
+def compiled_replacements(mutations: DataFrame) -> DataFrame:
+    """(id, source, symbol, before, replacement) -> id, reason, start_byte, end_byte, envelope, after."""
+    kind = "id bigint, reason string, start_byte double, end_byte double, envelope string, after string"
+    out = frame(mutations, ["id", "source", "symbol", "before", "replacement"], kind, lambda i, *x: [(i, *replacement(*x))])
+    return out.selectExpr("id", "reason", "cast(start_byte as bigint) start_byte", "cast(end_byte as bigint) end_byte", "envelope", "after")
+
+
+def confinement_checks(edits: DataFrame) -> DataFrame:
+    """(id, source, symbol, before, replacement, start_byte, end_byte, envelope, after): whether the claims are what a new compilation gives."""
+
+    def one(i, source, symbol, before, new, start, end, kind, after):
+        reason, a, b, e, out = replacement(source, symbol, before, new)
+        if reason not in ("ok", "no_change"):
+            return [(i, "replace_node_confinement", False, reason)]
+        if (a, b, e) != (start, end, kind):
+            return [(i, "replace_node_confinement", False, "slice_certificate_mismatch")]
+        return [(i, "replace_node_confinement", out == after, None if out == after else "compiled_replacement_mismatch")]
+
+    columns = ["id", "source", "symbol", "before", "replacement", "start_byte", "end_byte", "envelope", "after"]
+    return frame(edits, columns, "id bigint, kind string, pass boolean, detail string", one)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ranges
+from . import ranges, ranking
 
 # How much a role says about a scope.
 ROLE_SCORES = {"call": 5, "assignment": 4, "definition": 3, "import": 2, "reference": 1}
@@ -53,6 +53,11 @@ def valid_groups(groups: DataFrame) -> DataFrame:
     return groups.where((total == F.col("hit_count")) & (F.size("queries") > 0) & (F.size("lines") > 0))
 
 
+def in_order(groups: DataFrame) -> DataFrame:
+    """Groups with their ``position``: most hits first, then file, line, role and anchor."""
+    return ranking.numbered(groups, [F.desc("hit_count"), F.asc("file"), F.asc("start_line"), F.asc("role"), F.asc("anchor")], "position")
+
+
 def scopes(groups: DataFrame) -> DataFrame:
     """(file, start_line, end_line, kind, name, role, hit_count, queries, lines) -> scopes in order, without the module."""
     rows = groups.where("name <> '<module>'").withColumn("role_score", role_score(F.col("role")))

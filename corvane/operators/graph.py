@@ -92,6 +92,21 @@ def hypotheses(relations: DataFrame, seeds: DataFrame, lexical: DataFrame, k: in
     return out.orderBy(F.desc(F.col("direction") == "forward"), F.desc("n_queries"), F.desc(F.size("symbols")), "file").limit(k)
 
 
+def seed_contexts(hits: DataFrame, lines: DataFrame, scope_rows: DataFrame) -> DataFrame:
+    """Hit lines (file, line) -> per file the identifiers of the innermost scopes around them and what these declare."""
+    from corvane.functions import text
+    from corvane.operators import ranges
+
+    inner = hits.select("file", F.col("line").alias("i_id"), F.col("line").alias("i_start"), F.col("line").alias("i_end"))
+    outer = scope_rows.select("file", F.col("start").alias("o_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    mine = ranges.merged(ranges.tightest(inner, outer).select("file", F.col("o_start").alias("start"), F.col("o_end").alias("end")))
+    rows = mine.join(lines, "file").where("line between start and end")
+    owners = F.flatten(F.collect_list(F.when(F.col("line") == F.col("start"), text.declared_symbols(F.col("text"), "python"))))
+    per = rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"), F.array_sort(F.array_distinct(owners)).alias("owners"))
+    whole = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
+    return per.select("file", text.identifiers(whole).alias("identifiers"), "owners")
+
+
 def validated(guesses: DataFrame, lines: DataFrame, witnesses: DataFrame) -> DataFrame:
     """Hypotheses that the target's lines bear out: a definition (forward), or a use besides the import line (reverse)."""
     one = guesses.select("file", "direction", F.explode("symbols").alias("symbol"))

@@ -62,18 +62,23 @@ def prefix_budget(rows: DataFrame, partition: list[str], order: list[str], cost:
 def greedy_budget(rows: DataFrame, partition: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
     """Rows in order that still fit; one that does not fit is passed over and later ones may.
 
-    A fold over the (order, cost) pairs of a partition only; partitions are
-    bounded by the report they make, e.g. the groups of one answer.
+    Each choice depends on all before it, so a partition is one fold over its
+    (order, cost) columns; partitions are bounded by the report they make.
     """
-    key = F.struct(*order, cost.cast("long").alias("__cost"))
-    listed = rows.groupBy(*partition).agg(F.array_sort(F.collect_list(key)).alias("all"))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(listed.schema["all"].dataType).alias("kept"))
+    import numpy as np
+    import pyarrow as pa
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["spent"] + x["__cost"] <= budget
-        return F.struct(F.when(fits, acc["spent"] + x["__cost"]).otherwise(acc["spent"]).alias("spent"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    slim = rows.select(*partition, *order, cost.cast("long").alias("__cost"))
 
-    kept = listed.select(*partition, F.explode(F.aggregate("all", start, step)["kept"]).alias("k")).select(*partition, *(F.col(f"k.{o}").alias(o) for o in order))
+    def fold(table):
+        table = table.sort_by([(c, "ascending") for c in order])
+        spent, keep = 0, np.zeros(table.num_rows, bool)
+        for i, c in enumerate(table.column("__cost").to_numpy()):
+            if spent + c <= budget:
+                spent, keep[i] = spent + c, True
+        return table.filter(pa.array(keep)).drop_columns(["__cost"])
+
+    kept = slim.groupBy(*partition).applyInArrow(fold, slim.drop("__cost").schema)
     return rows.join(kept, [*partition, *order], "left_semi")
 
 
@@ -90,12 +95,22 @@ def containing(inner: DataFrame, outer: DataFrame, strict: bool = False) -> Data
     """Pairs of an inner range and an outer one of the same file that covers it.
 
     ``inner``: file, i_id, i_start, i_end; ``outer``: file, o_id, o_start, o_end.
-    The join is dealt by file; a file's ranges are bounded by its length.
+    An outer range lies in one or two stretches of the power of two that is at
+    least its length; an inner one asks, for every such length, the stretch it
+    starts in. So ranges meet only near each other, however long the file is.
     """
+    size = F.greatest(F.lit(1), F.col("o_end") - F.col("o_start") + 1)
+    level = F.ceil(F.log2(size)).cast("int")
+    outer = outer.withColumn("__level", level)
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    outer = outer.withColumn("__at", F.explode(F.sequence(F.floor(F.col("o_start") / width), F.floor(F.col("o_end") / width))))
+    levels = [r[0] for r in outer.select("__level").distinct().collect()]  # logarithms of lengths: a handful
+    inner = inner.withColumn("__level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    inner = inner.withColumn("__at", F.floor(F.col("i_start") / F.pow(F.lit(2.0), F.col("__level"))))
     inside = (F.col("o_start") <= F.col("i_start")) & (F.col("o_end") >= F.col("i_end"))
     if strict:
         inside = inside & ((F.col("o_end") - F.col("o_start")) > (F.col("i_end") - F.col("i_start")))
-    return inner.join(outer, "file").where(inside)
+    return inner.join(outer, ["file", "__level", "__at"]).where(inside).drop("__level", "__at")
 
 
 def tightest(inner: DataFrame, outer: DataFrame) -> DataFrame:
@@ -114,10 +129,17 @@ def owners(inner: DataFrame, outer: DataFrame) -> DataFrame:
 
 
 def nearest(points: DataFrame, evidence: DataFrame, most: int) -> DataFrame:
-    """(file, line) with the least distance to an evidence line of the file, if at most ``most``."""
-    gap = F.min(F.abs(F.col("line") - F.col("e_line")))
-    pairs = points.join(evidence.select("file", F.col("line").alias("e_line")), "file")
-    return pairs.groupBy("file", "line").agg(gap.alias("distance")).where(F.col("distance") <= most)
+    """(file, line) with the least distance to an evidence line of the file, if at most ``most``.
+
+    Only the evidence lines next above and below can be nearest: one sort of a file's lines.
+    """
+    rows = points.select("file", "line", F.lit(True).alias("p")).union(evidence.select("file", "line", F.lit(False)))
+    order = Window.partitionBy("file").orderBy("line")
+    mark = F.when(~F.col("p"), F.col("line"))
+    below = F.last(mark, True).over(order.rangeBetween(Window.unboundedPreceding, 0))
+    above = F.first(mark, True).over(order.rangeBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumns({"below": below, "above": above}).where("p")
+    return rows.select("file", "line", F.least(F.col("line") - F.col("below"), F.col("above") - F.col("line")).alias("distance")).where(F.col("distance") <= most)
 
 
 def distance_to_range(line: Column, start: Column, end: Column) -> Column:
@@ -127,6 +149,7 @@ def distance_to_range(line: Column, start: Column, end: Column) -> Column:
 
 def most_specific(ranges: DataFrame) -> DataFrame:
     """Ranges (file, id, start, end) that strictly contain no other."""
-    other = ranges.select("file", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
-    covers = (F.col("a.start") <= F.col("i_start")) & (F.col("a.end") >= F.col("i_end")) & ((F.col("a.end") - F.col("a.start")) > (F.col("i_end") - F.col("i_start")))
-    return ranges.alias("a").join(other, (F.col("a.file") == other["file"]) & covers, "left_anti")
+    inner = ranges.select("file", F.col("id").alias("i_id"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+    outer = ranges.select("file", F.col("id").alias("o_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    wide = containing(inner, outer, strict=True).select("file", F.col("o_id").alias("id")).distinct()
+    return ranges.join(wide, ["file", "id"], "left_anti")

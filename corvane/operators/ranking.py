@@ -154,30 +154,47 @@ def fused(scores: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
     return top_ranked(rows, [F.desc(F.round("rrf", 12)), F.desc(F.round("bm25f", 12)), F.asc("file")], k)
 
 
-def reserve_and_fill(ranked: DataFrame, found: DataFrame, k: int, fill: bool = True, by: list[Column] | None = None) -> list[str]:
-    """Files of a fair top-k, in the order ``by`` (default: rank).
+def fair_candidates(ranked: DataFrame, k: int, by: list[Column] | None = None) -> list:
+    """All rows (file, queries) that fair() can choose k from, in order ``by`` (default: rank), with their ``place``.
 
-    Queries with fewer files go first; each one not covered yet reserves its
-    best file not taken, which covers all that file's queries. The rest is
-    filled in order. Few queries and k results: each step is one ``limit 1``.
+    No more than k files are chosen, so of each query only its first k files can
+    be, and to fill up only the first 2 * k of all: a bounded number of rows.
     """
     by = by or [F.asc("rank"), F.asc("file")]
-    order = [r["query"] for r in found.groupBy("query").agg(F.countDistinct("file").alias("n")).orderBy("n", "query").collect()]
-    chosen: list[str] = []
+    per = ranked.select("*", F.explode("queries").alias("__q"))
+    lane = F.row_number().over(Window.partitionBy("__q").orderBy(*by))
+    some = per.withColumn("__n", lane).where(F.col("__n") <= k).drop("__q", "__n").union(ranked.orderBy(*by).limit(2 * k))
+    some = some.dropDuplicates(["file"])
+    return some.withColumn("place", F.row_number().over(Window.orderBy(*by))).select("file", "queries", "place").collect()
+
+
+def reserved(candidates: list, order: list[int], k: int) -> list[str]:
+    """Files of a fair top-k, in order: each query, those with fewest files first, that is not covered yet
+    reserves its best file not taken, which covers all that file's queries."""
+    rows = sorted(candidates, key=lambda r: r["place"])
+    chosen: set[str] = set()
     covered: set[int] = set()
     for q in order:
-        if len(chosen) >= k:
-            break
-        if q in covered:
-            continue
-        best = ranked.where(F.array_contains("queries", q) & ~F.col("file").isin(chosen or [""])).orderBy(*by).select("file", "queries").head()
-        if best:
-            chosen.append(best["file"])
+        best = next((r for r in rows if q in r["queries"] and r["file"] not in chosen), None)
+        if len(chosen) < k and q not in covered and best:
+            chosen.add(best["file"])
             covered |= set(best["queries"])
-    if fill and len(chosen) < k:
-        more = ranked.where(~F.col("file").isin(chosen or [""])).orderBy(*by).select("file").limit(k - len(chosen)).collect()
-        chosen += [r["file"] for r in more]
-    return [r["file"] for r in ranked.where(F.col("file").isin(chosen or [""])).orderBy(*by).select("file").collect()]
+    return [r["file"] for r in rows if r["file"] in chosen]
+
+
+def by_selectivity(found: DataFrame) -> list[int]:
+    """The queries, those with fewest files first."""
+    return [r["query"] for r in found.groupBy("query").agg(F.countDistinct("file").alias("n")).orderBy("n", "query").collect()]
+
+
+def reserve_and_fill(ranked: DataFrame, found: DataFrame, k: int, fill: bool = True, by: list[Column] | None = None, order: list[int] | None = None) -> list[str]:
+    """Reserved files, then the best others up to k, all in the order ``by``."""
+    rows = fair_candidates(ranked, k, by)
+    chosen = reserved(rows, by_selectivity(found) if order is None else order, k)
+    in_order = [r["file"] for r in sorted(rows, key=lambda r: r["place"])]
+    if fill:
+        chosen += [f for f in in_order if f not in chosen][: k - len(chosen)]
+    return [f for f in in_order if f in chosen]
 
 
 def emit_with_impact(lexical: list[str], reserved: list[str], structural: list[str], graph: list[str], k: int = 4) -> list[str]:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE_CAP, LINE_CAP = 5_000, 1_000
+#: rows of a class of a query that are kept; up to so many, tasks drop the others before any shuffle
+IN_CLASS = 1_000
 
 
 def _matching(text: Column, queries: list[str]) -> Column:
@@ -20,6 +22,23 @@ def _matching(text: Column, queries: list[str]) -> Column:
     return F.array_compact(hits)
 
 
+def first_rows(found: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """The first ``cap`` rows of each query with ``capped``, which says that more were found.
+
+    Rows are first dealt to classes by a hash, where each task already drops all
+    but the first of a class; a class holds an eighth of what it may at most on
+    average, so that none overflows, and what is left to sort for a query is
+    bounded. One row more than the cap proves that the scan was cut.
+    """
+    classes = max(8, -(-cap * 8 // IN_CLASS))
+    mine = F.pmod(F.xxhash64(*order), F.lit(classes)).alias("class")
+    top = Window.partitionBy("query", "class").orderBy(*order)
+    some = found.select("*", mine).withColumn("n", F.row_number().over(top)).where(F.col("n") <= IN_CLASS).drop("class", "n")
+    by_query = Window.partitionBy("query")
+    some = some.withColumn("n", F.row_number().over(by_query.orderBy(*order))).where(F.col("n") <= cap + 1)
+    return some.withColumn("capped", F.max("n").over(by_query) > cap).where(F.col("n") <= cap).drop("n")
+
+
 def discover(lines: DataFrame, queries: list[str], cap: int | None = FILE_CAP) -> DataFrame:
     """(query, file, capped) of files with a matching line, at most ``cap`` files a query in path order; all if it is None.
 
@@ -28,23 +47,17 @@ def discover(lines: DataFrame, queries: list[str], cap: int | None = FILE_CAP) -
     found = lines.select("file", F.explode(_matching(F.col("text"), queries)).alias("query")).distinct()
     if cap is None:
         return found.select(F.col("query").cast("int"), "file", F.lit(False).alias("capped"))
-    w = Window.partitionBy("query")
-    found = found.withColumns({"n": F.row_number().over(w.orderBy("file")), "capped": F.count("*").over(w) > cap})
-    return found.where(F.col("n") <= cap).select(F.col("query").cast("int"), "file", "capped")
+    return first_rows(found.select("query", "file"), ["file"], cap).select(F.col("query").cast("int"), "file", "capped")
 
 
 def scan_lines(lines: DataFrame, queries: list[str], cap: int = LINE_CAP) -> DataFrame:
-    """(query, file, line, text, match_texts, capped): matching lines in path order.
-
-    One line more than the cap proves that the scan was cut; exactly ``cap`` is complete.
-    """
-    texts = F.array(*(F.regexp_extract_all("text", F.lit(f"({q})"), F.lit(1)) for q in queries))
-    found = lines.select("file", "line", "text", F.explode(_matching(F.col("text"), queries)).alias("query"), texts.alias("all"))
-    w = Window.partitionBy("query").orderBy("file", "line")
-    found = found.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap + 1)
-    capped = F.max("n").over(Window.partitionBy("query")) > cap
-    out = found.withColumn("capped", capped).where(F.col("n") <= cap)
-    return out.select(F.col("query").cast("int"), "file", "line", "text", F.get("all", F.col("query")).alias("match_texts"), "capped")
+    """(query, file, line, text, match_texts, capped): matching lines in path order; exactly ``cap`` is complete."""
+    found = lines.select("file", "line", "text", F.explode(_matching(F.col("text"), queries)).alias("query"))
+    texts = F.array().cast("array<string>")
+    for i, q in enumerate(queries):
+        texts = F.when(F.col("query") == i, F.regexp_extract_all("text", F.lit(f"({q})"), F.lit(1))).otherwise(texts)
+    out = first_rows(found, ["file", "line"], cap)
+    return out.select(F.col("query").cast("int"), "file", "line", "text", texts.alias("match_texts"), "capped")
 
 
 def scan_status(spark, hits: DataFrame, queries: list[str]) -> DataFrame:
@@ -179,4 +192,9 @@ def cooccurrence(lines: DataFrame, branches: list[list[str]], least: int = 2, mo
     ratio = F.greatest(*(x[1] for x in out), F.lit(0.0))
     rows = per.select("file", n.cast("long").alias("n_atoms"), ratio.alias("branch_ratio"), sum((x[2] for x in out), F.lit(0)).cast("long").alias("n_branches"))
     rows = rows.where("n_branches > 0")
-    return rows.withColumn("all", F.count("*").over(Window.partitionBy())).where(F.col("all") <= most_files).drop("all") if most_files else rows
+    if not most_files:
+        return rows
+    # one more than allowed proves that there are too many
+    some = rows.limit(most_files + 1)
+    n = some.agg(F.count("*").alias("all"))
+    return some.crossJoin(F.broadcast(n)).where(F.col("all") <= most_files).drop("all")  # one row

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import paths, text
 from corvane.operators import ranking
 
-MOST_COMPETITORS, MOST_LOCATIONS = 4, 32
+MOST_COMPETITORS, MOST_LOCATIONS, MOST_SCOPE = 4, 32, 180
 
 
 def primary_scope(scopes: DataFrame, group: list[str]) -> DataFrame:
@@ -78,15 +80,61 @@ def competitors(found: DataFrame, target: str, scoped: DataFrame, complete: bool
     return rivals, "incomplete" if not complete else "confirmed" if n == 0 else "competing" if n <= MOST_COMPETITORS else "too_many"
 
 
-def indented_scopes(lines: DataFrame) -> DataFrame:
-    """(file, line, text) -> scopes of definition lines: up to the line before the next one that is not deeper."""
-    rows = lines.where("trim(text) <> ''").select("file", "line", text.indent_width(F.col("text")).alias("indent"), text.declaration_hint(F.col("text")).alias("hint"))
-    later = rows.select("file", F.col("line").alias("l_line"), F.col("indent").alias("l_indent"))
-    heads = rows.where("hint = 1").select("file", "line", "indent")
-    last = rows.groupBy("file").agg(F.max("line").alias("last"))
-    end = heads.join(later, (heads["file"] == later["file"]) & (F.col("l_line") > F.col("line")) & (F.col("l_indent") <= F.col("indent")), "left")
-    end = end.groupBy(heads["file"], "line", "indent").agg(F.min("l_line").alias("stop"))
-    return end.join(last, "file").select("file", F.col("line").alias("start"), (F.coalesce(F.col("stop") - 1, F.col("last"))).alias("end"), "indent")
+def unique_definitions(declarations: DataFrame) -> DataFrame:
+    """(name, file, start_line, end_line) -> name, n and the range of the one definition, null if there are several."""
+    one = F.min(F.struct("file", "start_line", "end_line"))
+    rows = declarations.groupBy("name").agg(F.count("*").alias("n"), one.alias("d"))
+    return rows.select("name", "n", *(F.when(F.col("n") == 1, F.col(f"d.{c}")).alias(c) for c in ("file", "start_line", "end_line")))
+
+
+def indented_scopes(files: DataFrame) -> DataFrame:
+    """(file, source) -> (file, start, end, indent) of definition lines: up to the line before the next one that is
+    not deeper. A stack of open definitions, one pass over each file."""
+    from corvane.functions.python_ast import frame
+
+    head = re.compile(rf"(?:export\s+)?(?:async\s+)?(?:{'|'.join(text.DECLARING)})\b")
+
+    def one(file, source):
+        out, last, unfinished = [], 0, []
+        for n, raw in enumerate(source.split("\n"), 1):
+            line = raw.rstrip("\r")
+            if not line.strip():
+                continue
+            indent = len(line[: len(line) - len(line.lstrip(" \t"))].replace("\t", "    "))
+            while unfinished and indent <= unfinished[-1][1]:
+                start, depth = unfinished.pop()
+                out.append((file, start, n - 1, depth))
+            if head.match(line.strip()):
+                unfinished.append((n, indent))
+            last = n
+        return out + [(file, start, last, depth) for start, depth in unfinished]
+
+    return frame(files.where("source is not null"), ["file", "source"], "file string, start bigint, end bigint, indent int", one)
+
+
+def brace_scopes(files: DataFrame, most_lines: int = MOST_SCOPE) -> DataFrame:
+    """(file, source, lines) -> (file, line, start_line, end_line): the braces around the first character of each line
+    or opened on it, at most ``most_lines`` long; null outside all."""
+    from corvane.functions.python_ast import frame
+
+    def one(file, source, lines):
+        pairs, unfinished = [], []
+        for n, row in enumerate(source.split("\n"), 1):
+            for c in row:
+                if c == "{":
+                    unfinished.append(n)
+                elif c == "}" and unfinished:
+                    pairs.append((unfinished.pop(), n))
+        pairs += [(n, len(source.split("\n"))) for n in unfinished]
+        out = []
+        for line in lines:
+            around = [p for p in pairs if p[0] <= line <= p[1] and p[1] > p[0] and line - p[0] <= most_lines]
+            best = max(around, default=None, key=lambda p: (p[0], -p[1]))
+            out.append((file, line, best[0] if best else None, min(best[1], best[0] + most_lines - 1) if best else None))
+        return out
+
+    out = frame(files, ["file", "source", "lines"], "file string, line bigint, start_line double, end_line double", one)
+    return out.select("file", "line", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
 
 
 def position_of(source: Column, offset: Column) -> Column:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text
 
-# Obligations of a proof and what a failed one leads to.
+# Kinds of checks that a proof needs, and what a failed one leads to.
 OBLIGATIONS = {
-    "candidate": "repair", "confinement": "fatal", "hygiene": "repair", "identity": "fatal",
-    "replay": "fatal", "scope": "rescout", "syntax": "repair", "target": "rescout",
+    "ast_parse": "fatal", "candidate_validity_barrier": "fatal", "changed_file_set": "fatal", "rename_global_closure": "rescout",
+    "rename_identifier_delta": "repair", "replay_exact": "fatal", "target_cardinality": "repair", "top_level_conservation": "repair",
 }
+#: kinds that a completed rename needs besides
+COMPLETION = [*OBLIGATIONS, "candidate_hygiene", "rename_destination_fresh", "rename_reflective_builtin_safe"]
 DISPOSITIONS = ["fatal", "rescout", "repair"]
 
 
@@ -84,6 +86,17 @@ def same_files(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("missing")).union(b.exceptAll(a).withColumn("side", F.lit("extra")))
 
 
+def closure_differences(before: DataFrame, after: DataFrame, new_name: str) -> DataFrame:
+    """(importer, target, source, local, propagates) before and after a rename: bindings that are the same, missing or extra.
+
+    A binding is expected under the new name, and passes it on where it passed on the old one.
+    """
+    key = ["importer", "target", "source", "local", "propagates"]
+    want = before.select("importer", "target", F.lit(new_name).alias("source"), F.when(F.col("propagates"), new_name).otherwise(F.col("local")).alias("local"), "propagates").distinct()
+    both = want.withColumn("w", F.lit(1)).join(after.select(*key).distinct().withColumn("g", F.lit(1)), key, "full_outer")
+    return both.select(F.when(F.col("w").isNull(), "extra").when(F.col("g").isNull(), "missing").otherwise("same").alias("side"), *key)
+
+
 def without_duplicates(mutations: DataFrame) -> DataFrame:
     """Mutations that change something, each once: equal canonical JSON is equal."""
     key = F.sha2(F.to_json(F.struct("file", "kind", "before", "after"), {"ignoreNullFields": "false"}), 256)

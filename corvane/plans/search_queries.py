@@ -133,10 +133,33 @@ def probed(spark, d):
     return rows.select("rank", "file", "line_hits", "exact_matches", "definition_hints")
 
 
-@query("select_fair_files")
+def _fair_sql() -> str:
+    """The reservation written out, a step a query, then the best others."""
+    steps = ["s0 AS (SELECT []::VARCHAR[] AS chosen, []::INT[] AS covered)"]
+    for i in range(len(SEARCH)):
+        turn = f"(SELECT query FROM turns WHERE t = {i + 1})"
+        best = f"(SELECT {{c}} FROM r WHERE list_contains(r.qs, {turn}) AND NOT list_contains(s.chosen, r.file) ORDER BY r.place LIMIT 1)"
+        go = f"({turn} IS NOT NULL AND NOT list_contains(s.covered, {turn}) AND {best.format(c='r.file')} IS NOT NULL)"
+        steps.append(f"s{i + 1} AS (SELECT CASE WHEN {go} THEN list_append(s.chosen, {best.format(c='r.file')}) ELSE s.chosen END AS chosen, CASE WHEN {go} THEN list_concat(s.covered, {best.format(c='r.qs')}) ELSE s.covered END AS covered FROM s{i} s)")
+    n = len(SEARCH)
+    return f"""WITH x AS (SELECT *, list_sort(list_transform(string_split(queries, ','), lambda v: v::INT)) AS qs FROM {LEXICAL_SQL}), r AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY {LEXICAL_ORDER}) AS place FROM x),
+    turns AS (SELECT query, row_number() OVER (ORDER BY count(*), query) AS t FROM {FOUND_SQL} GROUP BY query), {", ".join(steps)},
+    f AS (SELECT file, place, list_contains((SELECT chosen FROM s{n}), file) AS taken FROM r), k AS (SELECT *, row_number() OVER (ORDER BY taken DESC, place) AS n FROM f)
+    SELECT row_number() OVER (ORDER BY place)::INT AS position, file FROM k WHERE n <= 8"""
+
+
+@query("select_fair_files", _fair_sql())
 def fair_files(spark, d):
-    found = scan.discover(_lines(spark, d), SEARCH, cap=1 << 30)
-    files = ranking.reserve_and_fill(ranking.lexical_rank(found, WORDS).cache(), found, 8, by=ranking.lexical_order())
+    found = scan.discover(_lines(spark, d), SEARCH, cap=None)
+    files = ranking.reserve_and_fill(ranking.lexical_rank(found, WORDS), found, 8, by=ranking.lexical_order())
+    return spark.createDataFrame([(i + 1, f) for i, f in enumerate(files)], "position int, file string")
+
+
+@query("select_reserved_files", _fair_sql().replace("WHERE n <= 8", "WHERE taken"))
+def reserved_files(spark, d):
+    """Only what the queries reserve, nothing to fill up."""
+    found = scan.discover(_lines(spark, d), SEARCH, cap=None)
+    files = ranking.reserve_and_fill(ranking.lexical_rank(found, WORDS), found, 8, fill=False, by=ranking.lexical_order())
     return spark.createDataFrame([(i + 1, f) for i, f in enumerate(files)], "position int, file string")
 
 
@@ -231,25 +254,16 @@ def grouped(spark, d):
     return rows.select("query_key", "file", "hit_count", "n_variants", F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"), "lines_truncated", F.round("variant_diversity", 6).alias("variant_diversity"))
 
 
-@query("text_identifiers", r"""WITH s(w) AS (VALUES ('and'),('are'),('but'),('for'),('from'),('has'),('have'),('into'),('not'),('that'),('the'),('then'),('this'),('was'),('with')),
-    x AS (SELECT doc_id, u.i, u.w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM documents), LATERAL (SELECT unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i) u),
-    f AS (SELECT doc_id, w, min(i) AS i FROM x WHERE lower(w) NOT IN (SELECT w FROM s) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
-    SELECT d.doc_id, count(rn) AS n, coalesce(string_agg(w, ',' ORDER BY i), '') AS names FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn <= 160) r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
-def identifiers(spark, d):
-    # the SQL stops these words only; text_identifiers_whole stops those of the engine
-    return _identifiers(spark, d, ["and", "are", "but", "for", "from", "has", "have", "into", "not", "that", "the", "then", "this", "was", "with"])
-
-
 def _identifiers(spark, d, stop_words):
     ids = text.identifiers(F.col("text"), stop_words=stop_words)
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.size(ids).cast("long").alias("n"), F.array_join(ids, ",").alias("names"))
 
 
-@query("text_identifiers_whole", r"""WITH s(w) AS (VALUES ('and'),('as'),('async'),('await'),('break'),('case'),('catch'),('class'),('const'),('continue'),('def'),('default'),('do'),('else'),('except'),('export'),('extends'),('false'),('finally'),('for'),('from'),('function'),('if'),('import'),('in'),('interface'),('let'),('new'),('none'),('null'),('of'),('pass'),('return'),('static'),('super'),('switch'),('this'),('throw'),('true'),('try'),('type'),('var'),('while'),('with'),('yield')),
+@query("text_identifiers", r"""WITH s(w) AS (VALUES ('and'),('as'),('async'),('await'),('break'),('case'),('catch'),('class'),('const'),('continue'),('def'),('default'),('do'),('else'),('except'),('export'),('extends'),('false'),('finally'),('for'),('from'),('function'),('if'),('import'),('in'),('interface'),('let'),('new'),('none'),('null'),('of'),('pass'),('return'),('static'),('super'),('switch'),('this'),('throw'),('true'),('try'),('type'),('var'),('while'),('with'),('yield')),
     x AS (SELECT doc_id, u.i, u.w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]*') AS l FROM documents), LATERAL (SELECT unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i) u),
     f AS (SELECT doc_id, w, min(i) AS i FROM x WHERE lower(w) NOT IN (SELECT w FROM s) GROUP BY doc_id, w), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
     SELECT d.doc_id, count(rn) AS n, coalesce(string_agg(w, ',' ORDER BY i), '') AS names FROM documents d LEFT JOIN (SELECT * FROM r WHERE rn <= 160) r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
-def identifiers_whole(spark, d):
+def identifiers(spark, d):
     return _identifiers(spark, d, text.STOP_WORDS)
 
 

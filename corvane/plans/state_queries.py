@@ -91,7 +91,7 @@ def nearest(spark, d):
 
 @query("range_most_specific", f"SELECT file, id FROM {_R} a WHERE NOT EXISTS (SELECT 1 FROM {_R} b WHERE a.file = b.file AND a.s <= b.s AND a.e >= b.e AND a.e - a.s > b.e - b.s)")
 def most_specific(spark, d):
-    return ranges.most_specific(_ranges(spark, d)).select("a.file", "a.id")
+    return ranges.most_specific(_ranges(spark, d)).select("file", "id")
 
 
 _SC = f"(SELECT file, s // 100 * 100 + 1 AS start_line, s // 100 * 100 + 100 AS end_line, CASE WHEN id % 5 = 0 THEN '<module>' ELSE event_type END AS name, CASE id % 4 WHEN 0 THEN 'call' WHEN 1 THEN 'import' WHEN 2 THEN 'assignment' ELSE 'other' END AS role, id % 3 AS query, s AS line FROM {_R})"
@@ -158,79 +158,6 @@ def hypotheses(spark, d):
     return graph.hypotheses(rel, F.broadcast(seeds), none).select("file", "direction", F.array_join("symbols", ",").alias("symbols"))
 
 
-#: a small repository for imports, closure and parsing
-SOURCES = [
-    ("service.py", "def handle(x):\n    # the one\n    if x:\n        return 1\n    return 0\n\nclass Box:\n    def open(self):\n        return handle(self)\n"),
-    ("api.py", "from service import handle\nimport os\nfrom .missing import gone\n\ndef run():\n    return handle(1)\n"),
-    ("consumer.py", "from api import (\n    handle,  # passed on\n    run as go,\n)\nhandle(2)\n"),
-    ("alias_consumer.py", "from service import handle as h\nh(3)\n"),
-    ("tests/test_service.py", "from service import handle\n\ndef test_handle():\n    assert handle(0) == 0\n"),
-    ("web/app.ts", "import { handle as h, other } from './service.js'\nimport * as ts from \"./lib\"\nimport react from 'react'\n"),
-    ("web/service.ts", "export function handle() {}\nexport const other = 1\n"),
-    ("web/lib.ts", "export {}\n"), ("web/lib/index.ts", "export {}\n"),
-    ("web/index.html", "<script src=\"app.ts\"></script>\n<link href='/web/style.css'>\n<script src=\"https://x.y/z.js\"></script>\n"),
-    ("web/style.css", "@import url(\"base.css\");\n"), ("web/base.css", "p {}\n"),
-    ("src/main.rs", "mod util;\nuse crate::util::deep;\n"), ("src/util.rs", "pub mod deep {}\n"),
-    ("c/a.c", "#include \"a.h\"\n#include <stdio.h>\n"), ("c/a.h", "int a;\n"),
-    ("Dockerfile", "FROM x\nCOPY api.py /app/\n"), ("load.sql", "\\i schema.sql\n"), ("schema.sql", "select 1;\n"), ("broken.py", "def broken(:\n"),
-]
-
-
-def sources(spark):
-    rows = [(f, s, len(s.encode())) for f, s in SOURCES]
-    return spark.createDataFrame(rows, "file string, source string, n_bytes bigint")
-
-
-def _resolved(spark):
-    from corvane.sources.corpus import plain_lines
-
-    files = sources(spark)
-    return graph.resolved(imports.all_imports(files, plain_lines(files)), files)
-
-
-@query("import_resolution")
-def import_resolution(spark, d):
-    return _resolved(spark).select("file", "line", "kind", "spec", F.array_join("local", ",").alias("local"), F.array_join("source", ",").alias("source"), "target", "status")
-
-
-@query("import_edges")
-def import_edges(spark, d):
-    return graph.edges(_resolved(spark))
-
-
-@query("import_statistics")
-def import_statistics(spark, d):
-    return graph.import_stats(_resolved(spark))
-
-
-def closure_bindings(spark):
-    rows = _resolved(spark)
-    return rows.select(F.col("file").alias("importer"), "target", "status", F.explode(F.arrays_zip("local", "source")).alias("p")).select("importer", "target", "status", F.col("p.local").alias("local"), F.col("p.source").alias("source"))
-
-
-@query("graph_symbol_closure")
-def symbol_closure(spark, d):
-    return graph.symbol_closure(closure_bindings(spark), "service.py", "handle")[0]
-
-
-@query("python_facts")
-def python_facts(spark, d):
-    files = sources(spark)
-    return python_ast.with_owners(python_ast.python_facts(files.where(paths.language(F.col("file")) == "python")))
-
-
-@query("path_languages", "SELECT * FROM (VALUES ('a/b.py', 'python', false), ('x/test_a.py', 'python', true), ('Dockerfile', 'docker', false), ('web/a.test.tsx', 'typescript', true), ('k.rs', 'rust', false), ('tests/z.html', 'html', true), ('noext', 'other', false)) AS t(path, lang, is_test)")
-def path_languages(spark, d):
-    rows = spark.createDataFrame([(p,) for p in ("a/b.py", "x/test_a.py", "Dockerfile", "web/a.test.tsx", "k.rs", "tests/z.html", "noext")], "path string")
-    return rows.select("path", paths.language(F.col("path")).alias("lang"), paths.likely_test(F.col("path")).alias("is_test"))
-
-
-@query("path_safety", "SELECT * FROM (VALUES ('src/a.py', 'src/a.py', 'src/a.py'), ('./a//b', 'a/b', 'a/b'), ('a/../b', NULL, 'b'), ('../a', NULL, NULL), ('/abs', NULL, 'abs'), ('', NULL, '')) AS t(path, safe, normal)")
-def path_safety(spark, d):
-    rows = spark.createDataFrame([(p,) for p in ("src/a.py", "./a//b", "a/../b", "../a", "/abs", "")], "path string")
-    return rows.select("path", paths.safe_relative(F.col("path")).alias("safe"), paths.normalize(F.col("path")).alias("normal"))
-
-
 # --- sessions: a user is a session, an hour bucket a turn
 
 EVENTS = list(sessions.NEXT_STATE) + ["other"]
@@ -357,12 +284,6 @@ def unique_text(spark, d):
     return table(spark, d, "documents").select("doc_id", verify.bounded_count(F.col("text"), F.lit("MIT")).alias("n"))
 
 
-@query("check_replay", "SELECT * FROM (VALUES (1, true, NULL), (2, false, 'edit_precondition_not_unique'), (3, false, 'replay_mismatch'), (4, true, NULL)) AS t(id, pass, detail)")
-def replay(spark, d):
-    rows = [(1, "x y", [("x", "z")], "z y"), (2, "x\nx\n", [("x", "y")], "y\nx\n"), (3, "a", [("a", "b")], "c"), (4, "a b", [("a", "c"), ("c b", "d")], "d")]
-    return verify.replay_checks(spark.createDataFrame(rows, "id int, before string, edits array<struct<before:string,after:string>>, after string")).select("id", "pass", "detail")
-
-
 def _proof(spark, d):
     kinds = F.array(*map(F.lit, sorted(verify.OBLIGATIONS)))
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.element_at(kinds, (F.col("l_partkey") % 8 + 1).cast("int")).alias("kind"), (F.col("l_suppkey") % 50 != 0).alias("pass"))
@@ -372,18 +293,10 @@ _obl = ", ".join(f"('{k}', '{v}')" for k, v in verify.OBLIGATIONS.items())
 _kinds = "[" + ", ".join(f"'{k}'" for k in sorted(verify.OBLIGATIONS)) + "]"
 
 
-@query("check_proof", f"""WITH c AS (SELECT l_orderkey AS id, {_kinds}[l_partkey % 8 + 1] AS kind, l_suppkey % 50 <> 0 AS pass FROM lineitem WHERE l_orderkey <= 4000), g AS (SELECT id, kind, bool_and(pass) AS ok FROM c GROUP BY ALL),
-    e AS (SELECT DISTINCT c.id, o.kind, o.disposition FROM c CROSS JOIN (VALUES {_obl}) o(kind, disposition)), r AS (SELECT e.*, coalesce(ok, false) AS ok FROM e LEFT JOIN g USING (id, kind))
-    SELECT id, bool_and(ok) AS verified, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (NOT ok), '') AS failed, CASE WHEN bool_or(NOT ok AND disposition = 'fatal') THEN 'fatal' WHEN bool_or(NOT ok AND disposition = 'rescout') THEN 'rescout' WHEN bool_or(NOT ok) THEN 'repair' END AS disposition FROM r GROUP BY id""")
-def proof(spark, d):
-    # the SQL covers these orders only; check_proof_whole covers all
-    return verify.assessed(_proof(spark, d).where("id <= 4000"))
-
-
-@query("check_proof_whole", f"""WITH g AS (SELECT l_orderkey AS id, {_kinds}[l_partkey % 8 + 1] AS kind, bool_and(l_suppkey % 50 <> 0) AS ok FROM lineitem GROUP BY ALL),
+@query("check_proof", f"""WITH g AS (SELECT l_orderkey AS id, {_kinds}[l_partkey % 8 + 1] AS kind, bool_and(l_suppkey % 50 <> 0) AS ok FROM lineitem GROUP BY ALL),
     e AS (SELECT i.id, o.kind, o.disposition FROM (SELECT DISTINCT l_orderkey AS id FROM lineitem) i CROSS JOIN (VALUES {_obl}) o(kind, disposition)), r AS (SELECT e.*, coalesce(ok, false) AS ok FROM e LEFT JOIN g USING (id, kind))
     SELECT id, bool_and(ok) AS verified, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (NOT ok), '') AS failed, CASE WHEN bool_or(NOT ok AND disposition = 'fatal') THEN 'fatal' WHEN bool_or(NOT ok AND disposition = 'rescout') THEN 'rescout' WHEN bool_or(NOT ok) THEN 'repair' END AS disposition FROM r GROUP BY id""")
-def proof_whole(spark, d):
+def proof(spark, d):
     return verify.assessed(_proof(spark, d))
 
 
@@ -408,17 +321,6 @@ def live_candidates(spark, d):
     return verify.live_candidates(cand, docs.select("file", F.col("text").alias("source")), docs.select("file", F.size(F.split("text", "\n")).alias("n_lines")))
 
 
-@query("check_control_flow")
-def control_flow(spark, d):
-    rows = [(1, "def f(x):\n    return x\n", "def f(x):\n    if x:\n        return 1\n    return x\n", "f"), (2, "def f():\n    def g():\n        pass\n", "def f():\n    pass\n", "f"), (3, "def f():\n    pass\ndef f():\n    pass\n", "def f():\n    pass\n", "f")]
-    return python_ast.control_flow_changes(spark.createDataFrame(rows, "id bigint, before string, after string, symbol string"))
-
-
-@query("check_python_validity", "SELECT * FROM (VALUES (1::BIGINT, 'native_enforced', true), (2, 'native_enforced', false), (3, 'structural_only', true)) AS t(id, coverage, pass)")
-def python_validity(spark, d):
-    return python_ast.python_validity(spark.createDataFrame([(1, "a.py", "x = 1\n"), (2, "b.py", "def broken(:\n"), (3, "c.rs", "fn")], "id bigint, file string, after string"))
-
-
 @query("set_same_files", "SELECT 'c' || c_custkey AS file, 'missing' AS side FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 0 UNION ALL SELECT 'c' || c_custkey, 'extra' FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 4 = 0")
 def same_files(spark, d):
     c = table(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("file"), "c_custkey")
@@ -486,31 +388,3 @@ def verdicts(spark, d):
     names = F.array(*map(F.lit, ("resolved", "unresolved", "ambiguous", "unsupported", "error")))
     runs = table(spark, d, "events").select(F.col("event_type").alias("engine"), F.element_at(names, (F.col("event_id") % 5 + 1).cast("int")).alias("verdict"), F.col("value").alias("elapsed_ms"))
     return scoring.verdicts(runs).withColumn("median_ms", F.round("median_ms", 6))
-
-
-# --- tasks
-
-TEXTS = [
-    (1, "Rename helper foo to bar."), (2, "Please rename helper foo as bar."), (3, "Change the name of foo to bar."), (4, "Переименуй helper foo в bar."),
-    (5, "Rename helper foo."), (6, "Change threshold from 50 to 75 without renaming public APIs."), (7, "Измени порог с 50 до 75 без переименования API."),
-    (8, "Fix the rename handling bug in this helper."), (9, ""), (10, "Rename a to b. Rename c to d."),
-]
-
-
-@query("task_intents", "SELECT * FROM (VALUES (1::BIGINT, 'rename_symbol'), (2, 'rename_symbol'), (3, 'rename_symbol'), (4, 'rename_symbol'), (5, 'unknown'), (6, 'generic_edit'), (7, 'generic_edit'), (8, 'generic_edit'), (9, 'unknown'), (10, 'rename_symbol')) AS t(id, intent)")
-def task_intents(spark, d):
-    return spark.createDataFrame(TEXTS, "id bigint, text string").select("id", tasks.intent(F.col("text")).alias("intent"))
-
-
-@query("task_rename_actions", """SELECT * FROM (VALUES (1::BIGINT, 'exact', 'foo', 'bar', 'exact_rename_pair'), (2, 'exact', 'foo', 'bar', 'exact_rename_pair'), (3, 'exact', 'foo', 'bar', 'exact_rename_pair'), (4, 'exact', 'foo', 'bar', 'exact_rename_pair'),
-    (5, 'unresolved', NULL, NULL, 'task_action_not_exact'), (6, 'unresolved', NULL, NULL, 'task_action_negative_rename'), (7, 'unresolved', NULL, NULL, 'task_action_negative_rename'), (8, 'unresolved', NULL, NULL, 'task_action_not_exact'),
-    (9, 'unresolved', NULL, NULL, 'task_action_text_empty'), (10, 'unresolved', NULL, NULL, 'task_action_multiple_rename_pairs')) AS t(id, status, old_name, new_name, reason)""")
-def rename_actions(spark, d):
-    return tasks.rename_actions(spark.createDataFrame(TEXTS, "id bigint, text string"))
-
-
-@query("task_conversation_intents", "SELECT conv_id, turn, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 'unknown' ELSE 'generic_edit' END AS intent FROM conversations WHERE role = 'user'")
-def conversation_intents(spark, d):
-    event = F.struct("role", F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("parts"), F.lit(None).cast("string").alias("text"))
-    rows = table(spark, d, "conversations").where("role = 'user'")
-    return rows.select("conv_id", "turn", tasks.intent(tasks.task_text(event)).alias("intent"))

@@ -30,34 +30,20 @@ def round_robin(spark, d):
     return targets.round_robin(per, "query", [F.desc("n_lines"), F.asc("file")])
 
 
-@query("rank_reordered", "SELECT 'p' || a.p_partkey AS file, row_number() OVER (ORDER BY b.r IS NULL, b.r, a.p_partkey)::INT AS position FROM (SELECT * FROM part WHERE p_partkey <= 60) a LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_partkey <= 60 AND p_size > 25) b USING (p_partkey)")
-def reordered(spark, d):
-    # the SQL covers these parts only; rank_reordered_whole covers all
-    return _reordered(table(spark, d, "part").where("p_partkey <= 60"))
-
-
 def _reordered(part):
     p = part.withColumn("file", F.concat(F.lit("p"), "p_partkey"))
     ranked = ranking.numbered(p.where("p_size > 25"), [F.desc("p_retailprice"), F.asc("p_partkey")], "rank")
     return targets.reordered(p.select("file", F.col("p_partkey").alias("lexical_rank")), ranked).select("file", "position")
 
 
-@query("rank_reordered_whole", "SELECT 'p' || a.p_partkey AS file, row_number() OVER (ORDER BY b.r IS NULL, b.r, a.p_partkey)::INT AS position FROM part a LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size > 25) b USING (p_partkey)")
-def reordered_whole(spark, d):
+@query("rank_reordered", "SELECT 'p' || a.p_partkey AS file, row_number() OVER (ORDER BY b.r IS NULL, b.r, a.p_partkey)::INT AS position FROM part a LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r FROM part WHERE p_size > 25) b USING (p_partkey)")
+def reordered(spark, d):
     return _reordered(table(spark, d, "part"))
 
 
 _V = "CASE o_orderkey % 5 WHEN 0 THEN 'resolved' WHEN 1 THEN 'resolved' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'unresolved' ELSE 'error' END"
 
 
-@query("semantic_verdicts", f"""WITH l AS (SELECT o_custkey AS id, {_V} AS status, 'n' || (o_orderkey % 25) AS file FROM orders WHERE o_orderkey % 4 = 0), j AS (SELECT c_custkey AS id, 'n' || c_nationkey AS want, l.* EXCLUDE (id) FROM customer LEFT JOIN l ON l.id = c_custkey),
-    g AS (SELECT id, count(*) FILTER (status = 'resolved' AND file = want) AS a, count(*) FILTER (status = 'resolved') AS b, count(*) FILTER (status = 'ambiguous') AS c, count(*) FILTER (status = 'unresolved') AS u FROM j GROUP BY id)
-    SELECT id, CASE WHEN a > 0 THEN 'confirmed' WHEN c > 0 THEN 'ambiguous' WHEN b > 0 THEN 'contradicted' WHEN u > 0 THEN 'unresolved' ELSE 'unavailable' END AS verdict FROM g""")
-def semantic_verdicts(spark, d):
-    # the SQL covers these orders only; semantic_verdicts_whole covers all
-    return _verdicts(spark, d, table(spark, d, "orders").where("o_orderkey % 4 = 0"), _V)
-
-
 def _verdicts(spark, d, orders, status):
     expected = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), "c_nationkey").alias("file"))
     found = orders.select(F.col("o_custkey").alias("id"), F.expr(status).alias("status"), F.concat(F.lit("n"), F.col("o_orderkey") % 25).alias("file"))
@@ -68,10 +54,10 @@ def _verdicts(spark, d, orders, status):
 _VW = "CASE WHEN o_custkey % 7 = 0 THEN 'error' WHEN o_custkey % 7 < 4 AND o_orderkey % 5 = 2 THEN 'error' WHEN o_custkey % 7 = 1 AND o_orderkey % 5 < 2 THEN 'error' ELSE " + _V + " END"
 
 
-@query("semantic_verdicts_whole", f"""WITH l AS (SELECT o_custkey AS id, {_VW} AS status, 'n' || (o_orderkey % 25) AS file FROM orders), j AS (SELECT c_custkey AS id, 'n' || c_nationkey AS want, l.* EXCLUDE (id) FROM customer LEFT JOIN l ON l.id = c_custkey),
+@query("semantic_verdicts", f"""WITH l AS (SELECT o_custkey AS id, {_VW} AS status, 'n' || (o_orderkey % 25) AS file FROM orders), j AS (SELECT c_custkey AS id, 'n' || c_nationkey AS want, l.* EXCLUDE (id) FROM customer LEFT JOIN l ON l.id = c_custkey),
     g AS (SELECT id, count(*) FILTER (status = 'resolved' AND file = want) AS a, count(*) FILTER (status = 'resolved') AS b, count(*) FILTER (status = 'ambiguous') AS c, count(*) FILTER (status = 'unresolved') AS u FROM j GROUP BY id)
     SELECT id, CASE WHEN a > 0 THEN 'confirmed' WHEN c > 0 THEN 'ambiguous' WHEN b > 0 THEN 'contradicted' WHEN u > 0 THEN 'unresolved' ELSE 'unavailable' END AS verdict FROM g""")
-def semantic_verdicts_whole(spark, d):
+def semantic_verdicts(spark, d):
     return _verdicts(spark, d, table(spark, d, "orders"), _VW)
 
 
@@ -99,26 +85,6 @@ def competitors(spark, d):
     return rows.agg(F.count("*").alias("n_rivals")).withColumn("decision", F.lit(decision))
 
 
-@query("range_indented_scopes", "SELECT * FROM (VALUES ('a.py', 1::BIGINT, 4::BIGINT), ('a.py', 5::BIGINT, 9::BIGINT), ('a.py', 6::BIGINT, 7::BIGINT), ('a.py', 8::BIGINT, 9::BIGINT)) AS t(file, start_line, end_line)")
-def indented_scopes(spark, d):
-    rows = ["def a():", "    x = 1", "", "    return x", "class B:", "    def c(self):", "        pass", "    def d(self):", "        return 2"]
-    lines = spark.createDataFrame([("a.py", i + 1, t) for i, t in enumerate(rows)], "file string, line bigint, text string")
-    return targets.indented_scopes(lines).select("file", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
-
-
-@query("text_positions", "SELECT * FROM (VALUES (0, 0::BIGINT, 0::BIGINT), (1, NULL, NULL), (2, 0, 1), (6, 0, 5), (7, NULL, NULL), (10, 0, 7), (12, 1, 0), (99, NULL, NULL)) AS t(offset_, line, character)")
-def positions(spark, d):
-    rows = spark.createDataFrame([(o, 'α = "🙂"\nvalue\n') for o in (0, 1, 2, 6, 7, 10, 12, 99)], "offset_ int, source string")
-    p = targets.position_of(F.col("source"), F.col("offset_"))
-    return rows.select("offset_", p["line"].alias("line"), p["character"].alias("character"))
-
-
-@query("path_uris", "SELECT * FROM (VALUES ('/a b/c+d.py', 'file:///a%20b/c%2Bd.py', '/a b/c+d.py'), ('/é', 'file:///%C3%A9', '/é')) AS t(path, uri, back)")
-def uris(spark, d):
-    rows = spark.createDataFrame([("/a b/c+d.py",), ("/é",)], "path string").withColumn("uri", targets.file_uri(F.col("path")))
-    return rows.withColumn("back", targets.path_of_uri(F.col("uri")))
-
-
 @query("evidence_view", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'region' WHEN doc_id % 2 = 0 AND (doc_id % 3 = 0 OR n_chars % 100 <= 0.75 * 100) THEN 'hybrid' WHEN doc_id % 3 = 0 THEN 'index' ELSE 'raw' END AS view FROM documents")
 def view(spark, d):
     t = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 100).alias("hybrid_bytes"), F.lit(100).alias("raw_bytes"), (F.col("doc_id") % 3 != 0).alias("raw_complete"), (F.col("doc_id") % 2 == 0).alias("under_pressure"), (F.col("doc_id") % 11 == 0).alias("dense"))
@@ -136,27 +102,12 @@ def frontier(spark, d):
     return rows.select("session", "turn", "seq", sessions.frontier(F.col("state"), intent, seq % 2 == 0, seq % 3 == 0, active).alias("tool"))
 
 
-@query("graph_validated", "SELECT * FROM (VALUES ('service.py', 'forward', 'handle', 1::BIGINT), ('api.py', 'reverse', 'handle', 6::BIGINT)) AS t(file, direction, symbols, first_line)")
-def validated(spark, d):
-    from corvane.sources.corpus import plain_lines
-
-    guesses = spark.createDataFrame([("service.py", "forward", ["handle"]), ("api.py", "reverse", ["handle"]), ("web/lib.ts", "forward", ["handle"])], "file string, direction string, symbols array<string>")
-    witness = spark.createDataFrame([("api.py", 1)], "file string, witness_line bigint")
-    return graph.validated(guesses, plain_lines(st.sources(spark)), witness).withColumn("symbols", F.array_join("symbols", ","))
-
-
-@query("graph_freshness", "SELECT 'c' || c_custkey AS file, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS fresh FROM customer WHERE c_custkey <= 80")
-def freshness(spark, d):
-    # the SQL covers these customers only; graph_freshness_whole covers all
-    return _freshness(table(spark, d, "customer").where("c_custkey <= 80"))
-
-
 def _freshness(customer):
     c = customer.select(F.concat(F.lit("c"), "c_custkey").alias("file"), "c_custkey", F.col("c_nationkey").alias("n_bytes"), F.lit(0).alias("mtime_ms"))
     new = c.where("c_custkey % 7 <> 0").withColumn("n_bytes", F.col("n_bytes") + (F.col("c_custkey") % 11 == 0).cast("int"))
     return graph.fresh(c.select("file"), c.where("c_custkey % 5 <> 0"), new)
 
 
-@query("graph_freshness_whole", "SELECT 'c' || c_custkey AS file, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS fresh FROM customer")
-def freshness_whole(spark, d):
+@query("graph_freshness", "SELECT 'c' || c_custkey AS file, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS fresh FROM customer")
+def freshness(spark, d):
     return _freshness(table(spark, d, "customer"))

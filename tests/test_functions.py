@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from corvane.functions import imports, paths, python_ast, tasks, text
 from corvane.operators import evidence, graph, ranges, ranking, scan, verify
-from corvane.plans import state_queries
 
 
 def one(spark, column, **values):
@@ -42,12 +41,11 @@ def test_search_ranks_files_past_the_cap(spark):
 
     n = scan.FILE_CAP + 1
     files = spark.range(n).select(F.format_string("a%05d.txt", "id").alias("file"), F.when(F.col("id") == n - 1, "aa bb").otherwise("aa").alias("source"))
-    fields = files.select("file", F.lit("code").alias("field"), F.col("source").alias("text"))
-    rows = search.search(files, fields, ["aa", "bb"], [[], []], ["bb"]).collect()
+    rows = search.search(files, ["aa", "bb"], [[], []], ["bb"]).collect()
     assert {r["file"] for r in rows if r["rank"] == 1} == {f"a{n - 1:05d}.txt"}
     # the last file has the only word of the path that the query looks for, and one query only
     named = files.select("file", F.lit("aa").alias("source")).withColumn("file", F.when(F.col("file") == f"a{n - 1:05d}.txt", "zz.txt").otherwise(F.col("file")))
-    rows = search.search(named, named.select("file", F.lit("code").alias("field"), F.col("source").alias("text")), ["aa"], [["zz"]], ["zz"]).collect()
+    rows = search.search(named, ["aa"], [["zz"]], ["zz"]).collect()
     assert "zz.txt" in {r["file"] for r in rows}
 
 
@@ -104,16 +102,41 @@ def test_script_imports():
     assert imports.script_imports("import react from 'react'\n") == []
 
 
+FREIGHT = [
+    ("freight.py", "def quote(x):\n    return x\n"), ("desk.py", "from freight import quote\nimport sys\nfrom .nowhere import lost\n\ndef ask():\n    return quote(1)\n"),
+    ("client.py", "from desk import (\n    quote,  # passed on\n    ask as go,\n)\nquote(2)\n"), ("nick.py", "from freight import quote as q\nq(3)\n"),
+    ("tests/test_freight.py", "from freight import quote\n\ndef test_quote():\n    assert quote(0) == 0\n"),
+    ("web/app.ts", "import { quote as q, other } from './freight.js'\n"), ("web/freight.ts", "export function quote() {}\n"),
+]
+
+
 def test_closure(spark):
-    rows = state_queries.closure_bindings(spark)
-    found, why = graph.symbol_closure(rows, "service.py", "handle")
+    from corvane.sources.corpus import plain_lines
+
+    files = spark.createDataFrame([(f, x, len(x)) for f, x in FREIGHT], "file string, source string, n_bytes bigint")
+    resolved = graph.resolved(imports.all_imports(files, plain_lines(files)), files)
+    rows = resolved.select(F.col("file").alias("importer"), "target", "status", F.explode(F.arrays_zip("local", "source")).alias("p")).select("importer", "target", "status", F.col("p.local").alias("local"), F.col("p.source").alias("source"))
+    found, why = graph.symbol_closure(rows, "freight.py", "quote")
     assert why is None
     got = {(r.importer, r.local_symbol, r.propagates) for r in found.collect()}
-    assert got == {("api.py", "handle", True), ("consumer.py", "handle", True), ("tests/test_service.py", "handle", True), ("alias_consumer.py", "h", False)}
-    assert graph.symbol_closure(rows, "service.py", "handle", most=2)[1] == "closure_state_budget"
-    assert graph.symbol_closure(rows, "missing.py", "gone")[1] == "closure_import_unresolved"
-    loose = rows.unionByName(spark.createDataFrame([("z.ts", None, "ambiguous", "handle", "handle")], rows.schema))
-    assert graph.symbol_closure(loose, "service.py", "handle")[1] == "closure_import_ambiguous"
+    assert got == {("desk.py", "quote", True), ("client.py", "quote", True), ("tests/test_freight.py", "quote", True), ("nick.py", "q", False)}
+    assert graph.symbol_closure(rows, "freight.py", "quote", most=2)[1] == "closure_state_budget"
+    assert graph.symbol_closure(rows, "missing.py", "lost")[1] == "closure_import_unresolved"
+    loose = rows.unionByName(spark.createDataFrame([("z.ts", None, "ambiguous", "quote", "quote")], rows.schema))
+    assert graph.symbol_closure(loose, "freight.py", "quote")[1] == "closure_import_ambiguous"
+
+
+def test_rename_requests():
+    for said, want in (
+        ("Rename parcel to crate.", ("exact", "parcel", "crate")), ("please rename `parcel_box` -> 'crate$1'", ("exact", "parcel_box", "crate$1")), ("Change the identifier of parcel, please, to crate", ("exact", "parcel", "crate")),
+        ("Пожалуйста, переименуйте parcel: на crate", ("exact", "parcel", "crate")), ("We saw it fail. rename parcel as crate!", ("exact", "parcel", "crate")), ("Rename parcel на crate", ("unresolved", None, None)),
+        ("Переименуй parcel to crate", ("unresolved", None, None)), ("Never ever rename parcel to crate", ("unresolved", None, None)), ("Без переименования parcel в crate", ("unresolved", None, None)),
+        ("rename parcel to crate. rename lid to cap", ("unresolved", None, None)), ("rename parcel to parcel", ("unresolved", None, None)), ("ｒｅｎａｍｅ parcel to crate", ("exact", "parcel", "crate")),
+        ("They rename parcel to crate", ("unresolved", None, None)), (None, ("unresolved", None, None)),
+    ):
+        assert tasks.rename_action(said)[:3] == want, said
+    assert tasks.rename_action("Avoid renaming parcel")[3] == "task_action_negative_rename"
+    assert [tasks.intent_of(x) for x in ("Rename parcel", "Rename the parcel for good to crate", "Rename parcel на crate", "Do not rename parcel", "Speed it up", " ")] == ["unknown", "rename_symbol", "unknown", "generic_edit", "generic_edit", "unknown"]
 
 
 def test_bm25_counts_repeats(spark):
@@ -200,3 +223,65 @@ def test_tree(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text("x\n")
     assert sorted(r.file for r in corpus.read_tree(spark, str(tmp_path)).collect()) == ["a/b.py", "d.txt"]
+
+
+def test_roles_of_places():
+    from corvane.functions import structure
+
+    source = structure.Source("import a.b as c\n\n@c.mark\nclass Box:\n    size = limit(2)\n    def open(self):\n        self.n += 1\n        return lid\n")
+
+    def role(word, nth=0):
+        at = -1
+        for _ in range(nth + 1):
+            at = source.text.index(word, at + 1)
+        return structure.classified(source, at, at + len(word))
+
+    assert role("a.b")[:2] == ("import", "a.b as c") and role("a.b")[4:] == ("module", "<module>", 1, 8)
+    assert role("Box")[:2] == ("definition", "Box") and role("open")[:2] == ("definition", "open")
+    assert role("limit")[:4] == ("call", "limit", "limit(2)", "size = limit(2)") and role("size")[:2] == ("assignment", "size")
+    assert role("self", 1)[:2] == ("assignment", "self.n") and role("lid")[:4] == ("reference", "lid", "lid", "return lid")
+    assert role("lid")[5] == "open" and role("limit")[5] == "Box"
+    assert structure.Source("def (:").tree is None
+
+
+def test_replacements():
+    from corvane.functions import structure
+
+    text = "def f(a):\r\n    if a:\r\n        b = 1\r\n        c = 2\r\n    return a\r\n"
+    reason, a, b, kind, out = structure.replacement(text, "f", "b = 1\n        c = 2", "d = 3\ne = 4")
+    assert (reason, kind) == ("ok", "siblings") and out == text.replace("b = 1\r\n        c = 2", "d = 3\r\n        e = 4")
+    assert structure.replacement(text, "f", text.strip(), "x")[3] == "owner"
+    assert structure.replacement(text, "f", "return a", "return a")[0] == "no_change"
+    assert structure.replacement(text, "g", "a", "b")[0] == "owner_unavailable"
+    assert structure.replacement(text, "f", "= 1\n        c", "b")[0] == "mutation_slice_not_structural"
+    assert structure.replacement(text + "x\n", "f", "b = 1", "z\nz")[0] == "mutation_source_eol_mixed"
+    many = "def f():\n" + "".join(f"    v{i} = {i}\n" for i in range(20))
+    assert structure.replacement(many, "f", "\n".join(f"    v{i} = {i}" for i in range(17)), "pass")[0] == "mutation_slice_too_wide"
+    assert structure.conserved("a = 1\ndef f():\n    return 1\n", "a = 1\ndef f():\n    return 2\n", [(20, 30)])
+    assert not structure.conserved("a = 1\ndef f():\n    return 1\n", "a = 2\ndef f():\n    return 2\n", [(20, 30)])
+
+
+def test_ranges_against_all_pairs(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"f{i % 3}", i, a, a + r.choice([0, 1, 5, 40, 300])) for i in range(120) for a in [r.randrange(400)]]
+    df = spark.createDataFrame(rows, "file string, id int, start int, end int")
+    inner = df.select("file", F.col("id").alias("i_id"), F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+    outer = df.select("file", F.col("id").alias("o_id"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
+    got = sorted((x.i_id, x.o_id) for x in ranges.containing(inner, outer).collect())
+    assert got == sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and b[2] <= a[2] and b[3] >= a[3])
+    points, marks = df.select("file", F.col("start").alias("line")).distinct(), df.where("id % 7 = 0").select("file", F.col("end").alias("line"))
+    near = {(x.file, x.line): x.distance for x in ranges.nearest(points, marks, 50).collect()}
+    want = {(f, s): min(abs(s - b[3]) for b in rows if b[0] == f and b[1] % 7 == 0) for f, _, s, _ in rows}
+    assert near == {k: v for k, v in want.items() if v <= 50}
+
+
+def test_globs():
+    import re
+
+    from corvane.functions import queries
+
+    for glob, yes, no in (("*.py", "a/b/c.py", "a.pyc"), ("src/**/*.ts", "src/a/b.ts", "lib/a.ts"), ("src/*.{js,ts}", "src/a.js", "src/d/a.js"), ("a?.x", "d/ab.x", "abc.x")):
+        assert re.match(queries.glob_expression(glob), yes) and not re.match(queries.glob_expression(glob), no)
+    assert queries.language_glob("src/**/*.{py,pyi}") == ("src/**/*", ["py", "pyi"]) and queries.language_glob("*.rs") is None and queries.language_glob("!*.py") is None
