@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import code_queries, commit_queries, search, search_queries, state_queries, target_queries  # noqa: F401  they register their queries
+from corvane.plans import code_queries, commit_queries, search, search_queries, state_queries, target_queries, view_queries  # noqa: F401  they register their queries
 from corvane.query import registry
 
 

@@ -143,3 +143,11 @@ def eol_kind(text: Column) -> Column:
 
 def utf16_length(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16LE")) / 2).cast("long")
+
+
+def byte_offset(source: Column, line: Column, column: Column) -> Column:
+    """Line and character column, both from 1 -> byte offset from 0; null outside the line."""
+    rows = F.split(source, "\n")
+    row = F.get(rows, line - 1)
+    before = F.aggregate(F.slice(rows, F.lit(1), F.greatest(line - 1, F.lit(0))), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 1)
+    return F.when((line >= 1) & (column >= 1) & (column <= F.length(row) + 1), before + F.octet_length(F.left(row, column - 1)))

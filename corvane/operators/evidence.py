@@ -58,6 +58,22 @@ def in_order(groups: DataFrame) -> DataFrame:
     return ranking.numbered(groups, [F.desc("hit_count"), F.asc("file"), F.asc("start_line"), F.asc("role"), F.asc("anchor")], "position")
 
 
+def distilled(counts: DataFrame) -> DataFrame:
+    """Counts of a distillation -> which of its parts are complete; nothing is, of nothing.
+
+    Columns raw, mapped, exact_spans, anchored, witnessed, lossy, unsupported, errors, truncated, groups, shown_groups, variants, shown_variants.
+    """
+    some, whole = F.col("raw") > 0, F.col("lossy") == 0
+    flags = {
+        "location_complete": some & (F.col("exact_spans") == F.col("raw")), "anchor_complete": some & (F.col("anchored") == F.col("raw")) & whole,
+        "witness_complete": some & (F.col("witnessed") == F.col("raw")) & whole, "distill_complete": (F.col("unsupported") == 0) & (F.col("errors") == 0) & (F.col("mapped") >= F.col("raw")),
+    }
+    rows = counts.withColumns(flags)
+    shown = ~F.col("truncated") & (F.col("shown_groups") == F.col("groups")) & (F.col("shown_variants") == F.col("variants"))
+    ir = F.col("location_complete") & F.col("anchor_complete") & F.col("witness_complete") & F.col("distill_complete") & shown
+    return rows.withColumns({"ir_complete": ir, "representation": F.when(F.col("shown_groups") < 1, "none").otherwise("evidence_ir")})
+
+
 def scopes(groups: DataFrame) -> DataFrame:
     """(file, start_line, end_line, kind, name, role, hit_count, queries, lines) -> scopes in order, without the module."""
     rows = groups.where("name <> '<module>'").withColumn("role_score", role_score(F.col("role")))
@@ -102,6 +118,12 @@ def novel(facts: DataFrame, ledger: DataFrame) -> DataFrame:
     return facts.join(ledger.select("key").distinct(), "key", "left_anti")
 
 
+def novel_hits(hits: DataFrame, facts: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Hits (file, line, ...) with ``novel``: whether any fact (file, line, key) of their line is not in the ledger."""
+    unseen = novel(facts, ledger).select("file", "line").distinct().withColumn("novel", F.lit(True))
+    return hits.join(unseen, ["file", "line"], "left").na.fill(False, ["novel"])
+
+
 def remembered(ledger: DataFrame, facts: DataFrame, most: int = 12_000) -> DataFrame:
     """The ledger with new facts, up to ``most``: older facts stay."""
     rows = ledger.select("key", F.lit(0).alias("age")).union(facts.select("key", F.lit(1))).groupBy("key").agg(F.min("age").alias("age"))
@@ -111,3 +133,19 @@ def remembered(ledger: DataFrame, facts: DataFrame, most: int = 12_000) -> DataF
 def fact_kinds(facts: DataFrame) -> DataFrame:
     kind = F.substring_index("key", "\0", 1)
     return facts.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+# The kinds of facts, by what they say.
+FACT_GROUPS = {
+    "positive": ["hit_line", "exact_span"], "context": ["source_line"], "negative": ["negative_query"], "structural": ["group", "witness", "scope"],
+    "routing": ["route_candidate", "route_summary", "index_summary", "index_facet", "index_file"],
+}
+
+
+def fact_summary(facts: DataFrame) -> DataFrame:
+    """(key) -> (kind, n): facts counted by what they say; kinds not known are ``other``."""
+    kind = F.substring_index("key", "\0", 1)
+    out = F.lit("other")
+    for group, kinds in FACT_GROUPS.items():
+        out = F.when(kind.isin(*kinds), group).otherwise(out)
+    return facts.groupBy(out.alias("kind")).agg(F.count("*").alias("n"))

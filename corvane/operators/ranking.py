@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corvane.functions import paths, text
 
@@ -133,25 +135,28 @@ def fused(scores: DataFrame, k: int = MOST_RESULTS) -> DataFrame:
 
     Exact ranks go from 1 to ``k`` at most. A file without one can only be among
     the best k if its BM25F rank is, so ranks are made for the first k and for
-    the files with an exact rank, by counting what is ahead of them; the scores
-    are never sorted as a whole.
+    the files with an exact rank, by counting what is ahead of them. The scores
+    are kept while they are read and never sorted as a whole; 2 * k rows are left.
     """
     value = F.round("bm25f", 12)
-    good = scores.where("bm25f > 0").select("file", value.alias("s"))
-    first = top_ranked(good, [F.desc("s"), F.asc("file")], k).select("file", F.col("rank").alias("bm25_rank"))
-    exact = scores.where(F.col("exact_rank").between(1, k))
-    mine = exact.where("bm25f > 0").select(F.col("file").alias("e_file"), value.alias("e_s"))
-    ahead = (F.col("s") > F.col("e_s")) | ((F.col("s") == F.col("e_s")) & (F.col("file") <= F.col("e_file")))
-    placed = good.crossJoin(F.broadcast(mine)).groupBy("e_file").agg(F.count_if(ahead).cast("int").alias("bm25_rank"))  # k rows at most
-    ranks = placed.select(F.col("e_file").alias("file"), "bm25_rank").union(first).distinct()
-    rows = exact.select("file").union(first.select("file")).distinct()
-    rows = scores.join(F.broadcast(rows), "file").join(F.broadcast(ranks), "file", "left")  # 2 * k rows at most
+    kept = scores.withColumn("s", value).persist(StorageLevel.DISK_ONLY)
+    good = kept.where("bm25f > 0")
+    first = good.orderBy(F.desc("s"), "file").limit(k).collect()
+    exact = kept.where(F.col("exact_rank").between(1, k)).collect()
+    ranks = {r["file"]: i + 1 for i, r in enumerate(first)}
+    asked = [r for r in exact if r["bm25f"] > 0 and r["file"] not in ranks]
+    if asked:
+        ahead = [F.count_if((F.col("s") > r["s"]) | ((F.col("s") == r["s"]) & (F.col("file") <= r["file"]))) for r in asked]
+        ranks |= dict(zip((r["file"] for r in asked), good.agg(*(c.alias(f"a{i}") for i, c in enumerate(ahead))).head()))
+    kept.unpersist()
+    rows = [(*(r[c] for c in scores.columns), ranks.get(r["file"])) for r in {r["file"]: r for r in [*exact, *first]}.values()]
+    few = scores.sparkSession.createDataFrame(rows, StructType([*scores.schema, StructField("bm25_rank", IntegerType())]))
 
     def part(rank: str) -> Column:
         return F.coalesce(1 / (F.lit(RRF) + F.col(rank)), F.lit(0.0))
 
-    rows = rows.withColumn("rrf", part("exact_rank") + part("bm25_rank"))
-    return top_ranked(rows, [F.desc(F.round("rrf", 12)), F.desc(F.round("bm25f", 12)), F.asc("file")], k)
+    few = few.withColumn("rrf", part("exact_rank") + part("bm25_rank"))
+    return top_ranked(few, [F.desc(F.round("rrf", 12)), F.desc(F.round("bm25f", 12)), F.asc("file")], k)
 
 
 def fair_candidates(ranked: DataFrame, k: int, by: list[Column] | None = None) -> list:
@@ -205,3 +210,8 @@ def emit_with_impact(lexical: list[str], reserved: list[str], structural: list[s
             if len(out) < k and f not in out:
                 out.append(f)
     return out
+
+
+def emitted(lexical: Column, reserved_files: Column, structural: Column, graph: Column, k: int = 4) -> Column:
+    """emit_with_impact() of array columns, for many searches at once."""
+    return F.slice(F.array_distinct(F.concat(F.slice(reserved_files, 1, k), F.slice(structural, 1, 1), F.slice(graph, 1, 1), lexical)), 1, k)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FILE_CAP, LINE_CAP = 5_000, 1_000
+FILE_CAP, LINE_CAP, MOST_MATCH = 5_000, 1_000, 160
 #: rows of a class of a query that are kept; up to so many, tasks drop the others before any shuffle
 IN_CLASS = 1_000
 
@@ -70,7 +70,7 @@ def scan_status(spark, hits: DataFrame, queries: list[str]) -> DataFrame:
 
 
 def byte_spans(hits: DataFrame, queries: list[str]) -> DataFrame:
-    """Every match with its half-open UTF-8 byte range in the line."""
+    """Every match with its half-open UTF-8 byte range in the line; its text with single spaces, at most MOST_MATCH characters."""
     import re
 
     import pandas as pd
@@ -83,12 +83,17 @@ def byte_spans(hits: DataFrame, queries: list[str]) -> DataFrame:
             for q, file, line, text in zip(pdf["query"], pdf["file"], pdf["line"], pdf["text"]):
                 for k, m in enumerate(compiled[q].finditer(text)):
                     at = len(text[: m.start()].encode())
-                    rows.append((q, file, line, k, at, at + len(m.group().encode()), m.group()))
+                    rows.append((q, file, line, k, at, at + len(m.group().encode()), " ".join(m.group().split())[:MOST_MATCH]))
             yield pd.DataFrame(rows, columns=["query", "file", "line", "n", "start_byte", "end_byte", "match_text"])
 
     return hits.select("query", "file", "line", "text").mapInPandas(spans, "query int, file string, line bigint, n int, start_byte bigint, end_byte bigint, match_text string")
 
 
+def without_exact(hits: DataFrame) -> DataFrame:
+    """Hits whose ``match_mode`` is not exact are evidence of a line, not of what matched: their match texts go."""
+    return hits.withColumn("match_texts", F.when(F.col("match_mode") == "exact", F.col("match_texts")).otherwise(F.array().cast("array<string>")))
+
+
 def merge_hits(hits: DataFrame) -> DataFrame:
     """One row per (file, line) with all its queries and match texts."""
     return hits.groupBy("file", "line").agg(

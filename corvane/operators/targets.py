@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import paths, text
-from corvane.operators import ranking
+from corvane.operators import ranges, ranking
 
-MOST_COMPETITORS, MOST_LOCATIONS, MOST_SCOPE = 4, 32, 180
+MOST_COMPETITORS, MOST_LOCATIONS, MOST_SCOPE, MOST_DISTANCE = 4, 32, 180, 96
 
 
 def primary_scope(scopes: DataFrame, group: list[str]) -> DataFrame:
@@ -147,6 +147,31 @@ def position_of(source: Column, offset: Column) -> Column:
     return F.when(ok, F.struct(line.cast("long").alias("line"), text.utf16_length(tail).alias("character")))
 
 
+def offset_of(source: Column, line: Column, character: Column) -> Column:
+    """Line and UTF-16 character, both from 0 -> UTF-8 byte offset; null outside the source or inside a character."""
+    rows = F.split(source, "\n")
+    row = F.get(rows, line)
+    before = F.aggregate(F.slice(rows, F.lit(1), F.greatest(line, F.lit(0))), F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 1)
+    # characters beyond 16 bits count twice, so the number of characters lies between half and all
+    some = F.sequence(F.greatest(F.lit(0), F.floor(character / 2).cast("int")), F.least(F.length(row), character))
+    k = F.get(F.filter(some, lambda i: text.utf16_length(F.left(row, i)) == character), F.lit(0))
+    ok = (line >= 0) & (character >= 0) & row.isNotNull() & (F.floor(character / 2) <= F.length(row))
+    return F.when(ok & k.isNotNull(), before + F.octet_length(F.left(row, k)))
+
+
+def symbol_targets(definitions: DataFrame, evidence: DataFrame, most: int = MOST_DISTANCE) -> DataFrame:
+    """(file, name, start_line, end_line) of functions and evidence (file, line) -> file, name, reason, start_line, end_line.
+
+    The one function of the name whose first line is at most ``most`` lines from evidence.
+    """
+    near = ranges.nearest(definitions.select("file", F.col("start_line").alias("line")).distinct(), evidence, 1 << 30)
+    rows = definitions.join(near.withColumnRenamed("line", "start_line"), ["file", "start_line"], "left")
+    close = F.col("distance") <= most
+    per = rows.groupBy("file", "name").agg(F.count_if(F.col("distance").isNull()).alias("bare"), F.count_if(close).alias("n"), F.min(F.when(close, F.struct("start_line", "end_line"))).alias("d"))
+    reason = F.when(F.col("bare") > 0, "evidence_anchor_missing").when(F.col("n") > 1, "symbol_ambiguous").when(F.col("n") < 1, "symbol_not_found").otherwise("ok")
+    return per.select("file", "name", reason.alias("reason"), *(F.when(reason == "ok", F.col(f"d.{c}")).alias(c) for c in ("start_line", "end_line")))
+
+
 def file_uri(path: Column) -> Column:
     return F.concat(F.lit("file://"), F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/")))
 

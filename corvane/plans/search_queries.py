@@ -40,9 +40,24 @@ def file_lines(spark, d):
     return corpus.lines(_files(spark, d)).select("file", "line", F.octet_length("text").cast("long").alias("n_bytes"), "start_byte")
 
 
-@query("scan_extension_counts", f"SELECT 'txt' AS extension, count(*) AS n_files, sum(n_bytes)::BIGINT AS n_bytes FROM {FILES_SQL}")
+_named = "regexp_replace(file, '\\.txt$', CASE n % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.Md' WHEN 2 THEN '.tar.gz' ELSE '' END)"
+_EXTS = f"(SELECT {_named} AS file, n_bytes FROM (SELECT *, CAST(regexp_extract(file, 'doc_(\\d+)', 1) AS BIGINT) AS n FROM {FILES_SQL}))"
+
+
+@query("scan_extension_counts", f"SELECT lower(regexp_extract(regexp_extract(file, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1)) AS extension, count(*) AS n_files, sum(n_bytes)::BIGINT AS n_bytes FROM {_EXTS} GROUP BY 1")
 def extension_counts(spark, d):
-    return corpus.extension_counts(_files(spark, d))
+    n = F.regexp_extract("file", r"doc_(\d+)", 1).cast("long") % 4
+    end = F.when(n == 0, ".txt").when(n == 1, ".Md").when(n == 2, ".tar.gz").otherwise("")
+    return corpus.extension_counts(_files(spark, d).withColumn("file", F.concat(F.regexp_replace("file", r"\.txt$", ""), end)))
+
+
+@query("scan_context_lines", f"SELECT l.file, l.line, l.text FROM {LINES_SQL} l JOIN {FILES_SQL} f USING (file) WHERE n_bytes <= 3000 AND l.line BETWEEN 2 AND 3")
+def context_lines(spark, d):
+    """Lines of files that may be read: not too large, and inside the root; some names climb out of it."""
+    files = _files(spark, d)
+    outside = files.withColumn("file", F.concat(F.lit("../"), "file"))
+    wanted = files.union(outside).select("file", F.lit(2).cast("long").alias("start"), F.lit(3).cast("long").alias("end"))
+    return corpus.context_lines(files.union(outside), wanted, 3000)
 
 
 @query("scan_discover_files", f"SELECT query::INT AS query, file FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY file) AS rn FROM {FOUND_SQL}) WHERE rn <= {scan.FILE_CAP}")
@@ -68,7 +83,13 @@ def completeness(spark, d):
     return scan.scan_status(spark, _hits(spark, d), SEARCH)
 
 
-@query("scan_byte_spans")
+def _spans_sql() -> str:
+    """Places of matches, one after the other: what is before each, from splitting the line at the matches."""
+    return f"""WITH k AS {KEPT_SQL}, m AS (SELECT query, file, line, text, regexp_extract_all(text, rx) AS ms, string_split_regex(text, rx) AS parts FROM k WHERE n > 0), u AS (SELECT *, unnest(range(len(ms))) AS n FROM m)
+        SELECT query::INT AS query, file, line, n::INT AS n, (strlen(array_to_string(parts[1:n + 1], '')) + strlen(array_to_string(ms[1:n], '')))::BIGINT AS start_byte, (strlen(array_to_string(parts[1:n + 1], '')) + strlen(array_to_string(ms[1:n + 1], '')))::BIGINT AS end_byte, left(trim(regexp_replace(ms[n + 1], '\\s+', ' ', 'g')), 160) AS match_text FROM u"""
+
+
+@query("scan_byte_spans", _spans_sql())
 def byte_spans(spark, d):
     return scan.byte_spans(_hits(spark, d), SEARCH)
 
@@ -230,7 +251,9 @@ def context_ranges(spark, d):
     return out.select("file", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
-@query("evidence_raw_report")
+@query("evidence_raw_report", f"""WITH k AS MATERIALIZED {KEPT_SQL}, l AS (SELECT * FROM {LINES_SQL}), last AS (SELECT file, max(line) AS last FROM l GROUP BY file), a AS (SELECT DISTINCT file, unnest(range(greatest(1, line - 2), least(last, line + 2) + 1)) AS line FROM k JOIN last USING (file)),
+    m AS (SELECT DISTINCT file, line, true AS marked FROM k), r AS (SELECT l.file, l.line, coalesce(marked, false) AS marked, l.text FROM a JOIN l ON l.file = a.file AND l.line = a.line LEFT JOIN m ON m.file = l.file AND m.line = l.line)
+    SELECT file, line, marked, text FROM (SELECT *, sum(strlen(file || ':' || line || ':' || text) + 1) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS spent FROM r) WHERE spent <= 5000""")
 def raw_report(spark, d):
     return evidence.raw_rows(_hits(spark, d), _lines(spark, d))
 
@@ -245,6 +268,21 @@ def negative_facts(spark, d):
     return evidence.negative_facts(scan.scan_status(spark, _hits(spark, d), SEARCH)).select("query")
 
 
+@query("evidence_hit_novelty", f"SELECT query::INT AS query, file, line, line % 3 <> 0 AS novel FROM {KEPT_SQL}")
+def hit_novelty(spark, d):
+    """A hit is novel if any of its facts is; those of every third line are known."""
+    hits = _hits(spark, d)
+    facts = evidence.fact_keys(hits)
+    known = facts.where("line % 3 = 0").union(evidence.fact_keys(hits.where("line % 3 = 1 and query = 0")).where("key like 'hit%'"))
+    return evidence.novel_hits(hits.select("query", "file", "line"), facts, known)
+
+
+@query("evidence_variant_order", f"SELECT query::INT AS query, file, text, row_number() OVER (PARTITION BY query, file ORDER BY count(*) DESC, text)::INT AS position FROM {KEPT_SQL} GROUP BY query, file, text")
+def variant_order(spark, d):
+    rows = evidence.grouped(_hits(spark, d).withColumn("asked", F.col("query")), ["asked", "file"], ["text"])
+    return rows.select(F.col("asked").alias("query"), "file", F.posexplode("variants").alias("p", "v")).select("query", "file", "v.text", (F.col("p") + 1).alias("position"))
+
+
 @query("evidence_grouped", f"""WITH v AS (SELECT query, file, text, count(*) AS n FROM {KEPT_SQL} GROUP BY ALL), g AS (SELECT query, file, count(*) AS n_variants, sum(n)::BIGINT AS hit_count FROM v GROUP BY ALL),
     l AS (SELECT query, file, list_sort(list(DISTINCT line)) AS ls FROM {KEPT_SQL} GROUP BY ALL)
     SELECT query::INT AS query_key, file, hit_count, n_variants, list_aggregate(ls[1:8], 'string_agg', ',') AS lines, len(ls) > 8 AS lines_truncated, round(n_variants / hit_count, 6) AS variant_diversity FROM g JOIN l USING (query, file)""")
@@ -273,9 +311,31 @@ def clips(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.compact(t, 80).alias("clipped"), text.compact(t, 40, True).alias("marked"), text.utf16_length(t).alias("n_chars_utf16"))
 
 
-@query("scan_relaxed", f"SELECT file, line, text, 'case_fold' AS match_mode FROM {LINES_SQL} WHERE regexp_matches(text, '(?i)mit LICENSE')")
+ASKED = ["MIT License", "mit LICENSE", "license released mit", "(?i)NoSuchThing at all"]
+_WORDS_SQL = {"license released mit": ["license", "released", "mit"], "(?i)NoSuchThing at all": ["nosuchthing", "all"]}
+
+
+def _relaxed_sql(q: str) -> str:
+    words = " AND ".join(f"contains(lower(text), '{w}')" for w in _WORDS_SQL.get(q, [w.lower() for w in q.split()]))
+    return f"""SELECT '{q}' AS query, file, line, text, match_mode FROM (SELECT *, regexp_matches(text, '{q}') AS a, regexp_matches(text, '(?i){q}') AS b, {words} AS c, bool_or(regexp_matches(text, '{q}')) OVER () AS any_a, bool_or(regexp_matches(text, '(?i){q}')) OVER () AS any_b FROM {LINES_SQL}) t,
+        LATERAL (SELECT CASE WHEN any_a THEN 'exact' WHEN any_b THEN 'case_fold' ELSE 'all_words' END AS match_mode) WHERE CASE match_mode WHEN 'exact' THEN a WHEN 'case_fold' THEN b ELSE c END"""
+
+
+@query("scan_relaxed", " UNION ALL ".join(map(_relaxed_sql, ASKED)))
 def relaxed(spark, d):
-    return scan.relax(_lines(spark, d), "mit LICENSE")
+    """Each query in the first way that finds something."""
+    out = None
+    for q in ASKED:
+        rows = scan.relax(_lines(spark, d), q).withColumn("query", F.lit(q))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("scan_fallback_hits", f"SELECT query::INT AS query, file, line, CASE WHEN query % 2 = 0 THEN n ELSE 0 END::INT AS n_texts FROM {KEPT_SQL}")
+def fallback_hits(spark, d):
+    """Hits of a fallback keep their line and lose what only an exact match can claim."""
+    hits = _hits(spark, d).withColumn("match_mode", F.when(F.col("query") % 2 == 0, "exact").otherwise("all_words"))
+    return scan.without_exact(hits).select("query", "file", "line", F.size("match_texts").alias("n_texts"))
 
 
 @query("scan_cooccurrence", f"""SELECT file, (a + b + c)::BIGINT AS n_atoms, (a + b + c) / 3.0::DOUBLE AS branch_ratio, 1::BIGINT AS n_branches FROM (SELECT file, max(contains(lower(text), 'mit')::INT) AS a, max(contains(lower(text), 'license')::INT) AS b, max(contains(lower(text), 'released')::INT) AS c FROM {LINES_SQL} GROUP BY file) WHERE a + b + c >= 2""")

@@ -234,6 +234,44 @@ def handoff(spark, d):
     return sessions.handoff(t).select("session", "turn", "status", F.array_join("blocking_reasons", ",").alias("blocking"), F.array_join("partial_reasons", ",").alias("partial"))
 
 
+_SEARCHES = "(SELECT session, turn, seq, event_type || (seq % 3) AS k, seq % 900 AS n, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY session, turn ORDER BY seq) AS rn FROM {t})".format(t=_T)
+
+
+@query("session_reused_searches", f"""WITH RECURSIVE s AS MATERIALIZED {_SEARCHES}, f AS (SELECT session, turn, seq, rn, false AS reused, CASE WHEN ok AND n <= 1500 THEN [k] ELSE []::VARCHAR[] END AS kept, CASE WHEN ok AND n <= 1500 THEN n ELSE 0 END AS total FROM s WHERE rn = 1
+    UNION ALL SELECT s.session, s.turn, s.seq, s.rn, list_contains(kept, k), CASE WHEN NOT list_contains(kept, k) AND ok AND len(kept) < 4 AND total + n <= 1500 THEN list_append(kept, k) ELSE kept END, CASE WHEN NOT list_contains(kept, k) AND ok AND len(kept) < 4 AND total + n <= 1500 THEN total + n ELSE total END
+    FROM f JOIN s ON s.session = f.session AND s.turn = f.turn AND s.rn = f.rn + 1) SELECT session, turn, seq, reused FROM f""")
+def reused_searches(spark, d):
+    n = F.col("seq")
+    rows = _events(spark, d).select("session", "turn", "seq", F.concat("event_type", n % 3).alias("signature"), (n % 900).alias("n_matches"), (F.col("event_type") != "error").alias("cacheable"))
+    return sessions.reused_searches(rows, 4, 1500)
+
+
+@query("session_index_refreshes", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT session, seq, ms, row_number() OVER (PARTITION BY session ORDER BY seq) AS rn FROM {_T}), f AS (SELECT session, seq, rn, true AS refreshed, ms AS made FROM s WHERE rn = 1
+    UNION ALL SELECT s.session, s.seq, s.rn, s.ms - made > 120000, CASE WHEN s.ms - made > 120000 THEN s.ms ELSE made END FROM f JOIN s ON s.session = f.session AND s.rn = f.rn + 1) SELECT session, seq, refreshed FROM f""")
+def index_refreshes(spark, d):
+    return sessions.index_refreshes(_events(spark, d))
+
+
+@query("session_tracked", f"SELECT session, last_ms FROM (SELECT session, max(ms) AS last_ms FROM {_T} GROUP BY session) WHERE (SELECT max(ms) FROM {_T}) - last_ms <= 36000000 ORDER BY last_ms DESC, session LIMIT 25")
+def tracked(spark, d):
+    return sessions.tracked_sessions(_events(spark, d), 25, 36_000_000)
+
+
+@query("session_latch_states", f"""SELECT session, turn, seq, CASE WHEN event_type <> first_value(event_type) OVER w THEN 'task_text_drift_same_turn' WHEN seq % 5 = 0 THEN 'task_action_intent_mismatch' WHEN row_number() OVER w = 1 THEN 'latched' ELSE 'kept' END AS latch FROM {_T} WINDOW w AS (PARTITION BY session, turn ORDER BY seq)""")
+def latch_states(spark, d):
+    rows = _events(spark, d).select("session", "turn", "seq", F.col("event_type").alias("hash"), F.when(F.col("seq") % 5 == 0, "rename_symbol").when(F.col("seq") % 5 == 1, "generic_edit").alias("action"), F.lit("generic_edit").alias("intent"))
+    return sessions.latch_states(rows).select("session", "turn", "seq", "latch")
+
+
+@query("session_host_events", f"SELECT session, turn, seq, ev AS event FROM {_T}")
+def host_events(spark, d):
+    """Every second event comes in an envelope."""
+    rows = _events(spark, d).select("session", "turn", "seq", "event")
+    whole = F.struct("session", "turn", "seq", "event")
+    text_of = F.when(F.col("seq") % 2 == 0, F.to_json(whole)).otherwise(F.to_json(F.struct(F.lit("x").alias("type"), whole.alias("payload"))))
+    return sessions.unwrapped(rows.select(text_of.alias("value")))
+
+
 # --- checks
 
 

@@ -74,7 +74,9 @@ def rename_status(spark, d):
     return targets.rename_targets(p.where("p_partkey % 97 = 0").select("symbol", F.col("p_brand").alias("identity")), p, p.where("file <> 'f7'").select("symbol", "file").distinct())
 
 
-@query("target_competitors")
+@query("target_competitors", f"""WITH f AS MATERIALIZED {s.FOUND_SQL}, t AS (SELECT min(file) AS target FROM f WHERE query = 1), p AS (SELECT query, count(*) AS n FROM f GROUP BY query HAVING bool_or(file = (SELECT target FROM t))), b AS (SELECT query FROM p WHERE n = (SELECT min(n) FROM p)),
+    r AS (SELECT DISTINCT file FROM f WHERE query IN (SELECT query FROM b) AND file <> (SELECT target FROM t) AND file IN (SELECT file FROM f WHERE query <> 2))
+    SELECT count(*) AS n_rivals, CASE WHEN count(*) = 0 THEN 'confirmed' WHEN count(*) <= 4 THEN 'competing' ELSE 'too_many' END AS decision FROM r""")
 def competitors(spark, d):
     from corvane.operators import scan
 

@@ -8,6 +8,7 @@ a long session is split by its turns.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -109,6 +110,83 @@ def first_searches(searches: DataFrame) -> DataFrame:
     return searches.withColumn("duplicate", F.row_number().over(w) > 1)
 
 
+# What a turn may keep of its searches, how long an index is fresh, and how many sessions are tracked for how long.
+CACHE_ENTRIES, CACHE_MATCHES, INDEX_TTL_MS, MOST_SESSIONS, SESSION_TTL_MS = 16, 4_000, 120_000, 256, 7_200_000
+
+
+def _folded(rows: DataFrame, key: list[str], out: str, columns: list[str], one) -> DataFrame:
+    """``one`` on the columns of each group in order of seq, where a row depends on all choices before it; returns a list of values."""
+    import pyarrow as pa
+
+    def fold(table):
+        table = table.sort_by("seq")
+        got = one(*(table.column(c).to_pylist() for c in columns))
+        return table.select([*key, "seq"]).append_column(out, pa.array(got, pa.bool_()))
+
+    slim = rows.select(*dict.fromkeys([*key, "seq", *columns]))
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in (*key, "seq"))
+    names = [f.name for f in slim.schema if f.name in (*key, "seq")]
+    return slim.groupBy(*key).applyInArrow(lambda t: fold(t).select([*names, out]), f"{kind}, `{out}` boolean")
+
+
+def reused_searches(searches: DataFrame, entries: int = CACHE_ENTRIES, matches: int = CACHE_MATCHES) -> DataFrame:
+    """(session, turn, seq, signature, n_matches, cacheable) -> session, turn, seq, reused.
+
+    A turn remembers results that were not cut by time or error while there is
+    room for them; a result too large is passed over and may be asked for again.
+    """
+
+    def one(signatures, sizes, cacheable):
+        kept, total, out = set(), 0, []
+        for s, n, ok in zip(signatures, sizes, cacheable):
+            out.append(s in kept)
+            if s not in kept and ok and len(kept) < entries and total + n <= matches:
+                kept.add(s)
+                total += n
+        return out
+
+    return _folded(searches, ["session", "turn"], "reused", ["signature", "n_matches", "cacheable"], one)
+
+
+def index_refreshes(queries: DataFrame, ttl_ms: int = INDEX_TTL_MS) -> DataFrame:
+    """(session, seq, ms) -> session, seq, refreshed: a query refreshes the index if there is none or it is older than ``ttl_ms``."""
+
+    def one(times):
+        made, out = None, []
+        for t in times:
+            due = made is None or t - made > ttl_ms
+            made = t if due else made
+            out.append(due)
+        return out
+
+    return _folded(queries, ["session"], "refreshed", ["ms"], one)
+
+
+def tracked_sessions(events: DataFrame, most: int = MOST_SESSIONS, ttl_ms: int = SESSION_TTL_MS) -> DataFrame:
+    """(session, ms) -> session, last_ms of the sessions still tracked after the last event: the most recent ones, none older than ``ttl_ms``."""
+    last = events.groupBy("session").agg(F.max("ms").alias("last_ms"))
+    now = last.agg(F.max("last_ms").alias("now"))
+    live = last.crossJoin(F.broadcast(now)).where(F.col("now") - F.col("last_ms") <= ttl_ms).drop("now")  # one row
+    return live.orderBy(F.desc("last_ms"), "session").limit(most)
+
+
+def latch_states(snapshots: DataFrame) -> DataFrame:
+    """(session, turn, seq, hash, action, intent) with ``latch``: the first snapshot of a turn holds; another text is drift,
+    and an action that is not the intent leaves the task unknown."""
+    first = F.first("hash").over(Window.partitionBy("session", "turn").orderBy("seq"))
+    n = F.row_number().over(Window.partitionBy("session", "turn").orderBy("seq"))
+    rows = snapshots.withColumns({"first": first, "n": n})
+    state = F.when(F.col("hash") != F.col("first"), "task_text_drift_same_turn").when(F.col("action").isNotNull() & (F.col("action") != F.col("intent")), "task_action_intent_mismatch").when(F.col("n") == 1, "latched").otherwise("kept")
+    return rows.withColumn("latch", state).drop("first", "n")
+
+
+def unwrapped(raw: DataFrame) -> DataFrame:
+    """Host events as JSON text (column value), direct or in an envelope with a payload -> session, turn, seq, event."""
+    kind = "session bigint, turn bigint, seq bigint, event string"
+    both = F.from_json("value", f"{kind}, payload struct<{kind.replace(' bigint', ':bigint').replace(' string', ':string')}>")
+    return raw.select(both.alias("e")).select(F.coalesce("e.payload", F.struct("e.session", "e.turn", "e.seq", "e.event")).alias("x")).select("x.*")
+
+
 # --- the same, with state between micro-batches
 
 
@@ -165,19 +243,27 @@ def stream_first_usage(usage: DataFrame, late: str = "2 hours") -> DataFrame:
     return usage.where("message_id is not null").withWatermark("ts", late).dropDuplicatesWithinWatermark(["session", "turn", "message_id"])
 
 
-def upsert_handoffs(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the newest handoff of each session in a table: each batch writes a new version and then points to it."""
-    from corvane.sources.corpus import read_snapshot, write_snapshot
+def upsert_handoffs(stream: DataFrame, path: str, checkpoint: str, buckets: int = 16):
+    """Keep the newest handoff of each session in a table dealt into buckets by session.
+
+    A batch rewrites only the buckets it has rows of, then points to the new
+    version at once; a batch that comes again after a failure changes nothing.
+    """
+    from corvane.sources.corpus import latest, publish, read_parts
 
     def write(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = read_snapshot(batch.sparkSession, path, "1")
-        except Exception as e:  # the first batch has no pointers yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = None
-        rows = batch if old is None else batch.unionByName(old)
+        spark = batch.sparkSession
+        now = latest(spark, path, "1") or {"epoch": -1, "parts": {}}
+        rows = batch.withColumn("__bucket", F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int"))
+        touched = [str(r[0]) for r in rows.select("__bucket").distinct().collect()]  # ``buckets`` rows at most
+        if now["epoch"] >= epoch or not touched:
+            return
+        old = read_parts(spark, path, {k: v for k, v in now["parts"].items() if k in touched})
+        if old is not None:
+            rows = rows.unionByName(old.select(*batch.columns, F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int").alias("__bucket")))
         newest = F.max(F.struct("turn", F.struct(*rows.columns).alias("row")))["row"]
-        write_snapshot(rows.groupBy("session").agg(newest.alias("row")).select("row.*"), path, "1")
+        name = uuid.uuid4().hex
+        rows.groupBy("session").agg(newest.alias("row")).select("row.*").write.partitionBy("__bucket").parquet(f"{path}/data/{name}")
+        publish(spark, path, "1", now["parts"] | dict.fromkeys(touched, name), epoch)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -48,8 +48,28 @@ def test_handoffs(spark, tmp_path):
     from corvane.sources.corpus import read_snapshot
 
     kind = "session bigint, turn bigint, status string"
-    spark.createDataFrame([(1, 0, "blocked"), (1, 1, "ready"), (2, 0, "partial")], kind).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
-    q = sessions.upsert_handoffs(stream, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(tuple(r) for r in read_snapshot(spark, str(tmp_path / "out"), "1").collect()) == [(1, 1, "ready"), (2, 0, "partial")]
+    out = str(tmp_path / "out")
+    for rows in ([(1, 0, "blocked"), (1, 1, "ready"), (2, 0, "partial")], [(2, 1, "ready"), (3, 0, "ready")], [(3, 1, "blocked")]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kind).parquet(str(tmp_path / "in"))
+        q = sessions.upsert_handoffs(stream, out, str(tmp_path / "cp"), 2).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(tuple(r) for r in read_snapshot(spark, out, "1").select("session", "turn", "status").collect()) == [(1, 1, "ready"), (2, 1, "ready"), (3, 1, "blocked")]
+    assert len(list((tmp_path / "out" / "pointers").glob("*.json"))) == 2  # older ones go
+
+
+def test_trace(spark, tmp_path):
+    from corvane.sources.corpus import append_trace
+
+    for n in (2, 3):
+        append_trace(spark.range(n), str(tmp_path / "trace"))
+    assert spark.read.json(str(tmp_path / "trace")).count() == 5
+
+
+def test_folds_keep_order(spark):
+    kind = "session bigint, turn bigint, seq bigint, signature string, n_matches int, cacheable boolean"
+    rows = [(1, 0, 1, "a", 5, True), (1, 0, 2, "a", 5, True), (1, 0, 3, "b", 99, True), (1, 0, 4, "b", 99, True), (1, 0, 5, "c", 1, False), (1, 0, 6, "c", 1, True), (1, 0, 7, "c", 1, True)]
+    got = {r.seq: r.reused for r in sessions.reused_searches(spark.createDataFrame(rows, kind), matches=10).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: False, 6: False, 7: True}
+    times = spark.createDataFrame([(1, i, t) for i, t in enumerate([0, 50, 101, 201, 202])], "session bigint, seq bigint, ms bigint")
+    assert [r.refreshed for r in sessions.index_refreshes(times, 100).orderBy("seq").collect()] == [True, False, True, False, True]
