@@ -11,7 +11,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from corvane.ship import ship
 
 #: texts of one Arrow batch worked on at once, in bytes, unless one text is longer
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .store import partitions
 
 #: hashes of a chunk, and about as many of a bucket, worked on at once
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 LOW48 = np.uint64((1 << 48) - 1)
 
 

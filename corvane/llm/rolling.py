@@ -10,7 +10,7 @@ from .words import LOWER
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 #: bytes hashed at once
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _powers: dict[int, np.ndarray] = {}
 
