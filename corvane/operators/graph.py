@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,22 +141,28 @@ def symbol_closure(bindings: DataFrame, file: str, symbol: str, most: int = 32)
     anywhere, or there are more than ``most`` states.
     """
     spark = bindings.sparkSession
-    loose = bindings.where("status in ('unresolved', 'ambiguous')")
-    none = bindings.limit(0).select("importer", "target", F.col("source").alias("source_symbol"), F.col("local").alias("local_symbol"), F.lit(True).alias("propagates"))
+    kept = bindings.select("importer", "target", "source", "local", "status").persist(StorageLevel.DISK_ONLY)
+    rows, why = _closure(kept, file, symbol, most)
+    kept.unpersist()
+    kind = "importer string, target string, source_symbol string, local_symbol string, propagates boolean"
+    return spark.createDataFrame([] if why else sorted(rows), kind), why
+
+
+def _closure(bindings: DataFrame, file: str, symbol: str, most: int) -> tuple[set[tuple], str | None]:
+    loose = bindings.where((F.col("source") == symbol) & F.col("status").isin("ambiguous", "unresolved")).select("status").distinct().collect()  # two rows at most
     for status in ("ambiguous", "unresolved"):
-        if loose.where((F.col("source") == symbol) & (F.col("status") == status)).head():
-            return none, f"closure_import_{status}"
-    known, frontier, out = [(file, symbol)], [(file, symbol)], none
+        if any(r["status"] == status for r in loose):
+            return set(), f"closure_import_{status}"
+    known, frontier, out = {(file, symbol)}, [(file, symbol)], set()
     while frontier:
         # states are bounded by ``most``, so the frontier is a short list of literals
-        step = spark.createDataFrame(frontier, "target string, source string")
-        found = bindings.where("status = 'resolved'").join(F.broadcast(step), ["target", "source"])
-        rows = found.select("importer", "target", F.col("source").alias("source_symbol"), F.col("local").alias("local_symbol"), (F.col("local") == F.col("source")).alias("propagates"))
-        out = out.union(rows)
-        new = {(r[0], r[1]) for r in rows.where("propagates").select("importer", "local_symbol").distinct().limit(most + 2).collect()} - set(known)
-        frontier = sorted(new)
-        known += frontier
+        step = bindings.sparkSession.createDataFrame(frontier, "target string, source string")
+        found = bindings.where("status = 'resolved'").join(F.broadcast(step), ["target", "source"]).select("importer", "target", "source", "local").distinct().limit(most + 2).collect()
+        out |= {(r["importer"], r["target"], r["source"], r["local"], r["local"] == r["source"]) for r in found}
+        frontier = sorted({(r["importer"], r["local"]) for r in found if r["local"] == r["source"]} - known)
+        known |= set(frontier)
         if len(known) > most + 1:
-            return none, "closure_state_budget"
-    out = out.distinct()
-    return (none, "closure_binding_budget") if out.limit(most + 1).count() > most else (out, None)
+            return set(), "closure_state_budget"
+        if len(out) > most:
+            return set(), "closure_binding_budget"
+    return out, None

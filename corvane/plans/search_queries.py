@@ -343,6 +343,26 @@ def cooccurrence(spark, d):
     return scan.cooccurrence(_lines(spark, d), [["mit", "license", "released"]], most_files=0).withColumn("branch_ratio", F.col("branch_ratio").cast("double"))
 
 
+def _quorum(words: list[str]) -> str:
+    flags = ", ".join(f"max(contains(lower(text), '{w}')::INT) AS w{i}" for i, w in enumerate(words))
+    n = " + ".join(f"w{i}" for i in range(len(words)))
+    q = f"(SELECT file, ({n})::BIGINT AS n_atoms, ({n}) / {len(words)}.0::DOUBLE AS branch_ratio FROM (SELECT file, {flags} FROM {LINES_SQL} GROUP BY file) WHERE {n} >= {max(2, -(-len(words) // 2))})"
+    return f"SELECT '{words[0]}' AS first_word, file, n_atoms, branch_ratio FROM {q} WHERE (SELECT count(*) FROM {q}) <= 24"
+
+
+QUORUMS = [["mit", "license", "released"], ["warranty", "royalty", "patent"], ["doc", "zebra", "general", "public"]]
+
+
+@query("scan_cooccurrence_capped", " UNION ALL ".join(map(_quorum, QUORUMS)))
+def cooccurrence_capped(spark, d):
+    """Words that too many files share choose none."""
+    out = None
+    for words in QUORUMS:
+        rows = scan.cooccurrence(_lines(spark, d), [words]).select(F.lit(words[0]).alias("first_word"), "file", "n_atoms", F.col("branch_ratio").cast("double").alias("branch_ratio"))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 @query("scan_whole_word", f"SELECT DISTINCT file FROM {LINES_SQL} WHERE regexp_matches(text, '\\bthe\\b')")
 def whole_word(spark, d):
     return _lines(spark, d).where(text.whole_word(F.col("text"), F.lit("the"))).select("file").distinct()
