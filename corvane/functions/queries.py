@@ -20,7 +20,7 @@ MOST_SYMBOL, MOST_SYMBOLS = 80, 16
 # Extensions that a language glob may name, the most that may stand in for them, and what is never searched.
 GLOB_EXTENSIONS = ["py", "pyi", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts", "html", "htm", "css", "scss", "sass", "less", "xml", "sql"]
 MOST_FALLBACK = 12
-EXCLUDED_TOP = [".git", ".opencode", ".agentbench"]
+EXCLUDED_TOP = [".git", ".corvane"]
 EXCLUDED_ANYWHERE = ["node_modules", ".venv", "venv", "__pycache__", "dist", "build"]
 
 
