@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, packing, sharding, shingles, sql, substrings, tokens, vectors, warc
+from . import decontaminate, language, licenses, mixing, packing, sharding, shingles, sql, substrings, tokens, tries, vectors, warc
 from .store import tidy
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_license_rules": licenses.op8_license_rules,
         "op9_viterbi_counts": tokens.op9_viterbi_counts,
         "op10_warc_round_trip": warc.op10_warc_round_trip,
+        "op11_prefix_trie": tries.op11_prefix_trie,
         "op12_swap_packing": packing.op12_swap_packing,
     }
     return {name: tidy(f) for name, f in runs.items()}
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_wu_manber": sql.CONTAMINATION,
         "op7_rabin_karp": sql.REPEATS,
         "op10_warc_round_trip": sql.ARCHIVE,
+        "op11_prefix_trie": sql.TRIE,
     }

@@ -49,3 +49,22 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 ARCHIVE = """WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS digest FROM pages), g AS (SELECT digest, max(page_id) AS keeper FROM p GROUP BY digest)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN strlen(h) >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
 CASE WHEN strlen(h) >= 1000 AND page_id <> keeper THEN keeper END AS refers_to FROM p JOIN g USING (digest)"""
+
+#: CRC-32 bit by bit, as DuckDB has none
+CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s >> 1, 3988292384) ELSE s >> 1 END)), 4294967295)"""
+
+TRIE = f"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS k FROM t),
+ids AS (SELECT c, {CRC} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+front AS (SELECT ids.c, o.k, o.role, o.text FROM ids JOIN own o ON o.c = ids.c - ids.c % 20 AND o.k < ids.h),
+i AS (SELECT ids.c, h, coalesce(n, 0) AS hb FROM ids LEFT JOIN (SELECT c, count(*) AS n FROM front GROUP BY c) USING (c)),
+r AS (SELECT * FROM front UNION ALL SELECT c, k - h + hb, role, text FROM own JOIN i USING (c) WHERE k >= h),
+m AS (SELECT c, k + 1 AS d, list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY k) AS p, len(regexp_extract_all(text, '{SPACED}')) AS w FROM r UNION ALL SELECT c, 0, [], 0 FROM i),
+n AS (SELECT d, p, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, p)),
+up AS (SELECT a AS d, p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY ALL),
+e AS (SELECT d, p, string_agg(c::VARCHAR, ',' ORDER BY c) AS ends FROM (SELECT c, d, p FROM m QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY d, p)
+SELECT f.conv_id, f.d::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256 FROM f JOIN up USING (d, p) LEFT JOIN e USING (d, p) LEFT JOIN n q ON q.d = f.d - 1 AND q.p = f.p[1:f.d - 1]"""
