@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, packing, sharding, shingles, sql, substrings, tokens, tries, vectors, warc
+from . import decontaminate, language, licenses, mixing, packing, phrases, sharding, shingles, sql, substrings, tokens, tries, vectors, warc
 from .store import tidy
 
 
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_warc_round_trip": warc.op10_warc_round_trip,
         "op11_prefix_trie": tries.op11_prefix_trie,
         "op12_swap_packing": packing.op12_swap_packing,
+        "op13_pair_naming": phrases.op13_pair_naming,
     }
     return {name: tidy(f) for name, f in runs.items()}
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_rabin_karp": sql.REPEATS,
         "op10_warc_round_trip": sql.ARCHIVE,
         "op11_prefix_trie": sql.TRIE,
+        "op13_pair_naming": sql.PHRASES,
     }
