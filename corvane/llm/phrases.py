@@ -10,8 +10,10 @@ reads them; a long text is cut between pieces. At each level a chunk asks, packe
 by bucket, for its different pairs with their counts; buckets add up, name what
 is frequent and answer each chunk, which replaces pairs by their names. So
 what travels is one entry a chunk for each different pair, however often it
-occurs, and the chunk's numbers, which shrink as fewer pairs are frequent.
-Buckets grow in number with the places, and no table of phrases is broadcast.
+occurs, and the chunk's numbers, which shrink as fewer pairs are frequent; both
+compressed. A chunk numbers what it asks for by bucket, so an answer needs no
+more than the place in the question. Buckets grow in number with the text, and
+no table of phrases is broadcast.
 
 Each language has words of its own and, through them, pairs of its own. Counts
 are 64-bit, scores are integers of any size in Python.
@@ -23,8 +25,9 @@ that are no UTF-8 cannot occur in a string column. Further columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
-from itertools import count
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +37,21 @@ from pyspark.sql import functions as F
 from corvane.ship import ship
 
 from .arrow import slices
-from .frequency import joined, starts
+from .frequency import starts
 from .rolling import mixed
 from .store import partitions, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: words of a chunk, and about as many different pairs of a bucket
-CHUNK = 1 << 21
+#: words of a chunk, and bytes of text for a bucket
+CHUNK, BUCKET = 1 << 20, 1 << 25
 #: text of one document taken at once, in bytes
 PART = 1 << 22
 #: lower case, tab to space, and every separator of pieces to a full stop
 SPLIT = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 STOP = b"."
-#: chunk rows hold the numbers of a chunk, ask rows (bucket set) different words or pairs with counts
-STATE = "chunk bigint, bucket int, lang string, seq binary, size int, words binary, a binary, b binary, counts binary, places binary"
+#: chunk rows hold the numbers of a chunk, ask rows (bucket set) different words or pairs with counts, numbered from ``first``
+STATE = "chunk bigint, bucket int, lang string, seq binary, size int, first int, words binary, a binary, b binary, counts binary, total bigint"
 ANSWER = "chunk bigint, places binary, names binary, id bigint, lang string, word binary, a bigint, b bigint, f bigint"
-TOTALS = "lang string, n bigint"
 
 
 KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
@@ -65,8 +67,21 @@ def table(schema: str, rows: list[dict]) -> pa.Table:
     return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in kinds})
 
 
-def raw(column) -> np.ndarray:
-    return np.frombuffer(joined(column), np.int64)
+def packed(x: np.ndarray | bytes) -> bytes:
+    """Compressed, with its length in front."""
+    x = x if isinstance(x, bytes) else x.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def unpacked(x: pa.Scalar) -> bytes:
+    x = x.as_py()
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
+
+
+def numbers(column, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows in a row, and how many each has."""
+    got = [np.frombuffer(unpacked(x), kind) for x in column]
+    return np.concatenate(got) if got else np.zeros(0, kind), np.array([len(x) for x in got], np.int64)
 
 
 def name(level: int, bucket: int, n: int) -> np.ndarray:
@@ -81,48 +96,36 @@ def word_chunks(docs: DataFrame, buckets: int, chunk: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        import zlib
-
         nth = count(TaskContext.get().partitionId() << 32)
-        schema = arrow_schema(STATE)
-
-        def begin():
-            return count(), {}, []
-
-        numbers, langs, seqs = begin()
-        size = 0
+        fresh, langs, seqs, size = count(), {}, [], 0
 
         def done():
             seq = np.concatenate(seqs)
-            n = np.bincount(seq[seq >= 0])
-            me, rows = next(nth), []
-            rows.append({"chunk": me, "seq": seq.tobytes(), "size": len(n)})
-            for lang, known in langs.items():
-                deal = [[] for _ in range(buckets)]
-                for word, i in known.items():
-                    if i >= 0:
-                        deal[zlib.crc32(word) % buckets].append((word, i))
-                for bucket, mine in enumerate(deal):
-                    if mine:
-                        words, at = zip(*mine)
-                        at = np.array(at, np.int32)
-                        rows.append({"chunk": me, "bucket": bucket, "lang": lang, "words": b" ".join(words), "counts": n[at].astype(np.int64).tobytes(), "places": at.tobytes()})
-            return table(STATE, rows).cast(schema).to_batches()
+            n = np.bincount(seq[seq >= 0], minlength=sum(len(k) - 1 for k in langs.values()))
+            asked = sorted((zlib.crc32(w) % buckets, lang, w, i) for lang, known in langs.items() for w, i in known.items() if i >= 0)
+            order = np.array([x[3] for x in asked], np.int64)
+            number = np.full(len(n) + 1, -1, np.int32)
+            number[order] = np.arange(len(order))
+            me = next(nth)
+            rows = [{"chunk": me, "seq": packed(number[seq]), "size": len(n)}]
+            for (bucket, lang), mine in groupby(enumerate(asked), lambda x: x[1][:2]):
+                mine = list(mine)
+                c = n[order[mine[0][0] : mine[-1][0] + 1]].astype(np.int64)
+                rows.append({"chunk": me, "bucket": bucket, "lang": lang, "first": mine[0][0], "words": packed(b" ".join(x[1][2] for x in mine)), "counts": packed(c), "total": int(c.sum())})
+            return table(STATE, rows).to_batches()
 
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            for rows, texts in slices(batch, column):
+            for rows, texts in slices(batch, batch.column(batch.schema.get_field_index("text"))):
                 for lang, text in zip(rows.column(rows.schema.get_field_index("lang")).to_pylist(), texts):
                     for piece in pieces(text or b""):
                         if lang not in langs:
-                            langs[lang] = defaultdict(numbers.__next__, {STOP: -1})
+                            langs[lang] = defaultdict(fresh.__next__, {STOP: -1})
                         words = piece.replace(STOP, b" . ").split()
-                        seqs.append(np.fromiter(map(langs[lang].__getitem__, words), np.int32, len(words)))
-                        seqs.append(np.array([-1], np.int32))
+                        seqs += [np.fromiter(map(langs[lang].__getitem__, words), np.int32, len(words)), np.array([-1], np.int32)]
                         size += len(words) + 1
                         if size >= chunk:
                             yield from done()
-                            (numbers, langs, seqs), size = begin(), 0
+                            fresh, langs, seqs, size = count(), {}, [], 0
         if size:
             yield from done()
 
@@ -139,36 +142,39 @@ def pieces(text: bytes):
         at = cut
 
 
+def answered(t: pa.Table, ids: np.ndarray, lengths: np.ndarray) -> list[dict]:
+    """Answer rows: for each question the numbers that are frequent, with their ids."""
+    rows, cut = [], np.cumsum(lengths)[:-1]
+    for chunk, first, mine in zip(t.column("chunk").to_pylist(), t.column("first").to_pylist(), np.split(ids, cut)):
+        good = np.flatnonzero(mine >= 0)
+        if len(good):
+            rows.append({"chunk": chunk, "places": packed((good + first).astype(np.int32)), "names": packed(mine[good])})
+    return rows
+
+
 def named_words(asked: DataFrame, least: int) -> DataFrame:
     """Frequent words with ids, and each chunk's answers."""
 
     def run(key, t):
-        bucket = key[0].as_py()
-        langs, words, counts, where = t.column("lang").to_pylist(), t.column("words").to_pylist(), t.column("counts"), t.column("places")
         total: dict = defaultdict(int)
-        split = [w.split(b" ") for w in words]
-        each = [np.frombuffer(c.as_buffer(), np.int64).tolist() for c in counts]
-        for lang, mine, n in zip(langs, split, each):
-            for w, x in zip(mine, n):
-                total[lang, w] += x
+        langs, words = t.column("lang").to_pylist(), [unpacked(x).split(b" ") for x in t.column("words")]
+        counts, lengths = numbers(t.column("counts"))
+        every = [(lang, w) for lang, mine in zip(langs, words) for w in mine]
+        for k, n in zip(every, counts.tolist()):
+            total[k] += n
         good = sorted(k for k, n in total.items() if n >= least)
-        ids = dict(zip(good, name(1, bucket, len(good)).tolist()))
+        ids = dict(zip(good, name(1, key[0].as_py(), len(good)).tolist()))
         rows = [{"id": i, "lang": k[0], "word": k[1], "f": total[k]} for k, i in ids.items()]
-        for chunk, lang, mine, place in zip(t.column("chunk").to_pylist(), langs, split, where):
-            got = np.array([ids.get((lang, w), -1) for w in mine], np.int64)
-            rows.append({"chunk": chunk, "places": np.frombuffer(place.as_buffer(), np.int32)[got >= 0].tobytes(), "names": got[got >= 0].tobytes()})
-        return table(ANSWER, rows)
+        return table(ANSWER, rows + answered(t, np.fromiter((ids.get(k, -1) for k in every), np.int64, len(every)), lengths))
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+    return asked.select("chunk", "bucket", "lang", "first", "words", "counts").groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 def named_pairs(asked: DataFrame, level: int, least: int) -> DataFrame:
     """Frequent pairs with ids, and each chunk's answers."""
 
     def run(key, t):
-        a, b, n = raw(t.column("a")), raw(t.column("b")), raw(t.column("counts"))
-        place = np.frombuffer(joined(t.column("places")), np.int32)
-        lengths = np.array([x.as_buffer().size // 4 for x in t.column("places")])
+        (a, lengths), (b, _), (n, _) = (numbers(t.column(c)) for c in ("a", "b", "counts"))
         order = np.lexsort((b, a))
         sa, sb = a[order], b[order]
         first = starts_of(sa, sb)
@@ -180,13 +186,10 @@ def named_pairs(asked: DataFrame, level: int, least: int) -> DataFrame:
         of[order] = np.repeat(ids, np.diff(np.append(first, len(a))))
         g = first[good]
         found = {"id": ids[good], "a": sa[g], "b": sb[g], "f": total[good]}
-        rows = []
-        for chunk, x, y in zip(t.column("chunk").to_pylist(), np.split(of, np.cumsum(lengths)[:-1]), np.split(place, np.cumsum(lengths)[:-1])):
-            if (x >= 0).any():
-                rows.append({"chunk": chunk, "places": y[x >= 0].tobytes(), "names": x[x >= 0].tobytes()})
-        return pa.concat_tables([table(ANSWER, rows), pa.table({f.name: pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(g), f.type) for f in arrow_schema(ANSWER)})])
+        named = pa.table({f.name: pa.array(found[f.name], f.type) if f.name in found else pa.nulls(len(g), f.type) for f in arrow_schema(ANSWER)})
+        return pa.concat_tables([table(ANSWER, answered(t, of, lengths)), named])
 
-    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+    return asked.select("chunk", "bucket", "first", "a", "b", "counts").groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 def starts_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,15 +203,14 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
     def run(key, mine, got):
         if not mine.num_rows or not got.num_rows:
             return table(STATE, [])
-        seq = np.frombuffer(joined(mine.column("seq")), np.int32)
+        seq = numbers(mine.column("seq"), np.int32)[0]
         names = np.full(mine.column("size")[0].as_py(), -1, np.int64)
-        names[np.frombuffer(joined(got.column("places")), np.int32)] = raw(got.column("names"))
-        # only frequent ones stay, those in a row side by side
-        short = np.full(len(names), -1, np.int64)
+        names[numbers(got.column("places"), np.int32)[0]] = numbers(got.column("names"))[0]
+        # only frequent ones stay
         kept = np.flatnonzero(names >= 0)
+        short, ids = np.full(len(names) + 1, -1, np.int64), names[kept]
         short[kept] = np.arange(len(kept))
-        ids = names[kept]
-        good = np.concatenate([short, [-1]])[seq]
+        good = short[seq]
         both = np.flatnonzero((good[:-1] >= 0) & (good[1:] >= 0))
         if not len(both):
             return table(STATE, [])
@@ -217,16 +219,19 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
         to = (mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        a, b, n, place = a[order], b[order], n[order].astype(np.int64), order.astype(np.int32)
+        a, b, n = a[order], b[order], n[order].astype(np.int64)
         me, rows = key[0].as_py(), []
         if not last:
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(len(order))
+            # pairs at neighbouring places stay neighbours, all others are kept apart
             gap = np.concatenate(([False], both[1:] != both[:-1] + 1))
             out = np.full(len(both) + int(gap.sum()), -1, np.int32)
-            out[np.arange(len(both)) + np.cumsum(gap)] = back
-            rows.append({"chunk": me, "seq": out.tobytes(), "size": len(pairs)})
+            out[np.arange(len(both)) + np.cumsum(gap)] = number[back]
+            rows.append({"chunk": me, "seq": packed(out), "size": len(pairs)})
         for i in np.flatnonzero(cut[1:] > cut[:-1]):
             x = slice(cut[i], cut[i + 1])
-            rows.append({"chunk": me, "bucket": int(i), "a": a[x].tobytes(), "b": b[x].tobytes(), "counts": n[x].tobytes(), "places": place[x].tobytes()})
+            rows.append({"chunk": me, "bucket": int(i), "first": int(cut[i]), "a": packed(a[x]), "b": packed(b[x]), "counts": packed(n[x])})
         return table(STATE, rows)
 
     replies = answers.where("chunk is not null").select("chunk", "places", "names")
@@ -235,10 +240,10 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
 
 def levels(docs: DataFrame, least: int, longest: int, chunk: int) -> tuple[list[DataFrame], DataFrame]:
     """The frequent phrases by number of words, and (lang, n)."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
+    buckets = max(partitions(docs.sparkSession), size // BUCKET)
     state = stored(word_chunks(docs, buckets, chunk), "words")
-    totals = state.where("bucket is not null").select("lang", F.col("counts")).mapInArrow(lambda batches: summed(batches), TOTALS).groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = state.where("bucket is not null").groupBy("lang").agg(F.sum("total").alias("n"))
     found = []
     for level in range(1, longest + 1):
         asked = state.where("bucket is not null")
@@ -249,13 +254,6 @@ def levels(docs: DataFrame, least: int, longest: int, chunk: int) -> tuple[list[
     return found, stored(totals, "totals")
 
 
-def summed(batches):
-    schema = arrow_schema(TOTALS)
-    for batch in batches:
-        n = [int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], schema=schema)
-
-
 def with_cuts(found: list[DataFrame]) -> list[DataFrame]:
     """Phrases of two words and more with their text and the counts of all first and last parts.
 
