@@ -39,7 +39,7 @@ from corvane.ship import ship
 from .arrow import slices
 from .frequency import starts
 from .rolling import mixed
-from .store import partitions, stored
+from .store import partitions, released, span, stored
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: words of a chunk, and bytes of text for a bucket
@@ -67,9 +67,11 @@ def table(schema: str, rows: list[dict]) -> pa.Table:
     return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in kinds})
 
 
-def packed(x: np.ndarray | bytes) -> bytes:
-    """Compressed, with its length in front."""
-    x = x if isinstance(x, bytes) else x.tobytes()
+def packed(x: np.ndarray | bytes, steps: bool = False) -> bytes:
+    """Compressed, with its length in front; numbers by planes of bytes, rising ones (``steps``) by their differences."""
+    if not isinstance(x, bytes):
+        x = np.diff(x, prepend=x.dtype.type(0)) if steps else x
+        x = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
     return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
 
 
@@ -78,9 +80,13 @@ def unpacked(x: pa.Scalar) -> bytes:
     return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
-def numbers(column, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+def numbers(column, kind=np.int64, steps: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The numbers of all rows in a row, and how many each has."""
-    got = [np.frombuffer(unpacked(x), kind) for x in column]
+    got = []
+    for x in column:
+        planes = np.frombuffer(unpacked(x), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        one = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+        got.append(np.cumsum(one, dtype=kind) if steps else one)
     return np.concatenate(got) if got else np.zeros(0, kind), np.array([len(x) for x in got], np.int64)
 
 
@@ -148,7 +154,7 @@ def answered(t: pa.Table, ids: np.ndarray, lengths: np.ndarray) -> list[dict]:
     for chunk, first, mine in zip(t.column("chunk").to_pylist(), t.column("first").to_pylist(), np.split(ids, cut)):
         good = np.flatnonzero(mine >= 0)
         if len(good):
-            rows.append({"chunk": chunk, "places": packed((good + first).astype(np.int32)), "names": packed(mine[good])})
+            rows.append({"chunk": chunk, "places": packed((good + first).astype(np.int32), True), "names": packed(mine[good])})
     return rows
 
 
@@ -174,7 +180,7 @@ def named_pairs(asked: DataFrame, level: int, least: int) -> DataFrame:
     """Frequent pairs with ids, and each chunk's answers."""
 
     def run(key, t):
-        (a, lengths), (b, _), (n, _) = (numbers(t.column(c)) for c in ("a", "b", "counts"))
+        (a, lengths), (b, _), (n, _) = (numbers(t.column(c), steps=c == "a") for c in ("a", "b", "counts"))
         order = np.lexsort((b, a))
         sa, sb = a[order], b[order]
         first = starts_of(sa, sb)
@@ -205,7 +211,7 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
             return table(STATE, [])
         seq = numbers(mine.column("seq"), np.int32)[0]
         names = np.full(mine.column("size")[0].as_py(), -1, np.int64)
-        names[numbers(got.column("places"), np.int32)[0]] = numbers(got.column("names"))[0]
+        names[numbers(got.column("places"), np.int32, True)[0]] = numbers(got.column("names"))[0]
         # only frequent ones stay
         kept = np.flatnonzero(names >= 0)
         short, ids = np.full(len(names) + 1, -1, np.int64), names[kept]
@@ -217,7 +223,7 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
         pairs, back, n = np.unique(good[both] * len(ids) + good[both + 1], return_inverse=True, return_counts=True)
         a, b = ids[pairs // len(ids)], ids[pairs % len(ids)]
         to = (mixed(a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
+        order = np.lexsort((b, a, to))
         cut = np.searchsorted(to[order], np.arange(buckets + 1))
         a, b, n = a[order], b[order], n[order].astype(np.int64)
         me, rows = key[0].as_py(), []
@@ -231,7 +237,7 @@ def next_pairs(state: DataFrame, answers: DataFrame, buckets: int, last: bool) -
             rows.append({"chunk": me, "seq": packed(out), "size": len(pairs)})
         for i in np.flatnonzero(cut[1:] > cut[:-1]):
             x = slice(cut[i], cut[i + 1])
-            rows.append({"chunk": me, "bucket": int(i), "first": int(cut[i]), "a": packed(a[x]), "b": packed(b[x]), "counts": packed(n[x])})
+            rows.append({"chunk": me, "bucket": int(i), "first": int(cut[i]), "a": packed(a[x], True), "b": packed(b[x]), "counts": packed(n[x])})
         return table(STATE, rows)
 
     replies = answers.where("chunk is not null").select("chunk", "places", "names")
@@ -242,16 +248,21 @@ def levels(docs: DataFrame, least: int, longest: int, chunk: int) -> tuple[list[
     """The frequent phrases by number of words, and (lang, n)."""
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).head()[0] or 0
     buckets = max(partitions(docs.sparkSession), size // BUCKET)
-    state = stored(word_chunks(docs, buckets, chunk), "words")
-    totals = state.where("bucket is not null").groupBy("lang").agg(F.sum("total").alias("n"))
-    found = []
+    spark, found = docs.sparkSession, []
+    with span() as made:
+        state = stored(word_chunks(docs, buckets, chunk), "words")
+    totals = stored(state.where("bucket is not null").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
     for level in range(1, longest + 1):
         asked = state.where("bucket is not null")
         answers = stored(named_words(asked, least) if level == 1 else named_pairs(asked, level, least), f"names_{level}")
         found.append(answers.where("id is not null").select("id", "lang", "word", "a", "b", "f"))
+        before, made = made, []
         if level < longest:
-            state = stored(next_pairs(state, answers, buckets, level + 1 == longest), f"pairs_{level + 1}")
-    return found, stored(totals, "totals")
+            with span() as made:
+                state = stored(next_pairs(state, answers, buckets, level + 1 == longest), f"pairs_{level + 1}")
+        # the numbers of the level below are not read again
+        released(spark, before)
+    return found, totals
 
 
 def with_cuts(found: list[DataFrame]) -> list[DataFrame]:
