@@ -103,8 +103,9 @@ def linked_groups(
        and verified, so no pair is missed whose ends are not yet connected.
 
     Keys with over ``busy`` groups outside one component are expanded by
-    ``screen``: it gets rows (main, id, component, lead) and returns the pairs
-    that may link, having filtered the group pairs itself.
+    ``screen``: it gets rows (main, id, component, lead, places), ``places``
+    being the key and ``carry`` columns of the group ``lead``, filters the group
+    pairs by them and returns the pairs of members that may link.
 
     Both must be stored tables.
     """
@@ -138,8 +139,9 @@ def linked_groups(
     expanded = expanded.select(F.coalesce("a_id", "a").alias("a"), F.coalesce("b_id", "b").alias("b"), "a_component", "b_component")
     expanded = expanded.where("a <> b and not (a_component <=> b_component and a_component is not null)")
 
-    many = mixed.where(F.col("groups") > busy).select("main", F.col("id").alias("lead"), "low").distinct()
-    many = many.join(members, "lead", "left").select("main", F.coalesce("id", "lead").alias("id"), F.coalesce("component", "low").alias("component"), "lead")
+    # a group with its places under crowded keys, at most the length of its prefix
+    many = mixed.where(F.col("groups") > busy).groupBy("main", F.col("id").alias("lead")).agg(F.first("low").alias("low"), F.sort_array(F.collect_list(F.struct("key", *carry))).alias("places"))
+    many = many.join(members, "lead", "left").select("main", F.coalesce("id", "lead").alias("id"), F.coalesce("component", "low").alias("component"), "lead", "places")
     rest = expanded.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(screen(many)).distinct()
     kept = known.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     return components(kept.union(verify(stored(rest, "other_pairs"))))

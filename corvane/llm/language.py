@@ -5,8 +5,7 @@ letters; any run of other characters is one space. The models are fitted on a
 bounded sample of the labelled training rows (``per_language`` rows of at most
 ``most_bytes`` bytes a language, chosen by a hash of the row, and ``most_rows``
 rows in all); a document belongs to the training rows if crc32 of its id modulo
-4 is not 2. Of more than ``most_languages`` labels the most frequent are
-learned, and a warning names the number left out. The n-grams of all languages
+4 is not 2. Every label is learned, from one row at least. The n-grams of all languages
 lie in one sorted array of packed keys with one row of log probabilities, as
 many as fit a table of fixed size; the others are scored through the sorted
 arrays of each language. The language with the lowest cross-entropy per
@@ -32,7 +31,6 @@ result is superseded by it.
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +39,7 @@ from pyspark.sql import functions as F
 from .arrow import map_texts
 
 ORDER, BITS = 4, 15
-PER_LANGUAGE, MOST_BYTES, MOST_LANGUAGES, MOST_ROWS = 400, 20_000, 500, 4000
+PER_LANGUAGE, MOST_BYTES, MOST_ROWS = 400, 20_000, 4000
 #: log probabilities kept ready, of all n-grams and languages together
 CELLS = 1 << 24
 SLICE = 1_000_000
@@ -235,39 +233,35 @@ def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def sample(docs: DataFrame, per_language: int, most_bytes: int, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> list:
+def sample(docs: DataFrame, per_language: int, most_bytes: int, most_rows: int = MOST_ROWS) -> list:
     """At most ``per_language`` rows (lang, text, fold) of each language, by a hash of the row, and ``most_rows``
-    in all (one a language at least), of the ``most_languages`` most frequent languages.
+    in all, but one of each language at least: every label is learned.
 
     Rows of at most ``most_bytes`` come first. Where a language has too few of
     them, longer rows fill up, by their first ``most_bytes`` / 4 characters.
     """
     rows = docs.where(F.col("lang").isNotNull() & (fold_of(F.col("doc_id")) != 2) & (F.octet_length("text") >= 1))
     rows = rows.select("lang", "text", fold_of(F.col("doc_id")).alias("fold"), "doc_id", (F.octet_length("text") > most_bytes).alias("__long"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("__long").alias("long")).orderBy(F.desc("n"), "lang")
-    if len(counts.take(most_languages + 1)) > most_languages:
-        warnings.warn(f"of {counts.count()} labels the {most_languages} most frequent are learned", stacklevel=2)
-    counts = counts.limit(most_languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("__long").alias("long")).collect()  # one row a label
     if not counts:
         return []
     per_language = max(1, min(per_language, most_rows // len(counts)))
-    rows = rows.where(F.col("lang").isin([lang for lang, _, _ in counts]))
 
     # twice as many as asked for are expected below this share; the window then sees bounded groups
     def share(n: int) -> float:
         return min(1.0, (2 * per_language + 50) / max(n, 1))
 
-    short = F.create_map(*(F.lit(x) for lang, n, long in counts for x in (lang, share(n - long))))
-    long = F.create_map(*(F.lit(x) for lang, n, long in counts for x in (lang, share(long) if n - long < per_language else 0.0)))
+    shares = [(lang, share(n - long), share(long) if n - long < per_language else 0.0) for lang, n, long in counts]
+    rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, __short_share double, __long_share double")), "lang")
     u = F.pmod(F.xxhash64(F.lit(11), "doc_id", F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("__u", u).where(F.col("__u") < F.when(F.col("__long"), long[F.col("lang")]).otherwise(short[F.col("lang")]))
+    picked = rows.withColumn("__u", u).where(F.col("__u") < F.when(F.col("__long"), F.col("__long_share")).otherwise(F.col("__short_share")))
     picked = picked.withColumn("text", F.when(F.col("__long"), F.left("text", F.lit(max(1, most_bytes // 4)))).otherwise(F.col("text")))
     first = Window.partitionBy("lang").orderBy("__long", "__u", "doc_id", "text")
     return picked.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= per_language).select("lang", "text", "fold").collect()
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, most_languages: int = MOST_LANGUAGES, most_rows: int = MOST_ROWS) -> Model:
-    rows = sample(docs, per_language, most_bytes, most_languages, most_rows)
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_bytes: int = MOST_BYTES, most_rows: int = MOST_ROWS) -> Model:
+    rows = sample(docs, per_language, most_bytes, most_rows)
     others = {lang for lang, _, fold in rows if fold != 3}
     return Model([(lang, t) for lang, t, fold in rows if fold != 3 or lang not in others], [(lang, t) for lang, t, fold in rows if fold == 3])
 

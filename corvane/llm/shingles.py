@@ -213,16 +213,38 @@ def could_link(a: str, b: str, similar: int) -> Column:
     return by_size & (F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b) >= need)
 
 
-def screened(rows: DataFrame, brief: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) that size and signature allow, of ids that share a key: one outside the key's main
-    component, the other in another component than the first.
+class Groups:
+    """Groups under crowded keys, to find those that may link with one of them."""
+
+    def __init__(self, size: np.ndarray, group: np.ndarray, keys: np.ndarray, at: np.ndarray):
+        """``size`` of each group; group, key and place of each posting."""
+        order = np.argsort(keys, kind="stable")
+        self.size, self.group, self.keys, self.at = size, group[order], keys[order], at[order]
+
+    def partners(self, size: int, keys: np.ndarray, at: np.ndarray, similar: int) -> np.ndarray:
+        """Numbers of the groups that share a key with one of this size and these places, and pass by size and place."""
+        a, b = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        n = b - a
+        i = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+        mine, other, their = np.repeat(at, n), self.at[i], self.size[self.group[i]]
+        need = -(-similar * (size + their) // (100 + similar))
+        ok = (100 * size >= similar * their) & (100 * their >= similar * size)
+        ok &= np.minimum(mine, other) + np.minimum(size - mine, their - other) >= need
+        return np.unique(self.group[i[ok]])
+
 
-    ``rows`` has (main, id, component, lead), ``lead`` being the id's group. All
-    keys with the same main component are worked on together, so a pair is
-    compared once and not under each key. Ids outside meet all ids in pairs of
-    blocks of about ``block``, group pairs first filtered by size.
+def screened(rows: DataFrame, brief: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) that signatures allow, of members of groups that share a key and pass by size and place:
+    one outside the key's main component, the other in another component than the first.
+
+    ``rows`` has (main, id, component, lead, places), ``lead`` being the id's
+    group and ``places`` its (key, n, at). All keys with the same main component
+    are worked on together, so a pair is compared once and not under each key.
+    Ids outside meet all ids in pairs of blocks of about ``block``; there group
+    pairs are filtered first, and only the members of those that pass are
+    expanded.
     """
-    rows = rows.select("main", "id", "component", "lead").distinct().join(brief, "id")
+    rows = rows.select("main", "id", "component", "lead", F.col("places.key").alias("keys"), F.col("places.at").alias("at")).join(brief, "id")
     placed = dealt_in_blocks(stored(rows, "screened"), block)
 
     def compare(key, table):
@@ -232,12 +254,23 @@ def screened(rows: DataFrame, brief: DataFrame, similar: int, block: int = BLOCK
         over = n - np.array([int(x.sum()) for x in bits])
         size = np.array([len(x) for x in bits])
         targets = np.flatnonzero(~probe)
+        leads, first, group = np.unique(lead, return_index=True, return_inverse=True)
+        places = [tuple(np.asarray(table.column(c)[i].values.to_numpy(zero_copy_only=False), np.int64) for c in ("keys", "at")) for i in first.tolist()]
+        here = np.unique(group[targets])
+        posted = [np.concatenate([places[g][k] for g in here]) if len(here) else np.zeros(0, np.int64) for k in (0, 1)]
+        groups = Groups(n[first], np.repeat(here, [len(places[g][0]) for g in here]), *posted)
+        may: dict[int, np.ndarray] = {}
         matrices = {m: (at := targets[size[targets] == m], np.stack([bits[i] for i in at]).astype(np.uint8)) for m in np.unique(size[targets]).tolist()}
         found_a, found_b = [], []
         for a in np.flatnonzero(probe):
             need = -(-similar * (n[a] + n) // (100 + similar))
             ok = (100 * n[a] >= similar * n) & (100 * n >= similar * n[a])
             ok &= (component != component[a]) & ((component == main) | (ids < ids[a]))
+            g = int(group[a])
+            if g not in may:
+                may[g] = np.zeros(len(leads), bool)
+                may[g][groups.partners(int(n[a]), *places[g], similar)] = True
+            ok &= may[g][group]
             for m, (at, matrix) in matrices.items():
                 some = np.flatnonzero(ok[at])
                 if not len(some):

@@ -217,8 +217,10 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, kep
     # the windows are only listed after the shuffle, but for those of hot grams
     cool = asked.where("not hot").select("gram", "row", "first", "hashes").repartition("gram").select(*listed)
     warm = asked.where("hot").select(*listed)
-    same = Window.partitionBy("gram", "hash")
-    again = cool.withColumn("n", F.count("*").over(same)).union(warm.withColumn("n", F.count("*").over(same))).where("n > 1 and row is not null")
+    cool = cool.withColumn("n", F.count("*").over(Window.partitionBy("gram", "hash"))).where("n > 1").drop("n")
+    # a window may be on a third of all pages: its copies are counted where they are, and no task gets them all
+    several = stored(warm.groupBy("gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("gram", "hash"), "hot_windows")
+    again = cool.union(warm.where("row is not null").join(several, ["gram", "hash"], "left_semi").select(cool.columns)).where("row is not null")
     again = again.groupBy("row").agg(F.collect_list(F.col("first") + F.col("i")).alias("more"))
     copies = classes.where("n > 1").select("words_sha", F.col("n_words").alias("n_removed"), F.lit("").alias("kept"), F.lit(EMPTY).alias("kept_sha256"))
     texts = found.where("words is not null").select("row", "words_sha", "words", "sure")

@@ -13,6 +13,11 @@ magic inside a payload yields a candidate too. Inside a task's split the
 successors are followed at once, which leaves one jump per candidate out of the
 split; pointer jumping over these from the start of each file then finds where
 the true chain enters each split, and only records on that chain are returned.
+A task holds the body of one record at a time: that of the chain which begins
+with its first candidate. Candidates inside that record are offsets only; those
+that the true chain reaches all the same, as those cut by the end of a split,
+are put together afterwards. So memory is bounded by the longest record, however
+many magics its payload holds.
 
 Defined cases: null html is an empty payload; a null url is left out; rows that
 repeat the largest page_id of a payload are all responses; a null page_id stays
@@ -99,13 +104,16 @@ class Split:
         self.file, self.block, self.want = file, block, want_payload
         self.at = 0
         self.rows: list[dict] = []
-        self.open: list[dict] = []
+        self.open: dict | None = None
 
     def add(self, piece: bytes) -> None:
         start, first = self.at - len(MAGIC), self.block == 0 and self.at == 0
-        for c in self.open:
-            self._feed(c, MAGIC + piece)
-        self.open = [c for c in self.open if c["missing"] > 0]
+        nested = self.open is not None
+        if nested:
+            self._feed(self.open, MAGIC)
+            self._feed(self.open, piece)
+            if self.open["missing"] <= 0:
+                self.open = None
         self.at += len(piece) + len(MAGIC)
         row = {"rel": start, "size": len(piece) + len(MAGIC), "succ": None}
         self.rows.append(row)
@@ -125,14 +133,17 @@ class Split:
         row["page_id"] = _number(fields.get(b"x-page-id"))
         row["refers_to"] = _number(fields.get(b"x-refers-to-page"))
         row["header_digest"] = fields.get(b"warc-payload-digest", b"").decode("latin-1").removeprefix("sha1:")
-        body = piece[head + len(END) :]
+        if nested:
+            return
         row |= {"missing": int(length), "body": []}
-        self._feed(row, body)
+        self._feed(row, piece[head + len(END) :])
         if row["missing"] > 0:
-            self.open.append(row)
+            self.open = row
 
     @staticmethod
     def _feed(row: dict, part: bytes) -> None:
+        if "body" not in row:
+            return
         part = part[: row["missing"]]
         row["missing"] -= len(part)
         row["body"].append(part)
