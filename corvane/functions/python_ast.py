@@ -1,85 +1,17 @@
-"""Structure of Python files: facts, their owners, control-flow points, validity.
+"""Facts of Python files with their owners, as fields for ranking, and validity.
 
-Spark has no parser, so files are parsed in batches with ``ast`` and
-``tokenize``; all that follows is native. A file that does not parse has no
-facts at all.
+Facts come from the node table; a file that does not parse has none.
 """
 
 from __future__ import annotations
 
-import ast
-import io
-import tokenize
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.operators import ranges
+from corvane.functions.nodes import node_table
+from corvane.operators import ranges, syntax
 from corvane.ship import ship
 
-MOST_FACTS, MOST_SIGNATURE, MOST_NAME = 512, 320, 160
-FACT = "file string, role string, node_kind string, name string, signature string, start_line bigint, end_line bigint, start_byte bigint, end_byte bigint"
-DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
-# Syntax that adds one point of control flow each.
-BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case, ast.comprehension)
-
-
-def places(source: str):
-    starts = [0]
-    for row in source.splitlines(keepends=True):
-        starts.append(starts[-1] + len(row.encode()))
-    return lambda line, col: starts[line - 1] + col
-
-
-def _compact(x: str, most: int) -> str:
-    return " ".join(x.split())[:most]
-
-
-def facts(source: str) -> list[tuple]:
-    """(role, node kind, name, signature, start line, end line, start byte, end byte), first MOST_FACTS in order of the text."""
-    try:
-        tree = ast.parse(source)
-        comments = [t for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
-    except (SyntaxError, ValueError, tokenize.TokenError):
-        return []
-    place, raw, out = places(source), source.encode(), []
-
-    def add(role, kind, name, text, n):
-        if text:
-            out.append((role, kind, name and name[:MOST_NAME], _compact(text, MOST_SIGNATURE), n.lineno, n.end_lineno, place(n.lineno, n.col_offset), place(n.end_lineno, n.end_col_offset)))
-
-    for n in ast.walk(tree):
-        if isinstance(n, DEFINITIONS):
-            head = raw[place(n.lineno, n.col_offset) : place(n.body[0].lineno, n.body[0].col_offset)].decode("utf-8", "replace")
-            test = n.name.startswith(("test_", "Test"))
-            add("test_declaration" if test else "declaration", "class_definition" if isinstance(n, ast.ClassDef) else "function_definition", n.name, head, n)
-        elif isinstance(n, (ast.Import, ast.ImportFrom)):
-            add("import", "import_from_statement" if isinstance(n, ast.ImportFrom) else "import_statement", None, ast.get_source_segment(source, n), n)
-        elif isinstance(n, ast.Call):
-            name = ast.get_source_segment(source, n.func) or ""
-            top = name.split(".")[0]
-            add("test_call" if top in ("test", "it", "describe", "suite") else "call", "call", name, ast.get_source_segment(source, n), n)
-    for t in comments:
-        at = place(t.start[0], len(t.line[: t.start[1]].encode()))
-        out.append(("comment", "comment", None, _compact(t.string, MOST_SIGNATURE), t.start[0], t.end[0], at, at + len(t.string.encode())))
-    return sorted(sorted(out, key=lambda x: (x[6], -x[7]))[:MOST_FACTS], key=lambda x: (x[6], x[0], x[2] or ""))
-
-
-def control_flow(source: str, symbol: str) -> tuple[int | None, str | None]:
-    """Points in the one definition of a symbol, or why there are none."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return None, "source_syntax_invalid"
-    found = [n for n in ast.walk(tree) if isinstance(n, DEFINITIONS) and n.name == symbol]
-    if len(found) != 1:
-        return None, "owner_unavailable"
-    inner = [n for n in ast.walk(found[0]) if n is not found[0]]
-    if any(isinstance(n, DEFINITIONS) for n in inner):
-        return None, "nested_definition"
-    return sum(isinstance(n, BRANCHES) for n in inner), None
-
-
 def frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
     """Rows that ``one`` makes of each row's values; schema ``kind``."""
     import pandas as pd
@@ -96,7 +28,7 @@ def frame(df: DataFrame, columns: list[str], kind: str, one) -> DataFrame:
 
 
 def python_facts(files: DataFrame) -> DataFrame:
-    return frame(files.where("source is not null"), ["file", "source"], FACT, lambda file, source: [(file, *f) for f in facts(source)])
+    return syntax.facts(node_table(files))
 
 
 def with_owners(fact_rows: DataFrame) -> DataFrame:
@@ -126,23 +58,6 @@ def ranker_fields(files: DataFrame, owned: DataFrame) -> DataFrame:
     return out
 
 
-def control_flow_changes(candidates: DataFrame) -> DataFrame:
-    """(id, before, after, symbol) -> points before and after, or the reason there are none."""
-
-    def one(i, before, after, symbol):
-        a, why = control_flow(before, symbol)
-        if why:
-            return [(i, "skipped", None, None, None, "baseline_owner_unavailable" if why == "owner_unavailable" else why)]
-        b, why = control_flow(after, symbol)
-        if why:
-            return [(i, "skipped", None, None, None, "candidate_owner_unavailable" if why == "owner_unavailable" else why)]
-        return [(i, "observed", a, b, b - a, None)]
-
-    kind = "id bigint, status string, before_points double, after_points double, delta double, reason string"
-    out = frame(candidates, ["id", "before", "after", "symbol"], kind, one)
-    return out.select("id", "status", *(F.col(c).cast("bigint") for c in ("before_points", "after_points", "delta")), "reason")
-
-
 def python_validity(candidates: DataFrame) -> DataFrame:
     """(id, file, after): Python compiles (it is never run); other languages are only checked for structure."""
 
@@ -156,20 +71,3 @@ def python_validity(candidates: DataFrame) -> DataFrame:
         return [(i, "native_enforced", True)]
 
     return frame(candidates, ["id", "file", "after"], "id bigint, coverage string, pass boolean", one)
-
-
-def reflective_uses(files: DataFrame, symbol: str) -> DataFrame:
-    """Files that reach a name by getattr and the like, with the exact string."""
-
-    def one(file, source):
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError):
-            return []
-        hit = any(
-            isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in ("getattr", "setattr", "hasattr", "delattr")
-            and len(n.args) > 1 and isinstance(n.args[1], ast.Constant) and n.args[1].value == symbol for n in ast.walk(tree)
-        )
-        return [(file,)] if hit else []
-
-    return frame(files, ["file", "source"], "file string", one)

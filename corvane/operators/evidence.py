@@ -136,10 +136,7 @@ def fact_kinds(facts: DataFrame) -> DataFrame:
 
 
 # The kinds of facts, by what they say.
-FACT_GROUPS = {
-    "positive": ["hit_line", "exact_span"], "context": ["source_line"], "negative": ["negative_query"], "structural": ["group", "witness", "scope"],
-    "routing": ["route_candidate", "route_summary", "index_summary", "index_facet", "index_file"],
-}
+FACT_GROUPS = {"positive": ["hit", "span"], "context": ["line"], "negative": ["negative"], "structural": ["scope", "group", "witness"], "routing": ["index_summary", "index_file"]}
 
 
 def fact_summary(facts: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import paths
+from corvane.functions import paths, text
+from corvane.operators import closure
 
 MOST_NEIGHBORS = 24
 
@@ -95,7 +95,6 @@ def hypotheses(relations: DataFrame, seeds: DataFrame, lexical: DataFrame, k: in
 
 def seed_contexts(hits: DataFrame, lines: DataFrame, scope_rows: DataFrame) -> DataFrame:
     """Hit lines (file, line) -> per file the identifiers of the innermost scopes around them and what these declare."""
-    from corvane.functions import text
     from corvane.operators import ranges
 
     inner = hits.select("file", F.col("line").alias("i_id"), F.col("line").alias("i_start"), F.col("line").alias("i_end"))
@@ -112,7 +111,7 @@ def validated(guesses: DataFrame, lines: DataFrame, witnesses: DataFrame) -> Dat
     """Hypotheses that the target's lines bear out: a definition (forward), or a use besides the import line (reverse)."""
     one = guesses.select("file", "direction", F.explode("symbols").alias("symbol"))
     rows = lines.join(one, "file").where(F.regexp_like("text", F.concat(F.lit(r"\b\Q"), F.col("symbol"), F.lit(r"\E\b"))))
-    defines = F.regexp_like("text", F.concat(F.lit(r"^\s*(?:export\s+)?(?:async\s+)?(?:pub\s+)?(?:def|class|function|const|let|var|fn|struct|enum|trait|interface|type)\s+\Q"), F.col("symbol"), F.lit(r"\E\b")))
+    defines = text.declares(F.col("text"), F.col("symbol"))
     uses = rows.join(witnesses.select("file", F.col("witness_line").alias("line")), ["file", "line"], "left_anti").where("direction = 'reverse'")
     good = rows.where((F.col("direction") == "forward") & defines).unionByName(uses)
     return good.groupBy("file", "direction").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"), F.min("line").alias("first_line"))
@@ -132,37 +131,8 @@ def fresh(names: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     return names.join(plan, "file", "left").select("file", F.coalesce(F.col("action") == "reuse", F.lit(False)).alias("fresh"))
 
 
-def symbol_closure(bindings: DataFrame, file: str, symbol: str, most: int = 32) -> tuple[DataFrame, str | None]:
-    """All places a symbol reaches over imports, from its file: (importer, target, source_symbol, local_symbol, propagates).
-
-    ``bindings``: importer, target, source, local, status. A binding under the
-    same name passes on, an alias stops. Fails closed: the reason is given and
-    no rows are, if an import of a reached symbol is unresolved or ambiguous
-    anywhere, or there are more than ``most`` states.
-    """
-    spark = bindings.sparkSession
-    kept = bindings.select("importer", "target", "source", "local", "status").persist(StorageLevel.DISK_ONLY)
-    rows, why = _closure(kept, file, symbol, most)
-    kept.unpersist()
-    kind = "importer string, target string, source_symbol string, local_symbol string, propagates boolean"
-    return spark.createDataFrame([] if why else sorted(rows), kind), why
-
-
-def _closure(bindings: DataFrame, file: str, symbol: str, most: int) -> tuple[set[tuple], str | None]:
-    loose = bindings.where((F.col("source") == symbol) & F.col("status").isin("ambiguous", "unresolved")).select("status").distinct().collect()  # two rows at most
-    for status in ("ambiguous", "unresolved"):
-        if any(r["status"] == status for r in loose):
-            return set(), f"closure_import_{status}"
-    known, frontier, out = {(file, symbol)}, [(file, symbol)], set()
-    while frontier:
-        # states are bounded by ``most``, so the frontier is a short list of literals
-        step = bindings.sparkSession.createDataFrame(frontier, "target string, source string")
-        found = bindings.where("status = 'resolved'").join(F.broadcast(step), ["target", "source"]).select("importer", "target", "source", "local").distinct().limit(most + 2).collect()
-        out |= {(r["importer"], r["target"], r["source"], r["local"], r["local"] == r["source"]) for r in found}
-        frontier = sorted({(r["importer"], r["local"]) for r in found if r["local"] == r["source"]} - known)
-        known |= set(frontier)
-        if len(known) > most + 1:
-            return set(), "closure_state_budget"
-        if len(out) > most:
-            return set(), "closure_binding_budget"
-    return out, None
+def symbol_closure(bindings: DataFrame, file: str, symbol: str, most: int = closure.MOST, most_states: int | None = None) -> tuple[DataFrame, str | None]:
+    """All places one symbol reaches over imports, and why there are none; see closure.closures."""
+    one = bindings.sparkSession.createDataFrame([(file, symbol)], "file string, symbol string")
+    rows, verdict = closure.closures(bindings, one, most_bindings=most, most_states=most_states)
+    return rows.drop("file", "symbol"), verdict.head()["reason"]

@@ -25,18 +25,20 @@ def _matching(text: Column, queries: list[str]) -> Column:
 def first_rows(found: DataFrame, order: list[str], cap: int) -> DataFrame:
     """The first ``cap`` rows of each query with ``capped``, which says that more were found.
 
-    Rows are first dealt to classes by a hash, where each task already drops all
-    but the first of a class; a class holds an eighth of what it may at most on
-    average, so that none overflows, and what is left to sort for a query is
+    Rows are first dealt to classes by a hash of their place and number, where
+    each task already drops all but the first of a class; equal rows get classes
+    of their own. A class holds an eighth of what it may at most on average, so
+    that none overflows before the cap, and what is left to sort for a query is
     bounded. One row more than the cap proves that the scan was cut.
     """
     classes = max(8, -(-cap * 8 // IN_CLASS))
-    mine = F.pmod(F.xxhash64(*order), F.lit(classes)).alias("class")
-    top = Window.partitionBy("query", "class").orderBy(*order)
-    some = found.select("*", mine).withColumn("n", F.row_number().over(top)).where(F.col("n") <= IN_CLASS).drop("class", "n")
+    numbered = found.withColumn("number", F.monotonically_increasing_id())
+    mine = F.pmod(F.xxhash64(*order, "number"), F.lit(classes)).alias("class")
+    top = Window.partitionBy("query", "class").orderBy(*order, "number")
+    some = numbered.select("*", mine).withColumn("n", F.row_number().over(top)).where(F.col("n") <= IN_CLASS).drop("class", "n")
     by_query = Window.partitionBy("query")
-    some = some.withColumn("n", F.row_number().over(by_query.orderBy(*order))).where(F.col("n") <= cap + 1)
-    return some.withColumn("capped", F.max("n").over(by_query) > cap).where(F.col("n") <= cap).drop("n")
+    some = some.withColumn("n", F.row_number().over(by_query.orderBy(*order, "number"))).where(F.col("n") <= cap + 1)
+    return some.withColumn("capped", F.max("n").over(by_query) > cap).where(F.col("n") <= cap).drop("n", "number")
 
 
 def discover(lines: DataFrame, queries: list[str], cap: int | None = FILE_CAP) -> DataFrame:

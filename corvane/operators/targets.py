@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,8 @@ from corvane.functions import paths, text
 from corvane.operators import ranges, ranking
 
 MOST_COMPETITORS, MOST_LOCATIONS, MOST_SCOPE, MOST_DISTANCE = 4, 32, 180, 96
+#: lines of a scope by indentation, and around a hit outside all scopes
+MOST_LINES, RADIUS = 180, 12
 
 
 def primary_scope(scopes: DataFrame, group: list[str]) -> DataFrame:
@@ -87,29 +87,50 @@ def unique_definitions(declarations: DataFrame) -> DataFrame:
     return rows.select("name", "n", *(F.when(F.col("n") == 1, F.col(f"d.{c}")).alias(c) for c in ("file", "start_line", "end_line")))
 
 
+def _lines(files: DataFrame) -> DataFrame:
+    rows = files.where("source is not null").select("file", F.posexplode(F.split("source", "\n")).alias("n", "text"))
+    return rows.select("file", (F.col("n") + 1).cast("bigint").alias("line"), "text", text.indent_width(F.col("text")).alias("indent"))
+
+
+def _near(rows: DataFrame) -> DataFrame:
+    """Rows by stretches of MOST_LINES lines: of two rows at most so far apart one is in the stretch of the other or the next."""
+    return rows.withColumn("stretch", F.floor(F.col("line") / MOST_LINES))
+
+
 def indented_scopes(files: DataFrame) -> DataFrame:
-    """(file, source) -> (file, start, end, indent) of definition lines: up to the line before the next one that is
-    not deeper. A stack of open definitions, one pass over each file."""
-    from corvane.functions.python_ast import frame
+    """(file, source) -> (file, start, end, indent) of definition lines of Python.
 
-    head = re.compile(rf"(?:export\s+)?(?:async\s+)?(?:{'|'.join(text.DECLARING)})\b")
-
-    def one(file, source):
-        out, last, unfinished = [], 0, []
-        for n, raw in enumerate(source.split("\n"), 1):
-            line = raw.rstrip("\r")
-            if not line.strip():
-                continue
-            indent = len(line[: len(line) - len(line.lstrip(" \t"))].replace("\t", "    "))
-            while unfinished and indent <= unfinished[-1][1]:
-                start, depth = unfinished.pop()
-                out.append((file, start, n - 1, depth))
-            if head.match(line.strip()):
-                unfinished.append((n, indent))
-            last = n
-        return out + [(file, start, last, depth) for start, depth in unfinished]
-
-    return frame(files.where("source is not null"), ["file", "source"], "file string, start bigint, end bigint, indent int", one)
+    A scope ends before the next line that is not deeper, blank lines, comments
+    and decorators aside, or MOST_LINES after its start. Lines meet only those
+    at most so far away, so no file is read by one task alone.
+    """
+    lines = _lines(files)
+    heads = lines.where(text.python_definition(F.col("text")).isNotNull()).select("file", F.col("line").alias("start"), "indent")
+    stops = _near(lines.where(~F.col("text").rlike(r"^\s*(?:[#@]|$)"))).select("file", "stretch", "line", F.col("indent").alias("stop_indent"))
+    at = F.floor(F.col("start") / MOST_LINES)
+    pairs = heads.withColumn("stretch", F.explode(F.array(at, at + 1))).join(stops, ["file", "stretch"])
+    pairs = pairs.where((F.col("line") > F.col("start")) & (F.col("line") <= F.col("start") + MOST_LINES) & (F.col("stop_indent") <= F.col("indent")))
+    first = pairs.groupBy("file", "start").agg((F.min("line") - 1).alias("stop"))
+    length = lines.groupBy("file").agg(F.max("line").alias("n"))
+    out = heads.join(first, ["file", "start"], "left").join(length, "file")
+    return out.select("file", "start", F.least(F.col("start") + (MOST_LINES - 1), F.coalesce("stop", "n")).alias("end"), "indent")
+
+
+def hit_scopes(hits: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, line) -> (file, line, start, end): the scope around each hit of a Python file.
+
+    That of the nearest definition line at or above the hit, at most MOST_LINES
+    away, that is not deeper than it; else RADIUS lines around.
+    """
+    lines = _lines(files)
+    hit = _near(hits.select("file", "line").distinct().join(lines.select("file", "line", "indent"), ["file", "line"]))
+    scopes = indented_scopes(files).withColumnsRenamed({"indent": "scope_indent"})
+    pairs = hit.withColumn("at", F.explode(F.array("stretch", F.col("stretch") - 1))).join(scopes.withColumn("at", F.floor(F.col("start") / MOST_LINES)), ["file", "at"])
+    pairs = pairs.where((F.col("start") <= F.col("line")) & (F.col("start") >= F.col("line") - MOST_LINES) & (F.col("scope_indent") <= F.col("indent")))
+    best = pairs.groupBy("file", "line").agg(F.max(F.struct("start", "end")).alias("s"))
+    length = lines.groupBy("file").agg(F.max("line").alias("n"))
+    rows = hit.select("file", "line").join(best, ["file", "line"], "left").join(length, "file")
+    return rows.select("file", "line", F.coalesce("s.start", F.greatest(F.lit(1), F.col("line") - RADIUS)).alias("start"), F.coalesce("s.end", F.least(F.col("n"), F.col("line") + RADIUS)).alias("end"))
 
 
 def brace_scopes(files: DataFrame, most_lines: int = MOST_SCOPE) -> DataFrame:

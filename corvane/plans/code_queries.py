@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import imports, paths, python_ast, queries, structure, text
-from corvane.operators import evidence, graph, ranking, targets, verify
+from corvane.functions import imports, paths, python_ast, queries, text
+from corvane.functions.nodes import node_table
+from corvane.operators import closure, evidence, graph, ranking, rename, syntax, targets, verify
 from corvane.query import query, table
+from corvane.scratch import kept
 from corvane.sources import corpus, modules
 from corvane.sources.modules import LINES_SQL, MODULES_SQL
 
@@ -54,22 +56,47 @@ def _bindings(spark, d):
     return rows.select(F.col("file").alias("importer"), "target", "status", F.explode(F.arrays_zip("local", "source")).alias("p")).select("importer", "target", "status", F.col("p.local").alias("local"), F.col("p.source").alias("source"))
 
 
-@query("graph_symbol_closure", f"""WITH RECURSIVE b AS (SELECT file AS importer, target, source, local FROM {RESOLVED_SQL} WHERE status = 'resolved'),
-    r(importer, target, source, local) AS (SELECT * FROM b WHERE target = 'pkg/m0.py' AND source = 'shared' UNION SELECT b.* FROM b JOIN r ON b.target = r.importer AND b.source = r.local AND r.local = r.source)
-    SELECT importer, target, source AS source_symbol, local AS local_symbol, local = source AS propagates FROM r""")
+@query("graph_symbol_closure", f"""WITH RECURSIVE b AS (SELECT DISTINCT file AS importer, target, source, local FROM {RESOLVED_SQL} WHERE status = 'resolved' AND file <> target),
+    r(file, importer, target, source, local) AS (SELECT target, * FROM b WHERE source = 'shared' AND target IN (SELECT file FROM {MODULES_SQL} WHERE n % 32 = 0) UNION SELECT r.file, b.* FROM b JOIN r ON b.target = r.importer AND b.source = r.local AND r.local = r.source)
+    SELECT file, 'shared' AS symbol, importer, target, source AS source_symbol, local AS local_symbol, local = source AS propagates FROM r""")
 def symbol_closure(spark, d):
-    return graph.symbol_closure(_bindings(spark, d), "pkg/m0.py", "shared")[0]
+    """How far a name goes from the first module of each block."""
+    sources = _modules(spark, d).where("n % 32 = 0").select("file", F.lit("shared").alias("symbol"))
+    return closure.closures(_bindings(spark, d), sources)[0]
 
 
 @query("graph_closure_guards", f"""WITH b AS (SELECT file AS importer, target, source, local, status FROM {RESOLVED_SQL}), a(file, symbol) AS (VALUES ('pkg/m0.py', 'shared'), ('pkg/m0.py', 'lost'), ('pkg/m3.py', 'C3'), ('pkg/m1.py', 'f1'))
     SELECT file, symbol, CASE WHEN EXISTS (SELECT 1 FROM b WHERE source = symbol AND status = 'unresolved') THEN 'closure_import_unresolved'
-    WHEN (SELECT count(DISTINCT importer) FROM b WHERE b.target = a.file AND source = symbol AND local = source AND importer <> a.file) > 32 THEN 'closure_state_budget' END AS reason FROM a""")
+    WHEN (SELECT count(DISTINCT importer) FROM b WHERE b.target = a.file AND source = symbol AND local = source AND importer <> a.file) > 32 THEN 'closure_binding_budget_exceeded' END AS reason FROM a""")
 def closure_guards(spark, d):
-    bindings = _bindings(spark, d).cache()
     asked = [("pkg/m0.py", "shared"), ("pkg/m0.py", "lost"), ("pkg/m3.py", "C3"), ("pkg/m1.py", "f1")]
-    rows = [(file, symbol, graph.symbol_closure(bindings, file, symbol)[1]) for file, symbol in asked]
-    bindings.unpersist()
-    return spark.createDataFrame(rows, "file string, symbol string, reason string")
+    return closure.closures(_bindings(spark, d), spark.createDataFrame(asked, "file string, symbol string"))[1].select("file", "symbol", "reason")
+
+
+_ASKED = f"(SELECT file, unnest(['f' || n, 'C' || n, 'K' || n, 'shared', 'lost']) AS symbol FROM {MODULES_SQL})"
+
+
+CLOSURES_SQL = f"""WITH RECURSIVE m AS MATERIALIZED {MODULES_SQL}, e AS MATERIALIZED (SELECT file AS importer, target, line, source, local, status FROM {RESOLVED_SQL}), b AS MATERIALIZED (SELECT DISTINCT importer, target, source, local FROM e WHERE status = 'resolved' AND importer <> target), s AS MATERIALIZED {_ASKED},
+    r(file, symbol, state, d) AS (SELECT file, symbol, file, 0 FROM s WHERE symbol <> 'lost' UNION SELECT r.file, r.symbol, b.importer, d + 1 FROM r JOIN b ON b.target = r.state AND b.source = r.symbol AND b.local = r.symbol WHERE d < 33),
+    t AS MATERIALIZED (SELECT file, symbol, state, min(d) AS d FROM r GROUP BY ALL),
+    u AS (SELECT DISTINCT t.file, t.symbol, d FROM t JOIN e ON e.target = t.state AND e.status = 'resolved' AND e.importer <> e.target AND e.source <> t.symbol JOIN m ON m.file = e.importer AND contains(m.source, t.symbol)),
+    n AS (SELECT file, symbol, d, sum(k) OVER (PARTITION BY file, symbol ORDER BY d) AS bindings FROM (SELECT t.file, t.symbol, d, count(b.importer) AS k FROM t LEFT JOIN b ON b.target = t.state AND b.source = t.symbol GROUP BY ALL)),
+    w AS (SELECT file, symbol, arg_min(reason, (d, p)) AS reason FROM (SELECT file, symbol, d, 0 AS p, 'closure_member_binding_unsupported' AS reason FROM u UNION ALL SELECT file, symbol, d, 1, 'closure_binding_budget_exceeded' FROM n WHERE bindings > 32) GROUP BY ALL)
+    SELECT s.file, s.symbol, CASE WHEN s.symbol = 'lost' THEN 'closure_import_unresolved' ELSE w.reason END AS reason, CASE WHEN w.reason IS NULL AND s.symbol <> 'lost' THEN (SELECT count(*) FROM t WHERE t.file = s.file AND t.symbol = s.symbol) END AS n_states,
+    CASE WHEN w.reason IS NULL AND s.symbol <> 'lost' THEN (SELECT max(bindings) FROM n WHERE n.file = s.file AND n.symbol = s.symbol)::BIGINT END AS n_bindings FROM s LEFT JOIN w ON w.file = s.file AND w.symbol = s.symbol"""
+
+
+@query("graph_closures", CLOSURES_SQL)
+def closures(spark, d):
+    """The closures of all names of all modules, with all guards."""
+    names = F.explode(F.array(*(F.concat(F.lit(x), "n") for x in "fCK"), F.lit("shared"), F.lit("lost")))
+    return _closures(spark, d, _modules(spark, d).select("file", names.alias("symbol")))[1]
+
+
+def _closures(spark, d, sources):
+    files, rows, bindings = _modules(spark, d), _resolved(spark, d), _bindings(spark, d)
+    edges = rows.where("status = 'resolved' and file <> target").select(F.col("file").alias("importer"), "target", F.col("source").alias("sources"))
+    return closure.closures(bindings, sources, indexed=files, members=closure.member_uses(edges, closure.mentions(files, sources)), current=bindings)
 
 
 @query("graph_import_neighbors", f"""WITH s(seed, position) AS (VALUES ('pkg/m3.py', 0), ('pkg/m20.py', 1)), fw(seed, names) AS (VALUES ('pkg/m3.py', ['f1', 'C3']), ('pkg/m20.py', ['C0'])), rv(seed, names) AS (VALUES ('pkg/m3.py', ['f3']), ('pkg/m20.py', ['f20'])),
@@ -185,9 +212,7 @@ def _roles(spark, d):
     at = F.col("start_byte") + F.octet_length(before) + F.octet_length(earlier)
     hits = hits.select("file", "line", "match_text", at.alias("start"), (at + F.octet_length("match_text")).alias("end"))
     hits = hits.withColumn("id", F.xxhash64("file", "start"))
-    per = hits.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start", "end", "id"))).alias("h"))
-    files = _modules(spark, d).join(per, "file").select("source", F.col("h.id").alias("ids"), F.col("h.start").alias("starts"), F.col("h.end").alias("ends"))
-    return hits.join(structure.hit_roles(files).withColumnsRenamed({"start_line": "symbol_start", "end_line": "symbol_end"}), "id")
+    return hits.join(syntax.roles(hits, node_table(_modules(spark, d))), "id")
 
 
 @query("evidence_classified", f"SELECT file, line, match_text, role, anchor, statement, symbol_name FROM {ROLES_SQL}")
@@ -236,7 +261,7 @@ def member_symbols(spark, d):
 
 _INDENT = "length(text) - length(ltrim(text))"
 _REAL = f"(SELECT file, line, text, {_INDENT} AS indent FROM {LINES_SQL} WHERE trim(text) <> '')"
-SCOPES_SQL = f"""(SELECT h.file, h.line AS start_line, coalesce((SELECT min(l.line) - 1 FROM {_REAL} l WHERE l.file = h.file AND l.line > h.line AND l.indent <= h.indent), (SELECT max(l.line) FROM {_REAL} l WHERE l.file = h.file)) AS end_line
+SCOPES_SQL = f"""(SELECT h.file, h.line AS start_line, least(h.line + 179, coalesce((SELECT min(l.line) - 1 FROM {_REAL} l WHERE l.file = h.file AND l.line > h.line AND l.indent <= h.indent AND NOT regexp_matches(ltrim(l.text), '^[#@]')), (SELECT max(l.line) FROM {LINES_SQL} l WHERE l.file = h.file))) AS end_line
     FROM {_REAL} h WHERE regexp_matches(trim(h.text), '^(def|class) '))"""
 
 
@@ -245,6 +270,16 @@ def indented_scopes(spark, d):
     return targets.indented_scopes(_modules(spark, d)).select("file", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
+@query("range_hit_scopes", f"""WITH l AS MATERIALIZED (SELECT file, line, text, {_INDENT} AS indent FROM {LINES_SQL}), n AS (SELECT file, max(line) AS n FROM l GROUP BY file), h AS (SELECT * FROM l WHERE line % 2 = 1), s AS MATERIALIZED {SCOPES_SQL},
+    b AS (SELECT h.file, h.line, max(d.line) AS start_line FROM h JOIN l d ON d.file = h.file AND regexp_matches(trim(d.text), '^(def|class) ') AND d.line BETWEEN h.line - 180 AND h.line AND d.indent <= h.indent GROUP BY ALL)
+    SELECT h.file, h.line, coalesce(b.start_line, greatest(1, h.line - 12)) AS start_line, coalesce(s.end_line, least(n, h.line + 12)) AS end_line FROM h JOIN n USING (file) LEFT JOIN b USING (file, line) LEFT JOIN s ON s.file = b.file AND s.start_line = b.start_line""")
+def hit_scopes(spark, d):
+    """The scopes around every second line."""
+    files = _modules(spark, d)
+    rows = targets.hit_scopes(_lines(spark, d).where("line % 2 = 1").select("file", "line"), files)
+    return rows.select("file", "line", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+
+
 _BRACES = "concat('function b', s_suppkey, '(x) {', chr(10), '  if (x) {', chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('    go({a: 1})', chr(10)) ELSE '' END, '  }', chr(10), '}', chr(10), 'const c = ', s_suppkey, chr(10))"
 
 
@@ -261,6 +296,10 @@ _EDIT = "CASE WHEN n % 13 = 0 THEN 0 ELSE n % 6 END"
 _BEFORE = f"CASE {_EDIT} WHEN 0 THEN 'return C' || n % 10 || '(y)' WHEN 1 THEN 'return' WHEN 2 THEN 'x = i' WHEN 3 THEN 'y) if' WHEN 4 THEN 'for i in range(y):' || chr(10) || '        x = i' || chr(10) || '    return C' || n % 10 || '(y)' ELSE 'C' || n % 10 || '(' END"
 
 
+def _nodes_by_id(rows):
+    return node_table(rows.select(F.col("id").cast("string").alias("file"), "source"))
+
+
 def _mutations(spark, d):
     m = _modules(spark, d)
     new = F.when(F.col("n") % 4 == 0, "pass").otherwise("y = 1\r\ny = 2")
@@ -275,18 +314,47 @@ COMPILED_SQL = f"""(SELECT n AS id, CASE WHEN n % 13 = 0 THEN 'owner_unavailable
 
 @query("edit_replacements", f"SELECT id, reason, start_byte::BIGINT AS start_byte, end_byte::BIGINT AS end_byte, envelope, sha256(after) AS after_sha256 FROM {COMPILED_SQL}")
 def replacements(spark, d):
-    out = structure.compiled_replacements(_mutations(spark, d))
+    rows = _mutations(spark, d)
+    out = syntax.replacements(rows, _nodes_by_id(rows))
     return out.select("id", "reason", "start_byte", "end_byte", "envelope", F.sha2("after", 256).alias("after_sha256"))
 
 
+_CHILDREN = f"(SELECT CAST(floor(n / 2) AS BIGINT) AS id, n AS child, n % 3 <> 0 AS keeps, n % 13 = 0 AS broken FROM {MODULES_SQL} WHERE n >= 2)"
+
+
+@query("edit_renames", f"""WITH c AS MATERIALIZED ({CLOSURES_SQL}), k AS (SELECT id, count(*) AS links, sum(keeps::INT) AS uses, bool_or(broken) AS broken FROM {_CHILDREN} GROUP BY id),
+    r AS (SELECT n AS id, source, coalesce(links, 0) AS links, coalesce(uses, 0) AS uses, CASE WHEN n % 11 = 1 THEN 'mutation_contract_invalid' WHEN n = 0 OR n % 13 = 0 THEN 'symbol_not_found' WHEN c.reason IS NOT NULL THEN 'rename_binding_unsupported' WHEN n % 5 = 0 AND links > 0 THEN 'rename_scope_incomplete'
+        WHEN n % 7 = 0 THEN 'rename_destination_not_fresh' WHEN broken THEN 'rename_import_validation_failed' ELSE 'ok' END AS reason FROM {MODULES_SQL} m LEFT JOIN c ON c.file = m.file AND c.symbol = 'f' || n LEFT JOIN k ON k.id = n)
+    SELECT id, reason, CASE WHEN reason = 'ok' THEN 2 + links + uses ELSE 0 END::BIGINT AS n_edits, CASE WHEN reason = 'ok' THEN sha256(replace(source, 'f' || id || '(', 'h' || id || '(')) END AS after_sha256 FROM r""")
+def renames(spark, d):
+    """A rename of every module's function with the imports that carry it; some names are taken, some files not handed over."""
+    m, n = _modules(spark, d), F.col("n")
+    file = lambda x: F.concat(F.lit("pkg/m"), x, F.lit(".py"))
+    new = F.when(n % 11 == 1, "1bad").when(n % 7 == 0, F.concat(F.lit("C"), n)).otherwise(F.concat(F.lit("h"), n))
+    allowed = F.when(n % 5 == 0, F.array("file")).otherwise(F.array("file", file(n * 2), file(n * 2 + 1)))
+    requests = m.select(n.alias("id"), "file", F.when(n == 0, "none").otherwise(F.concat(F.lit("f"), n)).alias("symbol"), new.alias("new_name"), allowed.alias("allowed"))
+    nodes = kept(node_table(m))
+    found, verdicts = (kept(x) for x in _closures(spark, d, requests))
+    edits, reasons = rename.lowered(requests, nodes, found, verdicts, kept(_resolved(spark, d)))
+    after = rename.applied(edits, m).join(m.select("n", "file"), "file").where("id = n").select("id", F.sha2("after", 256).alias("after_sha256"))
+    counts = edits.groupBy("id").agg(F.count("*").alias("n_edits"))
+    return reasons.join(counts, "id", "left").join(after, "id", "left").select("id", "reason", F.coalesce("n_edits", F.lit(0).cast("bigint")).alias("n_edits"), "after_sha256")
+
+
+@query("check_identifier_leaves", f"SELECT file, name, count(*) AS n FROM (SELECT file, unnest(regexp_extract_all(regexp_replace(text, '#.*', ''), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM {_FACT_LINES}) WHERE name NOT IN ('from', 'import', 'as', 'def', 'if', 'return', 'for', 'in', 'class') GROUP BY file, name")
+def identifier_leaves(spark, d):
+    """How often each name stands in the syntax of each module."""
+    return syntax.identifier_leaves(node_table(_modules(spark, d)))
+
+
 @query("check_confinement", f"SELECT id, reason IN ('ok', 'no_change') AND id % 5 <> 0 AND id % 7 <> 0 AS pass, CASE WHEN reason NOT IN ('ok', 'no_change') THEN reason WHEN id % 5 = 0 THEN 'slice_certificate_mismatch' WHEN id % 7 = 0 THEN 'compiled_replacement_mismatch' END AS detail FROM {COMPILED_SQL}")
 def confinement(spark, d):
     """Claims of an edit against a compilation of its own; some claim another place or text."""
     rows = _mutations(spark, d)
-    claimed = structure.compiled_replacements(rows)
+    claimed = syntax.replacements(rows, _nodes_by_id(rows))
     moved, other = F.col("id") % 5 == 0, F.col("id") % 7 == 0
     claimed = claimed.select("id", (F.col("start_byte") + moved.cast("int")).alias("start_byte"), "end_byte", "envelope", F.when(other, F.concat("after", F.lit("#"))).otherwise(F.col("after")).alias("after"))
-    return structure.confinement_checks(rows.join(claimed, "id")).select("id", "pass", "detail")
+    return syntax.confinement_checks(rows.join(claimed, "id"), _nodes_by_id(rows)).select("id", "pass", "detail")
 
 
 @query("check_top_level", f"SELECT n AS id, n % 13 <> 0 AND n % 3 <> 1 AS pass FROM {MODULES_SQL}")
@@ -299,7 +367,7 @@ def top_level(spark, d):
     at = F.octet_length(F.substring_index("source", "return C", 1))
     # the edited bytes are those of the body; an occurrence of the text is in every function
     rows = m.select(F.col("n").alias("id"), F.col("source").alias("before"), after.alias("after"), F.array(at).alias("starts"), F.array(at + 9).alias("ends"))
-    return structure.conservation_checks(rows).select("id", "pass")
+    return syntax.conservation_checks(rows, syntax.sides(rows)).select("id", "pass")
 
 
 @query("check_target", f"SELECT n AS id, n % 13 <> 0 AND n % 4 <> 3 AS pass FROM {MODULES_SQL}")
@@ -310,7 +378,7 @@ def target(spark, d):
     renamed = F.replace("source", F.concat(F.lit("def f"), "n", F.lit("(")), F.concat(F.lit("def h"), "n", F.lit("(")))
     after = F.when(F.col("n") % 4 == 2, F.replace("source", F.lit("x = i"), F.lit("x = 2"))).otherwise(renamed)
     rows = m.select(F.col("n").alias("id"), kind.alias("kind"), F.col("source").alias("before"), after.alias("after"), F.concat(F.lit("f"), "n").alias("symbol"), F.concat(F.lit("h"), "n").alias("new_name"))
-    return structure.target_checks(rows).select("id", "pass")
+    return syntax.target_checks(rows, syntax.sides(rows)).select("id", "pass")
 
 
 @query("check_control_flow", f"""SELECT n AS id, CASE WHEN n % 13 = 0 OR n % 4 = 2 THEN 'skipped' ELSE 'observed' END AS status, CASE WHEN n % 13 <> 0 AND n % 4 <> 2 THEN a END::BIGINT AS before_points, CASE WHEN n % 13 <> 0 AND n % 4 <> 2 THEN a + (n % 4 = 0)::INT END::BIGINT AS after_points,
@@ -321,7 +389,8 @@ def control_flow(spark, d):
     more = F.replace("source", F.lit("    return C"), F.lit("    while y:\n        y = 0\n    return C"))
     gone = F.replace("source", F.concat(F.lit("def f"), "n", F.lit("(")), F.concat(F.lit("def h"), "n", F.lit("(")))
     after = F.when(F.col("n") % 4 == 0, more).when(F.col("n") % 4 == 2, gone).otherwise(F.col("source"))
-    return python_ast.control_flow_changes(m.select(F.col("n").alias("id"), F.col("source").alias("before"), after.alias("after"), F.concat(F.lit("f"), "n").alias("symbol")))
+    rows = m.select(F.col("n").alias("id"), F.col("source").alias("before"), after.alias("after"), F.concat(F.lit("f"), "n").alias("symbol"))
+    return syntax.control_flow_changes(rows, syntax.sides(rows))
 
 
 @query("check_python_validity", f"SELECT n AS id, CASE WHEN n % 7 = 0 THEN 'structural_only' ELSE 'native_enforced' END AS coverage, n % 7 = 0 OR NOT regexp_matches(source, 'def \\w+\\(:') AS pass FROM {MODULES_SQL}")
@@ -336,7 +405,7 @@ def reflective_uses(spark, d):
     name = F.when(F.col("p_partkey") % 3 == 0, "handle").otherwise(F.concat(F.lit("handle"), "p_partkey"))
     source = F.concat(F.lit("def f(o):\n    return getattr(o, '"), name, F.lit("')\nhandle = 'handle'\n"))
     rows = table(spark, d, "part").select(F.concat(F.lit("r"), "p_partkey", F.lit(".py")).alias("file"), source.alias("source"))
-    return python_ast.reflective_uses(rows, "handle")
+    return syntax.reflective_uses(node_table(rows), spark.createDataFrame([("handle",)], "symbol string")).select("file")
 
 
 @query("set_closure_topology", f"""WITH b AS (SELECT file AS importer, target, source, local FROM {RESOLVED_SQL} WHERE status = 'resolved' AND source = 'shared')
@@ -459,7 +528,8 @@ def query_plans(spark, d):
 
 
 def _path_words(source: str) -> str:
-    return f"list_filter(regexp_extract_all(lower(regexp_replace({source}, '(\\p{{Ll}}|\\d)(\\p{{Lu}})', '\\1 \\2', 'g')), '[a-z0-9]+'), lambda w: len(w) >= 3)"
+    parts = "string_split_regex(regexp_replace(w, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_\\-\\s]+')"
+    return f"flatten(list_transform(regexp_extract_all({source}, '[A-Za-z_][A-Za-z0-9_-]{{2,}}'), lambda w: list_concat([lower(w)], list_filter(list_transform({parts}, lambda p: lower(p)), lambda p: len(p) >= 3))))"
 
 
 @query("query_rank_terms", f"""WITH a AS (SELECT p_partkey AS id, {_path_words("p_name")} AS x, {_path_words("p_brand || ' ' || p_type")} AS y FROM part), b AS (SELECT id, list_concat(({_first_seen("x")})[1:8], ({_first_seen("y")})[1:8]) AS z FROM a)

@@ -128,7 +128,7 @@ LEXICAL_ORDER = "coverage DESC, path_affinity DESC, round(rarity, 12) DESC, file
 
 
 def _lexical(spark, d):
-    return ranking.lexical_rank(scan.discover(_lines(spark, d), SEARCH, cap=1 << 30), WORDS)
+    return ranking.lexical_rank(scan.discover(_lines(spark, d), SEARCH, cap=None), WORDS)
 
 
 @query("rank_lexical", f"SELECT row_number() OVER (ORDER BY {LEXICAL_ORDER})::INT AS rank, file, queries, coverage, path_affinity, round(rarity, 9) AS rarity FROM {LEXICAL_SQL} ORDER BY {LEXICAL_ORDER} LIMIT 32")

@@ -159,14 +159,14 @@ def first_queries(spark, d):
     return evidence.first_queries(s._hits(spark, d))
 
 
-@query("evidence_all_facts", f"""WITH k AS {s.KEPT_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'positive' AS kind, file, line, 0 AS a, 0 AS b FROM k UNION ALL SELECT DISTINCT 'context', file, line + 1, 0, 0 FROM k UNION ALL SELECT 'negative', q.query::VARCHAR, 0, 0, 0 FROM (VALUES {s._q}) AS q(query, rx) WHERE q.query NOT IN (SELECT query FROM k)
-    UNION ALL SELECT DISTINCT 'routing', file, 0, 0, 0 FROM k UNION ALL SELECT DISTINCT 'structural', query::VARCHAR, 0, 0, 0 FROM k) GROUP BY kind""")
+@query("evidence_all_facts", f"""WITH k AS {s.KEPT_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'positive' AS kind, file, line, query::VARCHAR AS a FROM k UNION ALL SELECT DISTINCT 'context', file, line, '' FROM k UNION ALL SELECT 'negative', q.query::VARCHAR, 0, '' FROM (VALUES {s._q}) AS q(query, rx) WHERE q.query NOT IN (SELECT query FROM k)
+    UNION ALL SELECT DISTINCT 'routing', file, 0, '' FROM k UNION ALL SELECT DISTINCT 'structural', query::VARCHAR, 0, '' FROM k UNION ALL SELECT DISTINCT 'other', file, 0, '' FROM k) GROUP BY kind""")
 def all_facts(spark, d):
-    """Facts of all sorts, counted by what they say."""
+    """Facts of all sorts, as the engine makes them and as others may, counted by what they say."""
     hits = s._hits(spark, d)
-    at = lambda kind, *c: F.concat(F.lit(f"{kind}\0"), F.to_json(F.array(*(F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in c))))
-    facts = hits.select(F.explode(F.array(at("hit_line", "file", "line"), at("source_line", "file", F.col("line") + 1), at("route_candidate", "file"), at("scope", "query"))).alias("key"))
-    negative = evidence.negative_facts(scan.scan_status(spark, hits, s.SEARCH)).select(F.concat(F.lit("negative_query\0"), "query"))
+    at = lambda kind, *c: F.concat(F.lit(f"{kind}\0"), F.to_json(F.array(*(F.col(x).cast("string") for x in c))))
+    facts = hits.select(F.explode(F.array(at("index_file", "file"), at("scope", "query"), at("route_candidate", "file"))).alias("key")).union(evidence.fact_keys(hits).select("key"))
+    negative = evidence.negative_facts(scan.scan_status(spark, hits, s.SEARCH)).select("key")
     return evidence.fact_summary(facts.union(negative).distinct())
 
 
@@ -187,7 +187,7 @@ def changed_lines(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), verify.changed_lines(patch).alias("n"))
 
 
-@query("text_path_tokens", f"SELECT doc_id, array_to_string(({c._first_seen(c._path_words(chr(34) + 'file' + chr(34)))})[1:8], ',') AS tokens FROM (SELECT doc_id, source || '/' || lang || '/docFile_' || doc_id || '.txt' AS file FROM documents)")
+@query("text_path_tokens", f"SELECT doc_id, array_to_string(({c._first_seen(c._path_words('file'))})[1:8], ',') AS tokens FROM (SELECT doc_id, source || '/' || lang || '/docFile_' || doc_id || '.txt' AS file FROM documents)")
 def path_tokens(spark, d):
     file = F.concat_ws("/", "source", "lang", F.concat(F.lit("docFile_"), "doc_id", F.lit(".txt")))
     return table(spark, d, "documents").select("doc_id", F.array_join(text.path_tokens(file), ",").alias("tokens"))

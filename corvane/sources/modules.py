@@ -14,6 +14,8 @@ from corvane.query import table
 _NL = "chr(10)"
 _N = "p_partkey"
 _HALF = f"CAST(floor({_N} / 2) AS BIGINT)"
+#: modules in blocks of 32, of which the first 15 pass ``shared`` on, each to two others
+_GIVER = f"({_N} - {_N} % 32 + CAST(floor({_N} % 32 / 2) AS BIGINT))"
 #: which file a part is
 FILE = f"concat('pkg/m', {_N}, '.py')"
 #: a module imports from the module of half its number, under an alias if divisible by 3, and a class from one of
@@ -21,7 +23,7 @@ FILE = f"concat('pkg/m', {_N}, '.py')"
 SOURCE = f"""concat(
     'from pkg.m', {_HALF}, ' import f', {_HALF}, CASE WHEN {_N} % 3 = 0 THEN concat(' as g', {_HALF}) ELSE '' END, {_NL},
     CASE WHEN {_N} % 11 = 0 THEN concat('from .gone', {_N}, ' import lost') ELSE concat('from .m', {_N} % 10, ' import C', {_N} % 10) END, {_NL},
-    CASE WHEN {_N} BETWEEN 1 AND 14 THEN concat('from pkg.m', {_HALF}, ' import shared', CASE WHEN {_N} % 5 = 4 THEN ' as mine' ELSE '' END, {_NL}) ELSE '' END,
+    CASE WHEN {_N} % 32 BETWEEN 1 AND 14 THEN concat('from pkg.m', {_GIVER}, ' import shared', CASE WHEN {_N} % 5 = 4 THEN ' as mine' ELSE '' END, {_NL}) ELSE '' END,
     'import os', {_NL}, {_NL}, '# module ', {_N}, {_NL},
     'def f', {_N}, '(x, y):', {_NL}, '    if x > ', {_N} % 5, ':', {_NL},
     '        return ', CASE WHEN {_N} % 3 = 0 THEN 'g' ELSE 'f' END, {_HALF}, '(x, y)', {_NL},

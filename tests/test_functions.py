@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import imports, paths, python_ast, tasks, text
+from corvane.functions import imports, paths, tasks, text
 from corvane.operators import evidence, graph, ranges, ranking, scan, verify
 
 
@@ -120,7 +120,8 @@ def test_closure(spark):
     assert why is None
     got = {(r.importer, r.local_symbol, r.propagates) for r in found.collect()}
     assert got == {("desk.py", "quote", True), ("client.py", "quote", True), ("tests/test_freight.py", "quote", True), ("nick.py", "q", False)}
-    assert graph.symbol_closure(rows, "freight.py", "quote", most=2)[1] == "closure_state_budget"
+    assert graph.symbol_closure(rows, "freight.py", "quote", most=2)[1] == "closure_binding_budget_exceeded"
+    assert graph.symbol_closure(rows, "freight.py", "quote", most_states=2)[1] == "closure_state_budget_exceeded"
     assert graph.symbol_closure(rows, "missing.py", "lost")[1] == "closure_import_unresolved"
     loose = rows.unionByName(spark.createDataFrame([("z.ts", None, "ambiguous", "quote", "quote")], rows.schema))
     assert graph.symbol_closure(loose, "freight.py", "quote")[1] == "closure_import_ambiguous"
@@ -186,20 +187,6 @@ def test_greedy_and_prefix_budgets(spark):
     assert [r.i for r in ranges.prefix_budget(rows, ["p"], ["i"], F.col("c"), 10).collect()] == [0]
 
 
-def test_python_structure():
-    assert python_ast.facts("def broken(:\n") == []
-    roles = [f[0] for f in python_ast.facts("import os\ndef helper():\n    pass\ndef test_helper():\n    helper()\n")]
-    assert roles == ["import", "declaration", "test_declaration", "call"]
-    assert python_ast.control_flow("def f(x):\n    return x\n", "f") == (0, None)
-    assert python_ast.control_flow("def f(x):\n    if x:\n        return 1\n", "f") == (1, None)
-    assert python_ast.control_flow("def f():\n    def g(): pass\n", "f") == (None, "nested_definition")
-
-
-def test_reflection(spark):
-    files = spark.createDataFrame([("a.py", 'getattr(m, "alpha")\n'), ("b.py", 'x = "alpha"\n')], "file string, source string")
-    assert [r.file for r in python_ast.reflective_uses(files, "alpha").collect()] == ["a.py"]
-
-
 def test_task_text(spark):
     event = F.struct(F.col("role"), F.col("content"), F.array(F.lit("b")).alias("parts"), F.lit("c").alias("text"))
     assert one(spark, tasks.task_text(event), role="user", content="a") == "a\nb\nc"
@@ -225,42 +212,6 @@ def test_tree(spark, tmp_path):
     assert sorted(r.file for r in corpus.read_tree(spark, str(tmp_path)).collect()) == ["a/b.py", "d.txt"]
 
 
-def test_roles_of_places():
-    from corvane.functions import structure
-
-    source = structure.Source("import a.b as c\n\n@c.mark\nclass Box:\n    size = limit(2)\n    def open(self):\n        self.n += 1\n        return lid\n")
-
-    def role(word, nth=0):
-        at = -1
-        for _ in range(nth + 1):
-            at = source.text.index(word, at + 1)
-        return structure.classified(source, at, at + len(word))
-
-    assert role("a.b")[:2] == ("import", "a.b as c") and role("a.b")[4:] == ("module", "<module>", 1, 8)
-    assert role("Box")[:2] == ("definition", "Box") and role("open")[:2] == ("definition", "open")
-    assert role("limit")[:4] == ("call", "limit", "limit(2)", "size = limit(2)") and role("size")[:2] == ("assignment", "size")
-    assert role("self", 1)[:2] == ("assignment", "self.n") and role("lid")[:4] == ("reference", "lid", "lid", "return lid")
-    assert role("lid")[5] == "open" and role("limit")[5] == "Box"
-    assert structure.Source("def (:").tree is None
-
-
-def test_replacements():
-    from corvane.functions import structure
-
-    text = "def f(a):\r\n    if a:\r\n        b = 1\r\n        c = 2\r\n    return a\r\n"
-    reason, a, b, kind, out = structure.replacement(text, "f", "b = 1\n        c = 2", "d = 3\ne = 4")
-    assert (reason, kind) == ("ok", "siblings") and out == text.replace("b = 1\r\n        c = 2", "d = 3\r\n        e = 4")
-    assert structure.replacement(text, "f", text.strip(), "x")[3] == "owner"
-    assert structure.replacement(text, "f", "return a", "return a")[0] == "no_change"
-    assert structure.replacement(text, "g", "a", "b")[0] == "owner_unavailable"
-    assert structure.replacement(text, "f", "= 1\n        c", "b")[0] == "mutation_slice_not_structural"
-    assert structure.replacement(text + "x\n", "f", "b = 1", "z\nz")[0] == "mutation_source_eol_mixed"
-    many = "def f():\n" + "".join(f"    v{i} = {i}\n" for i in range(20))
-    assert structure.replacement(many, "f", "\n".join(f"    v{i} = {i}" for i in range(17)), "pass")[0] == "mutation_slice_too_wide"
-    assert structure.conserved("a = 1\ndef f():\n    return 1\n", "a = 1\ndef f():\n    return 2\n", [(20, 30)])
-    assert not structure.conserved("a = 1\ndef f():\n    return 1\n", "a = 2\ndef f():\n    return 2\n", [(20, 30)])
-
-
 def test_ranges_against_all_pairs(spark):
     import random
 
