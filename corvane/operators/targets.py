@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import paths, text
+from corvane.functions import paths, script_tokens, text
 from corvane.operators import ranges, ranking
 
 MOST_COMPETITORS, MOST_LOCATIONS, MOST_SCOPE, MOST_DISTANCE = 4, 32, 180, 96
@@ -134,28 +134,19 @@ def hit_scopes(hits: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def brace_scopes(files: DataFrame, most_lines: int = MOST_SCOPE) -> DataFrame:
-    """(file, source, lines) -> (file, line, start_line, end_line): the braces around the first character of each line
-    or opened on it, at most ``most_lines`` long; null outside all."""
-    from corvane.functions.python_ast import frame
-
-    def one(file, source, lines):
-        pairs, unfinished = [], []
-        for n, row in enumerate(source.split("\n"), 1):
-            for c in row:
-                if c == "{":
-                    unfinished.append(n)
-                elif c == "}" and unfinished:
-                    pairs.append((unfinished.pop(), n))
-        pairs += [(n, len(source.split("\n"))) for n in unfinished]
-        out = []
-        for line in lines:
-            around = [p for p in pairs if p[0] <= line <= p[1] and p[1] > p[0] and line - p[0] <= most_lines]
-            best = max(around, default=None, key=lambda p: (p[0], -p[1]))
-            out.append((file, line, best[0] if best else None, min(best[1], best[0] + most_lines - 1) if best else None))
-        return out
-
-    out = frame(files, ["file", "source", "lines"], "file string, line bigint, start_line double, end_line double", one)
-    return out.select("file", "line", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
+    """(file, source, lines) of scripts -> (file, line, start_line, end_line): the braces around the first character of
+    each line or opened on it, at most ``most_lines`` long; null outside all. Braces in strings, comments, templates and
+    regular expressions do not count. Lines meet only blocks that begin so near above them."""
+    pairs = script_tokens.brace_pairs(script_tokens.token_table(files))
+    length = files.select("file", F.size(F.split("source", "\n")).cast("bigint").alias("n"))
+    blocks = pairs.join(length, "file").select("file", "start", F.coalesce("end", "n").alias("end")).where("end > start")
+    hits = files.select("file", F.explode("lines").alias("line")).select("file", F.col("line").cast("bigint").alias("line"))
+    at = F.floor(F.col("line") / most_lines)
+    near = hits.withColumn("at", F.explode(F.array(at, at - 1))).join(blocks.withColumn("at", F.floor(F.col("start") / most_lines)), ["file", "at"])
+    near = near.where((F.col("start") <= F.col("line")) & (F.col("end") >= F.col("line")) & (F.col("line") - F.col("start") <= most_lines))
+    best = near.groupBy("file", "line").agg(F.max(F.struct("start", (-F.col("end")).alias("shut"))).alias("b"))
+    end = F.least(-F.col("b.shut"), F.col("b.start") + most_lines - 1)
+    return hits.join(best, ["file", "line"], "left").select("file", "line", F.col("b.start").alias("start_line"), end.alias("end_line"))
 
 
 def position_of(source: Column, offset: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions import imports, paths, python_ast, queries, text
+from corvane.functions import imports, paths, python_ast, queries, script_tokens, text
 from corvane.functions.nodes import node_table
 from corvane.operators import closure, evidence, graph, ranking, rename, syntax, targets, verify
 from corvane.query import query, table
@@ -280,7 +280,7 @@ def hit_scopes(spark, d):
     return rows.select("file", "line", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
-_BRACES = "concat('function b', s_suppkey, '(x) {', chr(10), '  if (x) {', chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('    go({a: 1})', chr(10)) ELSE '' END, '  }', chr(10), '}', chr(10), 'const c = ', s_suppkey, chr(10))"
+_BRACES = "concat('function b', s_suppkey, '(x) { // }', chr(10), '  if (x) {', chr(10), CASE WHEN s_suppkey % 2 = 0 THEN concat('    go({a: 1}, `}${x}}`, /[}]/)', chr(10)) ELSE '' END, '  } /* { */', chr(10), '}', chr(10), 'const c = ', s_suppkey, chr(10))"
 
 
 @query("range_brace_scopes", "SELECT 'b' || s_suppkey || '.ts' AS file, unnest([1, 2, 3, 6]) AS line, unnest([1, 2, 2, NULL])::BIGINT AS start_line, unnest([5, 4, 4, NULL])::BIGINT AS end_line FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'b' || s_suppkey || '.ts', unnest([1, 2, 3, 6]), unnest([1, 2, 2, NULL]), unnest([4, 3, 3, NULL]) FROM supplier WHERE s_suppkey % 2 = 1")
@@ -290,6 +290,40 @@ def brace_scopes(spark, d):
     return targets.brace_scopes(files).select("file", "line", "start_line", "end_line")
 
 
+_SCRIPT = """concat('import { a', s_suppkey, ' } from "', CASE s_suppkey % 5 WHEN 0 THEN '@/x' WHEN 1 THEN './x' WHEN 2 THEN 'react' WHEN 3 THEN '~/y' ELSE '../z.js' END, '"', chr(10), '// import b from "@/no"', chr(10), 'const t = "import(1)" + `import x from "#/no"`', chr(10),
+    CASE WHEN s_suppkey % 3 = 0 THEN concat('const m = await import("./', s_suppkey, '")', chr(10)) ELSE '' END, CASE WHEN s_suppkey % 4 = 1 THEN concat('const q = require("', CASE WHEN s_suppkey % 8 = 1 THEN './' ELSE '' END, 'lib")', chr(10)) ELSE '' END, CASE WHEN s_suppkey % 7 = 0 THEN concat('export { z } from "@/z"', chr(10), 'import "./side.css"', chr(10)) ELSE '' END)"""
+_script_specs = r"""(SELECT file, x LIKE '%await import(%' AS dynamic, regexp_extract(x, '"([^"]*)"', 1) AS spec FROM (SELECT 's' || s_suppkey || '.ts' AS file, unnest(string_split(SCRIPT, chr(10))) AS x FROM supplier) WHERE regexp_matches(x, '^import |^const (m|q) '))""".replace("SCRIPT", _SCRIPT)
+
+
+@query("import_script_counts", f"""SELECT file, count(*) FILTER (spec LIKE '.%' AND NOT dynamic) AS n_local, count(*) FILTER (NOT regexp_matches(spec, '^([@~#]/|\\.)')) AS external_package, count(*) FILTER (regexp_matches(spec, '^[@~#]/')) AS unsupported_alias, count(*) FILTER (spec LIKE '.%' AND dynamic) AS unsupported_dynamic FROM {_script_specs} GROUP BY file""")
+def script_counts(spark, d):
+    """Imports of scripts by what can be read of them; none of those in comments, strings and templates."""
+    files = table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey", F.lit(".ts")).alias("file"), F.expr(_SCRIPT).alias("source"))
+    return script_tokens.import_counts(script_tokens.token_table(files))
+
+
+_OTHERS = """CASE p_partkey % 6 WHEN 0 THEN concat('pub(crate) mod m', p_size, ';', chr(10), '  use crate::a::b', p_size, ';', chr(10), 'model x;') WHEN 1 THEN concat('#include "h', p_size, '.h"', chr(10), ' #  include "d/e.h"', chr(10), '#include <stdio.h>')
+    WHEN 2 THEN concat('@import url("c', p_size, '.css");', chr(10), '@import ''d.css'';', chr(10), 'p { margin: 0 }') WHEN 3 THEN concat('<x><xsd:include schemaLocation="s', p_size, '.xsd"/>', chr(10), '<import file="https://far/x"/></x>')
+    WHEN 4 THEN concat('FROM base', chr(10), 'COPY --chown=1 a', p_size, ' /b', chr(10), 'add c d') ELSE concat('\\\\i s', p_size, '.sql', chr(10), 'select 1;', chr(10), 'SOURCE t.sql') END"""
+_other_file = "concat('f', p_partkey, CASE p_partkey % 6 WHEN 0 THEN '.rs' WHEN 1 THEN '.c' WHEN 2 THEN '.css' WHEN 3 THEN '.xml' WHEN 4 THEN '/Dockerfile' ELSE '.sql' END)"
+_PAGE = """concat('<link rel="a" href="css/', page_id, '.css"><script src="', CASE WHEN page_id % 3 = 0 THEN '//far/x.js' ELSE concat('js/', page_id % 7, '.js') END, '"></script>', chr(10), html)"""
+
+
+@query("import_line_rules", f"""WITH l AS (SELECT file, CAST(i AS BIGINT) AS line, r[i] AS text FROM (SELECT {_other_file} AS file, string_split({_OTHERS}, chr(10)) AS r FROM part), unnest(range(1, len(r) + 1)) AS t(i)),
+    p AS (SELECT 'p' || page_id || '.html' AS file, CAST(i AS BIGINT) AS line, r[i] AS text FROM (SELECT page_id, string_split({_PAGE}, chr(10)) AS r FROM pages), unnest(range(1, len(r) + 1)) AS t(i)),
+    f AS (SELECT file, line, 'rust_mod' AS kind, regexp_extract(text, '^pub\\(crate\\) mod (\\w+);$', 1) AS spec FROM l WHERE file LIKE '%.rs' UNION ALL SELECT file, line, 'rust_crate_use', regexp_extract(text, 'use crate::([a-z0-9:]+);$', 1) FROM l WHERE file LIKE '%.rs'
+    UNION ALL SELECT file, line, 'c_quote_include', regexp_extract(text, '"(.*)"', 1) FROM l WHERE file LIKE '%.c' UNION ALL SELECT file, line, 'css_import', regexp_extract(text, '[a-z0-9]+\\.css', 0) FROM l WHERE file LIKE '%.css'
+    UNION ALL SELECT file, line, 'xml_include', regexp_extract(text, '"([^":]*)"', 1) FROM l WHERE file LIKE '%.xml' UNION ALL SELECT file, line, 'docker_copy', regexp_extract(text, '^(?:COPY --chown=1|add) (\\w+)', 1) FROM l WHERE file LIKE '%file' UNION ALL SELECT file, line, 'sql_include', regexp_extract(text, '[a-z0-9]+\\.sql', 0) FROM l WHERE file LIKE '%.sql'
+    UNION ALL SELECT file, line, 'html_script', unnest(regexp_extract_all(text, '(?i)<script\\b[^>]*\\bsrc="([^"/][^"]*)"', 1)) FROM p UNION ALL SELECT file, line, 'html_link', unnest(regexp_extract_all(text, '(?i)<link\\b[^>]*\\bhref="([^"]+)"', 1)) FROM p)
+    SELECT * FROM f WHERE spec <> ''""")
+def line_rules(spark, d):
+    """Dependencies that stand on one line: pages with a script and a style sheet, and files of other languages."""
+    pages = table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("file"), F.expr(_PAGE).alias("source"))
+    others = table(spark, d, "part").select(F.expr(_other_file).alias("file"), F.expr(_OTHERS).alias("source"))
+    lines = corpus.plain_lines(pages.union(others))
+    return imports.line_imports(lines, paths.language(F.col("file")))
+
+
 # --- checks of edits
 
 _EDIT = "CASE WHEN n % 13 = 0 THEN 0 ELSE n % 6 END"
