@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.ship import ship
+
 
 def merged(ranges: DataFrame) -> DataFrame:
     """(file, start, end) -> maximal ranges; touching ones join. Ranges that are empty or start below 1 go."""
@@ -62,23 +64,32 @@ def prefix_budget(rows: DataFrame, partition: list[str], order: list[str], cost:
 def greedy_budget(rows: DataFrame, partition: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
     """Rows in order that still fit; one that does not fit is passed over and later ones may.
 
-    Each choice depends on all before it, so a partition is one fold over its
-    (order, cost) columns; partitions are bounded by the report they make.
+    Each choice depends on all before it, so a partition is one fold. Spark sorts
+    the slim rows, spilling if need be, and the fold sees them as they stream by
+    with one number as its state, so a partition may have any number of rows.
+    Rows that cost more than the whole budget never reach it.
     """
     import numpy as np
     import pyarrow as pa
 
-    slim = rows.select(*partition, *order, cost.cast("long").alias("__cost"))
-
-    def fold(table):
-        table = table.sort_by([(c, "ascending") for c in order])
-        spent, keep = 0, np.zeros(table.num_rows, bool)
-        for i, c in enumerate(table.column("__cost").to_numpy()):
-            if spent + c <= budget:
-                spent, keep[i] = spent + c, True
-        return table.filter(pa.array(keep)).drop_columns(["__cost"])
-
-    kept = slim.groupBy(*partition).applyInArrow(fold, slim.drop("__cost").schema)
+    ship(rows.sparkSession)
+    slim = rows.select(*partition, *order, cost.cast("long").alias("__cost")).where(F.col("__cost") <= budget)
+    width = len(partition)
+
+    def fold(batches):
+        now, left = None, 0
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            keys = zip(*(batch.column(i).to_pylist() for i in range(width))) if width else iter(lambda: (), None)
+            for i, (key, c) in enumerate(zip(keys, batch.column(batch.num_columns - 1).to_pylist())):
+                if key != now:
+                    now, left = key, budget
+                if c <= left:
+                    left, keep[i] = left - c, True
+            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
+
+    placed = (slim.repartition(*partition) if width else slim.coalesce(1)).sortWithinPartitions(*partition, *order)
+    kept = placed.mapInArrow(fold, slim.drop("__cost").schema)
     return rows.join(kept, [*partition, *order], "left_semi")
 
 

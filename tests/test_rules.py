@@ -8,7 +8,7 @@ import re
 from pyspark.sql import functions as F
 
 from corvane.functions import queries, text
-from corvane.operators import evidence, scan, targets
+from corvane.operators import evidence, ranges, scan, targets
 
 LINES = [
     # (line, name, defines it in any language, declared in Python, declared in a language with braces, hint)
@@ -79,3 +79,20 @@ def test_scopes_against_a_walk(spark):
     hits = [(f, n) for f, x in files.items() for n in range(1, x.count("\n") + 2)]
     got = {(x.file, x.line): (x.start, x.end) for x in targets.hit_scopes(spark.createDataFrame(hits, "file string, line bigint"), df).collect()}
     assert got == {(f, n): naive_scope(files[f].split("\n"), n) for f, n in hits}
+
+
+def test_greedy_budget_of_a_large_group(spark):
+    """Equal to the fold over one group of many rows and many small ones; costs over the budget are passed over."""
+    r = random.Random(5)
+    rows = [(0, i, r.choice([1, 3, 50, 400, 2000])) for i in range(60_000)] + [(1 + i % 50, i, r.choice([0, 5, 700, 900])) for i in range(2000)]
+    want = set()
+    for g in range(51):
+        left = 1000
+        for _, i, c in sorted(x for x in rows if x[0] == g):
+            if c <= left:
+                left -= c
+                want.add((g, i))
+    df = spark.createDataFrame(rows, "g int, i int, c int").repartition(5)
+    assert {(x.g, x.i) for x in ranges.greedy_budget(df, ["g"], ["i"], F.col("c"), 1000).collect()} == want
+    one = df.where("g = 0")
+    assert {x.i for x in ranges.greedy_budget(one, [], ["i"], F.col("c"), 1000).collect()} == {i for g, i in want if g == 0}
