@@ -102,16 +102,48 @@ def chosen_view(totals: DataFrame) -> Column:
     return F.when(F.col("dense"), "region").when(F.col("under_pressure") & (~F.col("raw_complete") | smaller), "hybrid").when(~F.col("raw_complete"), "index").otherwise("raw")
 
 
+# What the key of each kind of fact is made of.
+FACT_PARTS = {
+    "hit": ["file", "line"], "line": ["file", "line"], "span": ["file", "start_byte", "end_byte"], "scope": ["file", "start", "end", "symbol_kind", "symbol_name"],
+    "group": ["file", "start_line", "end_line", "symbol_kind", "symbol_name", "role", "anchor", "match_text"],
+    "witness": ["file", "start_line", "end_line", "symbol_kind", "symbol_name", "role", "anchor", "subject", "statement", "hit_lines"],
+    "negative": ["query", "target", "glob"], "index_summary": ["scan_complete", "scan_capped", "n_files", "n_lines", "exact_matches"],
+    "index_file": ["file", "line_hits", "exact_matches", "first_line", "sample"], "index_facet": ["kind", "facet", "exact_matches", "n_files", "first_file", "first_line"],
+    "route_candidate": ["file", "queries", "selected", "target", "glob"], "route_summary": ["discovery_complete", "n_candidates", "n_selected"],
+}
+
+
+def _json(df: DataFrame, name: str) -> Column:
+    """A column's value as JSON; null where there is none, paths without a leading ``./``."""
+    kind, x = df.schema[name].dataType.simpleString(), F.col(name)
+    if name in ("file", "first_file"):
+        x = F.regexp_replace(F.replace(x, F.lit("\\"), F.lit("/")), r"^\./", "")
+    if kind.startswith("array"):
+        text = F.to_json(F.array_sort(x))
+    elif kind == "string":
+        text = F.regexp_replace(F.to_json(F.array(x)), r"(?s)^\[(.*)\]$", "$1")
+    else:
+        text = x.cast("string")
+    return F.coalesce(F.when(F.col(name).isNotNull(), text), F.lit("null"))
+
+
+def facts_of(kind: str, rows: DataFrame) -> DataFrame:
+    """(key) of one kind of fact: the kind, a zero character, and its parts as a JSON list. The parts are columns of ``rows``."""
+    parts = F.concat(F.lit(f"{kind}\0["), F.array_join(F.array(*(_json(rows, x) for x in FACT_PARTS[kind])), ","), F.lit("]"))
+    return rows.select("*", parts.alias("key"))
+
+
 def fact_keys(hits: DataFrame) -> DataFrame:
-    """Positive facts of hit lines: a hit fact per query and a line fact."""
-    hit = F.concat(F.lit("hit\0"), F.to_json(F.array(F.col("file"), F.col("line").cast("string"), F.col("query").cast("string"))))
-    line = F.concat(F.lit("line\0"), F.to_json(F.array(F.col("file"), F.col("line").cast("string"))))
-    return hits.select("file", "line", F.explode(F.array(hit, line)).alias("key")).distinct()
+    """Positive facts of hit lines: that the line was hit, and that it was shown."""
+    lines = hits.select("file", "line").distinct()
+    return facts_of("hit", lines).union(facts_of("line", lines))
 
 
-def negative_facts(status: DataFrame) -> DataFrame:
+def negative_facts(status: DataFrame, target: str = ".", glob: str | None = None) -> DataFrame:
     """A fact of absence for each query whose complete scan found nothing."""
-    return status.where("absent").select("query", F.concat(F.lit("negative\0"), F.col("query")).alias("key"))
+    rows = status.where("absent").withColumn("asked", F.col("query"))
+    rows = rows.select("asked", F.col("query").cast("string").alias("query"), F.lit(target).alias("target"), F.lit(glob).cast("string").alias("glob"))
+    return facts_of("negative", rows).select(F.col("asked").alias("query"), "key")
 
 
 def novel(facts: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -258,7 +258,7 @@ def raw_report(spark, d):
     return evidence.raw_rows(_hits(spark, d), _lines(spark, d))
 
 
-@query("evidence_fact_keys", f"SELECT 'hit' AS kind, count(*) AS n FROM (SELECT DISTINCT file, line, query FROM {KEPT_SQL}) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT file, line FROM {KEPT_SQL})")
+@query("evidence_fact_keys", f"SELECT 'hit' AS kind, count(*) AS n FROM (SELECT DISTINCT file, line FROM {KEPT_SQL}) UNION ALL SELECT 'line', count(*) FROM (SELECT DISTINCT file, line FROM {KEPT_SQL})")
 def fact_keys(spark, d):
     return evidence.fact_kinds(evidence.fact_keys(_hits(spark, d)).select("key").distinct())
 

@@ -146,6 +146,32 @@ def index(spark, d):
 
 # --- facts and ledgers
 
+_FACT_ROWS = "(SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN './' ELSE '' END || 'src/' || p_brand || '.py' AS file, p_size AS line, p_size AS a, p_size + 9 AS b, p_type AS t, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_name || ' \"q\" \\ é' END AS s, p_size > 20 AS yes FROM part)"
+_file = "regexp_replace(file, '^\\./', '')"
+_FACTS = {
+    "hit": f"{_file}, line", "line": f"{_file}, line", "span": f"{_file}, a, b", "scope": f"{_file}, a, b, t, s", "group": f"{_file}, a, b, t, s, 'call', t, s", "witness": f"{_file}, a, b, t, s, 'call', t, s, t, [a, b]", "negative": "t, '.', s",
+    "index_summary": "yes, NOT yes, a, b, a", "index_file": f"{_file}, a, b, line, s", "index_facet": f"'dominant', s, a, b, {_file}, line", "route_candidate": f"{_file}, [a, b], yes, '.', s", "route_summary": "yes, a, b",
+}
+
+
+@query("evidence_fact_formats", " UNION ALL ".join(f"SELECT id, '{k}' AS kind, json_array({parts})::VARCHAR AS parts FROM {_FACT_ROWS}" for k, parts in _FACTS.items()))
+def fact_formats(spark, d):
+    """The keys of all kinds of facts."""
+    rows = table(spark, d, "part").selectExpr(
+        "p_partkey id", "concat(case when p_partkey % 3 = 0 then './' else '' end, 'src/', p_brand, '.py') file", "p_size line", "p_size a", "p_size + 9 b", "p_type t", "case when p_partkey % 4 = 0 then null else concat(p_name, ' \"q\" ', chr(92), ' é') end s", "p_size > 20 yes",
+    )
+    names = {
+        "start_byte": "a", "end_byte": "b", "start": "a", "end": "b", "start_line": "a", "end_line": "b", "symbol_kind": "t", "symbol_name": "s", "role": "'call'", "anchor": "t", "match_text": "s", "subject": "s", "statement": "t", "hit_lines": "array(b, a)", "query": "t", "target": "'.'", "glob": "s",
+        "scan_complete": "yes", "scan_capped": "not yes", "n_files": "a", "n_lines": "b", "exact_matches": "a", "line_hits": "a", "first_line": "line", "sample": "s", "kind": "'dominant'", "facet": "s", "first_file": "file", "queries": "array(b, a)", "selected": "yes", "discovery_complete": "yes", "n_candidates": "a", "n_selected": "b",
+    }
+    other = {"index_summary": {"exact_matches": "a"}, "index_file": {"exact_matches": "b"}, "index_facet": {"n_files": "b"}}
+    out = None
+    for kind, parts in evidence.FACT_PARTS.items():
+        mine = rows.selectExpr("id", *(f"{(names | other.get(kind, {})).get(x, x)} as `{x}`" for x in parts))
+        one = evidence.facts_of(kind, mine).select("id", F.substring_index("key", "\0", 1).alias("kind"), F.substring_index("key", "\0", -1).alias("parts"))
+        out = one if out is None else out.union(one)
+    return out
+
 @query("evidence_ledger", "SELECT key FROM (SELECT DISTINCT 'k' || (event_id % 400) AS key FROM events) ORDER BY CASE WHEN CAST(substr(key, 2) AS INT) % 2 = 0 THEN 0 ELSE 1 END, key LIMIT 300")
 def ledger(spark, d):
     """Known facts stay before new ones when the ledger is full."""
@@ -159,7 +185,7 @@ def first_queries(spark, d):
     return evidence.first_queries(s._hits(spark, d))
 
 
-@query("evidence_all_facts", f"""WITH k AS {s.KEPT_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'positive' AS kind, file, line, query::VARCHAR AS a FROM k UNION ALL SELECT DISTINCT 'context', file, line, '' FROM k UNION ALL SELECT 'negative', q.query::VARCHAR, 0, '' FROM (VALUES {s._q}) AS q(query, rx) WHERE q.query NOT IN (SELECT query FROM k)
+@query("evidence_all_facts", f"""WITH k AS {s.KEPT_SQL} SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'positive' AS kind, file, line, '' AS a FROM k UNION ALL SELECT DISTINCT 'context', file, line, '' FROM k UNION ALL SELECT 'negative', q.query::VARCHAR, 0, '' FROM (VALUES {s._q}) AS q(query, rx) WHERE q.query NOT IN (SELECT query FROM k)
     UNION ALL SELECT DISTINCT 'routing', file, 0, '' FROM k UNION ALL SELECT DISTINCT 'structural', query::VARCHAR, 0, '' FROM k UNION ALL SELECT DISTINCT 'other', file, 0, '' FROM k) GROUP BY kind""")
 def all_facts(spark, d):
     """Facts of all sorts, as the engine makes them and as others may, counted by what they say."""
