@@ -277,3 +277,34 @@ def test_groups_meet_by_key_size_and_place():
         pairs += len(got)
     # far fewer than all pairs, and than those that share a key
     assert 80 <= pairs < sum(bool(set(a) & set(b)) for _, a in groups for _, b in groups) / 2
+
+
+def test_curve_lets_file_bounds_prune(spark, tmp_path):
+    """Of files cut from the curve, few have bounds that hold one source, language and size; of files dealt by hash, nearly all."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from corvane.llm import sharding
+
+    r = random.Random(9)
+    rows = [(i, "x" * int(r.lognormvariate(5, 1.5)), f"l{r.randrange(4)}", f"s{r.randrange(16):02d}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    placed = sharding.shard(df, shards=64)
+    hashed = df.selectExpr("*", "octet_length(text) + 1L as size", "cast(pmod(xxhash64(doc_id), 64) as int) as shard")
+    shares = []
+    for name, x in (("curve", placed), ("hash", hashed)):
+        path = tmp_path / name
+        x.select("shard", "size", "lang", "source").repartition(8, "shard").write.partitionBy("shard").parquet(str(path))
+        bounds = []
+        for folder in sorted(Path(path).glob("shard=*")):
+            t = pq.ParquetDataset([str(f) for f in folder.glob("*.parquet")]).read()
+            bounds.append({c: (min(t.column(c).to_pylist()), max(t.column(c).to_pylist())) for c in ("size", "lang", "source")})
+        assert len(bounds) == 64
+        hit = 0
+        asked = r.sample(rows, 100)
+        for _, text, lang, source in asked:
+            point = {"size": len(text) + 1, "lang": lang, "source": source}
+            hit += sum(all(b[c][0] <= point[c] <= b[c][1] for c in point) for b in bounds)
+        shares.append(hit / (100 * 64))
+    assert shares[0] < 0.25 and shares[1] > 0.9
