@@ -8,6 +8,7 @@ from corvane.operators import evidence, graph, ranking, targets
 from corvane.plans import search_queries as s
 from corvane.plans import state_queries as st
 from corvane.query import query, table
+from corvane.scratch import kept
 from corvane.streaming import sessions
 
 
@@ -80,10 +81,10 @@ def rename_status(spark, d):
 def competitors(spark, d):
     from corvane.operators import scan
 
-    found = scan.discover(s._lines(spark, d), s.SEARCH)
-    target = found.where("query = 1").orderBy("file").head()
-    complete = not found.where("capped").head(1)
-    rows, decision = targets.competitors(found, target["file"] if target else "", found.where("query <> 2"), complete)
+    # all files count, so none is left out of what is found
+    found = kept(scan.discover(s._lines(spark, d), s.SEARCH, cap=None))
+    target = found.where("query = 1").agg(F.min("file").alias("file")).head()["file"]
+    rows, decision = targets.competitors(found, target or "", found.where("query <> 2"))
     return rows.agg(F.count("*").alias("n_rivals")).withColumn("decision", F.lit(decision))
 
 

@@ -61,3 +61,12 @@ def test_wanted_nodes_are_those_of_the_whole_table():
                 return not r["parent"]
             return r["kind"] in ("module", *syntax.DEFINITIONS, *syntax.ACTS) or r["use"] == "definition" or r["statement"]
         assert [[r[c] for c in columns] for r in some] == [[r[c] for c in columns] for r in every if wanted(r)]
+
+
+def test_competitors_beyond_the_cap_of_a_scan(spark, tmp_path):
+    docs = spark.range(5200).select(F.col("id").alias("doc_id"), F.lit("General Public License, version 2\nMIT License").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("n_chars"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(entry.oracle_sql()["target_competitors"]).fetchall()
+    assert [tuple(r) for r in entry.queries()["target_competitors"](spark, str(tmp_path)).collect()] == want == [(5199, "too_many")]
