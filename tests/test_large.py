@@ -63,6 +63,12 @@ def test_wanted_nodes_are_those_of_the_whole_table():
         assert [[r[c] for c in columns] for r in some] == [[r[c] for c in columns] for r in every if wanted(r)]
 
 
+def test_scopes_are_whole(spark):
+    long = "def f():\n" + "    x = 1\n" * 400 + "    def g():\n        pass\n# c\n\n" + "    y = 2\n" + "@d\nclass C:\n\n    z = 3\n"
+    got = {(r.start, r.end) for r in targets.whole_scopes(spark.createDataFrame([("a.py", long)], "file string, source string")).collect()}
+    assert got == {(1, 407), (402, 405), (408, 411)}
+
+
 def test_competitors_beyond_the_cap_of_a_scan(spark, tmp_path):
     docs = spark.range(5200).select(F.col("id").alias("doc_id"), F.lit("General Public License, version 2\nMIT License").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("n_chars"))
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
