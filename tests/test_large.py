@@ -69,6 +69,15 @@ def test_scopes_are_whole(spark):
     assert got == {(1, 407), (402, 405), (408, 411)}
 
 
+def test_touching_imports_give_the_same_neighbours(spark, sf_dir):
+    files = modules.modules(spark, sf_dir)
+    rows = imports.all_imports(files, corpus.plain_lines(files))
+    seeds = spark.createDataFrame([("pkg/m3.py", 0), ("pkg/m5.py", 1)], "seed string, position int")
+    names = lambda x: sorted(map(tuple, graph.neighbors(graph.edges(graph.resolved(x, files)), seeds).select("seed", "direction", "file", "total").collect()))
+    near = graph.touching(rows, seeds)
+    assert names(near) == names(rows) and near.count() < rows.count()
+
+
 def test_competitors_beyond_the_cap_of_a_scan(spark, tmp_path):
     docs = spark.range(5200).select(F.col("id").alias("doc_id"), F.lit("General Public License, version 2\nMIT License").alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(1).alias("n_chars"))
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
