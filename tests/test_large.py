@@ -63,6 +63,25 @@ def test_wanted_nodes_are_those_of_the_whole_table():
         assert [[r[c] for c in columns] for r in some] == [[r[c] for c in columns] for r in every if wanted(r)]
 
 
+def test_parts_that_nobody_reads_are_not_made(monkeypatch):
+    source = "# c\nimport a\n\ndef f(x):\n    if x > 0x1f:\n        return [g(y, 1.5) for y in x]\n\n    def g(z): return z\n"
+    monkeypatch.setattr(nodes.tokenize, "generate_tokens", None)  # a text without strings needs no tokens
+    kinds = lambda *x: [p.kind for p in nodes.parsed(source, *x)]
+    assert kinds("none", syntax.of_functions) == ["function_definition"] * 2
+    assert kinds("none", syntax.of_top) == ["module", "comment", "import_statement", "function_definition"]
+    assert kinds("none", syntax.of_flow) == ["module", "function_definition", "If", "comprehension", "function_definition"]
+    assert kinds("none", syntax.of_facts) == ["comment", "import_statement", "function_definition", "call", "function_definition"]
+    assert [r[9] for r in nodes.rows_of("f", source, ["name"], syntax.of_names)] == ["a", "f", "x", "x", "g", "y", "y", "x", "g", "z", "z"]
+
+
+@pytest.mark.parametrize("source", ["x = 1.0.real + 1..real + (0x1for 1j.imag)\n", "x = 1 if a else b # q 'x\n", "match x:\n    case C(a=1) as r:\n        type X = int\n", "x = f'{a!r:{w}} # {b}' # \u00e9\nclass \u00fc: pass\n", "a = 1\r\nb # c\r\n"])
+def test_words_are_those_of_the_tokens(source, monkeypatch):
+    fast = nodes.rows_of("f", source)
+    names = [r[9] for r in nodes.rows_of("f", source, ["name"], syntax.of_names)]
+    monkeypatch.setattr(nodes, "STRINGS", nodes.re.compile(""))  # every text is taken for one with strings
+    assert fast and fast == nodes.rows_of("f", source) and names == [r[9] for r in fast if r[5] == "identifier"]
+
+
 def test_scopes_are_whole(spark):
     long = "def f():\n" + "    x = 1\n" * 400 + "    def g():\n        pass\n# c\n\n" + "    y = 2\n" + "@d\nclass C:\n\n    z = 3\n"
     got = {(r.start, r.end) for r in targets.whole_scopes(spark.createDataFrame([("a.py", long)], "file string, source string")).collect()}
