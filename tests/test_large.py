@@ -82,6 +82,12 @@ def test_words_are_those_of_the_tokens(source, monkeypatch):
     assert fast and fast == nodes.rows_of("f", source) and names == [r[9] for r in fast if r[5] == "identifier"]
 
 
+@pytest.mark.parametrize("name", ["evidence_classified", "evidence_scope_order"])
+def test_lines_of_hits_are_read_once(spark, sf_dir, name):
+    text = physical(entry.queries()[name](spark, sf_dir))
+    assert text.count("posexplode(split(") == 1
+
+
 def test_scopes_are_whole(spark):
     long = "def f():\n" + "    x = 1\n" * 400 + "    def g():\n        pass\n# c\n\n" + "    y = 2\n" + "@d\nclass C:\n\n    z = 3\n"
     got = {(r.start, r.end) for r in targets.whole_scopes(spark.createDataFrame([("a.py", long)], "file string, source string")).collect()}
