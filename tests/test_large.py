@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from corvane.functions import imports, nodes
 from corvane.operators import graph, syntax, targets
+from corvane.plans import code_queries
 from corvane.sources import corpus, modules
 
 
@@ -88,6 +89,14 @@ def test_lines_of_hits_are_read_once(spark, sf_dir, name):
     assert text.count("posexplode(split(") == 1
 
 
+def test_functions_alone_give_the_same_replacements(spark, sf_dir):
+    rows = code_queries._mutations(spark, sf_dir).where("id < 40")
+    every, functions = code_queries._nodes_by_id(rows)
+    assert functions.where("kind <> 'function_definition'").isEmpty()
+    told = lambda *x: sorted(map(repr, syntax.replacements(rows, *x).collect()))
+    assert told(every, functions) == told(every)
+
+
 def test_scopes_are_whole(spark):
     long = "def f():\n" + "    x = 1\n" * 400 + "    def g():\n        pass\n# c\n\n" + "    y = 2\n" + "@d\nclass C:\n\n    z = 3\n"
     got = {(r.start, r.end) for r in targets.whole_scopes(spark.createDataFrame([("a.py", long)], "file string, source string")).collect()}
