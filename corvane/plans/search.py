@@ -33,8 +33,8 @@ def search(files: DataFrame, queries: list[str], words: list[list[str]], terms:
     exact, names = spark.createDataFrame(rows, kind), [r["file"] for r in rows] or [""]
 
     candidates = files.where(F.col("file").isin(names))
-    facts = python_ast.with_owners(python_ast.python_facts(candidates.where(paths.language(F.col("file")) == "python")))
-    counted = ranking.field_counts(python_ast.ranker_fields(candidates, facts), terms)
+    facts = python_ast.file_facts(candidates.where(paths.language(F.col("file")) == "python"), python_ast.RANKED)
+    counted = ranking.field_counts(python_ast.ranker_texts(candidates, facts), terms)
     counted = counted.groupBy("file", "field").agg(F.sum("n").alias("n"), *(F.sum(f"t{i}").alias(f"t{i}") for i in range(len(terms))))
     ranked = ranking.fused(ranking.bm25f(candidates, counted, terms).join(F.broadcast(exact), "file"))
     ranked = spark.createDataFrame(ranked.collect(), ranked.schema)  # MOST_RESULTS rows

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corvane.functions import imports, nodes
+from corvane.functions import imports, nodes, python_ast
 from corvane.operators import graph, syntax, targets
 from corvane.plans import code_queries
 from corvane.sources import corpus, modules
@@ -132,3 +132,28 @@ def test_guesses_by_line_end_and_import_line(spark):
     witnesses = spark.createDataFrame([("a.py", 1), ("a.py", 3), ("a.py", None), ("b.py", 2), ("b.py", 1)], "file string, witness_line long")
     got = sorted(map(tuple, graph.validated(guesses, files, witnesses).collect()))
     assert got == [("a.py", "forward", ["f1"], 2), ("a.py", "reverse", ["f1"], 2)]
+
+
+@pytest.mark.parametrize("name", ["python_facts", "rank_fields"])
+def test_facts_of_a_file_stay_together(spark, sf_dir, name):
+    text = physical(entry.queries()[name](spark, sf_dir))
+    above = text[: text.index("MapInArrow")]
+    assert "Window" not in text and above.count("Exchange") == (name == "rank_fields")  # that of the counts
+
+
+def test_facts_of_a_file_are_those_of_its_nodes(spark):
+    deep = "class A:\n    class B:\n        # c\n        def test_f(self):\n            return [g(1), it(2)]\n    def h(self, x=(k(1))): pass\nimport os.path as p\n"
+    files = spark.createDataFrame([("a.py", deep), ("b.py", "f(1)\n" * 600 + "def late(): pass\n"), ("c.py", "def ("), ("d.py", None), ("e.py", "")], "file string, source string")
+    columns = ["file", *python_ast.FACTS]
+    rows = python_ast.owned_facts(files)
+    told = lambda df: sorted(map(repr, df.select(columns).collect()))
+    assert told(rows) == told(python_ast.python_facts(files)) and rows.where("file = 'b.py'").count() == syntax.MOST_FACTS
+    names = {(r.role, r["name"]): (r.owner, r.qualified_name) for r in rows.where("file = 'a.py'").collect()}
+    assert names == {
+        ("declaration", "A"): (None, "A"), ("declaration", "B"): ("A", "A::B"), ("comment", None): ("A::B", None), ("test_declaration", "test_f"): ("A::B", "A::B::test_f"), ("call", "g"): ("A::B::test_f", "A::B::test_f::g"),
+        ("test_call", "it"): ("A::B::test_f", "A::B::test_f::it"), ("declaration", "h"): ("A", "A::h"), ("call", "k"): ("A::h", "A::h::k"), ("import", None): (None, None),
+    }
+    some = python_ast.file_facts(files, python_ast.RANKED)
+    fields = {(r.file, r.field): sorted(r.texts) for r in python_ast.ranker_texts(files, some).collect()}
+    assert fields["a.py", "symbols"] == ["A", "A", "A::B", "A::h", "B", "h", "test_f"] and fields["a.py", "tests"] == ["A::B::test_f", "it", "test_f"] and fields["a.py", "comments"] == ["# c"]
+    assert len(fields["a.py", "signatures"]) == 4 and {k for k in fields if k[0] != "a.py"} == {("b.py", "path"), ("c.py", "path"), ("d.py", "path"), ("e.py", "path"), ("b.py", "code"), ("c.py", "code"), ("e.py", "code")}
