@@ -9,17 +9,20 @@ proved rejects the whole request.
 
 from __future__ import annotations
 
+import ast
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.nodes import Part
 from corvane.operators import ranges, syntax
-from corvane.scratch import kept
+from corvane.scratch import kept, large
 
 # The most occurrences of a rename, and the most lines between one and evidence of it.
 MOST_OCCURRENCES, MOST_DISTANCE = 16, 96
 SCOPES = ["module", "function_definition", "class_definition", "lambda", "comprehension_scope"]
+PARTS = {*SCOPES, "identifier", "import_from_statement", "alias"}
 BINDS = ["store", "delete", "parameter", "definition", "import"]
 #: names that are no uses of a binding of the file
 OTHER = ["member", "own_member", "keyword", "imported"]
@@ -34,6 +37,26 @@ CLOSURE_REASONS = {
 }
 
 
+# What lowered() reads of the node table: parsing needs to tell no more than that.
+NODE_COLUMNS = ["file", "node", "parent", "last", "kind", "field", "nth", "name", "use", "start", "end", "start_line"]
+
+
+def of_renames(p: Part) -> bool:
+    """Scopes and where their bodies begin, names, imports by name, and calls that reach a name through a string."""
+    if p.kind == "call":
+        return isinstance(p.x.func, ast.Name) and p.x.func.id in syntax.REFLECTIVE
+    return p.kind in PARTS or (p.field == "body" and not p.nth) or (p.kind == "string" and p.field == "args" and p.nth == 1)
+
+
+def names_of(requests: DataFrame, closure_rows: DataFrame) -> DataFrame:
+    """(file, names): what lowered() asks of the names of a file; of other files it asks nothing."""
+    asked = requests.select("id", "file", "symbol", "new_name", "allowed")
+    links = large(closure_rows.select("file", "symbol", "importer", "local_symbol")).join(asked.select("file", "symbol", "new_name"), ["file", "symbol"])
+    own = asked.select(F.explode(F.concat(F.array("file"), F.coalesce("allowed", F.array().cast("array<string>")))).alias("file"), F.array("symbol", "new_name").alias("names"))
+    rows = own.union(links.select(F.col("importer").alias("file"), F.array("symbol", "local_symbol", "new_name").alias("names")))
+    return large(rows.groupBy("file").agg(F.array_distinct(F.flatten(F.collect_set("names"))).alias("names")))
+
+
 def scope_chains(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """Leaves (file, node, ...) with each scope around them: scope, scope_kind, and ``own`` for the innermost.
 
@@ -44,17 +67,19 @@ def scope_chains(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     scopes = nodes.where(F.col("kind").isin(*SCOPES)).select("file", F.col("node").alias("scope"), "last", F.col("kind").alias("scope_kind")).join(body, ["file", "scope"], "left")
     inner = leaves.select("file", F.col("node").alias("i_id"), F.col("node").alias("i_start"), F.col("node").alias("i_end")).distinct()
     outer = scopes.select("file", F.col("scope").alias("o_id"), F.col("scope").alias("o_start"), F.col("last").alias("o_end"), "scope_kind", "body")
-    pairs = ranges.containing(inner, outer).select("file", F.col("i_id").alias("node"), F.col("o_id").alias("scope"), "scope_kind", "body")
+    # read off the scopes alone, not off their join with the bodies
+    longest = nodes.where(F.col("kind").isin(*SCOPES)).agg(F.max(F.col("last") - F.col("node") + 1)).head()[0] or 0
+    pairs = ranges.containing(inner, outer, longest=longest).select("file", F.col("i_id").alias("node"), F.col("o_id").alias("scope"), "scope_kind", "body")
     rows = leaves.join(pairs, ["file", "node"])
     head = (F.col("node") < F.col("body")) & (F.col("use") != "parameter") & F.col("scope_kind").isin("function_definition", "class_definition", "lambda")
     rows = rows.where(~F.coalesce(head, F.lit(False))).drop("body")
-    most = rows.groupBy("file", "node").agg(F.max("scope").alias("innermost"))
-    return rows.join(most, ["file", "node"]).withColumn("own", F.col("scope") == F.col("innermost")).drop("innermost")
+    return rows.withColumn("own", F.col("scope") == F.max("scope").over(Window.partitionBy("file", "node")))
 
 
 def resolved(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """Leaves (file, node, name, use, ...) with ``scope``, where they stand, and ``binding``, the scope that binds the name they mean; null if none of the file does."""
-    chains = scope_chains(leaves, nodes)
+    leaves = kept(leaves)  # both are read several times; what makes them would be in the plan as often
+    chains = kept(scope_chains(leaves, nodes))
     binders = chains.where(F.col("use").isin(*BINDS) & F.col("own")).select("file", "name", "scope").distinct().withColumn("binds", F.lit(True))
     seen = chains.join(binders, ["file", "name", "scope"], "left")
     counts = F.col("binds") & (F.col("own") | (F.col("scope_kind") != "class_definition")) & ~F.col("use").isin(*OTHER)
@@ -63,7 +88,8 @@ def resolved(leaves: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _failed(rows: DataFrame, reason: str | Column) -> DataFrame:
-    return rows.select("id", (F.lit(reason) if isinstance(reason, str) else reason).alias("reason")).distinct()
+    # the least reason of an id is taken at the end, so nothing is shuffled here
+    return rows.select("id", (F.lit(reason) if isinstance(reason, str) else reason).alias("reason"))
 
 
 def lowered(
@@ -97,11 +123,10 @@ def lowered(
     mine = asked.join(known.withColumnRenamed("name", "symbol"), ["file", "symbol"])
     functions = nodes.where("kind = 'function_definition'").select("file", F.col("node").alias("parent"), F.lit(True).alias("function"))
     targets = mine.where("use = 'definition'").join(functions, ["file", "parent"])
-    per = targets.groupBy("id").agg(F.count("*").alias("n"))
+    per = kept(targets.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("node").alias("target"), F.col("scope").alias("home"), F.col("scope_kind").alias("home_kind"))).alias("one")))
     bad.append(_failed(live.join(per, "id", "left").where("n is null"), REASONS[1]))
     bad.append(_failed(per.where("n > 1"), REASONS[2]))
-    target = targets.join(per.where("n = 1").select("id"), "id").select("id", F.col("node").alias("target"), F.col("scope").alias("home"), F.col("scope_kind").alias("home_kind"))
-    rows = mine.join(target, "id")
+    rows = mine.join(per.where("n = 1").select("id", "one.*"), "id")
     bad.append(_failed(rows.where("use in ('global', 'nonlocal')"), REASONS[3]))
     homes = nodes.where(F.col("kind").isin(*SCOPES)).select("file", F.col("node").alias("home"), F.col("last").alias("home_last"))
     rows = rows.join(homes, ["file", "home"]).withColumn("within", (F.col("node") >= F.col("home")) & (F.col("node") <= F.col("home_last")))
@@ -116,7 +141,7 @@ def lowered(
     for k, v in CLOSURE_REASONS.items():
         told = F.when(F.col("why") == k, v).otherwise(told)
     bad.append(_failed(verdict.where("why is not null"), F.coalesce(told, F.lit(REASONS[3]))))
-    links = asked.join(closure_rows, ["file", "symbol"]).select("id", "importer", "target", "symbol", "local_symbol", "propagates", "new_name")
+    links = kept(asked.join(closure_rows, ["file", "symbol"]).select("id", "importer", "target", "symbol", "local_symbol", "propagates", "new_name"))
     allowed = live.select("id", F.explode("allowed").alias("importer"))
     touched = links.select("id", "importer").union(asked.select("id", F.col("file").alias("importer"))).distinct()
     bad.append(_failed(touched.join(allowed, ["id", "importer"], "left_anti"), REASONS[5]))
@@ -144,7 +169,7 @@ def lowered(
     carriers = found.where("propagates").select("id", F.col("importer").alias("file"), F.col("local_symbol").alias("name"), "leaf", "new_name")
     at = known.select("file", F.col("node").alias("leaf"), F.col("scope").alias("home"))
     carriers = kept(carriers.join(at, ["file", "leaf"]))
-    there = known.join(carriers.select("id", "file", "name", "home", "new_name").distinct(), ["file", "name"])
+    there = kept(known.join(carriers.select("id", "file", "name", "home", "new_name").distinct(), ["file", "name"]))
     bad.append(_failed(there.where("use in ('global', 'nonlocal')"), REASONS[3]))
     rivals = there.where(F.col("use").isin(*BINDS) & (F.col("scope") == F.col("home"))).join(carriers.select("id", "file", F.col("leaf").alias("node")), ["id", "file", "node"], "left_anti")
     bad.append(_failed(rivals, REASONS[4]))
@@ -153,8 +178,9 @@ def lowered(
         module = F.col("scope") == 0
         bad.append(_failed(uses.where(module & (F.col("node") != F.col("target"))), REASONS[12]))
         bad.append(_failed(passed.where(module), REASONS[12]))
-    order = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
-    why = kept(reduce(DataFrame.union, bad).groupBy("id").agg(F.min_by("reason", order).alias("reason")))
+    all_reasons = F.array(*map(F.lit, REASONS))
+    first = F.min(F.array_position(all_reasons, F.col("reason")).cast("int"))
+    why = kept(reduce(DataFrame.union, bad).groupBy("id").agg(F.element_at(all_reasons, first).alias("reason")))
     columns = ["id", "file", "start", "end", F.col("start_line").alias("line"), "new_name"]
     edits = uses.select(*columns).union(found.withColumnRenamed("importer", "file").select(*columns)).union(passed.select(*columns)).distinct()
     verdicts = requests.select("id", F.when(F.col("symbol") == F.col("new_name"), "no_change").otherwise("ok").alias("none")).join(why, "id", "left").select("id", F.coalesce("reason", "none").alias("reason"))

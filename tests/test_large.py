@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from corvane.functions import imports, nodes, python_ast
-from corvane.operators import graph, syntax, targets
+from corvane.operators import closure, graph, rename, syntax, targets
 from corvane.plans import code_queries
+from corvane.scratch import kept
 from corvane.sources import corpus, modules
 
 
@@ -157,3 +158,35 @@ def test_facts_of_a_file_are_those_of_its_nodes(spark):
     fields = {(r.file, r.field): sorted(r.texts) for r in python_ast.ranker_texts(files, some).collect()}
     assert fields["a.py", "symbols"] == ["A", "A", "A::B", "A::h", "B", "h", "test_f"] and fields["a.py", "tests"] == ["A::B::test_f", "it", "test_f"] and fields["a.py", "comments"] == ["# c"]
     assert len(fields["a.py", "signatures"]) == 4 and {k for k in fields if k[0] != "a.py"} == {("b.py", "path"), ("c.py", "path"), ("d.py", "path"), ("e.py", "path"), ("b.py", "code"), ("c.py", "code"), ("e.py", "code")}
+
+
+def test_imports_of_renames_are_resolved_once(spark, sf_dir, monkeypatch):
+    resolved, resolve = [], graph.resolved
+    monkeypatch.setattr(graph, "resolved", lambda *x: resolved.append(x) or resolve(*x))
+    entry.queries()["edit_renames"](spark, sf_dir)
+    assert len(resolved) == 1
+
+
+def test_member_uses_of_places_are_those_of_all_mentions(spark, sf_dir):
+    files = modules.modules(spark, sf_dir)
+    rows = kept(graph.resolved(imports.all_imports(files, corpus.plain_lines(files)), files))
+    bindings, edges = code_queries._bound(rows), code_queries._edges_of(rows)
+    sources = files.select("file", F.explode(F.array(F.concat(F.lit("f"), "n"), F.lit("shared"))).alias("symbol"))
+    places = kept(closure.places(bindings, sources))
+    every = closure.member_uses(edges, closure.mentions(files, sources)).join(places, ["file", "symbol"], "left_semi").select("file", "symbol")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(closure.member_uses_at(edges, files, places)) == told(every) != []
+
+
+def test_leaves_among_names_lower_the_same_renames(spark):
+    a = "def f(x):\n    return [f(y) for y in x] if x else getattr(x, 'g')\n\nclass C:\n    def g(self):\n        return self.g() or f(1)\n"
+    files = spark.createDataFrame([("a.py", a), ("b.py", "from a import f, h as k\n\ndef u():\n    f(1)\n    return lambda f: f\n"), ("c.py", "import a\n"), ("d.py", None), ("e.py", "(")], "file string, source string")
+    requests = spark.createDataFrame([(0, "a.py", "f", "z", ["a.py", "b.py"]), (1, "a.py", "f", "k", ["a.py", "b.py"]), (2, "a.py", "g", "y", ["a.py"]), (3, "a.py", "f", "w", None), (4, "e.py", "f", "w", ["e.py"])], "id long, file string, symbol string, new_name string, allowed array<string>")
+    rows = kept(graph.resolved(imports.all_imports(files, corpus.plain_lines(files)), files))
+    found, verdicts = (kept(x) for x in closure.closures(code_queries._bound(rows), requests))
+    told = lambda x: [sorted(map(repr, df.collect())) for df in x]
+    asked = files.join(rename.names_of(requests, found), "file")
+    some = kept(nodes.node_table(asked, rename.NODE_COLUMNS, rename.of_renames, among="names"))
+    every = kept(nodes.node_table(files))
+    got = told(rename.lowered(requests, some, found, verdicts, rows))
+    assert got == told(rename.lowered(requests, every, found, verdicts, rows)) and got[0] and some.count() < every.count()
